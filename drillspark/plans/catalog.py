@@ -43,4 +43,28 @@ def _load_all() -> None:
     # importing the modules registers their queries
     from . import (  # noqa: F401
         q_change,
+        q_customers,
+        q_onecol,
+        q_series,
     )
+
+
+def flat_arrays(df: DataFrame, sep: str = "; ") -> DataFrame:
+    """array<string> columns as joined text (SQL twin: array_to_string)."""
+    from pyspark.sql import functions as F
+    from pyspark.sql.types import ArrayType
+
+    return df.select(
+        *[
+            F.array_join(F.col(f.name), sep).alias(f.name) if isinstance(f.dataType, ArrayType) else F.col(f.name)
+            for f in df.schema.fields
+        ]
+    )
+
+
+def round6(df: DataFrame, cols) -> DataFrame:
+    """Unrounded float statistics at 6 dp, so two engines summing in different
+    orders report the same digits (SQL twin: ROUND(x, 6))."""
+    from ..functions.numeric import dround
+
+    return df.select(*[dround(c, 6).alias(c) if c in cols else c for c in df.columns])
