@@ -46,6 +46,7 @@ def _load_all() -> None:
         q_customers,
         q_onecol,
         q_series,
+        q_tests,
     )
 
 
