@@ -95,32 +95,84 @@ def average_ranks(df: DataFrame, value: str, name: str = "rank") -> DataFrame:
     )
 
 
-def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], prefix: str = "q") -> DataFrame:
-    """One row: linear-interpolated quantiles (SQL ``quantile_cont``) of a
-    numeric column, named ``{prefix}0, {prefix}1, ...``, plus ``n``.
+def _keyed(df: DataFrame, keys: Sequence[str], prefix: str) -> DataFrame:
+    """Rename key columns to ``{prefix}{i}`` so a join with a frame derived
+    from the same source has no ambiguous attributes."""
+    ren = {k: f"{prefix}{i}" for i, k in enumerate(keys)}
+    return df.select(*[F.col(c).alias(ren[c]) if c in ren else F.col(c) for c in df.columns])
+
+
+def _keys_match(keys: Sequence[str], left_prefix: str | None, right_prefix: str) -> Column:
+    """Null-safe equality of the renamed key columns (null matches null)."""
+    cond = None
+    for i, k in enumerate(keys):
+        lcol = F.col(k) if left_prefix is None else F.col(f"{left_prefix}{i}")
+        c = lcol.eqNullSafe(F.col(f"{right_prefix}{i}"))
+        cond = c if cond is None else cond & c
+    return cond
+
+
+def exact_quantiles(
+    df: DataFrame, value: str, probs: Sequence[float], prefix: str = "q", by: Sequence[str] = ()
+) -> DataFrame:
+    """Linear-interpolated quantiles (SQL ``quantile_cont``) of a numeric
+    column, overall or per group of ``by``: one row per group with ``n`` and
+    ``{prefix}0, {prefix}1, ...`` (null when the group has no values).
 
     Position h = (n - 1) * p; the answer is x[floor h] + (x[ceil h] - x[floor h])
-    * (h - floor h). The ranked values are looked up with a range join against
-    a broadcast list of 2 * len(probs) target positions, so no value-count map
-    is ever held in one task (unlike an exact ``percentile`` aggregate).
+    * (h - floor h). Values are counted per distinct (group, value), ranked by
+    one distributed running sum over (group, value), and each group's target
+    positions are looked up with a range condition. No task ever holds a whole
+    group's value map, which an exact ``percentile`` aggregate would need - a
+    group with a third of all rows is spread over many sorted partitions.
     """
     spark = df.sparkSession
-    vals = df.select(F.col(value).cast("double").alias("v"))
-    vc = value_counts(vals, "v").withColumn("cum_prev", F.col("cum_cnt") - F.col("cnt"))
-    n = vals.where(F.col("v").isNotNull()).agg(F.count(F.lit(1)).alias("n"))
+    by = list(by)
+    vals = df.select(*by, F.col(value).cast("double").alias("v"))
+    present = vals.where(F.col("v").isNotNull())
+    if by:
+        agg = present.groupBy(*by, "v").agg(F.count(F.lit(1)).alias("cnt"))
+        order = [F.col(b).asc_nulls_first() for b in by] + [F.col("v").asc()]
+        frozen = _sorted_frozen(agg, order)
+        offs = _offsets(frozen, {"cnt": F.sum("cnt")})
+        w = Window.partitionBy(_PID).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        cum = (
+            frozen.join(F.broadcast(offs), _PID)
+            .withColumn("cum_cnt", F.sum("cnt").over(w) + F.col("_o_cnt"))
+            .drop(_PID, _MID, "_o_cnt")
+        )
+        starts = _keyed(
+            cum.groupBy(*by).agg(F.min(F.col("cum_cnt") - F.col("cnt")).alias("_g0"), F.sum("cnt").alias("_gn")),
+            by,
+            "_s",
+        )
+        cum = (
+            cum.join(starts, _keys_match(by, None, "_s"))
+            .select(*by, "v", "cnt", (F.col("cum_cnt") - F.col("_g0")).alias("cum_cnt"))
+        )
+        # every group gets a row, also one whose values are all null (n = 0)
+        all_groups = vals.select(*by).distinct()
+        groups = all_groups.join(starts, _keys_match(by, None, "_s"), "left").select(
+            *by, F.coalesce(F.col("_gn"), F.lit(0)).alias("n")
+        )
+    else:
+        cum = value_counts(present, "v").select("v", "cnt", "cum_cnt")
+        groups = present.agg(F.count(F.lit(1)).alias("n"))
+    cum = _keyed(cum.withColumn("cum_prev", F.col("cum_cnt") - F.col("cnt")), by, "_c")
     probs_df = spark.createDataFrame([(i, float(p)) for i, p in enumerate(probs)], "qi int, p double")
     targets = (
-        n.crossJoin(probs_df)
+        groups.crossJoin(F.broadcast(probs_df))
         .withColumn("h", (F.col("n") - F.lit(1)).cast("double") * F.col("p"))
         .withColumn("lo", F.floor("h").cast("long"))
         .withColumn("hi", F.ceil("h").cast("long"))
         .withColumn("pos", F.explode(F.array(F.col("lo"), F.col("hi"))))
-        .withColumn("which", F.when(F.col("pos") == F.col("lo"), F.lit("lo")).otherwise(F.lit("hi")))
     )
-    hit = F.broadcast(targets).join(
-        vc, (vc.cum_prev <= targets.pos) & (targets.pos < vc.cum_cnt), "left"
-    )
-    per_q = hit.groupBy("qi", "n", "h", "lo", "hi").agg(
+    rng = (F.col("cum_prev") <= F.col("pos")) & (F.col("pos") < F.col("cum_cnt"))
+    if by:
+        hit = targets.join(cum, _keys_match(by, None, "_c") & rng, "left")
+    else:
+        hit = F.broadcast(targets).join(cum, rng, "left")
+    per_q = hit.groupBy(*by, "qi", "n", "h", "lo", "hi").agg(
         F.max(F.when(F.col("pos") == F.col("lo"), F.col("v"))).alias("x_lo"),
         F.max(F.when(F.col("pos") == F.col("hi"), F.col("v"))).alias("x_hi"),
     )
@@ -132,9 +184,34 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], prefix: s
         ),
     )
     cols = [F.max(F.when(F.col("qi") == i, F.col("q"))).alias(f"{prefix}{i}") for i in range(len(probs))]
-    out = per_q.groupBy().agg(F.max("n").alias("n"), *cols)
-    # no rows at all -> one row of nulls with n = 0
-    return n.crossJoin(out.drop("n")) if probs else n
+    return per_q.groupBy(*by).agg(F.max("n").alias("n"), *cols)
+
+
+def partition_row_numbers(
+    df: DataFrame, partition: Sequence[str], order: Sequence[Column], name: str = "rn"
+) -> DataFrame:
+    """ROW_NUMBER() OVER (PARTITION BY partition ORDER BY order), skew-proof.
+
+    A partitioned window sends each key to one task, so a key with a third of
+    all rows is sorted by one task. Here one global range-partitioned sort on
+    (partition, order) spreads such a key over many tasks; the row number
+    inside the key is the global row number minus that of the key's first row.
+    Also adds ``{name}_count`` (rows in the key) and ``_grn`` (global row
+    number, unique: a lag inside the key is a join on ``_grn - k``).
+    The order must be total within a key for a deterministic answer.
+    """
+    keys = list(partition)
+    numbered = row_numbers(df, [F.col(k).asc_nulls_first() for k in keys] + list(order), "_grn")
+    starts = _keyed(
+        numbered.groupBy(*keys).agg(F.min("_grn").alias("_g0"), F.count(F.lit(1)).alias(f"{name}_count")),
+        keys,
+        "_s",
+    )
+    return (
+        numbered.join(starts, _keys_match(keys, None, "_s"))
+        .withColumn(name, F.col("_grn") - F.col("_g0") + F.lit(1))
+        .drop("_g0", *[f"_s{i}" for i in range(len(keys))])
+    )
 
 
 def ntile_of(row_number: Column, n: Column, k: int) -> Column:

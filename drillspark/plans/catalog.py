@@ -47,6 +47,7 @@ def _load_all() -> None:
         q_onecol,
         q_series,
         q_tests,
+        q_relational,
     )
 
 
