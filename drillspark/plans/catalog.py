@@ -48,6 +48,7 @@ def _load_all() -> None:
         q_series,
         q_tests,
         q_relational,
+        q_sources,
     )
 
 

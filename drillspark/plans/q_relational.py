@@ -112,13 +112,15 @@ def r4(spark, sf):
 @register(
     "R5_anti_join",
     """
-SELECT p.p_partkey, p.p_name FROM part p LEFT JOIN lineitem l ON p.p_partkey = l.l_partkey
+SELECT p.p_partkey, p.p_name FROM part p
+LEFT JOIN (SELECT l_partkey FROM lineitem WHERE l_quantity >= 45) l ON p.p_partkey = l.l_partkey
 WHERE l.l_partkey IS NULL
 """,
 )
 def r5(spark, sf):
     p, li = table(spark, sf, "part"), table(spark, sf, "lineitem")
-    return p.join(li, p.p_partkey == li.l_partkey, "left_anti").select("p_partkey", "p_name")
+    big = li.where(F.col("l_quantity") >= 45)
+    return p.join(big, p.p_partkey == big.l_partkey, "left_anti").select("p_partkey", "p_name")
 
 
 @register(

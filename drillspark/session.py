@@ -82,3 +82,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         configured = tempfile.mkdtemp(prefix="drillspark-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     sc.setCheckpointDir(configured)
     return configured
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh folder under the session's checkpoint directory (shared on a
+    cluster) for intermediate tables a job writes and reads back."""
+    import uuid
+
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    return f"{base}/drillspark-scratch/{name}-{uuid.uuid4().hex}"
