@@ -60,11 +60,16 @@ def row_numbers(df: DataFrame, order: Sequence[Column], name: str = "row_number"
     )
 
 
-def running_sums(df: DataFrame, order_col: str, cols: Sequence[str], prefix: str = "cum_") -> DataFrame:
-    """Inclusive running sums of ``cols`` in ascending ``order_col`` (unique values)."""
-    frozen = _sorted_frozen(df, [F.col(order_col).asc()])
+def running_sums(
+    df: DataFrame, order: str | Sequence[str | Column], cols: Sequence[str], prefix: str = "cum_"
+) -> DataFrame:
+    """Inclusive running sums of ``cols`` in ``order`` (a column name or a
+    list of names/sort expressions; must be a total order)."""
+    order_list = [order] if isinstance(order, str) else list(order)
+    sort = [F.col(o).asc() if isinstance(o, str) else o for o in order_list]
+    frozen = _sorted_frozen(df, sort)
     offs = _offsets(frozen, {c: F.sum(c) for c in cols})
-    w = Window.partitionBy(_PID).orderBy(order_col).rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy(_PID).orderBy(*sort).rowsBetween(Window.unboundedPreceding, 0)
     out = frozen.join(F.broadcast(offs), _PID)
     for c in cols:
         out = out.withColumn(f"{prefix}{c}", F.sum(c).over(w) + F.col(f"_o_{c}"))

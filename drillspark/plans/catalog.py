@@ -49,6 +49,7 @@ def _load_all() -> None:
         q_tests,
         q_relational,
         q_sources,
+        q_graph,
     )
 
 
