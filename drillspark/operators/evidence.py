@@ -14,6 +14,7 @@ doubling with reliable checkpoints between rounds.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -146,46 +147,132 @@ def recent_nodes(nodes: DataFrame, k: int) -> DataFrame:
 
 
 # --------------------------------------------------------------------------- G4/G5
-def ancestors(nodes: DataFrame, max_rounds: int = 64) -> DataFrame:
+def _union_all(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out
+
+
+def ancestors(nodes: DataFrame) -> DataFrame:
     """(node_id, ancestor_id, depth) for every node and every node on its
     parent chain, itself included at depth 0. A parent id that names no node
     is still listed (the chain stops there).
 
     Pointer doubling: after round r every ancestor up to depth 2^r is known;
     the node 2^r levels up then contributes its own known ancestors, so each
-    (node, ancestor) pair is produced once and a chain of length L needs
-    log2(L) rounds. Each round's frames are checkpointed to cut the lineage.
-    A parent cycle stops growing when a round adds nothing new.
+    (node, ancestor) pair is produced exactly once and a chain of length L
+    needs log2(L) rounds. Every round writes only its new pairs (reliable
+    checkpoint); earlier rounds are never rewritten. In a forest all chains
+    end within log2(N) + 1 rounds; if jumps survive longer the parent links
+    contain a cycle, and the remaining rounds de-duplicate against the pairs
+    already known until nothing new appears.
     """
     from ..session import ensure_checkpoint_dir
 
     ensure_checkpoint_dir(nodes.sparkSession)
-    base = nodes.select(F.col("id").alias("node_id"), F.col("parent_id").alias("ancestor_id"))
-    known = base.where(F.col("ancestor_id").isNotNull()).withColumn("depth", F.lit(1).cast("long")).checkpoint()
-    jump = known.select("node_id", F.col("ancestor_id").alias("jump_id"))  # ancestor at exactly 2^r
-    span = 1
-    for _ in range(max_rounds):
-        nxt = (
-            jump.join(known.withColumnRenamed("node_id", "jump_id").withColumnRenamed("ancestor_id", "_a2"), "jump_id")
-            .select("node_id", F.col("_a2").alias("ancestor_id"), (F.col("depth") + F.lit(span)).alias("depth"))
-        )
-        # cycle guard: keep only pairs not seen before
-        fresh = nxt.join(known.select("node_id", "ancestor_id"), ["node_id", "ancestor_id"], "left_anti").checkpoint()
-        if fresh.isEmpty():
-            break
-        new_jump = fresh.where(F.col("depth") == 2 * span).select("node_id", F.col("ancestor_id").alias("jump_id"))
-        known = known.unionByName(fresh).checkpoint()
-        jump = new_jump.checkpoint()
+    first = (
+        nodes.select(F.col("id").alias("node_id"), F.col("parent_id").alias("ancestor_id"))
+        .where(F.col("ancestor_id").isNotNull())
+        .withColumn("depth", F.lit(1).cast("long"))
+        .checkpoint()
+    )
+    frames = [first]
+    jump = first.select("node_id", F.col("ancestor_id").alias("jump_id"))  # ancestor at exactly 2^r
+    span, rounds = 1, 0
+    limit = None
+    while not jump.isEmpty():
+        if limit is None and rounds >= 20:
+            limit = int(nodes.count()).bit_length() + 1  # counted only for very deep or cyclic graphs
+        known = _union_all(frames)
+        nxt = jump.join(
+            known.select(F.col("node_id").alias("jump_id"), F.col("ancestor_id").alias("_a2"), F.col("depth").alias("_d2")),
+            "jump_id",
+        ).select("node_id", F.col("_a2").alias("ancestor_id"), (F.col("_d2") + F.lit(span)).alias("depth"))
+        if limit is not None and rounds >= limit:  # a cycle: keep only pairs not seen before
+            nxt = nxt.join(known.select("node_id", "ancestor_id"), ["node_id", "ancestor_id"], "left_anti").dropDuplicates(
+                ["node_id", "ancestor_id"]
+            )
+        fresh = nxt.checkpoint()
+        frames.append(fresh)
+        jump = fresh.where(F.col("depth") == 2 * span).select("node_id", F.col("ancestor_id").alias("jump_id"))
         span *= 2
-        if jump.isEmpty():
+        rounds += 1
+        if limit is not None and rounds >= limit and fresh.isEmpty():
             break
     selves = nodes.select(F.col("id").alias("node_id"), F.col("id").alias("ancestor_id"), F.lit(0).cast("long").alias("depth"))
-    return selves.unionByName(known)
+    return selves.unionByName(_union_all(frames))
+
+
+class Lifting(NamedTuple):
+    jumps: list  # jumps[k]: node_id, up = ancestor 2^k levels up
+    depth: DataFrame  # node_id, depth (length of the parent chain)
+
 
+def lifting(nodes: DataFrame, max_levels: int = 62) -> Lifting:
+    """Binary-lifting tables: the 2^k-th ancestor of every node for each k,
+    and every node's depth. O(N log depth) rows instead of the O(N depth)
+    closure; answers "is a an ancestor of b" and "k-th ancestor" with log
+    joins. Raises on a parent cycle."""
+    from ..session import ensure_checkpoint_dir
 
-def descendants(closure: DataFrame, node_id: str) -> DataFrame:
-    """A node and everything beneath it (the closure read backwards)."""
-    return closure.where(F.col("ancestor_id") == node_id).select(F.col("node_id").alias("id"), "depth")
+    ensure_checkpoint_dir(nodes.sparkSession)
+    j = nodes.select(F.col("id").alias("node_id"), F.col("parent_id").alias("up")).where(F.col("up").isNotNull()).checkpoint()
+    jumps = [j]
+    while True:
+        nxt = j.join(j.select(F.col("node_id").alias("up"), F.col("up").alias("_up2")), "up").select(
+            "node_id", F.col("_up2").alias("up")
+        ).checkpoint()
+        if nxt.isEmpty():
+            break
+        jumps.append(nxt)
+        j = nxt
+        if len(jumps) > max_levels:
+            raise ValueError("parent links contain a cycle")
+    cur = nodes.select(F.col("id").alias("node_id"), F.col("id").alias("_cur"), F.lit(0).cast("long").alias("depth"))
+    for k in reversed(range(len(jumps))):
+        step = jumps[k].select(F.col("node_id").alias("_cur"), F.col("up").alias("_nx"))
+        cur = (
+            cur.join(step, "_cur", "left")
+            .select(
+                "node_id",
+                F.coalesce(F.col("_nx"), F.col("_cur")).alias("_cur"),
+                (F.col("depth") + F.when(F.col("_nx").isNotNull(), F.lit(1 << k)).otherwise(F.lit(0))).alias("depth"),
+            )
+            .checkpoint()
+        )
+    return Lifting(jumps, cur.select("node_id", "depth"))
+
+
+def ancestor_at(pairs: DataFrame, lift: Lifting, node_col: str, k_col: str, out: str) -> DataFrame:
+    """Add ``out`` = the ``k_col``-th ancestor of ``node_col`` (null when the
+    chain is shorter), one join per bit of k."""
+    cur = pairs.withColumn("_cur", F.col(node_col))
+    for level, table in enumerate(lift.jumps):
+        step = table.select(F.col("node_id").alias("_cur"), F.col("up").alias(f"_nx{level}"))
+        bit = F.shiftright(F.col(k_col), level).bitwiseAND(F.lit(1)) == 1
+        cur = cur.join(step, "_cur", "left").withColumn(
+            "_cur", F.when(bit, F.col(f"_nx{level}")).otherwise(F.col("_cur"))
+        ).drop(f"_nx{level}")
+    too_far = F.shiftright(F.col(k_col), len(lift.jumps)) > 0
+    return cur.withColumn(out, F.when(too_far, F.lit(None)).otherwise(F.col("_cur"))).drop("_cur")
+
+
+def descendants(nodes_or_closure: DataFrame, node_id: str, lift: Lifting | None = None) -> DataFrame:
+    """A node and everything beneath it, with the relative depth.
+
+    From a closure frame (node_id, ancestor_id, depth): a filter. From a
+    nodes frame: every node whose ancestor at (its depth - the node's depth)
+    is the node, via binary lifting - no closure is built."""
+    if "ancestor_id" in nodes_or_closure.columns:
+        return nodes_or_closure.where(F.col("ancestor_id") == node_id).select(F.col("node_id").alias("id"), "depth")
+    lift = lift or lifting(nodes_or_closure)
+    root = lift.depth.where(F.col("node_id") == node_id).select(F.col("depth").alias("_d0"))
+    cand = lift.depth.crossJoin(F.broadcast(root)).where(F.col("depth") >= F.col("_d0")).select(
+        "node_id", (F.col("depth") - F.col("_d0")).alias("rel")
+    )
+    hit = ancestor_at(cand, lift, "node_id", "rel", "_top").where(F.col("_top") == node_id)
+    return hit.select(F.col("node_id").alias("id"), F.col("rel").alias("depth"))
 
 
 # --------------------------------------------------------------------------- G6
@@ -287,19 +374,16 @@ def open_hypotheses(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return hypothesis_status(nodes, edges).where(F.col("status").isin("proposed", "unresolved"))
 
 
-def depths(closure: DataFrame) -> DataFrame:
-    return closure.groupBy("node_id").agg(F.max("depth").alias("node_depth"))
-
-
-def shared_evidence(nodes: DataFrame, edges: DataFrame, closure: DataFrame | None = None) -> DataFrame:
+def shared_evidence(nodes: DataFrame, edges: DataFrame, lift: Lifting | None = None) -> DataFrame:
     """Evidence nodes that actively support two or more conclusions which are
     not on one ancestor line (divergent branches).
 
     No pairs are built: a source's conclusions lie on one line exactly when
-    each of them is an ancestor-or-self of the deepest one, so each source
-    needs one ``max_by`` and one anti-join against the closure.
+    each is an ancestor-or-self of the deepest one, i.e. equals the deepest
+    one's ancestor (depth difference) levels up - one ``max_by`` per source
+    and a binary-lifting lookup per (source, conclusion).
     """
-    closure = closure if closure is not None else ancestors(nodes)
+    lift = lift or lifting(nodes)
     concl = nodes.where(F.col("kind") == CONCLUSION).select(F.col("id").alias("target_id"))
     sup = (
         _active(edges)
@@ -308,15 +392,18 @@ def shared_evidence(nodes: DataFrame, edges: DataFrame, closure: DataFrame | Non
         .select("investigation_id", "source_id", "target_id")
         .distinct()
     )
-    d = depths(closure).withColumnRenamed("node_id", "target_id")
+    d = lift.depth.select(F.col("node_id").alias("target_id"), F.col("depth").alias("node_depth"))
     with_d = sup.join(d, "target_id", "left").fillna(0, ["node_depth"])
     deepest = with_d.groupBy("source_id").agg(
-        F.max_by("target_id", F.struct("node_depth", "target_id")).alias("_deep"),
+        F.max_by(F.struct(F.col("target_id").alias("t"), F.col("node_depth").alias("dd")), F.struct("node_depth", "target_id")).alias("_deep"),
         F.count(F.lit(1)).alias("targets"),
     )
-    cand = with_d.join(deepest.where(F.col("targets") >= 2), "source_id")
-    line = closure.select(F.col("node_id").alias("_deep"), F.col("ancestor_id").alias("target_id"))
-    off_line = cand.join(line, ["_deep", "target_id"], "left_anti")
+    cand = with_d.join(deepest.where(F.col("targets") >= 2), "source_id").select(
+        "investigation_id", "source_id", "target_id", "targets", F.col("_deep.t").alias("deep_id"),
+        (F.col("_deep.dd") - F.col("node_depth")).alias("gap"),
+    )
+    looked = ancestor_at(cand, lift, "deep_id", "gap", "_anc")
+    off_line = looked.where(F.col("_anc").isNull() | (F.col("_anc") != F.col("target_id")))
     return (
         off_line.groupBy("investigation_id", "source_id")
         .agg(F.max("targets").alias("conclusions"))

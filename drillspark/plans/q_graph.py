@@ -93,7 +93,7 @@ def g4(spark, sf):
 @register("G5_descendants", f"WITH RECURSIVE {_BASE}, {_CLOSURE} SELECT node_id AS id, depth FROM closure WHERE ancestor_id = 'e1'")
 def g5(spark, sf):
     n, _ = _g(spark, sf)
-    return ev.descendants(ev.ancestors(n), "e1")
+    return ev.descendants(n, "e1")
 
 
 @register(
@@ -332,7 +332,7 @@ WHERE relationship IN ('contradicts', 'alternative_to', 'refines', 'supersedes')
 )
 def g16s(spark, sf):
     n, e = _g(spark, sf)
-    scope = ev.descendants(ev.ancestors(n), "e2")
+    scope = ev.descendants(n, "e2")
     return ev.semantic_edges(n, e, scope)
 
 
