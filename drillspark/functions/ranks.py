@@ -18,7 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
+from ..session import checkpointed, ensure_checkpoint_dir
 
 _PID, _MID = "_rk_pid", "_rk_mid"
 
@@ -29,7 +29,7 @@ def _sorted_frozen(df: DataFrame, order: Sequence[Column]) -> DataFrame:
         df.orderBy(*order)
         .withColumn(_PID, F.spark_partition_id())
         .withColumn(_MID, F.monotonically_increasing_id())
-        .checkpoint(eager=True)
+        .transform(checkpointed)
     )
 
 

@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ranks import partition_row_numbers, running_sums
+from ..session import checkpointed, ensure_checkpoint_dir
 
 # Node kinds, edge vocabularies, and the lint rule inputs.
 NODE_KINDS = (
@@ -168,14 +169,12 @@ def ancestors(nodes: DataFrame) -> DataFrame:
     contain a cycle, and the remaining rounds de-duplicate against the pairs
     already known until nothing new appears.
     """
-    from ..session import ensure_checkpoint_dir
-
     ensure_checkpoint_dir(nodes.sparkSession)
     first = (
         nodes.select(F.col("id").alias("node_id"), F.col("parent_id").alias("ancestor_id"))
         .where(F.col("ancestor_id").isNotNull())
         .withColumn("depth", F.lit(1).cast("long"))
-        .checkpoint()
+        .transform(checkpointed)
     )
     frames = [first]
     jump = first.select("node_id", F.col("ancestor_id").alias("jump_id"))  # ancestor at exactly 2^r
@@ -193,7 +192,7 @@ def ancestors(nodes: DataFrame) -> DataFrame:
             nxt = nxt.join(known.select("node_id", "ancestor_id"), ["node_id", "ancestor_id"], "left_anti").dropDuplicates(
                 ["node_id", "ancestor_id"]
             )
-        fresh = nxt.checkpoint()
+        fresh = nxt.transform(checkpointed)
         frames.append(fresh)
         jump = fresh.where(F.col("depth") == 2 * span).select("node_id", F.col("ancestor_id").alias("jump_id"))
         span *= 2
@@ -214,15 +213,13 @@ def lifting(nodes: DataFrame, max_levels: int = 62) -> Lifting:
     and every node's depth. O(N log depth) rows instead of the O(N depth)
     closure; answers "is a an ancestor of b" and "k-th ancestor" with log
     joins. Raises on a parent cycle."""
-    from ..session import ensure_checkpoint_dir
-
     ensure_checkpoint_dir(nodes.sparkSession)
-    j = nodes.select(F.col("id").alias("node_id"), F.col("parent_id").alias("up")).where(F.col("up").isNotNull()).checkpoint()
+    j = nodes.select(F.col("id").alias("node_id"), F.col("parent_id").alias("up")).where(F.col("up").isNotNull()).transform(checkpointed)
     jumps = [j]
     while True:
         nxt = j.join(j.select(F.col("node_id").alias("up"), F.col("up").alias("_up2")), "up").select(
             "node_id", F.col("_up2").alias("up")
-        ).checkpoint()
+        ).transform(checkpointed)
         if nxt.isEmpty():
             break
         jumps.append(nxt)
@@ -239,7 +236,7 @@ def lifting(nodes: DataFrame, max_levels: int = 62) -> Lifting:
                 F.coalesce(F.col("_nx"), F.col("_cur")).alias("_cur"),
                 (F.col("depth") + F.when(F.col("_nx").isNotNull(), F.lit(1 << k)).otherwise(F.lit(0))).alias("depth"),
             )
-            .checkpoint()
+            .transform(checkpointed)
         )
     return Lifting(jumps, cur.select("node_id", "depth"))
 
@@ -295,11 +292,16 @@ def branches(nodes: DataFrame) -> DataFrame:
     )
     qs = nodes.where(F.col("kind") == QUESTION).select("investigation_id", F.col("id").alias("question_id"), "seq", "parent_id")
     tree = qs.join(last_concl, "parent_id", "left")
-    # sibling rank among the children of one conclusion
-    kids = partition_row_numbers(
-        tree.where(F.col("parent_turn").isNotNull()), ["parent_turn"], [F.col("seq").asc(), F.col("question_id").asc()], "sib"
-    ).select("question_id", "sib")
-    tree = tree.join(kids, "question_id", "left").withColumn("opens", F.col("sib") > 1)
+    # a question opens a branch unless it is the first child (by seq) of its
+    # parent conclusion: one map-side-combined min_by per parent, no sibling sort
+    firsts = (
+        tree.where(F.col("parent_turn").isNotNull())
+        .groupBy("parent_turn")
+        .agg(F.min_by("question_id", F.struct("seq", "question_id")).alias("_first"))
+    )
+    tree = tree.join(firsts, "parent_turn", "left").withColumn(
+        "opens", F.col("parent_turn").isNotNull() & (F.col("question_id") != F.col("_first"))
+    )
     turn_nodes = tree.select(F.col("question_id").alias("id"), F.col("parent_turn").alias("parent_id"))
     closure = ancestors(turn_nodes)
     openers = tree.where(F.col("opens")).select(F.col("question_id").alias("ancestor_id"), F.col("seq").alias("_oseq"), F.col("investigation_id").alias("_oinv"))

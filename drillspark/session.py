@@ -91,3 +91,26 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/drillspark-scratch/{name}-{uuid.uuid4().hex}"
+
+
+def checkpointed(df):
+    """Cut the lineage of ``df`` by writing it as a Parquet table into the
+    shared checkpoint folder and reading it back.
+
+    One job computes the plan once; later jobs (and any task retried after
+    an executor is lost) read the written files instead of recomputing.
+    Columnar, compressed files are much cheaper to write and read than the
+    row-serialised files of an RDD checkpoint.
+    """
+    path = scratch_path(df.sparkSession, "table")
+    df.write.mode("error").parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def spread(df):
+    """Round-robin repartition to the session's parallelism when the input
+    has fewer partitions - for CPU-heavy per-row work (tokenising whole
+    texts) on inputs stored as a few large row groups. Inputs that are
+    already split widely are left as they are (no shuffle)."""
+    want = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(want) if df.rdd.getNumPartitions() < want else df
