@@ -75,7 +75,8 @@ def _fs_and_path(spark: SparkSession, path: str):
 
 def expand_sources(spark: SparkSession, paths: str | Iterable[str]) -> list[str]:
     """Folders -> their data files (non-recursive, by name, case-insensitive
-    suffix); files kept as given; duplicates (same qualified path) dropped,
+    suffix; a folder named ``*.parquet`` counts as one Parquet table); files
+    kept as given; duplicates (same qualified path) dropped,
     first occurrence kept. A folder without data files is an error."""
     if isinstance(paths, str):
         paths = [paths]
@@ -84,8 +85,13 @@ def expand_sources(spark: SparkSession, paths: str | Iterable[str]) -> list[str]
     for raw in paths:
         fs, hp = _fs_and_path(spark, raw)
         if fs.exists(hp) and fs.getFileStatus(hp).isDirectory():
+            # data files, and Parquet datasets written as folders (``x.parquet/``)
             files = sorted(
-                (st.getPath() for st in fs.listStatus(hp) if st.isFile()),
+                (
+                    st.getPath()
+                    for st in fs.listStatus(hp)
+                    if st.isFile() or st.getPath().getName().lower().endswith((".parquet", ".pq"))
+                ),
                 key=lambda p: p.getName(),
             )
             files = [p for p in files if p.getName().lower().endswith(DATA_SUFFIXES)]
