@@ -1,0 +1,4 @@
+"""No streaming operators: the reference has no streaming sources, windows or
+state (SURVEY §1, §2.4), so nothing here is built. Every operator is a batch
+DataFrame function and can be applied per micro-batch with ``foreachBatch``
+by a caller who streams data in."""
