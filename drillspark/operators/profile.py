@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from ..functions.columns import is_numeric_type, is_temporal_type, require_column, truncate
 from ..functions.numeric import dround
+from ..session import checkpointed
 from .change import decompose_contribution, volume_vs_rate
 
 SAMPLES = 5
@@ -87,6 +88,7 @@ def profile(df: DataFrame, approx: bool = False, samples: int = SAMPLES) -> Data
     # the distinct pairs feed the counts and every sample round: keep them once
     # (spilling to disk as needed) instead of re-reading the table each time
     pairs = pairs.persist(StorageLevel.MEMORY_AND_DISK)
+    cached = pairs
     if not approx:
         nd = pairs.groupBy("ordinal").agg(F.count(F.lit(1)).alias("distinct_count"))
     # the k smallest distinct texts per column: k chained min aggregations over
@@ -94,7 +96,8 @@ def profile(df: DataFrame, approx: bool = False, samples: int = SAMPLES) -> Data
     picked = None
     remaining = pairs
     for k in range(samples):
-        m = remaining.groupBy("ordinal").agg(F.min("value").alias(f"_s{k}"))
+        # one row per column: materialised so later rounds do not re-derive it
+        m = checkpointed(remaining.groupBy("ordinal").agg(F.min("value").alias(f"_s{k}")))
         picked = m if picked is None else picked.join(m, "ordinal", "left")
         remaining = remaining.join(F.broadcast(m), "ordinal").where(F.col("value") > F.col(f"_s{k}")).drop(f"_s{k}")
     sample_arr = F.filter(F.array(*[F.col(f"_s{k}") for k in range(samples)]), lambda x: x.isNotNull())
@@ -119,7 +122,7 @@ def profile(df: DataFrame, approx: bool = False, samples: int = SAMPLES) -> Data
     try:
         rows = out.collect()
     finally:
-        pairs.unpersist()
+        cached.unpersist()
     return df.sparkSession.createDataFrame(rows, out.schema).orderBy("ordinal")
 
 
