@@ -66,18 +66,19 @@ def turns(nodes: DataFrame) -> DataFrame:
     The k-th question in global (investigation, seq) order owns exactly the
     nodes whose running question count is k, so the assignment is an
     equi-join on that count - no per-investigation window, no range join.
+    Only the ordering keys go through the sort; the turn id is joined back
+    to the full node rows by id.
     """
-    counted = running_sums(
-        nodes.withColumn("_isq", (F.col("kind") == QUESTION).cast("long")), _order(), ["_isq"]
-    )
-    qs = counted.where(F.col("kind") == QUESTION).select(
-        F.col("cum__isq").alias("_qk"), F.col("id").alias("turn_id"), F.col("investigation_id").alias("_qinv")
+    keys = nodes.select("investigation_id", "seq", "id", (F.col("kind") == QUESTION).cast("long").alias("_isq"))
+    counted = running_sums(keys, _order(), ["_isq"])
+    qs = counted.where(F.col("_isq") == 1).select(
+        F.col("cum__isq").alias("_qk"), F.col("id").alias("_turn"), F.col("investigation_id").alias("_qinv")
     )
-    out = counted.join(qs, F.col("cum__isq") == F.col("_qk"), "left")
-    return out.select(
-        *[c for c in nodes.columns],
-        F.when(F.col("_qinv").eqNullSafe(F.col("investigation_id")), F.col("turn_id")).alias("turn_id"),
+    tagged = counted.join(qs, F.col("cum__isq") == F.col("_qk"), "left").select(
+        F.col("id").alias("_tid"),
+        F.when(F.col("_qinv").eqNullSafe(F.col("investigation_id")), F.col("_turn")).alias("turn_id"),
     )
+    return nodes.join(tagged, nodes["id"] == tagged["_tid"], "left").drop("_tid")
 
 
 # --------------------------------------------------------------------------- G2
@@ -88,8 +89,10 @@ def turn_pairs(nodes: DataFrame) -> DataFrame:
     no row. One running count of questions and conclusions in global order;
     the next conclusion is an equi-join on the conclusion count."""
     counted = running_sums(
-        nodes.withColumn("_isq", (F.col("kind") == QUESTION).cast("long")).withColumn(
-            "_isc", (F.col("kind") == CONCLUSION).cast("long")
+        nodes.select(
+            "investigation_id", "seq", "id", "kind",
+            (F.col("kind") == QUESTION).cast("long").alias("_isq"),
+            (F.col("kind") == CONCLUSION).cast("long").alias("_isc"),
         ),
         _order(),
         ["_isq", "_isc"],
@@ -142,9 +145,12 @@ def uncovered_turns(pairs: DataFrame, nodes: DataFrame, k: int = VERBATIM_TURNS)
 
 
 def recent_nodes(nodes: DataFrame, k: int) -> DataFrame:
-    """The last k nodes of each investigation by seq."""
-    ranked = partition_row_numbers(nodes, ["investigation_id"], [F.col("seq").desc(), F.col("id").desc()], "_recency")
-    return ranked.where(F.col("_recency") <= k).drop("_recency", "_recency_count", "_grn")
+    """The last k nodes of each investigation by seq (ranked on the keys
+    only, then joined back to the node rows)."""
+    keys = nodes.select("investigation_id", "seq", "id")
+    ranked = partition_row_numbers(keys, ["investigation_id"], [F.col("seq").desc(), F.col("id").desc()], "_recency")
+    top = ranked.where(F.col("_recency") <= k).select(F.col("id").alias("_rid"))
+    return nodes.join(top, nodes["id"] == top["_rid"], "left_semi")
 
 
 # --------------------------------------------------------------------------- G4/G5
