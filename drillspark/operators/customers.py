@@ -156,11 +156,11 @@ def rfm(df: DataFrame, entity: str, date_column: str, monetary: str, top_segment
         .crossJoin(F.broadcast(last_day))
         .select("entity", F.datediff("_last", "_mx").alias("recency_days"), "frequency", "monetary")
     )
-    n = per.agg(F.count(F.lit(1)).alias("_n"))
     ent = F.col("entity").asc_nulls_last()
     r = row_numbers(per, [F.col("recency_days").desc_nulls_last(), ent], "_rn_r")
     f = row_numbers(r, [F.col("frequency").asc_nulls_last(), ent], "_rn_f")
     m = row_numbers(f, [F.col("monetary").asc_nulls_last(), ent], "_rn_m")
+    n = m.agg(F.max("_rn_m").alias("_n"))  # row numbers run 1..n
     scored = m.crossJoin(F.broadcast(n)).select(
         "entity",
         "recency_days",

@@ -70,7 +70,7 @@ def turns(nodes: DataFrame) -> DataFrame:
     to the full node rows by id.
     """
     keys = nodes.select("investigation_id", "seq", "id", (F.col("kind") == QUESTION).cast("long").alias("_isq"))
-    counted = running_sums(keys, _order(), ["_isq"])
+    counted = checkpointed(running_sums(keys, _order(), ["_isq"]))  # read twice below
     qs = counted.where(F.col("_isq") == 1).select(
         F.col("cum__isq").alias("_qk"), F.col("id").alias("_turn"), F.col("investigation_id").alias("_qinv")
     )
@@ -88,14 +88,16 @@ def turn_pairs(nodes: DataFrame) -> DataFrame:
     answer: kept, with ``own_turn`` false). Unanswered last questions have
     no row. One running count of questions and conclusions in global order;
     the next conclusion is an equi-join on the conclusion count."""
-    counted = running_sums(
-        nodes.select(
-            "investigation_id", "seq", "id", "kind",
-            (F.col("kind") == QUESTION).cast("long").alias("_isq"),
-            (F.col("kind") == CONCLUSION).cast("long").alias("_isc"),
-        ),
-        _order(),
-        ["_isq", "_isc"],
+    counted = checkpointed(  # read twice below
+        running_sums(
+            nodes.select(
+                "investigation_id", "seq", "id", "kind",
+                (F.col("kind") == QUESTION).cast("long").alias("_isq"),
+                (F.col("kind") == CONCLUSION).cast("long").alias("_isc"),
+            ),
+            _order(),
+            ["_isq", "_isc"],
+        )
     )
     concl = counted.where(F.col("kind") == CONCLUSION).select(
         F.col("cum__isc").alias("_ck"),
@@ -305,8 +307,11 @@ def branches(nodes: DataFrame) -> DataFrame:
         .groupBy("parent_turn")
         .agg(F.min_by("question_id", F.struct("seq", "question_id")).alias("_first"))
     )
-    tree = tree.join(firsts, "parent_turn", "left").withColumn(
-        "opens", F.col("parent_turn").isNotNull() & (F.col("question_id") != F.col("_first"))
+    # the turn tree (one row per question) feeds four later steps: write it once
+    tree = checkpointed(
+        tree.join(firsts, "parent_turn", "left").withColumn(
+            "opens", F.col("parent_turn").isNotNull() & (F.col("question_id") != F.col("_first"))
+        )
     )
     turn_nodes = tree.select(F.col("question_id").alias("id"), F.col("parent_turn").alias("parent_id"))
     closure = ancestors(turn_nodes)
@@ -401,7 +406,7 @@ def shared_evidence(nodes: DataFrame, edges: DataFrame, lift: Lifting | None = N
         .distinct()
     )
     d = lift.depth.select(F.col("node_id").alias("target_id"), F.col("depth").alias("node_depth"))
-    with_d = sup.join(d, "target_id", "left").fillna(0, ["node_depth"])
+    with_d = checkpointed(sup.join(d, "target_id", "left").fillna(0, ["node_depth"]))
     deepest = with_d.groupBy("source_id").agg(
         F.max_by(F.struct(F.col("target_id").alias("t"), F.col("node_depth").alias("dd")), F.struct("node_depth", "target_id")).alias("_deep"),
         F.count(F.lit(1)).alias("targets"),
