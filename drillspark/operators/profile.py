@@ -140,7 +140,14 @@ class Roles(NamedTuple):
     dimension: str | None
 
 
-def column_roles(df: DataFrame, distinct_counts: dict[str, int] | None = None, row_count: int | None = None) -> Roles:
+def column_roles(
+    df: DataFrame,
+    distinct_counts: dict[str, int] | None = None,
+    row_count: int | None = None,
+    date: str | None = None,
+    measure: str | None = None,
+    dimension: str | None = None,
+) -> Roles:
     """Date, measure and dimension columns the default analysis uses.
 
     date: first temporal column, else first whose name contains "date".
@@ -149,15 +156,22 @@ def column_roles(df: DataFrame, distinct_counts: dict[str, int] | None = None, r
     dimension: first name with a dimension hint, else the first non-numeric,
     non-id column with at most max(1, rows/4) distinct values (needs the
     profile's counts; without them this fallback is skipped).
-    Schema-only unless the fallback is needed.
+    Schema-only unless the fallback is needed. Any role can be given
+    explicitly (keys such as ``o_orderkey`` are not caught by the id rule).
     """
     fields = df.schema.fields
-    date = next((f.name for f in fields if is_temporal_type(f.dataType)), None)
+    for given in (date, measure, dimension):
+        if given is not None:
+            require_column(df, given)
+    if date is None:
+        date = next((f.name for f in fields if is_temporal_type(f.dataType)), None)
     if date is None:
         date = next((f.name for f in fields if "date" in f.name.lower()), None)
     numeric = [f.name for f in fields if is_numeric_type(f.dataType) and not _is_id(f.name)]
-    measure = next((n for n in numeric if any(h in n.lower() for h in MEASURE_HINTS)), numeric[0] if numeric else None)
-    dimension = next((f.name for f in fields if any(h in f.name.lower() for h in DIMENSION_HINTS)), None)
+    if measure is None:
+        measure = next((n for n in numeric if any(h in n.lower() for h in MEASURE_HINTS)), numeric[0] if numeric else None)
+    if dimension is None:
+        dimension = next((f.name for f in fields if any(h in f.name.lower() for h in DIMENSION_HINTS)), None)
     if dimension is None and distinct_counts is not None and row_count is not None:
         for f in fields:
             if (
