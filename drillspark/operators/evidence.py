@@ -284,11 +284,12 @@ def descendants(nodes_or_closure: DataFrame, node_id: str, lift: Lifting | None
 def branches(nodes: DataFrame) -> DataFrame:
     """Branch labels of question turns and where each is visible.
 
-    A turn's parent turn is the one whose conclusion its question hangs off.
-    A turn's conclusion is its latest one. The main thread (0) follows first children; every further child of a
-    conclusion (by seq) opens a branch, numbered per investigation by the seq
-    of its opening question (1, 2, ...). A branch is also visible on all
-    turns of its ancestry. Output: investigation_id, question_id, branch,
+    A turn's parent turn is the one whose conclusion its question hangs off;
+    a turn's conclusion is its latest one. The main thread (0) follows first
+    children; every further child of a conclusion (by seq) opens a branch,
+    numbered per investigation 1, 2, ... in depth-first order of the turn
+    tree (roots and children by seq). A branch is also visible on all turns
+    of its ancestry. Output: investigation_id, question_id, branch,
     visible_in (one row per branch the turn is shown in).
     """
     t = turns(nodes)
@@ -322,10 +323,21 @@ def branches(nodes: DataFrame) -> DataFrame:
         .groupBy("node_id")
         .agg(F.min_by(F.struct("ancestor_id", "_oseq", "_oinv"), F.col("depth")).alias("o"))
     )
+    # branch ids in depth-first (preorder) order of the turn tree, children by
+    # seq: preorder is the lexicographic order of each turn's root-to-turn path
+    # of (seq, id), so openers are ranked by that path - no tree walk
+    seqs = tree.select(F.col("question_id").alias("ancestor_id"), F.col("seq").alias("_aseq"))
+    paths = (
+        closure.join(openers.select(F.col("ancestor_id").alias("node_id")), "node_id", "left_semi")
+        .join(seqs, "ancestor_id")
+        .groupBy("node_id")
+        .agg(F.sort_array(F.collect_list(F.struct((-F.col("depth")).alias("d"), F.col("_aseq").alias("s"), F.col("ancestor_id").alias("i")))).alias("_p"))
+        .select(F.col("node_id").alias("opener"), F.transform("_p", lambda x: F.struct(x["s"].alias("s"), x["i"].alias("i"))).alias("_path"))
+    )
     numbers = partition_row_numbers(
-        openers.select(F.col("_oinv").alias("investigation_id"), F.col("ancestor_id").alias("opener"), F.col("_oseq")),
+        openers.select(F.col("_oinv").alias("investigation_id"), F.col("ancestor_id").alias("opener")).join(paths, "opener"),
         ["investigation_id"],
-        [F.col("_oseq").asc(), F.col("opener").asc()],
+        [F.col("_path").asc(), F.col("opener").asc()],
         "branch_no",
     ).select("opener", "branch_no")
     labelled = (

@@ -112,7 +112,11 @@ ta(node_id, ancestor_id, depth) AS (
   SELECT a.node_id, t2.parent_turn, a.depth + 1 FROM ta a JOIN tree2 t2 ON t2.question_id = a.ancestor_id
   WHERE t2.parent_turn IS NOT NULL),
 openers AS (SELECT question_id AS opener, seq AS oseq, investigation_id FROM tree2 WHERE opens),
-num AS (SELECT opener, row_number() OVER (PARTITION BY investigation_id ORDER BY oseq, opener) AS branch_no FROM openers),
+paths AS (SELECT a.node_id AS opener, list(struct_pack(s := t.seq, i := t.question_id) ORDER BY a.depth DESC) AS p
+          FROM ta a JOIN tree2 t ON t.question_id = a.ancestor_id WHERE a.node_id IN (SELECT opener FROM openers)
+          GROUP BY a.node_id),
+num AS (SELECT o.opener, row_number() OVER (PARTITION BY o.investigation_id ORDER BY paths.p, o.opener) AS branch_no
+        FROM openers o JOIN paths USING (opener)),
 near AS (SELECT a.node_id, arg_min(a.ancestor_id, a.depth) AS opener FROM ta a JOIN openers o ON o.opener = a.ancestor_id
          GROUP BY a.node_id),
 lab AS (SELECT tree2.investigation_id, tree2.question_id, CAST(coalesce(num.branch_no, 0) AS BIGINT) AS branch

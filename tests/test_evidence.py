@@ -218,3 +218,21 @@ def test_dedup_keep_first_brute_force(spark):
     pairs = {(r["id_a"], r["id_b"]) for r in near_duplicate_pairs(df, "id", "text").collect()}
     brute = {(i, j) for i in range(len(texts)) for j in range(i + 1, len(texts)) if _similar(texts[i], texts[j])}
     assert pairs == brute
+
+
+def test_branch_ids_follow_depth_first_order(spark):
+    # c1 has children q2 (first) and q3 (opens a branch, seq 5); c2 under q2 has
+    # children q6 (first) and q7 (opens a branch, seq 8). The walk finishes q2's
+    # subtree before reaching q3, so q7 is branch 1 and q3 branch 2.
+    rows = [
+        ("q1", "inv", 1, None, "user_question", {}), ("c1", "inv", 2, "q1", "conclusion", {}),
+        ("q2", "inv", 3, "c1", "user_question", {}), ("c2", "inv", 4, "q2", "conclusion", {}),
+        ("q3", "inv", 5, "c1", "user_question", {}),
+        ("q6", "inv", 6, "c2", "user_question", {}), ("c6", "inv", 7, "q6", "conclusion", {}),
+        ("q7", "inv", 8, "c2", "user_question", {}),
+    ]
+    b = ev.branches(nodes(spark, rows)).collect()
+    label = {r["question_id"]: r["branch"] for r in b}
+    assert label == {"q1": 0, "q2": 0, "q3": 2, "q6": 0, "q7": 1}
+    vis = {(r["question_id"], r["visible_in"]) for r in b}
+    assert {("q1", 1), ("q1", 2), ("q2", 1), ("q7", 1), ("q3", 2)} <= vis and ("q2", 2) not in vis
