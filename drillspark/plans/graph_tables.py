@@ -41,8 +41,8 @@ HYPOTHESIS_TEXTS = (
     "seasonal effects explain the dip",
     "demand fell after the price increase",
     "one region accounts for the whole change",
-    "the data pipeline dropped late records",
-    "late records were dropped by the data pipeline",
+    "the nightly loader dropped late records",
+    "late records were dropped by the nightly loader",
 )
 TOOL_NAMES = (
     "describe", "outliers", "decompose_contribution", "volume_vs_rate", "fit_distribution", "t_test",

@@ -158,7 +158,7 @@ def test_metric_drift_plan_edges_chain_prefix(spark):
 
 POSITIVE = [
     ("Revenue fell because fewer orders were placed", "fewer orders caused revenue to fall"),
-    ("The data pipeline dropped late records", "late records were dropped by the data pipeline"),
+    ("The nightly loader dropped late records", "late records were dropped by the nightly loader"),
 ]
 NEGATIVE = [
     ("Revenue fell because fewer orders were placed", "prices rose in the western region"),
