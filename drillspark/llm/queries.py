@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import sharding
 from .common import table_of
 from .compression_bands import compression_bands
 
@@ -23,6 +25,64 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+# two regions of two racks of four shards; one more shard opens a region
+SHARD_TREE = sharding.tree(2, 2, 4)
+GROWN_TREE = sharding.grown(SHARD_TREE)
+
+
+def _shard_sql(node: sharding.Node) -> str:
+    """The descent as nested CASEs over the children's draws."""
+    if node.shard is not None:
+        return str(node.shard)
+    if len(node.children) == 1:
+        return _shard_sql(node.children[0])
+    draws = [
+        f"-ln((('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null') || ':{c.name}'), 1, 13))::BIGINT + 0.5)"
+        f" / 4503599627370496.0) / {c.weight}"
+        for c in node.children
+    ]
+    least = f"least({', '.join(draws)})"
+    whens = " ".join(f"WHEN {d} = {least} THEN {_shard_sql(c)}" for d, c in zip(draws[:-1], node.children))
+    return f"CASE {whens} ELSE {_shard_sql(node.children[-1])} END"
+
+
+# CRC-32 byte by byte: the 256-entry table follows from the polynomial
+_CRC_STEP = "CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END"
+_OP1_SQL = f"""
+WITH RECURSIVE steps(b, k, c) AS (
+  SELECT b, 0, b FROM range(256) t(b)
+  UNION ALL SELECT b, k + 1, {_CRC_STEP} FROM steps WHERE k < 8
+), crc_table AS (SELECT list(c ORDER BY b) AS tab FROM steps WHERE k = 8),
+sized AS (
+  SELECT doc_id, strlen(coalesce(text, '')) + 1 AS size,
+    xor(list_reduce(list_prepend(4294967295::BIGINT,
+      list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: ('0x' || h)::BIGINT)),
+      lambda crc, byte: xor(crc >> 8, tab[xor(crc & 255, byte) + 1])), 4294967295) AS text_crc32
+  FROM documents, crc_table
+), placed AS (
+  SELECT *, 'key' AS law, {_shard_sql(SHARD_TREE)} AS shard, {_shard_sql(GROWN_TREE)} AS grown_shard FROM sized
+), hashed AS (
+  SELECT *, md5(concat_ws('|', coalesce(CAST(doc_id AS VARCHAR), 'null'), size, text_crc32, shard, grown_shard)) AS h
+  FROM placed
+)
+SELECT doc_id, size, text_crc32, law, shard,
+  row_number() OVER (PARTITION BY shard ORDER BY h, doc_id, size, text_crc32) - 1 AS slot, grown_shard
+FROM hashed
+"""
+
+
+@query("op1_hash_tree_shards", _OP1_SQL)
+def op1_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    docs = table_of(spark, sf_dir, "documents").select(
+        "doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32")
+    )
+    sharded = sharding.with_shards(docs, "doc_id", SHARD_TREE)
+    sharded = sharding.with_shards(sharded, "doc_id", GROWN_TREE, "grown_shard")
+    placed = sharding.with_slots(sharded)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+
+
 @query("op4_compression_bands")
 def op4_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table_of(spark, sf_dir, "documents").select("doc_id", "text")
