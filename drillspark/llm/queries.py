@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import sharding
+from ..session import scratch_path
+from . import sharding, warc
 from .common import table_of
 from .compression_bands import compression_bands
 
@@ -83,6 +84,32 @@ def op1_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+_OP3_SQL = """
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN owner IS NULL THEN 'response' ELSE 'revisit' END AS record_type, owner AS refers_to
+FROM (
+  SELECT page_id, strlen(payload) AS payload_bytes, sha1(payload) AS payload_digest,
+    CASE WHEN strlen(payload) >= 1000
+      THEN nullif(max(page_id) OVER (PARTITION BY payload), page_id) END AS owner
+  FROM (SELECT page_id, coalesce(html, '') AS payload FROM pages)
+)
+"""
+
+
+@query("op3_warc_bundles", _OP3_SQL)
+def op3_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "warc")
+    warc.write_bundles(table_of(spark, sf_dir, "pages"), path)
+    records = warc.read_bundles(spark, path, with_payload=False)
+    return records.select(
+        F.expr("try_cast(record_id AS long)").alias("page_id"),
+        "payload_bytes",
+        "payload_digest",
+        "record_type",
+        F.col("refers_to").cast("long").alias("refers_to"),
+    )
+
+
 @query("op4_compression_bands")
 def op4_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table_of(spark, sf_dir, "documents").select("doc_id", "text")
