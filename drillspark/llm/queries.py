@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import sharding, warc
+from . import mil, mixing, sharding, warc
 from .common import table_of
 from .compression_bands import compression_bands
 
@@ -114,3 +114,11 @@ def op3_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table_of(spark, sf_dir, "documents").select("doc_id", "text")
     return compression_bands(docs, keep=["doc_id"])
+
+
+@query("op10_attention_quality")
+def op10_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table_of(spark, sf_dir, "documents").select("doc_id", "text")
+    model = mil.fit(docs, table_of(spark, sf_dir, "labels"))
+    scored = mil.score(docs, model, keep=["doc_id"])
+    return scored.select("doc_id", mixing.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
