@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, DoubleType, IntegerType, StructField
 
+from ..session import checkpointed
 from . import common, mixing
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -39,6 +40,7 @@ PAIR_BUCKETS = 128
 REPEAT_SPAN = 8
 HIDDEN, ATTENTION = 24, 12
 FIT_PER_LABEL = 4000
+ROWS_PER_BLOCK = 1000
 ROUNDS, EPOCHS, BATCH, RATE, DECAY = 5, 8, 32, 0.01, 1e-4
 ACCEPT = 0.7
 
@@ -191,7 +193,8 @@ class Model:
         f = _forward(_split(self.params), (x - self.mean) / self.scale, first)
         peak = np.maximum.reduceat(f["a"], first[:-1])
         at = np.where(f["a"] == peak[f["bag"]], np.arange(len(x)) - first[:-1][f["bag"]], len(x))
-        return _sigmoid(f["logit"] + self.shift), np.minimum.reduceat(at, first[:-1])
+        # matrix products differ in the last bits by a row's place in its batch
+        return np.round(_sigmoid(f["logit"] + self.shift), 9), np.minimum.reduceat(at, first[:-1])
 
 
 def _bags(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -228,7 +231,8 @@ def fit(
     shares = labels.where(f"{label_col} IN (0, 1)").where(~mixing.held_out(F.col(id_col))).groupBy(label_col).count()
     all_counts = {r[0]: r[1] for r in shares.collect()}  # two rows at most
     sample = mixing.label_sample(labels, id_col, label_col, [0, 1], fit_per_label)
-    sample = sample.select(F.col(id_col).alias("__id"), F.col(label_col).alias("label"))
+    sample = checkpointed(sample.select(F.col(id_col).alias("__id"), F.col(label_col).alias("label")))
+    blocks = -(-max(1, sample.count()) // ROWS_PER_BLOCK)
     texts = documents.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
     rows = texts.join(F.broadcast(sample), "__id")  # 2 x fit_per_label rows at most
     fields = [StructField("features", BinaryType()), StructField("passages", IntegerType())]
@@ -240,7 +244,7 @@ def fit(
         return [pa.array(made, pa.binary()), pa.array(np.diff(first).astype(np.int32))]
 
     encoded = common.add_columns(rows, "__text", fields, encode, keep=["__id", "label"])
-    table = mixing.pack_blocks(encoded, "__id")
+    table = mixing.pack_blocks(encoded, "__id", blocks)
 
     def moments(rows: pa.Table):
         x, _, y = _bags(rows)

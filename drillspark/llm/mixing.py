@@ -22,8 +22,6 @@ from ..session import checkpointed
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-BLOCKS = 8
-
 
 def held_out(id_col: Column) -> Column:
     """Rows that no model learns from: CRC-32 of the id's text leaves 2 when
@@ -45,7 +43,7 @@ def label_sample(labels: DataFrame, id_col: str, label_col: str, values: list, p
     return out
 
 
-def pack_blocks(rows: DataFrame, id_col: str, blocks: int = BLOCKS) -> DataFrame:
+def pack_blocks(rows: DataFrame, id_col: str, blocks: int) -> DataFrame:
     """``rows`` as a written table of one row a block: an Arrow stream of the
     block's rows in a fixed order. For bounded training samples only."""
 
