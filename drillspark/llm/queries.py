@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import mil, mixing, sharding, warc
+from . import langid, mil, mixing, sharding, warc
 from .common import table_of
 from .compression_bands import compression_bands
 
@@ -116,6 +116,14 @@ def op4_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compression_bands(docs, keep=["doc_id"])
 
 
+@query("op9_rank_order_language")
+def op9_rank_order_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table_of(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    profiles = langid.learn(docs.where(~mixing.held_out(F.col("doc_id"))))
+    named = langid.identify(docs, profiles, keep=["doc_id"])
+    return named.select("doc_id", mixing.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 @query("op10_attention_quality")
 def op10_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table_of(spark, sf_dir, "documents").select("doc_id", "text")
