@@ -11,6 +11,7 @@ from ..session import scratch_path
 from . import langid, mil, mixing, sharding, warc
 from .common import table_of
 from .compression_bands import compression_bands
+from .ngram_join import ngram_join
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -116,6 +117,12 @@ def op4_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compression_bands(docs, keep=["doc_id"])
 
 
+@query("op7_ngram_jaccard_join")
+def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table_of(spark, sf_dir, "documents").select("doc_id", "text")
+    return ngram_join(docs).select("doc_id", "class_id", "rep_id", "n_links")
+
+
 @query("op9_rank_order_language")
 def op9_rank_order_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table_of(spark, sf_dir, "documents").select("doc_id", "text", "lang")
