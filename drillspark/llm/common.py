@@ -83,9 +83,8 @@ def add_columns(
         for batch in batches:
             for piece in pieces(batch, text_col):
                 made = work(piece)
-                arrays = [piece.column(n) for n in names] + [
-                    a if isinstance(a, pa.Array) else pa.array(a) for a in made
-                ]
+                arrays = [piece.column(n) for n in names]
+                arrays += [a if isinstance(a, pa.Array) else pa.array(a, f.type) for a, f in zip(made, list(arrow)[len(names) :])]
                 yield pa.RecordBatch.from_arrays(
                     [a if a.type == f.type else a.cast(f.type) for a, f in zip(arrays, arrow)], schema=arrow
                 )

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import langid, mil, mixing, sharding, warc
+from . import decontamination, langid, mil, mixing, sharding, warc
 from .common import table_of
 from .compression_bands import compression_bands
 from .ngram_join import ngram_join
@@ -123,6 +123,14 @@ def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(docs).select("doc_id", "class_id", "rep_id", "n_links")
 
 
+@query("op8_bm25_wand_decontamination")
+def op8_bm25_wand_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table_of(spark, sf_dir, "documents").select("doc_id", "text")
+    index = decontamination.build_index(table_of(spark, sf_dir, "benchmark"))
+    found = decontamination.find_matches(docs, index, keep=["doc_id"])
+    return found.select("doc_id", F.explode("matches").alias("m")).select("doc_id", "m.*")
+
+
 @query("op9_rank_order_language")
 def op9_rank_order_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table_of(spark, sf_dir, "documents").select("doc_id", "text", "lang")
