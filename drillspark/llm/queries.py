@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import decontamination, langid, mil, mixing, sharding, warc
+from . import decontamination, langid, mil, mixing, sharding, spm, warc
 from .common import table_of
 from .compression_bands import compression_bands
 from .ngram_join import ngram_join
@@ -117,6 +118,29 @@ def op4_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compression_bands(docs, keep=["doc_id"])
 
 
+def piece_model(name: str = "piece_bpe_32k.model") -> bytes:
+    """A public tokenizer's model file, which goes with the job."""
+    import public_tokenizers
+
+    return Path(public_tokenizers.path(name)).read_bytes()
+
+
+def token_digests(encoded: DataFrame) -> DataFrame:
+    """The digests of ``ids`` and ``decoded``."""
+    return encoded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
+@query("op6_distinct_chunk_pieces")
+def op6_distinct_chunk_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table_of(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_digests(spm.encode(docs, piece_model(), keep=["doc_id"], decode=True))
+
+
 @query("op7_ngram_jaccard_join")
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table_of(spark, sf_dir, "documents").select("doc_id", "text")
