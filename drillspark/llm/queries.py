@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import decontamination, langid, mil, mixing, sharding, spm, warc
+from . import decontamination, langid, mil, mixing, sharding, spm, toxicity, warc
 from .common import table_of
 from .compression_bands import compression_bands
 from .ngram_join import ngram_join
@@ -86,6 +86,14 @@ def op1_hash_tree_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
 
 
+@query("op2_ordinal_toxicity")
+def op2_ordinal_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table_of(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table_of(spark, sf_dir, "labels"))
+    scored = toxicity.score(docs, model, keep=["doc_id"])
+    return scored.withColumn("held_out", mixing.held_out(F.col("doc_id")))
+
+
 _OP3_SQL = """
 SELECT page_id, payload_bytes, payload_digest,
   CASE WHEN owner IS NULL THEN 'response' ELSE 'revisit' END AS record_type, owner AS refers_to
