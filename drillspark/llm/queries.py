@@ -13,6 +13,7 @@ from . import decontamination, langid, mil, mixing, sharding, spm, toxicity, war
 from .common import table_of
 from .compression_bands import compression_bands
 from .ngram_join import ngram_join
+from .role_repair import repair_roles
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -126,6 +127,14 @@ def op4_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compression_bands(docs, keep=["doc_id"])
 
 
+@query("op5_role_repair")
+def op5_role_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table_of(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return repair_roles(turns).select(
+        "conv_id", "turn", "role", "out_turn", "out_role", "action", "inserted", "appended", "cost", "rendered"
+    )
+
+
 def piece_model(name: str = "piece_bpe_32k.model") -> bytes:
     """A public tokenizer's model file, which goes with the job."""
     import public_tokenizers
