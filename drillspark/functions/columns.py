@@ -26,7 +26,7 @@ def field(df: DataFrame, name: str) -> T.StructField:
         if f.name == name:
             return f
     available = ", ".join(df.columns)
-    raise OperatorError(f"column '{name}' not found. Available: {available}")
+    raise OperatorError(f"column '{name}' is not in the table, whose columns are {available}")
 
 
 def is_numeric_type(dt: T.DataType) -> bool:
@@ -45,7 +45,7 @@ def require_column(df: DataFrame, name: str) -> T.StructField:
 def require_numeric(df: DataFrame, name: str) -> T.StructField:
     f = field(df, name)
     if not is_numeric_type(f.dataType):
-        raise OperatorError(f"column '{name}' is {f.dataType.simpleString()}, expected a numeric type")
+        raise OperatorError(f"column '{name}' is {f.dataType.simpleString()} and not numeric")
     return f
 
 
@@ -53,7 +53,7 @@ def require_temporal(df: DataFrame, name: str) -> T.StructField:
     f = field(df, name)
     if not is_temporal_type(f.dataType):
         raise OperatorError(
-            f"date_column '{name}' is {f.dataType.simpleString()}, expected a date/timestamp"
+            f"date_column '{name}' is {f.dataType.simpleString()} and no date or timestamp"
         )
     return f
 
@@ -66,10 +66,10 @@ def require_grain(granularity: str) -> str:
 
 def require_period(label: str, period: str) -> str:
     if not isinstance(period, str) or not _PERIOD_RE.match(period):
-        raise OperatorError(f"{label} must be 'YYYY-MM', got {period!r}")
+        raise OperatorError(f"{label} is no month such as '2024-05': {period!r}")
     month = int(period[5:7])
     if not 1 <= month <= 12:
-        raise OperatorError(f"{label} must be 'YYYY-MM', got {period!r}")
+        raise OperatorError(f"{label} is no month such as '2024-05': {period!r}")
     return period
 
 

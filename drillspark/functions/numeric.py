@@ -19,15 +19,8 @@ def dround(col: str | Column, digits: int) -> Column:
     keeps tool outputs equal to SQL recomputations. Null stays null.
     """
     m = float(10**digits)
-    x = _c(col).cast("double") * F.lit(m)
-    return (F.signum(x) * F.floor(F.abs(x) + F.lit(0.5)).cast("double")) / F.lit(m)
-
-
-def money_sum(col: str | Column) -> Column:
-    """Exact sum of a 2-decimal measure: DECIMAL accumulation, double result."""
-    return F.sum(_c(col).cast("decimal(38,2)"))
-
-
-def safe_div(num: Column, den: Column) -> Column:
-    """num / den, null when den is 0 or null (no ANSI division error)."""
-    return F.when(den.isNull() | (den == 0), F.lit(None)).otherwise(num / den)
+    x = _c(col).cast("double")
+    scaled = x * F.lit(m)
+    rounded = (F.signum(scaled) * F.floor(F.abs(scaled) + F.lit(0.5)).cast("double")) / F.lit(m)
+    # from 2^52 on a double has no fraction left to round (and floor() gives a bigint)
+    return F.when(F.abs(scaled) < F.lit(float(2**52)), rounded).otherwise(x)

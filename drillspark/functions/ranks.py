@@ -13,24 +13,52 @@ medians and quantiles, Mann-Whitney U) and global row numbers (NTILE).
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import sys
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import checkpointed, ensure_checkpoint_dir
+from ..session import checkpointed
+
+# executors get this module's functions with the job and need not import it
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 _PID, _MID = "_rk_pid", "_rk_mid"
+BROADCAST_ROWS = 200_000  # of a few numbers each: what may be broadcast
 
 
-def _sorted_frozen(df: DataFrame, order: Sequence[Column]) -> DataFrame:
-    ensure_checkpoint_dir(df.sparkSession)
-    return (
-        df.orderBy(*order)
-        .withColumn(_PID, F.spark_partition_id())
-        .withColumn(_MID, F.monotonically_increasing_id())
-        .transform(checkpointed)
+def _sorted_frozen(df: DataFrame, order: Sequence[Column], sums: Sequence[str] = ()) -> DataFrame:
+    """``df`` sorted by one range shuffle and written, with each row's partition
+    and place, and the running totals ``_l_*`` of ``sums`` within its partition,
+    taken as the sorted rows pass by."""
+    placed = (
+        df.orderBy(*order).withColumn(_PID, F.spark_partition_id()).withColumn(_MID, F.monotonically_increasing_id())
     )
+    if sums:
+        kinds = {c: "double" if df.schema[c].dataType.typeName() in ("float", "double") else "long" for c in sums}
+        # fields by name: a select of literals gives the types the new columns have
+        schema = placed.select("*", *[F.lit(0).cast(kinds[c]).alias(f"_l_{c}") for c in sums]).schema
+        placed = placed.mapInArrow(lambda batches: _local_totals(batches, kinds), schema)
+    return checkpointed(placed)
+
+
+def _local_totals(batches: Iterator[pa.RecordBatch], kinds: dict[str, str]) -> Iterator[pa.RecordBatch]:
+    """The batches of one sorted partition with running totals appended."""
+    reached = {c: 0 for c in kinds}
+    for batch in batches:
+        cols, names = list(batch.columns), list(batch.schema.names)
+        for c, kind in kinds.items():
+            values = pc.fill_null(batch.column(c).cast(pa.float64() if kind == "double" else pa.int64()), 0)
+            total = pc.cumulative_sum(values, start=reached[c])
+            if len(total):
+                reached[c] = total[-1].as_py()
+            cols.append(total)
+            names.append(f"_l_{c}")
+        yield pa.RecordBatch.from_arrays(cols, names)
 
 
 def _offsets(frozen: DataFrame, sums: dict[str, Column]) -> DataFrame:
@@ -67,13 +95,12 @@ def running_sums(
     list of names/sort expressions; must be a total order)."""
     order_list = [order] if isinstance(order, str) else list(order)
     sort = [F.col(o).asc() if isinstance(o, str) else o for o in order_list]
-    frozen = _sorted_frozen(df, sort)
+    frozen = _sorted_frozen(df, sort, cols)
     offs = _offsets(frozen, {c: F.sum(c) for c in cols})
-    w = Window.partitionBy(_PID).orderBy(*sort).rowsBetween(Window.unboundedPreceding, 0)
     out = frozen.join(F.broadcast(offs), _PID)
     for c in cols:
-        out = out.withColumn(f"{prefix}{c}", F.sum(c).over(w) + F.col(f"_o_{c}"))
-    return out.drop(_PID, _MID, *[f"_o_{c}" for c in cols])
+        out = out.withColumn(f"{prefix}{c}", F.col(f"_l_{c}") + F.col(f"_o_{c}"))
+    return out.drop(_PID, _MID, *[f"_{k}_{c}" for c in cols for k in "lo"])
 
 
 def value_counts(df: DataFrame, value: str, weights: dict[str, Column] | None = None) -> DataFrame:
@@ -138,14 +165,7 @@ def exact_quantiles(
     if by:
         agg = present.groupBy(*by, "v").agg(F.count(F.lit(1)).alias("cnt"))
         order = [F.col(b).asc_nulls_first() for b in by] + [F.col("v").asc()]
-        frozen = _sorted_frozen(agg, order)
-        offs = _offsets(frozen, {"cnt": F.sum("cnt")})
-        w = Window.partitionBy(_PID).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-        cum = (
-            frozen.join(F.broadcast(offs), _PID)
-            .withColumn("cum_cnt", F.sum("cnt").over(w) + F.col("_o_cnt"))
-            .drop(_PID, _MID, "_o_cnt")
-        )
+        cum = running_sums(agg, order, ["cnt"])
         starts = _keyed(
             cum.groupBy(*by).agg(F.min(F.col("cum_cnt") - F.col("cnt")).alias("_g0"), F.sum("cnt").alias("_gn")),
             by,
@@ -174,7 +194,12 @@ def exact_quantiles(
     )
     rng = (F.col("cum_prev") <= F.col("pos")) & (F.col("pos") < F.col("cum_cnt"))
     if by:
-        hit = targets.join(cum, _keys_match(by, None, "_c") & rng, "left")
+        # few positions against many values: the values stay where they are, the
+        # positions are sent to them (by a shuffle only if there are too many)
+        targets = checkpointed(targets)
+        sent = targets.where(F.col("n") > 0)
+        found = cum.join(F.broadcast(sent) if sent.count() <= BROADCAST_ROWS else sent, _keys_match(by, None, "_c") & rng)
+        hit = found.unionByName(targets.where(F.col("n") == 0), allowMissingColumns=True)
     else:
         hit = F.broadcast(targets).join(cum, rng, "left")
     per_q = hit.groupBy(*by, "qi", "n", "h", "lo", "hi").agg(

@@ -71,7 +71,7 @@ def cohort_retention(df: DataFrame, entity: str, date_column: str, granularity:
         ),
         F.count(F.lit(1)).alias("_rows"),
     ).select(
-        F.when(F.col("_rows") == 0, F.raise_error(F.lit("no activity rows found")))
+        F.when(F.col("_rows") == 0, F.raise_error(F.lit("there are no rows with a date to build cohorts from")))
         .otherwise(F.col("cohorts"))
         .alias("cohorts"),
         "avg_next_period_retention_pct",
@@ -88,7 +88,7 @@ def funnel(df: DataFrame, entity: str, stage_column: str, steps: Sequence[str])
     require_column(df, stage_column)
     steps = [str(s) for s in steps]
     if len(steps) < 2:
-        raise OperatorError("provide at least 2 ordered steps")
+        raise OperatorError("a funnel takes two steps or more, in order")
     spark = df.sparkSession
     stage = F.col(stage_column).cast("string")
     counts = (
@@ -125,16 +125,17 @@ def funnel(df: DataFrame, entity: str, stage_column: str, steps: Sequence[str])
 
 class Rfm(NamedTuple):
     scored: DataFrame  # entity, recency_days, frequency, monetary, r/f/m scores
-    segments: DataFrame  # rfm_score, entities (top 40)
+    segments: DataFrame  # rfm_score, entities
     metrics: DataFrame  # entities, champions, champions_pct
 
 
-def rfm(df: DataFrame, entity: str, date_column: str, monetary: str, top_segments: int = 40) -> Rfm:
+def rfm(df: DataFrame, entity: str, date_column: str, monetary: str, top_segments: int | None = None) -> Rfm:
     """Recency (days from an entity's last date to the table's last date),
     frequency (rows) and monetary (ROUND(SUM, 2)) per entity, each scored by
     NTILE(5): recency descending (5 = most recent), frequency and monetary
     ascending with nulls last. Ties are broken by the entity (nulls last) so
-    scores are deterministic. A null entity is a group of its own.
+    scores are deterministic. A null entity is a group of its own. All segments
+    (125 at most) are returned unless ``top_segments`` asks for the largest.
 
     Scoring needs global ranks over all entities: each NTILE is computed from
     a global row number made by a range-partitioned sort (no one-partition
@@ -178,14 +179,15 @@ def rfm(df: DataFrame, entity: str, date_column: str, monetary: str, top_segment
         )
         .agg(F.count(F.lit(1)).alias("entities"))
         .orderBy(F.col("entities").desc(), F.col("rfm_score").asc())
-        .limit(top_segments)
     )
+    if top_segments is not None:
+        segments = segments.limit(top_segments)
     champ = (F.col("r_score") >= 4) & (F.col("f_score") >= 4) & (F.col("m_score") >= 4)
     metrics = scored.agg(
         F.count(F.lit(1)).alias("entities"),
         F.count(F.when(champ, F.lit(1))).alias("champions"),
     ).select(
-        F.when(F.col("entities") == 0, F.raise_error(F.lit("no entities with activity found")))
+        F.when(F.col("entities") == 0, F.raise_error(F.lit("there are no rows with a date to score")))
         .otherwise(F.col("entities"))
         .alias("entities"),
         "champions",

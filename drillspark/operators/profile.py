@@ -11,14 +11,12 @@ from __future__ import annotations
 import re
 from typing import NamedTuple
 
-from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.columns import is_numeric_type, is_temporal_type, require_column, truncate
 from ..functions.numeric import dround
-from ..session import checkpointed
 from .change import decompose_contribution, volume_vs_rate
 
 SAMPLES = 5
@@ -39,73 +37,68 @@ def _orderable(dt: T.DataType) -> bool:
     return True
 
 
-def profile(df: DataFrame, approx: bool = False, samples: int = SAMPLES) -> DataFrame:
+def _as_text(f: T.StructField) -> Column:
+    """A column's values as text; -0.0 is the same value as 0.0."""
+    c = F.col(f"`{f.name}`")
+    if isinstance(f.dataType, (T.FloatType, T.DoubleType)):
+        c = F.when(c == 0, F.lit(0.0).cast(f.dataType)).otherwise(c)
+    return c.cast("string")
+
+
+def _unpivoted(df: DataFrame) -> DataFrame:
+    """(ordinal, value) of every non-null cell, values as text."""
+    cells = [F.struct(F.lit(i).alias("ordinal"), _as_text(f).alias("value")) for i, f in enumerate(df.schema.fields)]
+    return df.select(F.explode(F.array(*cells)).alias("p")).select("p.ordinal", "p.value").where(F.col("value").isNotNull())
+
+
+def profile(df: DataFrame, approx: bool = False, samples: int = SAMPLES, sample_rows: int = 1000) -> DataFrame:
     """One row per column: ordinal, column, dtype, row_count, null_fraction
-    (4 dp; 0 for an empty table), distinct_count (exact, or HyperLogLog with
-    ``approx``), min and max as text (null for unorderable types) and up to
-    ``samples`` distinct non-null values as text - the smallest ones by text,
-    so the sample is deterministic. Runs when called; the result is small
-    (one row per column)."""
+    (4 dp; 0 for an empty table), distinct_count, min and max as text (null
+    for unorderable types) and up to ``samples`` distinct non-null values as
+    text.
+
+    Exact: one wide aggregation, and one shuffle of the distinct (column,
+    value) pairs that serves both the distinct counts and the samples, which
+    are the smallest values by text (each task keeps its ``samples`` smallest).
+    ``approx``: the wide aggregation alone, with HyperLogLog counts; samples
+    come from ``sample_rows`` rows of the table."""
     fields = df.schema.fields
     if not fields:
         raise ValueError("table has no columns")
-    aggs: list[Column] = [F.count(F.lit(1)).alias("_rows")]
+    cells, aggs = [], [F.count(F.lit(1)).alias("_rows")]
     for i, f in enumerate(fields):
         c = F.col(f"`{f.name}`")
-        aggs.append(F.count(c).alias(f"_nn{i}"))
-        if _orderable(f.dataType):
-            aggs.append(F.min(c).cast("string").alias(f"_min{i}"))
-            aggs.append(F.max(c).cast("string").alias(f"_max{i}"))
-        else:
-            aggs += [F.lit(None).cast("string").alias(f"_min{i}"), F.lit(None).cast("string").alias(f"_max{i}")]
+        ends = [F.min(c), F.max(c)] if _orderable(f.dataType) else [F.lit(None), F.lit(None)]
+        aggs += [F.count(c).alias(f"_nn{i}"), *[e.cast("string").alias(f"_{n}{i}") for e, n in zip(ends, ("min", "max"))]]
         if approx:
             aggs.append(F.approx_count_distinct(c).alias(f"_nd{i}"))
-    wide = df.agg(*aggs)
-    entries = ", ".join(
-        f"{i}, '{f.name}', '{f.dataType.simpleString()}', `_nn{i}`, `_min{i}`, `_max{i}`" for i, f in enumerate(fields)
-    )
-    stats = wide.select(
-        "_rows", F.expr(f"stack({len(fields)}, {entries}) AS (ordinal, column, dtype, non_null, min, max)")
-    )
-    if approx:
-        nd = wide.select(
-            F.expr(
-                f"stack({len(fields)}, " + ", ".join(f"{i}, `_nd{i}`" for i in range(len(fields))) + ") AS (ordinal, distinct_count)"
+        cells.append(
+            F.struct(
+                F.lit(i).alias("ordinal"),
+                F.lit(f.name).alias("column"),
+                F.lit(f.dataType.simpleString()).alias("dtype"),
+                F.col(f"_nn{i}").alias("non_null"),
+                F.col(f"_min{i}").alias("min"),
+                F.col(f"_max{i}").alias("max"),
+                (F.col(f"_nd{i}") if approx else F.lit(None).cast("long")).alias("approx_count"),
             )
         )
-    # unpivot to (ordinal, value-as-text); distinct pairs are the basis for exact
-    # distinct counts and for the samples
-    pairs = df.select(
-        F.explode(
-            F.array(
-                *[
-                    F.struct(F.lit(i).alias("ordinal"), F.col(f"`{f.name}`").cast("string").alias("value"))
-                    for i, f in enumerate(fields)
-                ]
-            )
-        ).alias("p")
-    ).select("p.ordinal", "p.value").where(F.col("value").isNotNull()).distinct()
-    # the distinct pairs feed the counts and every sample round: keep them once
-    # (spilling to disk as needed) instead of re-reading the table each time
-    pairs = pairs.persist(StorageLevel.MEMORY_AND_DISK)
-    cached = pairs
-    if not approx:
-        nd = pairs.groupBy("ordinal").agg(F.count(F.lit(1)).alias("distinct_count"))
-    # the k smallest distinct texts per column: k chained min aggregations over
-    # the distinct pairs (each map-side combined), never a per-column sort
-    picked = None
-    remaining = pairs
-    for k in range(samples):
-        # one row per column: materialised so later rounds do not re-derive it
-        m = checkpointed(remaining.groupBy("ordinal").agg(F.min("value").alias(f"_s{k}")))
-        picked = m if picked is None else picked.join(m, "ordinal", "left")
-        remaining = remaining.join(F.broadcast(m), "ordinal").where(F.col("value") > F.col(f"_s{k}")).drop(f"_s{k}")
-    sample_arr = F.filter(F.array(*[F.col(f"_s{k}") for k in range(samples)]), lambda x: x.isNotNull())
-    samp = picked.select("ordinal", sample_arr.alias("sample_values")) if picked is not None else None
-    out = stats.join(nd, "ordinal", "left")
-    if samp is not None:
-        out = out.join(samp, "ordinal", "left")
-    out = out.select(
+    stats = df.agg(*aggs).select("_rows", F.explode(F.array(*cells)).alias("c")).select("_rows", "c.*")
+    pairs = (_unpivoted(df.limit(sample_rows)) if approx else _unpivoted(df)).distinct()
+    smallest = Window.partitionBy("ordinal").orderBy("value")
+    picked = (
+        pairs.withColumn("_k", F.row_number().over(smallest))
+        .where(F.col("_k") <= samples)
+        .groupBy("ordinal")
+        .agg(F.sort_array(F.collect_list("value")).alias("sample_values"))
+    )
+    out = stats.join(picked, "ordinal", "left")
+    if approx:
+        out = out.withColumnRenamed("approx_count", "distinct_count")
+    else:
+        counts = pairs.groupBy("ordinal").agg(F.count(F.lit(1)).alias("distinct_count"))
+        out = out.join(counts, "ordinal", "left")
+    return out.select(
         "ordinal",
         "column",
         "dtype",
@@ -117,13 +110,7 @@ def profile(df: DataFrame, approx: bool = False, samples: int = SAMPLES) -> Data
         "min",
         "max",
         F.coalesce(F.col("sample_values"), F.array().cast("array<string>")).alias("sample_values"),
-    )
-    # the result has one row per column: materialise it and release the pairs
-    try:
-        rows = out.collect()
-    finally:
-        cached.unpersist()
-    return df.sparkSession.createDataFrame(rows, out.schema).orderBy("ordinal")
+    ).orderBy("ordinal")
 
 
 _ID = re.compile(r"(^|_)id($|_)")
@@ -192,10 +179,10 @@ def roles_from_profile(prof: DataFrame, df: DataFrame) -> Roles:
     return column_roles(df, counts, n)
 
 
-def auto_summary(df: DataFrame, roles: Roles | None = None, preview_rows: int = 50) -> DataFrame:
+def auto_summary(df: DataFrame, roles: Roles | None = None, preview_rows: int | None = None) -> DataFrame:
     """The default headline query: date and measure -> the measure's monthly
     ROUND(SUM, 2); measure only -> its sum per dimension, largest first;
-    otherwise the first rows."""
+    otherwise the rows themselves (``preview_rows`` of them, if given)."""
     roles = roles or column_roles(df)
     if roles.date and roles.measure:
         dt = df.schema[roles.date].dataType
@@ -214,7 +201,7 @@ def auto_summary(df: DataFrame, roles: Roles | None = None, preview_rows: int =
             .agg(dround(F.sum(F.col(roles.measure).cast("double")), 2).alias(f"total_{slug}"))
             .orderBy(F.col(f"total_{slug}").desc_nulls_last())
         )
-    return df.limit(preview_rows)
+    return df if preview_rows is None else df.limit(preview_rows)
 
 
 def series_extremes(df: DataFrame, label: str, value: str) -> DataFrame:
@@ -249,12 +236,14 @@ class Drilldown(NamedTuple):
     volume_rate: DataFrame | None
 
 
-def auto_drilldown(df: DataFrame, period_a: str, period_b: str, roles: Roles | None = None) -> Drilldown:
+def auto_drilldown(
+    df: DataFrame, period_a: str, period_b: str, roles: Roles | None = None, max_dimensions: int | None = None
+) -> Drilldown:
     """The default follow-ups, run: decompose the change by every column
-    whose name carries a dimension hint (at most 3), and - when fewer than 3
-    were found - split it into volume and rate."""
+    whose name carries a dimension hint (the first ``max_dimensions``, if
+    given), and split it into volume and rate."""
     roles = roles or column_roles(df)
-    dims = [f.name for f in df.schema.fields if any(h in f.name.lower() for h in DIMENSION_HINTS)][:3]
+    dims = [f.name for f in df.schema.fields if any(h in f.name.lower() for h in DIMENSION_HINTS)][:max_dimensions]
     decs = None
     if roles.date and roles.measure:
         for d in dims:
@@ -262,7 +251,7 @@ def auto_drilldown(df: DataFrame, period_a: str, period_b: str, roles: Roles | N
             t = t.select(F.lit(d).alias("dimension"), *t.columns)
             decs = t if decs is None else decs.unionByName(t)
     vr = None
-    if roles.date and roles.measure and len(dims) < 3:
+    if roles.date and roles.measure:
         vr = volume_vs_rate(df, roles.measure, roles.date, period_a, period_b)
     return Drilldown(decs, vr)
 

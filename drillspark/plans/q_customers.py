@@ -89,7 +89,7 @@ def t18(spark, sf):
     _RFM
     + """
 SELECT r_score || '-' || f_score || '-' || m_score AS rfm_score, COUNT(*) AS entities FROM scored
-GROUP BY 1 ORDER BY entities DESC, rfm_score ASC LIMIT 40
+GROUP BY 1 ORDER BY entities DESC, rfm_score ASC
 """,
 )
 def t18s(spark, sf):

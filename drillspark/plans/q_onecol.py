@@ -29,12 +29,20 @@ lim AS (SELECT q1 - 1.5 * (q3 - q1) AS lo, q3 + 1.5 * (q3 - q1) AS hi FROM b)
 """
 
 
+# text lengths have a long upper tail, so there are outliers to return
+_LENGTHS = ["doc_id", "lang", "source", "n_chars"]
+
+
 @register(
     "T2_outliers_iqr_rows",
-    _IQR_BOUNDS + "SELECT l.* FROM lineitem l, lim WHERE l.l_extendedprice < lim.lo OR l.l_extendedprice > lim.hi",
+    """
+WITH b AS (SELECT quantile_cont(n_chars, 0.25) AS q1, quantile_cont(n_chars, 0.75) AS q3 FROM documents),
+lim AS (SELECT q1 - 1.5 * (q3 - q1) AS lo, q3 + 1.5 * (q3 - q1) AS hi FROM b)
+SELECT doc_id, lang, source, n_chars FROM documents, lim WHERE n_chars < lo OR n_chars > hi
+""",
 )
 def t2_rows(spark, sf):
-    return outliers(table(spark, sf, "lineitem"), "l_extendedprice", "iqr", 1.5).rows
+    return outliers(table(spark, sf, "documents").select(*_LENGTHS), "n_chars", "iqr", 1.5).rows
 
 
 @register(
@@ -61,10 +69,14 @@ lim AS (SELECT m - 2.0 * s AS lo, m + 2.0 * s AS hi FROM b)
 
 @register(
     "T2_outliers_zscore_rows",
-    _Z_BOUNDS + "SELECT o.* FROM orders o, lim WHERE o.o_totalprice < lim.lo OR o.o_totalprice > lim.hi",
+    """
+WITH lim AS (SELECT avg(n_chars) - 2.0 * stddev_samp(n_chars) AS lo, avg(n_chars) + 2.0 * stddev_samp(n_chars) AS hi
+             FROM documents)
+SELECT doc_id, lang, source, n_chars FROM documents, lim WHERE n_chars < lo OR n_chars > hi
+""",
 )
 def t2z_rows(spark, sf):
-    return outliers(table(spark, sf, "orders"), "o_totalprice", "zscore", 2.0).rows
+    return outliers(table(spark, sf, "documents").select(*_LENGTHS), "n_chars", "zscore", 2.0).rows
 
 
 @register(
@@ -105,7 +117,7 @@ d AS (SELECT *, delta * ln(y / alpha + sqrt((y / alpha) * (y / alpha) + 1)) AS z
 k AS (SELECT *, z1 * z1 + z2 * z2 AS k2 FROM d)
 SELECT 'gaussian' AS family, cnt AS n, ROUND(mean, 4) AS mu, ROUND(sd, 4) AS sigma, ROUND(k2, 4) AS statistic,
        ROUND(exp(-k2 / 2), 6) AS p_value, exp(-k2 / 2) >= 0.05 AS is_normal,
-       CASE WHEN cnt < 20 THEN 'small sample (n<20): normality test is low-power' ELSE '' END AS caveats
+       CASE WHEN cnt < 20 THEN 'fewer than 20 values: the test can hardly tell a normal law from others' ELSE '' END AS caveats
 FROM k
 """,
 )
@@ -126,8 +138,8 @@ p AS (SELECT *, """
 SELECT 'poisson' AS family, cnt AS n, ROUND(lam, 4) AS lambda, ROUND(var, 4) AS variance,
        ROUND(disp, 4) AS dispersion_index, ROUND(least(1.0, 2 * least(cdf, 1 - cdf)), 6) AS p_value,
        least(1.0, 2 * least(cdf, 1 - cdf)) >= 0.05 AS consistent_with_poisson,
-       concat_ws('; ', CASE WHEN nonint > 0 THEN 'values are not integers; Poisson assumes counts' END,
-                       CASE WHEN disp > 1.5 THEN 'over-dispersed (variance ≫ mean): consider negative binomial' END)
+       concat_ws('; ', CASE WHEN nonint > 0 THEN 'some values are no whole numbers, as counts would be' END,
+                       CASE WHEN disp > 1.5 THEN 'the variance exceeds the mean by far; a negative binomial law may fit better' END)
          AS caveats
 FROM p
 """,

@@ -127,12 +127,12 @@ def r5(spark, sf):
     "R5_anti_join_suppliers",
     """
 SELECT s_suppkey, s_name FROM supplier s
-WHERE NOT EXISTS (SELECT 1 FROM lineitem l WHERE l.l_suppkey = s.s_suppkey AND l.l_shipdate >= DATE '2001-06-01')
+WHERE NOT EXISTS (SELECT 1 FROM lineitem l WHERE l.l_suppkey = s.s_suppkey AND l.l_shipdate >= DATE '2001-11-01')
 """,
 )
 def r5s(spark, sf):
     s, li = table(spark, sf, "supplier"), table(spark, sf, "lineitem")
-    recent = li.where(F.col("l_shipdate") >= F.lit("2001-06-01").cast("timestamp_ntz"))
+    recent = li.where(F.col("l_shipdate") >= F.lit("2001-11-01").cast("timestamp_ntz"))
     return s.join(recent, s.s_suppkey == recent.l_suppkey, "left_anti").select("s_suppkey", "s_name")
 
 

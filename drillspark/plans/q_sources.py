@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators.profile import (
+    DIMENSION_HINTS,
+    MEASURE_HINTS,
     auto_drilldown,
     auto_summary,
     column_roles,
@@ -18,7 +20,7 @@ from ..session import scratch_path
 from ..sources.files import add_table, load_tables, read_csv, read_parquet
 from ..sources.snapshot import preview, snapshot, spill
 from .catalog import register, round6, table
-from .query import Metrics, diff, metric_by, rerun, run_query, run_steps
+from .query import Metrics, diff, metric_by, rerun, run_query, run_steps, store_steps
 
 DRIVER_TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
@@ -41,6 +43,15 @@ def s1(spark, sf):
     return read_csv(spark, path)
 
 
+@register("S1_csv_quoted_text", "SELECT CAST(doc_id AS INTEGER) AS doc_id, text, lang, source FROM documents")
+def s1_text(spark, sf):
+    """Whole texts with commas, quotes and line breaks."""
+    path = scratch_path(spark, "csv")
+    docs = table(spark, sf, "documents").select("doc_id", "text", "lang", "source")
+    docs.write.option("header", True).option("quoteAll", True).option("escape", '"').csv(path)
+    return read_csv(spark, path)
+
+
 @register("S2_parquet_source", "SELECT * FROM lineitem")
 def s2(spark, sf):
     return read_parquet(spark, f"{sf.rstrip('/')}/lineitem.parquet")
@@ -141,16 +152,40 @@ def p1(spark, sf):
     )
 
 
+def _first_column(where: str) -> str:
+    return f"(SELECT column_name FROM cols WHERE {where} ORDER BY i LIMIT 1)"
+
+
+_IS_ID = "regexp_matches(lower(column_name), '(^|_)id($|_)') OR lower(column_name) LIKE '%id'"
+_IS_NUMBER = "regexp_matches(column_type, '^(TINYINT|SMALLINT|INTEGER|BIGINT|HUGEINT|FLOAT|DOUBLE|DECIMAL.*)$')"
+_MEASURE = f"{_IS_NUMBER} AND NOT ({_IS_ID})"
+_HINTED = "regexp_matches(lower(column_name), '{}')"
+
+
 @register(
     "P2_column_roles",
-    "SELECT 'o_orderdate' AS date_column, 'o_totalprice' AS measure_column, 'o_orderstatus' AS dimension_column",
+    f"""
+WITH cols AS (SELECT row_number() OVER () AS i, column_name, column_type FROM (DESCRIBE orders))
+SELECT 'orders' AS table_name, {_first_column("regexp_matches(column_type, '^(DATE|TIMESTAMP)')")} AS date_column,
+  coalesce({_first_column(f"{_MEASURE} AND " + _HINTED.format("|".join(MEASURE_HINTS)))}, {_first_column(_MEASURE)}) AS measure_column,
+  coalesce({_first_column(_HINTED.format("|".join(DIMENSION_HINTS)))},
+           (SELECT CASE WHEN count(DISTINCT o_orderstatus) <= greatest(1, count(*) // 4) THEN 'o_orderstatus' END FROM orders))
+    AS dimension_column
+UNION ALL
+SELECT 'documents', NULL, 'n_chars',
+  CASE WHEN count(DISTINCT text) <= greatest(1, count(*) // 4) THEN 'text'
+       WHEN count(DISTINCT lang) <= greatest(1, count(*) // 4) THEN 'lang'
+       WHEN count(DISTINCT source) <= greatest(1, count(*) // 4) THEN 'source' END
+FROM documents
+""",
 )
 def p2(spark, sf):
-    o = table(spark, sf, "orders")
-    roles = roles_from_profile(profile(o), o)
-    return spark.createDataFrame(
-        [(roles.date, roles.measure, roles.dimension)], "date_column string, measure_column string, dimension_column string"
-    )
+    rows = []
+    for name in ("orders", "documents"):
+        df = table(spark, sf, name)
+        roles = roles_from_profile(profile(df), df)
+        rows.append((name, roles.date, roles.measure, roles.dimension))
+    return spark.createDataFrame(rows, "table_name string, date_column string, measure_column string, dimension_column string")
 
 
 @register(
@@ -290,12 +325,41 @@ def q2(spark, sf):
     return run_steps(spark, _STEPS)["s3"]
 
 
-@register("Q3_rerun_identical", "SELECT 0 AS only_in_first, 0 AS only_in_second, true AS identical")
+@register(
+    "Q3_rerun_identical",
+    f"""
+SELECT a AS only_in_first, b AS only_in_second, a = 0 AND b = 0 AS identical
+FROM (SELECT (SELECT count(*) FROM ({_STEPS[0][1]} EXCEPT ALL {_STEPS[0][1]})) AS a,
+             (SELECT count(*) FROM ({_STEPS[0][1]} EXCEPT ALL {_STEPS[0][1]})) AS b)
+""",
+)
 def q3(spark, sf):
     driver_views(spark, sf)
     return rerun(spark, _STEPS[0][1])
 
 
+_OPEN_ORDERS = "SELECT * FROM orders WHERE o_orderstatus <> 'F'"
+
+
+@register(
+    "Q3_rerun_after_change",
+    f"""
+WITH first AS ({_STEPS[0][1]}), again AS ({_STEPS[0][1].replace("FROM orders", f"FROM ({_OPEN_ORDERS}) orders")})
+SELECT a AS only_in_first, b AS only_in_second, a = 0 AND b = 0 AS identical
+FROM (SELECT (SELECT count(*) FROM (SELECT * FROM first EXCEPT ALL SELECT * FROM again)) AS a,
+             (SELECT count(*) FROM (SELECT * FROM again EXCEPT ALL SELECT * FROM first)) AS b)
+""",
+)
+def q3c(spark, sf):
+    """The table changes between the stored first run and the second."""
+    driver_views(spark, sf)
+    first = store_steps(run_steps(spark, _STEPS[:1]))
+    spark.sql(_OPEN_ORDERS).createOrReplaceTempView("orders")
+    changed = rerun(spark, _STEPS[0][1], first["s1"])
+    driver_views(spark, sf)
+    return changed
+
+
 @register(
     "Q3_diff_two_results",
     """

@@ -100,7 +100,7 @@ s AS (SELECT sum(CASE WHEN (nr - 1) * (nc - 1) = 1 THEN power(abs(o - e) - least
 p AS (SELECT *, {p_expr} AS p FROM s)
 SELECT ROUND(chi2, 4) AS chi2, ROUND(p, 6) AS p_value, CAST((nr - 1) * (nc - 1) AS BIGINT) AS dof,
        ROUND(sqrt(chi2 / (n * (least(nr, nc) - 1))), 4) AS cramers_v, p < 0.05 AS significant,
-       CASE WHEN small > 0.2 THEN '>20% of cells have expected count <5; chi-square may be unreliable' ELSE '' END
+       CASE WHEN small > 0.2 THEN 'more than a fifth of the cells expect under 5 rows, too few for the approximation' ELSE '' END
          AS caveats
 FROM p
 """

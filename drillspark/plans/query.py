@@ -17,23 +17,24 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-DEFAULT_CAP = 1000
+from ..session import checkpointed
+
+_OWN_LIMIT = re.compile(r"\blimit\s+(\d+|all)(\s+offset\s+\d+)?\s*$", re.IGNORECASE)
 
 
 class Capped(NamedTuple):
-    rows: DataFrame  # at most ``cap`` rows
-    meta: DataFrame  # row_count (<= cap), truncated
-
-
-def run_query(spark: SparkSession, sql: str, cap: int | None = DEFAULT_CAP) -> Capped:
-    """Run one query with a row cap. The query is wrapped and limited to
-    cap + 1 rows, so ``truncated`` is exact: true only when more than ``cap``
-    rows exist. An ORDER BY inside the query survives the wrap. ``cap=None``
-    runs it uncapped (a user LIMIT above the cap is otherwise cut to it)."""
-    body = sql.strip().rstrip(";")
-    if ";" in body:
-        raise ValueError("one statement per query")
-    if cap is None:
+    rows: DataFrame  # all rows, or ``cap`` of them at most
+    meta: DataFrame  # row_count, truncated
+
+
+def run_query(spark: SparkSession, sql: str, cap: int | None = None) -> Capped:
+    """Run one query, with a row cap if the caller asks for one and the query
+    has no LIMIT of its own at its end. A capped query is wrapped and limited
+    to cap + 1 rows, so ``truncated`` is exact: true only when more than
+    ``cap`` rows exist. An ORDER BY inside the query survives the wrap, and
+    several statements in one text do not."""
+    body = sql.strip().rstrip(";").rstrip()
+    if cap is None or _OWN_LIMIT.search(body):
         df = spark.sql(f"SELECT * FROM (\n{body}\n) q")
         return Capped(df, df.agg(F.count(F.lit(1)).alias("row_count")).withColumn("truncated", F.lit(False)))
     probe = spark.sql(f"SELECT * FROM (\n{body}\n) q LIMIT {int(cap) + 1}")
@@ -49,12 +50,13 @@ def _refs(sql: str, step_id: str) -> int:
 
 
 def run_steps(
-    spark: SparkSession, steps: Sequence[tuple[str, str]] | Mapping[str, str], cache_shared: bool = True
+    spark: SparkSession, steps: Sequence[tuple[str, str]] | Mapping[str, str], store_shared: bool = True
 ) -> "OrderedDict[str, DataFrame]":
     """Run analysis steps in order; each result is registered as the view
     ``step_<id>`` so a later step can build on it instead of recomputing.
     Plans stay lazy (a reference is inlined like a CTE); a result that later
-    steps use at least twice is cached so it is computed once."""
+    steps use at least twice is written to the checkpoint folder, so it is
+    computed once."""
     items = list(steps.items()) if isinstance(steps, Mapping) else list(steps)
     out: OrderedDict[str, DataFrame] = OrderedDict()
     for i, (sid, sql) in enumerate(items):
@@ -62,8 +64,8 @@ def run_steps(
             raise ValueError(f"step id must be alphanumeric: {sid!r}")
         df = spark.sql(sql)
         later = sum(_refs(s, sid) for _, s in items[i + 1 :])
-        if cache_shared and later >= 2:
-            df = df.cache()
+        if store_shared and later >= 2:
+            df = checkpointed(df)
         df.createOrReplaceTempView(f"step_{sid}")
         out[sid] = df
     return out
@@ -71,25 +73,38 @@ def run_steps(
 
 def diff(first: DataFrame, second: DataFrame) -> DataFrame:
     """Row-for-row comparison as multisets: rows only in the first, only in
-    the second, and whether the results are identical. One row."""
-    a = first.exceptAll(second).agg(F.count(F.lit(1)).alias("only_in_first"))
-    b = second.exceptAll(first).agg(F.count(F.lit(1)).alias("only_in_second"))
-    return a.crossJoin(b).withColumn(
-        "identical", (F.col("only_in_first") == 0) & (F.col("only_in_second") == 0)
+    the second, and whether the results are identical. One row, from one
+    aggregation over both: a row's copies count +1 in the first and -1 in the
+    second."""
+    if [(f.name, f.dataType) for f in first.schema] != [(f.name, f.dataType) for f in second.schema]:
+        raise ValueError("results with different columns cannot be compared")
+    names = [f"c{i}" for i in range(len(first.columns))]
+    both = first.toDF(*names).withColumn("__w", F.lit(1)).unionAll(second.toDF(*names).withColumn("__w", F.lit(-1)))
+    rows = both.groupBy(*names).agg(F.sum("__w").alias("__w"))
+    counted = rows.agg(
+        F.coalesce(F.sum(F.greatest("__w", F.lit(0))), F.lit(0)).alias("only_in_first"),
+        F.coalesce(F.sum(F.greatest(-F.col("__w"), F.lit(0))), F.lit(0)).alias("only_in_second"),
     )
+    return counted.withColumn("identical", (F.col("only_in_first") == 0) & (F.col("only_in_second") == 0))
 
 
 def rerun(spark: SparkSession, sql: str, first: DataFrame | None = None) -> DataFrame:
-    """Re-execute a query and compare it with its first result (or with a
-    fresh execution when none is given)."""
-    again = spark.sql(sql)
-    base = first if first is not None else spark.sql(sql)
-    return diff(base, again)
+    """Re-execute a query and compare it with its first result: a stored one,
+    or (none given) one that is written now, so that the comparison reads two
+    executions and not one twice."""
+    stored = checkpointed(spark.sql(sql)) if first is None else first
+    return diff(stored, spark.sql(sql))
+
+
+def store_steps(results: Mapping[str, DataFrame]) -> "OrderedDict[str, DataFrame]":
+    """The steps' results as written tables, for a later ``rerun_steps``."""
+    return OrderedDict((sid, checkpointed(df)) for sid, df in results.items())
 
 
 def rerun_steps(spark: SparkSession, steps: Sequence[tuple[str, str]], first: Mapping[str, DataFrame]) -> DataFrame:
-    """Re-run a whole step list; one comparison row per step."""
-    again = run_steps(spark, steps, cache_shared=False)
+    """Re-run a whole step list against its stored results; one comparison
+    row per step."""
+    again = run_steps(spark, steps, store_shared=False)
     rows = None
     for sid, df in again.items():
         d = diff(first[sid], df).select(F.lit(sid).alias("step"), "*")

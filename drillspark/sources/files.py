@@ -1,137 +1,118 @@
 """File sources: CSV (S1), Parquet (S2), folders of files as tables (S3) and
 adding a table to an open catalog (S7).
 
-One table per file - never a union of a folder - named from the file name.
-Listing goes through the Hadoop FileSystem of the path, so local folders,
-HDFS and object stores behave alike.
+A table is one file (or one Parquet dataset folder), named after it; a folder
+stands for the data files directly in it. Listing is one glob on the Hadoop
+file system of the path, so local folders, HDFS and object stores behave alike.
 """
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections import OrderedDict
-from collections.abc import Iterable, Mapping
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 
-DATA_SUFFIXES = (".csv", ".parquet", ".pq")
+# every spelling of the data suffixes, for a glob
+_DATA_GLOB = "*.{[cC][sS][vV],[pP][aA][rR][qQ][uU][eE][tT],[pP][qQ]}"
 
+# file name -> table name, one rule after the other
+_NAME_RULES = (
+    (re.compile(r"\.[^.]*$"), ""),
+    (re.compile(r"[^a-z0-9_]+"), "_"),
+    (re.compile(r"^_+|_+$"), ""),
+    (re.compile(r"^$"), "table"),
+    (re.compile(r"^(?=[0-9])"), "t_"),
+)
 
-def read_csv(spark: SparkSession, path: str, sep: str = ",", infer: bool = True) -> DataFrame:
-    """CSV with a header row. Types are inferred over the whole file (a
-    column with one stray text value deep in the file becomes text instead
-    of failing at row 25,001); ISO dates become ``date``. If inference
-    fails, every column is read as text."""
-    reader = spark.read.option("header", True).option("sep", sep).option("mode", "PERMISSIVE")
-    if infer:
-        try:
-            df = reader.option("inferSchema", True).csv(path)
-            df.schema  # noqa: B018 - forces the inference pass here
-            return df
-        except Exception:  # noqa: BLE001 - fall back to all-text
-            pass
-    return reader.option("inferSchema", False).csv(path)
+
+def read_csv(
+    spark: SparkSession, path: str, sep: str = ",", infer: bool = True, multiline: bool = True, mode: str = "FAILFAST"
+) -> DataFrame:
+    """CSV with a header row; fields may be quoted, with ``""`` for a quote
+    and line breaks inside.
+
+    Types are inferred over the whole file (one stray text value deep in it
+    makes the column text); ISO dates become ``date``. ``multiline=False`` lets
+    Spark split large files, for data without line breaks in fields. A row
+    that does not fit the header fails the read unless ``mode`` says otherwise.
+    """
+    options = {"header": True, "sep": sep, "escape": '"', "multiLine": multiline, "mode": mode, "inferSchema": infer}
+    return spark.read.options(**options).csv(path)
 
 
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:
-    """Parquet with its own schema (``.parquet`` and ``.pq``)."""
+    """Parquet with its own schema."""
     return spark.read.parquet(path)
 
 
-def detect_format(path: str) -> str:
-    low = path.lower()
-    if low.endswith(".csv"):
-        return "csv"
-    if low.endswith((".parquet", ".pq")):
-        return "parquet"
-    raise ValueError(f"Unsupported file type: {path!r} (expected .csv or .parquet)")
+_READERS = {"csv": read_csv, "parquet": read_parquet, "pq": read_parquet}
 
 
-def table_name(file_name: str, existing: Iterable[str] = ()) -> str:
-    """SQL-safe, unique table name from a file name: lower-case stem,
-    runs of other characters -> '_', outer '_' stripped, a leading digit gets
-    a 't_' prefix, nothing left -> 'table'; clashes get '_2', '_3', ..."""
-    base = file_name.rsplit("/", 1)[-1]
-    stem = base.rsplit(".", 1)[0] if "." in base else base
-    stem = re.sub(r"[^a-z0-9_]+", "_", stem.lower()).strip("_")
-    if not stem:
-        stem = "table"
-    elif stem[0].isdigit():
-        stem = f"t_{stem}"
-    taken = set(existing)
-    name, i = stem, 2
-    while name in taken:
-        name = f"{stem}_{i}"
-        i += 1
-    return name
+def read_file(spark: SparkSession, path: str) -> DataFrame:
+    """Read a data file by its suffix."""
+    suffix = path.rstrip("/").rpartition(".")[2].lower()
+    if suffix not in _READERS:
+        raise ValueError(f"cannot tell the format of {path!r}: known suffixes are {', '.join(sorted(_READERS))}")
+    return _READERS[suffix](spark, path)
 
 
-def _fs_and_path(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(path)
-    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return fs, hpath
+def table_name(file_name: str, existing: Iterable[str] = ()) -> str:
+    """Table name for a file: its lower-case stem with ``_`` for runs of other
+    characters, ``t_`` before a leading digit, ``table`` if nothing is left; a
+    taken name gets the first free number from 2."""
+    name = file_name.rstrip("/").rpartition("/")[2].lower()
+    for pattern, text in _NAME_RULES:
+        name = pattern.sub(text, name)
+    numbered = (f"{name}_{i}" for i in itertools.count(2))
+    taken = frozenset(existing)
+    return next(n for n in itertools.chain([name], numbered) if n not in taken)
+
+
+def _data_files(spark: SparkSession, given: str) -> dict[str, str]:
+    """Qualified path -> path as shown, of the data files ``given`` stands for."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    path = hadoop.Path(given)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    whole_table = given.rstrip("/").lower().endswith((".parquet", ".pq"))
+    if whole_table or not (fs.exists(path) and fs.getFileStatus(path).isDirectory()):
+        return {str(fs.makeQualified(path)): given}
+    escaped = re.sub(r"([\\\[\]{}*?])", r"\\\1", given.rstrip("/"))
+    found = fs.globStatus(hadoop.Path(f"{escaped}/{_DATA_GLOB}")) or []
+    # a folder may be a Parquet dataset, but not a CSV file
+    found = [s.getPath() for s in found if s.isFile() or not s.getPath().getName().lower().endswith(".csv")]
+    if not found:
+        raise ValueError(f"folder {given!r} holds no CSV or Parquet data")
+    return {str(fs.makeQualified(p)): p.toString() for p in sorted(found, key=lambda p: p.getName())}
 
 
 def expand_sources(spark: SparkSession, paths: str | Iterable[str]) -> list[str]:
-    """Folders -> their data files (non-recursive, by name, case-insensitive
-    suffix; a folder named ``*.parquet`` counts as one Parquet table); files
-    kept as given; duplicates (same qualified path) dropped,
-    first occurrence kept. A folder without data files is an error."""
-    if isinstance(paths, str):
-        paths = [paths]
-    seen: set[str] = set()
-    out: list[str] = []
-    for raw in paths:
-        fs, hp = _fs_and_path(spark, raw)
-        if fs.exists(hp) and fs.getFileStatus(hp).isDirectory():
-            # data files, and Parquet datasets written as folders (``x.parquet/``)
-            files = sorted(
-                (
-                    st.getPath()
-                    for st in fs.listStatus(hp)
-                    if st.isFile() or st.getPath().getName().lower().endswith((".parquet", ".pq"))
-                ),
-                key=lambda p: p.getName(),
-            )
-            files = [p for p in files if p.getName().lower().endswith(DATA_SUFFIXES)]
-            if not files:
-                raise ValueError(f"no .csv or .parquet files found in {raw}")
-            candidates = [(str(fs.makeQualified(p)), p.toString()) for p in files]
-        else:
-            key = str(fs.makeQualified(hp)) if fs.exists(hp) else raw
-            candidates = [(key, raw)]
-        for key, shown in candidates:
-            if key not in seen:
-                seen.add(key)
-                out.append(shown)
-    return out
+    """The data files that ``paths`` stand for, in order, each once: folders
+    are replaced by the data files in them (not in their folders), by name."""
+    shown: dict[str, str] = {}
+    for given in [paths] if isinstance(paths, str) else paths:
+        for qualified, path in _data_files(spark, given).items():
+            shown.setdefault(qualified, path)
+    return list(shown.values())
 
 
 def load_tables(spark: SparkSession, paths: str | Iterable[str], register: bool = True) -> "OrderedDict[str, DataFrame]":
     """Load every source as its own table, in order (the first is the primary
     table); register each as a temporary view so SQL can join them."""
     tables: OrderedDict[str, DataFrame] = OrderedDict()
-    for p in expand_sources(spark, paths):
-        fmt = detect_format(p)
-        df = read_csv(spark, p) if fmt == "csv" else read_parquet(spark, p)
-        name = table_name(p, tables.keys())
-        tables[name] = df
+    for path in expand_sources(spark, paths):
+        name = table_name(path, tables)
+        tables[name] = read_file(spark, path)
         if register:
-            df.createOrReplaceTempView(name)
+            tables[name].createOrReplaceTempView(name)
     return tables
 
 
 def add_table(spark: SparkSession, catalog: "OrderedDict[str, DataFrame] | dict", path: str, name: str | None = None) -> str:
     """Add one more file to an open catalog; later SQL can join it."""
-    fmt = detect_format(path)
-    df = read_csv(spark, path) if fmt == "csv" else read_parquet(spark, path)
-    nm = name or table_name(path, catalog.keys())
-    catalog[nm] = df
-    df.createOrReplaceTempView(nm)
-    return nm
-
-
-def register_views(tables: Mapping[str, DataFrame]) -> None:
-    for name, df in tables.items():
-        df.createOrReplaceTempView(name)
+    name = name or table_name(path, catalog)
+    catalog[name] = read_file(spark, path)
+    catalog[name].createOrReplaceTempView(name)
+    return name

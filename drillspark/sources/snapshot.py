@@ -10,15 +10,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_DSN_PASSWORD = re.compile(r"(password\s*=\s*)([^\s&;]+)", re.IGNORECASE)
-_URL_CREDENTIALS = re.compile(r"(//)([^/@:]+)(:[^/@]*)?@")
+# parameters of a key=value connection string that name a place, not a person
+_PLACE_KEYS = ("host", "hostaddr", "port", "dbname", "database")
 
 
 def redact_dsn(dsn: str) -> str:
-    """Connection string without secrets: ``password=...`` parameters and
-    ``user:pass@`` in URLs are masked."""
-    out = _DSN_PASSWORD.sub(lambda m: m.group(1) + "***", dsn)
-    return _URL_CREDENTIALS.sub(lambda m: m.group(1) + m.group(2) + ("" if not m.group(3) else ":***") + "@", out)
+    """Where a connection goes, without who goes there: scheme, host, port and
+    path of a URL (its user, password, parameters and query are cut off), or
+    the host, port and database of a ``key=value`` string."""
+    scheme, mark, rest = dsn.rpartition("://") if "://" not in dsn else dsn.partition("://")
+    if not mark and "@" not in dsn and "=" in dsn:
+        pairs = re.findall(r"(\w+)\s*=\s*('(?:[^'\\\\]|\\\\.)*'|[^\s;&]*)", dsn)
+        return " ".join(f"{k}={v}" for k, v in pairs if k.lower() in _PLACE_KEYS)
+    # a password may hold any of / @ ? ; so the user part ends at the last @
+    # before the query, or at the last of all where the query seems to start in it
+    place = re.split(r"[?#]", rest, maxsplit=1)[0]
+    if "@" in rest and "@" not in place:
+        place = re.split(r"[?#]", rest.rpartition("@")[2], maxsplit=1)[0]
+    place = place.rpartition("@")[2].split(";", 1)[0]
+    return f"{scheme}{mark}{place}"
 
 
 def snapshot(
@@ -57,7 +67,7 @@ def jdbc_snapshot(
     url: str,
     tables: Sequence[str],
     out_dir: str,
-    max_rows: int | None = 1_000_000,
+    max_rows: int | None = None,
     properties: dict | None = None,
     partition_column: str | None = None,
     lower_bound: int | None = None,
@@ -65,25 +75,33 @@ def jdbc_snapshot(
     num_partitions: int | None = None,
 ) -> DataFrame:
     """Copy selected tables to Parquet (one folder per table) and return one
-    provenance row per table. A selection is required. With a partition
-    column and bounds the read is split into parallel range queries; with a
-    row cap the LIMIT is pushed to the database as part of the query."""
+    provenance row per table. A selection is required; all rows are copied
+    unless ``max_rows`` says otherwise.
+
+    With a partition column the read is split into ``num_partitions`` range
+    queries, between the column's own minimum and maximum unless bounds are
+    given. A row cap cannot be combined with a split: every range query would
+    apply it by itself."""
     if not tables:
-        raise ValueError("select at least one table to import")
+        raise ValueError("no table selected to import")
+    if max_rows is not None and partition_column:
+        raise ValueError("a row cap and a partitioned read exclude each other")
     props = dict(properties or {})
     rows = []
     for t in tables:
         counted = spark.read.jdbc(url, f"(SELECT count(*) AS n FROM {t}) c", properties=props).first()[0]
-        if max_rows:
-            src = f"(SELECT * FROM {t} LIMIT {int(max_rows)}) s"
-        else:
-            src = t
-        if partition_column and num_partitions and lower_bound is not None and upper_bound is not None:
+        if partition_column:
+            low, high = lower_bound, upper_bound
+            if low is None or high is None:
+                ends = f"(SELECT min({partition_column}) AS a, max({partition_column}) AS b FROM {t}) e"
+                found = spark.read.jdbc(url, ends, properties=props).first()
+                low, high = (found[0] if low is None else low), (found[1] if high is None else high)
             df = spark.read.jdbc(
-                url, src, column=partition_column, lowerBound=lower_bound, upperBound=upper_bound,
-                numPartitions=num_partitions, properties=props,
-            )
+                url, t, column=partition_column, lowerBound=low or 0, upperBound=high or 0,
+                numPartitions=num_partitions or spark.sparkContext.defaultParallelism, properties=props,
+            )
         else:
+            src = t if max_rows is None else f"(SELECT * FROM {t} LIMIT {int(max_rows)}) s"
             df = spark.read.jdbc(url, src, properties=props)
         target = f"{out_dir.rstrip('/')}/{t.replace('.', '_')}"
         df.write.mode("overwrite").parquet(target)
@@ -95,14 +113,18 @@ def jdbc_snapshot(
     )
 
 
-def spill(df: DataFrame, path: str, threshold: int = 200) -> str | None:
-    """Write the whole result as Parquet when it has more than ``threshold``
-    rows (checked with a ``limit``, not a full count); returns the path or
-    None. The frame is written as is - the query is not re-planned."""
-    if df.limit(threshold + 1).count() <= threshold:
-        return None
-    df.write.mode("overwrite").parquet(path)
-    return path
+def spill(df: DataFrame, path: str, threshold: int) -> str | None:
+    """Write the whole result as Parquet to the new folder ``path`` and return
+    the path, or None if it has no more than ``threshold`` rows (the folder is
+    then removed again). The result is computed once, by the write; its rows
+    are counted from the files."""
+    spark = df.sparkSession
+    df.write.mode("error").parquet(path)
+    if spark.read.schema(df.schema).parquet(path).count() > threshold:
+        return path
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    return None
 
 
 _PLAIN = (T.StringType, T.BooleanType, T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType)
