@@ -21,7 +21,7 @@ from pyspark.sql.types import StructField, StructType
 # executors get these helpers with the job and need not import the package
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-PIECE_BYTES = 4 << 20
+PIECE_BYTES = 1 << 20
 
 
 def table_of(spark, sf_dir: str, name: str) -> DataFrame:

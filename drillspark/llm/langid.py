@@ -40,7 +40,7 @@ UNKNOWN = "und"
 PAD = "_"
 CODE_POINTS = 0x110000
 LONG_TEXT = 1 << 20  # characters counted at once
-DENSE_CELLS = 4 << 20
+DENSE_CELLS = 1 << 20
 
 
 def _compact(codes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:

@@ -82,7 +82,7 @@ def passage_features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         PASSAGE_BYTES, np.repeat(sizes, counts) - PASSAGE_BYTES * (np.arange(first[-1]) - np.repeat(first[:-1], counts))
     )
     out = np.empty((first[-1], N_FEATURES), np.float32)
-    step = 4096  # passages at once
+    step = 1024  # passages at once
     for at in range(0, first[-1], step):
         out[at : at + step] = _encode(padded[at : at + step], length[at : at + step])
     return out, first

@@ -34,7 +34,7 @@ from . import common
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 MARK = "▁"
-TABLE_CHUNKS = 400_000
+TABLE_CHUNKS = 150_000
 _CHUNK = re.compile(f"{MARK}+[^{MARK}]*")
 
 
