@@ -22,14 +22,7 @@ from pyspark.sql import functions as F
 from ..functions.ranks import partition_row_numbers, running_sums
 from ..session import checkpointed, ensure_checkpoint_dir
 
-# Node kinds, edge vocabularies, and the lint rule inputs.
-NODE_KINDS = (
-    "dataset_profile", "user_question", "plan", "sql_query", "table_result", "tool_call", "tool_result",
-    "chart", "interpretation", "conclusion", "follow_up", "summary", "hypothesis", "metric", "critique", "error",
-)
-EDGE_TYPES = ("supports", "contradicts", "refines", "supersedes", "tests", "depends_on", "alternative_to", "derived_from")
-EDGE_CREATORS = ("engine", "narrator", "judge", "user")
-EDGE_STATUSES = ("active", "proposed", "rejected", "superseded")
+# Edge vocabulary and the lint rule inputs.
 SEMANTIC_EDGES = ("contradicts", "alternative_to", "refines", "supersedes")
 TEST_TOOLS = (
     "t_test", "mann_whitney", "chi_square", "correlation", "correlation_matrix", "linear_fit", "logistic_fit", "trend",
@@ -163,21 +156,85 @@ def _union_all(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
-def ancestors(nodes: DataFrame) -> DataFrame:
-    """(node_id, ancestor_id, depth) for every node and every node on its
-    parent chain, itself included at depth 0. A parent id that names no node
-    is still listed (the chain stops there).
+class Forest(NamedTuple):
+    nodes: DataFrame  # id, parent_id: every cycle is one node, its smallest member, without a parent
+    members: DataFrame | None  # member, root, pos (steps up from root to member), length; None without cycles
+    entries: DataFrame | None  # id (hangs below a cycle), entry (the cycle member that is its parent), root
+    jumps: list | None = None  # without cycles: the 2^k-th ancestors found on the way
+
+
+def _doubled(jump: DataFrame) -> DataFrame:
+    """From the 2^k-th ancestors (node_id, up) the 2^(k+1)-th."""
+    far = jump.select(F.col("node_id").alias("up"), F.col("up").alias("_up2"))
+    return jump.join(far, "up").select("node_id", F.col("_up2").alias("up")).transform(checkpointed)
+
+
+def forest(nodes: DataFrame) -> Forest:
+    """The parent links with every cycle folded into one node.
+
+    Doubling the jumps of ever fewer nodes ends when the longest chain is
+    passed. Jumps that survive more steps than there are links lie on or below
+    a cycle, and point at cycle members: every member is pointed at, since a
+    cycle's own jumps permute it. A cycle is named by its smallest member, and
+    its members are numbered by their steps up from that one.
+    """
+    ensure_checkpoint_dir(nodes.sparkSession)
+    links = nodes.select(F.col("id").alias("node_id"), F.col("parent_id").alias("up")).where(F.col("up").isNotNull())
+    links = links.transform(checkpointed)
+    plain = nodes.select("id", "parent_id")
+    count, jumps, span = links.count(), [links], 1
+    while span <= count:
+        jump = _doubled(jumps[-1])
+        span *= 2
+        if jump.isEmpty():
+            return Forest(plain, None, None, jumps)
+        jumps.append(jump)
+    if not count:
+        return Forest(plain, None, None, jumps)
+    on_cycle = jump.select(F.col("up").alias("node_id")).distinct().transform(checkpointed)
+    ring = links.join(on_cycle, "node_id").transform(checkpointed)
+    size, span, around = on_cycle.count(), 1, ring
+    low = ring.select("node_id", F.least("node_id", "up").alias("root")).transform(checkpointed)
+    while span < size:
+        ahead = low.select(F.col("node_id").alias("up"), F.col("root").alias("_r"))
+        low = around.join(ahead, "up").select("node_id", "_r").join(low, "node_id")
+        low = low.select("node_id", F.least("root", "_r").alias("root")).transform(checkpointed)
+        around = _doubled(around)
+        span *= 2
+    # a cycle cut above its smallest member is a chain, in which depth counts steps up to it
+    cut = ring.join(low, "node_id").select(
+        F.col("node_id").alias("id"), F.when(F.col("node_id") != F.col("root"), F.col("up")).alias("parent_id")
+    )
+    depth = _lift(cut).depth
+    placed = low.join(depth, "node_id").select(F.col("node_id").alias("member"), "root", "depth")
+    lengths = placed.groupBy("root").agg((F.max("depth") + 1).alias("length"))
+    members = (
+        placed.join(lengths, "root")
+        .select("member", "root", F.pmod(F.col("length") - F.col("depth"), F.col("length")).alias("pos"), "length")
+        .transform(checkpointed)
+    )
+    own, up = members.select(F.col("member").alias("id")), members.select(F.col("member").alias("parent_id"), "root")
+    outside = plain.join(own, "id", "left_anti").join(up, "parent_id", "left")
+    folded = outside.select("id", F.coalesce("root", "parent_id").alias("parent_id")).unionByName(
+        members.where(F.col("member") == F.col("root")).select(F.col("root").alias("id"), F.lit(None).cast(plain.schema["parent_id"].dataType).alias("parent_id"))
+    )
+    entries = outside.where(F.col("root").isNotNull()).select("id", F.col("parent_id").alias("entry"), "root")
+    return Forest(folded.transform(checkpointed), members, entries.transform(checkpointed))
+
+
+def _around(entry: Column, target: Column, length: Column) -> Column:
+    """Steps up a cycle from one position to another."""
+    return F.pmod(target - entry, length)
+
+
+def _closure(nodes: DataFrame) -> DataFrame:
+    """(node_id, ancestor_id, depth) of a forest, each node itself included.
 
     Pointer doubling: after round r every ancestor up to depth 2^r is known;
     the node 2^r levels up then contributes its own known ancestors, so each
-    (node, ancestor) pair is produced exactly once and a chain of length L
-    needs log2(L) rounds. Every round writes only its new pairs (reliable
-    checkpoint); earlier rounds are never rewritten. In a forest all chains
-    end within log2(N) + 1 rounds; if jumps survive longer the parent links
-    contain a cycle, and the remaining rounds de-duplicate against the pairs
-    already known until nothing new appears.
+    pair is produced exactly once and a chain of length L needs log2(L) rounds.
+    Every round writes only its new pairs; earlier rounds are never rewritten.
     """
-    ensure_checkpoint_dir(nodes.sparkSession)
     first = (
         nodes.select(F.col("id").alias("node_id"), F.col("parent_id").alias("ancestor_id"))
         .where(F.col("ancestor_id").isNotNull())
@@ -186,54 +243,68 @@ def ancestors(nodes: DataFrame) -> DataFrame:
     )
     frames = [first]
     jump = first.select("node_id", F.col("ancestor_id").alias("jump_id"))  # ancestor at exactly 2^r
-    span, rounds = 1, 0
-    limit = None
+    span = 1
     while not jump.isEmpty():
-        if limit is None and rounds >= 20:
-            limit = int(nodes.count()).bit_length() + 1  # counted only for very deep or cyclic graphs
         known = _union_all(frames)
-        nxt = jump.join(
-            known.select(F.col("node_id").alias("jump_id"), F.col("ancestor_id").alias("_a2"), F.col("depth").alias("_d2")),
-            "jump_id",
-        ).select("node_id", F.col("_a2").alias("ancestor_id"), (F.col("_d2") + F.lit(span)).alias("depth"))
-        if limit is not None and rounds >= limit:  # a cycle: keep only pairs not seen before
-            nxt = nxt.join(known.select("node_id", "ancestor_id"), ["node_id", "ancestor_id"], "left_anti").dropDuplicates(
-                ["node_id", "ancestor_id"]
+        fresh = (
+            jump.join(
+                known.select(F.col("node_id").alias("jump_id"), F.col("ancestor_id").alias("_a2"), F.col("depth").alias("_d2")),
+                "jump_id",
             )
-        fresh = nxt.transform(checkpointed)
+            .select("node_id", F.col("_a2").alias("ancestor_id"), (F.col("_d2") + F.lit(span)).alias("depth"))
+            .transform(checkpointed)
+        )
         frames.append(fresh)
         jump = fresh.where(F.col("depth") == 2 * span).select("node_id", F.col("ancestor_id").alias("jump_id"))
         span *= 2
-        rounds += 1
-        if limit is not None and rounds >= limit and fresh.isEmpty():
-            break
     selves = nodes.select(F.col("id").alias("node_id"), F.col("id").alias("ancestor_id"), F.lit(0).cast("long").alias("depth"))
     return selves.unionByName(_union_all(frames))
 
 
+def ancestors(nodes: DataFrame) -> DataFrame:
+    """(node_id, ancestor_id, depth) for every node and every node on its
+    parent chain, itself included at depth 0, each ancestor once at its least
+    depth: a chain that runs into a cycle ends when it has been round it. A
+    parent id that names no node is still listed (the chain stops there).
+
+    Each pair is a row, N x depth of them: for "is a an ancestor of b" or a
+    node's k-th ancestor use ``lifting``.
+    """
+    tree = forest(nodes)
+    if tree.members is None:
+        return _closure(nodes)
+    pairs = _closure(tree.nodes)
+    m = tree.members
+    roots = m.select(F.col("root").alias("ancestor_id")).distinct()
+    outside = pairs.join(roots.select(F.col("ancestor_id").alias("node_id")), "node_id", "left_anti")
+    below = outside.join(roots, "ancestor_id", "left_anti").select("node_id", "ancestor_id", "depth")
+    # the node through which a chain enters its cycle, and at which member
+    gates = tree.entries.join(m.select(F.col("member").alias("entry"), F.col("pos").alias("_at")), "entry")
+    entered = below.join(gates.select(F.col("id").alias("ancestor_id"), "root", "_at"), "ancestor_id")
+    ring = m.select("root", F.col("member").alias("ancestor_id"), "pos", "length")
+    into = entered.drop("ancestor_id").join(ring, "root").select(
+        "node_id", "ancestor_id", (F.col("depth") + 1 + _around(F.col("_at"), F.col("pos"), F.col("length"))).alias("depth")
+    )
+    start = m.select("root", F.col("member").alias("node_id"), F.col("pos").alias("_at"))
+    within = start.join(ring, "root").select(
+        "node_id", "ancestor_id", _around(F.col("_at"), F.col("pos"), F.col("length")).alias("depth")
+    )
+    return below.unionByName(into).unionByName(within)
+
+
 class Lifting(NamedTuple):
     jumps: list  # jumps[k]: node_id, up = ancestor 2^k levels up
     depth: DataFrame  # node_id, depth (length of the parent chain)
+    tree: Forest | None = None  # what the tables describe, if cycles had to be folded
 
 
-def lifting(nodes: DataFrame, max_levels: int = 62) -> Lifting:
-    """Binary-lifting tables: the 2^k-th ancestor of every node for each k,
-    and every node's depth. O(N log depth) rows instead of the O(N depth)
-    closure; answers "is a an ancestor of b" and "k-th ancestor" with log
-    joins. Raises on a parent cycle."""
-    ensure_checkpoint_dir(nodes.sparkSession)
-    j = nodes.select(F.col("id").alias("node_id"), F.col("parent_id").alias("up")).where(F.col("up").isNotNull()).transform(checkpointed)
-    jumps = [j]
-    while True:
-        nxt = j.join(j.select(F.col("node_id").alias("up"), F.col("up").alias("_up2")), "up").select(
-            "node_id", F.col("_up2").alias("up")
-        ).transform(checkpointed)
-        if nxt.isEmpty():
-            break
-        jumps.append(nxt)
-        j = nxt
-        if len(jumps) > max_levels:
-            raise ValueError("parent links contain a cycle")
+def _lift(nodes: DataFrame, jumps: list | None = None) -> Lifting:
+    """Lifting tables of a forest (id, parent_id)."""
+    if jumps is None:
+        links = nodes.select(F.col("id").alias("node_id"), F.col("parent_id").alias("up"))
+        jumps = [links.where(F.col("up").isNotNull()).transform(checkpointed)]
+        while not (far := _doubled(jumps[-1])).isEmpty():
+            jumps.append(far)
     cur = nodes.select(F.col("id").alias("node_id"), F.col("id").alias("_cur"), F.lit(0).cast("long").alias("depth"))
     for k in reversed(range(len(jumps))):
         step = jumps[k].select(F.col("node_id").alias("_cur"), F.col("up").alias("_nx"))
@@ -249,6 +320,15 @@ def lifting(nodes: DataFrame, max_levels: int = 62) -> Lifting:
     return Lifting(jumps, cur.select("node_id", "depth"))
 
 
+def lifting(nodes: DataFrame) -> Lifting:
+    """Binary-lifting tables: the 2^k-th ancestor of every node for each k,
+    and every node's depth. O(N log depth) rows instead of the O(N depth)
+    closure; answers "is a an ancestor of b" and "k-th ancestor" with log
+    joins. Cycles of parent links are folded into one node each first."""
+    tree = forest(nodes)
+    return _lift(nodes, tree.jumps) if tree.members is None else _lift(tree.nodes)._replace(tree=tree)
+
+
 def ancestor_at(pairs: DataFrame, lift: Lifting, node_col: str, k_col: str, out: str) -> DataFrame:
     """Add ``out`` = the ``k_col``-th ancestor of ``node_col`` (null when the
     chain is shorter), one join per bit of k."""
@@ -268,16 +348,29 @@ def descendants(nodes_or_closure: DataFrame, node_id: str, lift: Lifting | None
 
     From a closure frame (node_id, ancestor_id, depth): a filter. From a
     nodes frame: every node whose ancestor at (its depth - the node's depth)
-    is the node, via binary lifting - no closure is built."""
+    is the node, via binary lifting - no closure is built. Beneath a member of
+    a cycle lies all that hangs from the cycle, and the cycle itself."""
     if "ancestor_id" in nodes_or_closure.columns:
         return nodes_or_closure.where(F.col("ancestor_id") == node_id).select(F.col("node_id").alias("id"), "depth")
     lift = lift or lifting(nodes_or_closure)
-    root = lift.depth.where(F.col("node_id") == node_id).select(F.col("depth").alias("_d0"))
+    target = None if lift.tree is None else lift.tree.members.where(F.col("member") == node_id).first()
+    top = node_id if target is None else target["root"]
+    root = lift.depth.where(F.col("node_id") == top).select(F.col("depth").alias("_d0"))
     cand = lift.depth.crossJoin(F.broadcast(root)).where(F.col("depth") >= F.col("_d0")).select(
         "node_id", (F.col("depth") - F.col("_d0")).alias("rel")
     )
-    hit = ancestor_at(cand, lift, "node_id", "rel", "_top").where(F.col("_top") == node_id)
-    return hit.select(F.col("node_id").alias("id"), F.col("rel").alias("depth"))
+    hit = ancestor_at(cand, lift, "node_id", "rel", "_top").where(F.col("_top") == top)
+    if target is None:
+        return hit.select(F.col("node_id").alias("id"), F.col("rel").alias("depth"))
+    # a cycle has no ancestors, so rel is the depth below it: the node before
+    # the last step hangs from the member through which the chain enters
+    below = ancestor_at(hit.where("rel > 0").withColumn("_k", F.col("rel") - 1), lift, "node_id", "_k", "_gate")
+    gates = lift.tree.entries.select(F.col("id").alias("_gate"), "entry")
+    at = lift.tree.members.select(F.col("member").alias("entry"), "pos", "length")
+    steps = _around(F.col("pos"), F.lit(target["pos"]), F.col("length"))
+    hanging = below.join(gates, "_gate").join(at, "entry").select(F.col("node_id").alias("id"), (F.col("rel") + steps).alias("depth"))
+    ring = lift.tree.members.where(F.col("root") == top)
+    return hanging.unionByName(ring.select(F.col("member").alias("id"), steps.alias("depth")))
 
 
 # --------------------------------------------------------------------------- G6
@@ -417,11 +510,15 @@ def shared_evidence(nodes: DataFrame, edges: DataFrame, lift: Lifting | None = N
         .select("investigation_id", "source_id", "target_id")
         .distinct()
     )
+    sup = sup.withColumn("conclusion_id", F.col("target_id"))
+    if lift.tree is not None:  # the members of a cycle are one place on the line
+        place = lift.tree.members.select(F.col("member").alias("target_id"), F.col("root").alias("_root"))
+        sup = sup.join(place, "target_id", "left").withColumn("target_id", F.coalesce("_root", "target_id")).drop("_root")
     d = lift.depth.select(F.col("node_id").alias("target_id"), F.col("depth").alias("node_depth"))
     with_d = checkpointed(sup.join(d, "target_id", "left").fillna(0, ["node_depth"]))
     deepest = with_d.groupBy("source_id").agg(
         F.max_by(F.struct(F.col("target_id").alias("t"), F.col("node_depth").alias("dd")), F.struct("node_depth", "target_id")).alias("_deep"),
-        F.count(F.lit(1)).alias("targets"),
+        F.countDistinct("conclusion_id").alias("targets"),
     )
     cand = with_d.join(deepest.where(F.col("targets") >= 2), "source_id").select(
         "investigation_id", "source_id", "target_id", "targets", F.col("_deep.t").alias("deep_id"),

@@ -96,6 +96,33 @@ def g5(spark, sf):
     return ev.descendants(n, "e1")
 
 
+# an order that is its own parent, a cycle of two, a chain of 10,000 orders that
+# hangs from the cycle, and the rest hanging from both
+_CYCLIC = """CASE WHEN o_orderkey = 0 THEN 0 WHEN o_orderkey = 1 THEN 2 WHEN o_orderkey = 2 THEN 1
+  WHEN o_orderkey = 3 THEN 1 WHEN o_orderkey <= 10002 THEN o_orderkey - 1
+  WHEN o_orderkey % 2 = 0 THEN 0 ELSE 2 END"""
+_CYCLIC_TOPS = (0, 1, 3, 700)
+
+
+@register(
+    "G5_descendants_with_cycles",
+    f"""
+WITH RECURSIVE n AS (SELECT o_orderkey AS id, {_CYCLIC} AS parent_id FROM orders),
+walk(top, id) AS (
+  SELECT id, id FROM n WHERE id IN {_CYCLIC_TOPS}
+  UNION SELECT walk.top, n.id FROM walk JOIN n ON n.parent_id = walk.id)
+SELECT top, id FROM walk""",
+)
+def g5c(spark, sf):
+    n = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.expr(_CYCLIC).alias("parent_id"))
+    lift = ev.lifting(n)
+    out = None
+    for top in _CYCLIC_TOPS:
+        below = ev.descendants(n, top, lift).select(F.lit(top).cast("long").alias("top"), "id")
+        out = below if out is None else out.unionByName(below)
+    return out
+
+
 @register(
     "G6_branches",
     f"""WITH RECURSIVE {_BASE}, {_G1},
@@ -222,7 +249,23 @@ def g12(spark, sf):
     )
 
 
-@register("G12_dedup_documents")
+@register(
+    "G12_dedup_documents",
+    f"""WITH RECURSIVE tk AS MATERIALIZED {_tokens_sql('documents', 'doc_id')},
+sizes AS (SELECT id, count(*) AS n FROM tk GROUP BY id),
+near AS (SELECT a.id AS late, b.id AS early, count(*) AS shared FROM tk a JOIN tk b ON a.tok = b.tok AND b.id < a.id GROUP BY 1, 2),
+before AS (SELECT late, list(early) AS early FROM near JOIN sizes a ON a.id = late JOIN sizes b ON b.id = early
+           WHERE shared / least(a.n, b.n) >= 0.6 GROUP BY late),
+line AS MATERIALIZED (SELECT row_number() OVER (ORDER BY doc_id) AS i, doc_id, early
+                      FROM documents LEFT JOIN before ON late = doc_id),
+walk(i, kept) AS (
+  SELECT 0::BIGINT, []::BIGINT[]
+  UNION ALL
+  SELECT line.i, CASE WHEN early IS NOT NULL AND list_has_any(kept, early) THEN kept ELSE list_append(kept, doc_id) END
+  FROM walk JOIN line ON line.i = walk.i + 1)
+SELECT doc_id, list_contains(w.kept, doc_id) AS kept
+FROM documents, (SELECT kept FROM walk ORDER BY i DESC LIMIT 1) w""",
+)
 def g12d(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")
     return dedup_keep_first(docs, "doc_id", "doc_id", "text", 0.6).select("doc_id", "kept")

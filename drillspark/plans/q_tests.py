@@ -238,11 +238,50 @@ def _labelled_docs(spark, sf):
     return lab.join(docs, "doc_id").select("doc_id", "quality", "n_chars")
 
 
-@register("T15_logistic_fit_coefficients")
+# Newton's steps for one standardised predictor, as a recursive query
+_IRLS = """
+WITH RECURSIVE raw AS (
+  SELECT CAST(quality AS VARCHAR) AS c, CAST(n_chars AS DOUBLE) AS v FROM labels JOIN documents USING (doc_id)
+  WHERE quality IS NOT NULL AND n_chars IS NOT NULL),
+shape AS (SELECT max(c) AS pos, avg(v) AS mu, CASE WHEN stddev_pop(v) = 0 THEN 1 ELSE stddev_pop(v) END AS sd, count(*) AS n FROM raw),
+d AS MATERIALIZED (SELECT CASE WHEN c = pos THEN 1.0 ELSE 0.0 END AS y, (v - mu) / sd AS x FROM raw, shape),
+steps(k, b0, b1, size) AS (
+  SELECT 0, CAST(0 AS DOUBLE), CAST(0 AS DOUBLE), CAST(1 AS DOUBLE)
+  UNION ALL
+  SELECT k + 1, b0 + (h11 * g0 - h01 * g1) / (h00 * h11 - h01 * h01), b1 + (h00 * g1 - h01 * g0) / (h00 * h11 - h01 * h01),
+    greatest(abs((h11 * g0 - h01 * g1) / (h00 * h11 - h01 * h01)), abs((h00 * g1 - h01 * g0) / (h00 * h11 - h01 * h01)))
+  FROM steps, LATERAL (
+    SELECT sum(w) AS h00, sum(w * x) AS h01, sum(w * x * x) AS h11, sum(y - p) AS g0, sum(x * (y - p)) AS g1
+    FROM (SELECT x, y, p, greatest(p * (1 - p), 1e-6) AS w
+          FROM (SELECT x, y, 1 / (1 + exp(-least(30, greatest(-30, steps.b0 + steps.b1 * x)))) AS p FROM d)))
+  WHERE size >= 1e-6 AND k < 50),
+beta AS (SELECT b0, b1 FROM steps ORDER BY k DESC LIMIT 1)
+"""
+
+
+@register(
+    "T15_logistic_fit_coefficients",
+    _IRLS
+    + """
+SELECT 0 AS term_index, 'intercept' AS term, ROUND(b0 - b1 * mu / sd, 4) AS coefficient FROM beta, shape
+UNION ALL SELECT 1, 'n_chars', ROUND(b1 / sd, 4) FROM beta, shape
+""",
+)
 def t15(spark, sf):
     return logistic_fit(_labelled_docs(spark, sf), "quality", ["n_chars"]).coefficients
 
 
-@register("T15_logistic_fit_metrics")
+@register(
+    "T15_logistic_fit_metrics",
+    _IRLS
+    + """,
+fitted AS (SELECT y, 1 / (1 + exp(-least(30, greatest(-30, b0 + b1 * x)))) AS p FROM d, beta),
+s AS (SELECT sum(y * ln(p + 1e-9) + (1 - y) * ln(1 - p + 1e-9)) AS ll, avg(y) AS base, count(*) AS n,
+             avg(CASE WHEN (p > 0.5) = (y > 0.5) THEN 1.0 ELSE 0.0 END) AS acc FROM fitted)
+SELECT ROUND(1 - ll / (s.n * (base * ln(base + 1e-9) + (1 - base) * ln(1 - base + 1e-9))), 4) AS pseudo_r2_mcfadden,
+       ROUND(acc, 4) AS accuracy, s.n AS n, pos AS positive_class, '' AS caveats
+FROM s, shape
+""",
+)
 def t15m(spark, sf):
     return flat_arrays(logistic_fit(_labelled_docs(spark, sf), "quality", ["n_chars"]).metrics)

@@ -235,3 +235,42 @@ def test_branch_ids_follow_depth_first_order(spark):
     assert label == {"q1": 0, "q2": 0, "q3": 2, "q6": 0, "q7": 1}
     vis = {(r["question_id"], r["visible_in"]) for r in b}
     assert {("q1", 1), ("q1", 2), ("q2", 1), ("q7", 1), ("q3", 2)} <= vis and ("q2", 2) not in vis
+
+
+def _walks(parent):
+    """Ancestors of every node with their least depth, by walking with a seen-set."""
+    out = set()
+    for n in parent:
+        at, depth, seen = n, 0, set()
+        while at is not None and at not in seen:
+            out.add((n, at, depth))
+            seen.add(at)
+            at, depth = parent.get(at), depth + 1
+    return out
+
+
+CYCLIC = [
+    {"a": "b", "b": "a", "c": "b", "d": "c", "e": None, "f": "e"},  # a cycle of two with a chain below
+    {"s": "s", "t": "s", "u": "gone"},  # its own parent; a parent that is no node
+    {f"n{i}": f"n{(i + 1) % 7}" for i in range(7)} | {"x": "n3", "y": "x", "z": "n5", "q": None, "r": "q", "p": "p"},
+]
+
+
+@pytest.mark.parametrize("parent", CYCLIC)
+def test_ancestors_and_descendants_on_cycles(spark, parent):
+    nodes = spark.createDataFrame(list(parent.items()), "id string, parent_id string")
+    want = _walks(parent)
+    got = [tuple(r) for r in ev.ancestors(nodes).select("node_id", "ancestor_id", "depth").collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    lift = ev.lifting(nodes)
+    for top in parent:
+        below = [(r["id"], r["depth"]) for r in ev.descendants(nodes, top, lift).collect()]
+        assert sorted(below) == sorted((n, d) for n, a, d in want if a == top)
+
+
+def test_shared_evidence_counts_a_cycle_as_one_line(spark):
+    parent = {"a": "b", "b": "a", "c": "b", "d": None}
+    nodes = spark.createDataFrame([("i", n, p, "conclusion") for n, p in parent.items()], "investigation_id string, id string, parent_id string, kind string")
+    rows = [("i", s, t, "supports", "active") for s, ts in {"one": "ab", "two": "ac", "far": "ad"}.items() for t in ts]
+    edges = spark.createDataFrame(rows, "investigation_id string, source_id string, target_id string, relationship string, status string")
+    assert [(r["id"], r["conclusions"]) for r in ev.shared_evidence(nodes, edges).collect()] == [("far", 2)]

@@ -18,6 +18,10 @@ from check_oracle import TABLES, rows_of  # noqa: E402
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_SMALL), reason="driver test data not present")
 
 
+# queries without a row on the smallest tables
+MAY_BE_EMPTY: set[str] = set()
+
+
 @pytest.fixture(scope="module")
 def duck():
     import duckdb
@@ -31,23 +35,24 @@ def duck():
 def test_entry_runs(spark):
     df = entry.entry(spark)
     assert df.columns == ["value", "period_a", "period_b", "delta", "contribution_pct"]
-    assert df.count() >= 0
+    assert df.count() > 0
 
 
 def test_every_query_has_a_twin_or_is_iterative():
     qs, sqls = entry.queries(), entry.oracle_sql()
     missing = sorted(set(qs) - set(sqls))
-    # iterative operators (IRLS, greedy fixpoint) have no plain-SQL twin
-    assert missing == ["G12_dedup_documents", "T15_logistic_fit_coefficients", "T15_logistic_fit_metrics"]
+    # only the text operators (op*, pipeline) may have no plain-SQL twin
+    assert [m for m in missing if not m.startswith("op") and m != "pipeline"] == []
     assert set(sqls) <= set(qs)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+# the text operators' queries have tests of their own, beside them
+@pytest.mark.parametrize("name", sorted(n for n in entry.queries() if not n.startswith("op") and n != "pipeline"))
 def test_query_matches_sql_twin(spark, duck, name):
     got = entry.queries()[name](spark, SF_SMALL).toPandas()
     sql = entry.oracle_sql().get(name)
+    assert len(got) > 0 or name in MAY_BE_EMPTY
     if sql is None:
-        assert len(got) >= 0
         return
     want = duck.execute(sql).df()
     cs, rs = rows_of(got)
