@@ -12,13 +12,13 @@ join would do.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import require_column
-from ..functions.ranks import partition_row_numbers
+from ..functions.ranks import ntile_of, partition_row_numbers
 
 
 def _cutoff_array(cutoffs: Sequence[str], dtype: str) -> Column:
@@ -118,6 +118,10 @@ def flag_membership(
     )
 
 
+HOT_ROWS = 1_000_000
+HALO_BLOCK = 65_536
+
+
 def ordered_window(
     df: DataFrame,
     partition: Sequence[str],
@@ -126,24 +130,48 @@ def ordered_window(
     lags: Sequence[int] = (1,),
     ntile: int | None = None,
     name: str = "rn",
+    frames: dict[str, tuple[Callable[[Column], Column], int]] | None = None,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """ROW_NUMBER, LAG(value, k) and NTILE inside a partition, skew-proof.
-
-    Row numbers come from one global range-partitioned sort; the value k rows
-    earlier in the same partition is a join on the unique global row number
-    minus k (kept only when it lies in the same partition), so no task ever
-    sorts a whole partition. Adds ``rn``, ``lag{k}`` and ``ntile``.
+    """ROW_NUMBER, LAG(value, k), NTILE and framed aggregates inside a
+    partition, skew-proof. ``frames``: column name -> (aggregate such as
+    ``F.avg``, n) over ROWS BETWEEN n PRECEDING AND CURRENT ROW. Adds ``rn``,
+    ``{name}_count``, ``lag{k}``, ``ntile`` and the frames' columns.
+
+    Plain windows as long as no partition has more than ``hot_rows`` rows.
+    Beyond that one range-partitioned sort numbers the rows, and lags and
+    frames are windows over blocks of consecutive numbers, each with a halo of
+    the rows before it that its first rows look back to: no task ever sorts a
+    whole partition.
     """
-    indexed = partition_row_numbers(df, partition, order, name)
-    out = indexed
+    frames = frames or {}
+    keys = list(partition)
+    most = df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    if most <= hot_rows:
+        by = Window.partitionBy(*keys)
+        run = by.orderBy(*order)
+        out = df.withColumn(name, F.row_number().over(run).cast("long")).withColumn(f"{name}_count", F.count(F.lit(1)).over(by))
+        return _framed(out, run, value, lags, ntile, frames)
+    back = max([0, *lags, *[n for _, n in frames.values()]])
+    block = max(HALO_BLOCK, 2 * back)
+    indexed = partition_row_numbers(df, keys, order, name).drop("_grn")
+    at = F.floor((F.col(name) - 1) / block).cast("long")
+    # the last rows of a block are also needed by the next one
+    near_end = (F.col(name) - 1) % block >= block - back if back else F.lit(False)
+    places = F.when(near_end, F.array(at, at + 1)).otherwise(F.array(at))
+    placed = indexed.withColumn("_block", F.explode(places)).withColumn("_own", F.col("_block") == at)
+    run = Window.partitionBy(*keys, "_block").orderBy(name)
+    return _framed(placed, run, value, lags, ntile, frames, name).where("_own").drop("_block", "_own")
+
+
+def _framed(out: DataFrame, run, value: str, lags, ntile: int | None, frames: dict, number: str | None = None) -> DataFrame:
+    """Lags, frames and NTILE over a window; ``number`` names the row number if
+    the window holds a block only, else the window is the whole partition."""
     for k in lags:
-        prev = indexed.select((F.col("_grn") + F.lit(k)).alias(f"_j{k}"), F.col(value).alias(f"lag{k}"))
-        out = out.join(prev, out["_grn"] == prev[f"_j{k}"], "left")
-        out = out.withColumn(
-            f"lag{k}", F.when(F.col(name) > F.lit(k), F.col(f"lag{k}"))
-        ).drop(f"_j{k}")
+        out = out.withColumn(f"lag{k}", F.lag(value, k).over(run))
+    for column, (aggregate, n) in frames.items():
+        out = out.withColumn(column, aggregate(F.col(value)).over(run.rowsBetween(-n, 0)))
     if ntile:
-        from ..functions.ranks import ntile_of
-
-        out = out.withColumn("ntile", ntile_of(F.col(name), F.col(f"{name}_count"), ntile))
-    return out.drop("_grn")
+        place = ntile_of(F.col(number), F.col(f"{number}_count"), ntile) if number else F.ntile(ntile).over(run).cast("long")
+        out = out.withColumn("ntile", place)
+    return out

@@ -368,18 +368,14 @@ WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)
 )
 def r14(spark, sf):
     o = table(spark, sf, "orders").select("o_custkey", "o_orderkey", "o_orderdate", "o_totalprice")
-    w = ordered_window(
-        o, ["o_custkey"], [F.col("o_orderdate").asc(), F.col("o_orderkey").asc()], "o_totalprice", lags=(1, 2), ntile=4
-    )
-    vals = [F.col("o_totalprice"), F.col("lag1"), F.col("lag2")]
-    cnt = sum((F.when(v.isNotNull(), F.lit(1)).otherwise(F.lit(0)) for v in vals), F.lit(0))
-    tot = sum((F.coalesce(v, F.lit(0.0)) for v in vals), F.lit(0.0))
+    order = [F.col("o_orderdate").asc(), F.col("o_orderkey").asc()]
+    w = ordered_window(o, ["o_custkey"], order, "o_totalprice", ntile=4, frames={"avg3": (F.avg, 2)})
     return w.select(
         "o_custkey",
         "o_orderkey",
         F.col("rn").cast("long").alias("rn"),
         F.col("lag1").alias("prev_price"),
-        dround(tot / cnt, 6).alias("moving_avg"),
+        dround("avg3", 6).alias("moving_avg"),
         F.col("ntile").alias("quartile"),
     )
 
@@ -524,12 +520,13 @@ def r20(spark, sf):
     o = table(spark, sf, "orders")
     dt = o.schema["o_orderdate"].dataType
     grains = ["day", "week", "month", "quarter", "year"]
-    # one scan: every grain's truncation per row, then one aggregation
+    # every grain follows from the distinct days, far fewer rows than the table has
+    days = o.select(truncate("o_orderdate", "day", dt).alias("day")).distinct()
     aggs = []
     for g in grains:
-        t = truncate("o_orderdate", g, dt)
+        t = truncate("day", g, dt)
         aggs += [F.countDistinct(t).alias(f"n_{g}"), F.min(t).alias(f"f_{g}")]
-    wide = o.agg(*aggs)
+    wide = days.agg(*aggs)
     stack = ", ".join(f"'{g}', n_{g}, f_{g}" for g in grains)
     return wide.select(F.expr(f"stack({len(grains)}, {stack}) AS (grain, periods, first_period)"))
 

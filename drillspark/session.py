@@ -9,6 +9,10 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
+import warnings
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import SparkSession
 
@@ -80,17 +84,40 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
                 "checkpoint folder on a cluster"
             )
         configured = tempfile.mkdtemp(prefix="drillspark-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
+    elif not _is_local(spark) and configured.startswith(("file:", "/")):
+        warnings.warn(f"checkpoint folder {configured} must be a file system that all machines mount", stacklevel=2)
     sc.setCheckpointDir(configured)
     return configured
 
 
+_job_folder: ContextVar[str | None] = ContextVar("drillspark_job_folder", default=None)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder under the session's checkpoint directory (shared on a
-    cluster) for intermediate tables a job writes and reads back."""
-    import uuid
+    cluster), or under the running job's own folder in it, for intermediate
+    tables a job writes and reads back."""
+    base = _job_folder.get() or f"{ensure_checkpoint_dir(spark).rstrip('/')}/drillspark-scratch"
+    return f"{base}/{name}-{uuid.uuid4().hex}"
+
 
-    base = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{base}/drillspark-scratch/{name}-{uuid.uuid4().hex}"
+@contextmanager
+def job_scratch(spark: SparkSession):
+    """Intermediate tables made in the ``with`` block lie in one folder, which
+    is removed at its end. Results still to be read must be written elsewhere
+    (or collected) inside the block: they read those tables.
+
+        with job_scratch(spark):
+            near_duplicate_pairs(...).write.parquet(target)
+    """
+    folder = scratch_path(spark, "job")
+    token = _job_folder.set(folder)
+    try:
+        yield folder
+    finally:
+        _job_folder.reset(token)
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def checkpointed(df):
@@ -108,10 +135,8 @@ def checkpointed(df):
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def spread(df):
-    """Round-robin repartition to the session's parallelism when the input
-    has fewer partitions - for CPU-heavy per-row work (tokenising whole
-    texts) on inputs stored as a few large row groups. Inputs that are
-    already split widely are left as they are (no shuffle)."""
-    want = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(want) if df.rdd.getNumPartitions() < want else df
+def spread(df, by):
+    """``df`` dealt out by a hash of its column ``by``, for CPU-heavy work per
+    row (tokenising whole texts) on inputs stored as a few large row groups.
+    Adaptive execution fits the number of partitions to the data."""
+    return df.repartition(by)

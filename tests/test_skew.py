@@ -36,6 +36,32 @@ def test_ordered_window_hot_key(spark):
     assert sorted(hot["ntile"].value_counts().to_dict()) == [1, 2, 3, 4]
 
 
+def test_ordered_window_same_by_blocks_with_halo(spark, monkeypatch):
+    from drillspark.operators import relational
+
+    monkeypatch.setattr(relational, "HALO_BLOCK", 16)
+    df = spark.createDataFrame(_skewed(700), "k string, d date, v double, i long")
+    order = [F.col("d").asc(), F.col("i").asc()]
+    options = dict(lags=(1, 7), ntile=5, frames={"avg4": (F.avg, 3), "top9": (F.max, 8)})
+    cols = ["i", "rn", "rn_count", "lag1", "lag7", "ntile", F.round("avg4", 9).alias("a"), "top9"]
+    plain = ordered_window(df, ["k"], order, "v", **options).select(*cols).collect()
+    blocks = ordered_window(df, ["k"], order, "v", hot_rows=50, **options).select(*cols).collect()
+    assert sorted(map(tuple, plain), key=str) == sorted(map(tuple, blocks), key=str)
+    none = ordered_window(df, ["k"], order, "v", lags=(), hot_rows=50).select("i", "rn").collect()
+    assert sorted(map(tuple, none)) == sorted((r["i"], r["rn"]) for r in plain)
+
+
+def test_job_scratch_removes_its_tables(spark):
+    import os
+
+    from drillspark.session import checkpointed, job_scratch
+
+    with job_scratch(spark) as folder:
+        t = checkpointed(spark.range(5))
+        assert t.count() == 5 and os.listdir(folder.removeprefix("file:"))
+    assert not os.path.exists(folder.removeprefix("file:"))
+
+
 def test_latest_as_of_hot_key(spark):
     rows = _skewed()
     df = spark.createDataFrame(rows, "k string, d date, v double, i long")
