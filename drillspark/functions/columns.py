@@ -148,11 +148,6 @@ def resolve_table(tables: Mapping[str, DataFrame], inputs: Mapping, explicit: st
     raise OperatorError(f"no single table has all of {wanted}")
 
 
-def as_text(col: str | Column) -> Column:
-    c = F.col(col) if isinstance(col, str) else col
-    return c.cast("string")
-
-
 def listwise(df: DataFrame, cols: Iterable[str]) -> DataFrame:
     """Listwise deletion: keep rows where every named column is non-null."""
     cols = list(cols)
