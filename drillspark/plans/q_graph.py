@@ -74,6 +74,47 @@ def g3u(spark, sf):
     return ev.uncovered_turns(ev.turn_pairs(n), n, 3)
 
 
+_SUMMARIES = """
+SELECT 'late-' || coalesce(investigation_id, '') AS id, investigation_id, max(seq) + 1 AS seq, max(seq) // 2 AS through_seq
+FROM nodes GROUP BY investigation_id
+UNION ALL SELECT 'early-' || coalesce(investigation_id, ''), investigation_id, max(seq) // 4, max(seq) // 8
+FROM nodes GROUP BY investigation_id"""
+
+
+def _with_summaries(n):
+    """Two summaries an investigation; the later one counts."""
+    top = n.groupBy("investigation_id").agg(F.max("seq").alias("top"))
+    out = n
+    for name, seq, through in (
+        ("late-", F.col("top") + 1, F.floor(F.col("top") / 2)),
+        ("early-", F.floor(F.col("top") / 4), F.floor(F.col("top") / 8)),
+    ):
+        out = out.unionByName(
+            top.select(
+                F.concat(F.lit(name), F.coalesce("investigation_id", F.lit(""))).alias("id"),
+                "investigation_id",
+                seq.cast("long").alias("seq"),
+                F.lit(None).cast("string").alias("parent_id"),
+                F.lit("summary").alias("kind"),
+                F.to_json(F.struct(through.cast("long").alias("through_seq"))).alias("content_json"),
+            )
+        )
+    return out
+
+
+@register(
+    "G3_uncovered_after_summary",
+    f"""WITH {_BASE}, {_G1}, {_PAIRS}, su AS ({_SUMMARIES}),
+s AS (SELECT investigation_id, arg_max(through_seq, (seq, id)) AS through_seq FROM su GROUP BY investigation_id)
+SELECT r.investigation_id, question_id, question_seq, conclusion_id, conclusion_seq FROM ranked r
+LEFT JOIN s ON s.investigation_id = r.investigation_id
+WHERE recency > 3 AND conclusion_seq > coalesce(s.through_seq, 0)""",
+)
+def g3s(spark, sf):
+    n, _ = _g(spark, sf)
+    return ev.uncovered_turns(ev.turn_pairs(n), _with_summaries(n), 3)
+
+
 @register(
     "G3_recent_nodes",
     f"""WITH {_BASE} SELECT id, investigation_id, seq, parent_id, kind FROM (
