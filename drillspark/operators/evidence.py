@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ranks import partition_row_numbers, running_sums
 from ..session import checkpointed, ensure_checkpoint_dir
+from .relational import ordered_window
 
 # Edge vocabulary and the lint rule inputs.
 SEMANTIC_EDGES = ("contradicts", "alternative_to", "refines", "supersedes")
@@ -374,16 +375,49 @@ def descendants(nodes_or_closure: DataFrame, node_id: str, lift: Lifting | None
 
 
 # --------------------------------------------------------------------------- G6
+def _chains(tree: DataFrame) -> DataFrame:
+    """(id, chain, pos): the chain of first children a turn lies on, named by
+    its first turn, and the steps from there. ``tree``: id, up (null for the
+    first turn of a chain). Pointer jumping: log2(chain length) rounds."""
+    at = checkpointed(
+        tree.select("id", F.coalesce("up", "id").alias("chain"), F.col("up").isNotNull().cast("long").alias("pos"))
+    )
+    while True:
+        far = at.select(F.col("id").alias("chain"), F.col("chain").alias("_c"), F.col("pos").alias("_p"))
+        new = checkpointed(at.join(far, "chain").select("id", F.col("_c").alias("chain"), (F.col("pos") + F.col("_p")).alias("pos"), (F.col("_p") > 0).alias("_moved")))
+        at = new.drop("_moved")
+        if new.where("_moved").isEmpty():
+            return at
+
+
+def _weight_to_end(succ: DataFrame) -> DataFrame:
+    """(e, total): the weights of every element of linked lists (e, nxt, w)
+    and of all after it. Pointer jumping, one row an element and round."""
+    at = checkpointed(succ.select("e", "nxt", F.col("w").cast("long").alias("total")))
+    while not at.where(F.col("nxt").isNotNull()).isEmpty():
+        far = at.select(F.col("e").alias("nxt"), F.col("nxt").alias("_n"), F.col("total").alias("_t"))
+        at = checkpointed(
+            at.join(far, "nxt", "left").select("e", F.col("_n").alias("nxt"), (F.col("total") + F.coalesce("_t", F.lit(0))).alias("total"))
+        )
+    return at.select("e", "total")
+
+
 def branches(nodes: DataFrame) -> DataFrame:
-    """Branch labels of question turns and where each is visible.
+    """Branch labels of question turns and the branches visible on each.
 
     A turn's parent turn is the one whose conclusion its question hangs off;
     a turn's conclusion is its latest one. The main thread (0) follows first
     children; every further child of a conclusion (by seq) opens a branch,
     numbered per investigation 1, 2, ... in depth-first order of the turn
-    tree (roots and children by seq). A branch is also visible on all turns
-    of its ancestry. Output: investigation_id, question_id, branch,
-    visible_in (one row per branch the turn is shown in).
+    tree (roots and children by seq). A turn shows its own branch and all that
+    open beneath it, and these have consecutive numbers. One row a turn:
+    investigation_id, question_id, branch, visible_from, visible_to (null if
+    none opens beneath), visible (how many).
+
+    Turns are folded into their chains of first children; an Euler tour of the
+    chains, ranked as a linked list, numbers the branches and counts those in
+    each subtree. Every step has rows in proportion to the turns. A cycle of
+    parent turns is cut at its smallest member.
     """
     t = turns(nodes)
     last_concl = (
@@ -393,7 +427,11 @@ def branches(nodes: DataFrame) -> DataFrame:
         .select("parent_id", F.col("turn_id").alias("parent_turn"))
     )
     qs = nodes.where(F.col("kind") == QUESTION).select("investigation_id", F.col("id").alias("question_id"), "seq", "parent_id")
-    tree = qs.join(last_concl, "parent_id", "left")
+    tree = checkpointed(qs.join(last_concl, "parent_id", "left").drop("parent_id"))
+    folded = forest(tree.select(F.col("question_id").alias("id"), F.col("parent_turn").alias("parent_id")))
+    if folded.members is not None:
+        cut = folded.members.where("member = root").select(F.col("member").alias("question_id"), F.lit(True).alias("_cut"))
+        tree = tree.join(cut, "question_id", "left").withColumn("parent_turn", F.when(F.col("_cut").isNull(), F.col("parent_turn"))).drop("_cut")
     # a question opens a branch unless it is the first child (by seq) of its
     # parent conclusion: one map-side-combined min_by per parent, no sibling sort
     firsts = (
@@ -401,51 +439,68 @@ def branches(nodes: DataFrame) -> DataFrame:
         .groupBy("parent_turn")
         .agg(F.min_by("question_id", F.struct("seq", "question_id")).alias("_first"))
     )
-    # the turn tree (one row per question) feeds four later steps: write it once
     tree = checkpointed(
         tree.join(firsts, "parent_turn", "left").withColumn(
             "opens", F.col("parent_turn").isNotNull() & (F.col("question_id") != F.col("_first"))
         )
     )
-    turn_nodes = tree.select(F.col("question_id").alias("id"), F.col("parent_turn").alias("parent_id"))
-    closure = ancestors(turn_nodes)
-    openers = tree.where(F.col("opens")).select(F.col("question_id").alias("ancestor_id"), F.col("seq").alias("_oseq"), F.col("investigation_id").alias("_oinv"))
-    # branch of a turn = nearest ancestor-or-self that opens a branch
-    near = (
-        closure.join(openers, "ancestor_id")
-        .groupBy("node_id")
-        .agg(F.min_by(F.struct("ancestor_id", "_oseq", "_oinv"), F.col("depth")).alias("o"))
-    )
-    # branch ids in depth-first (preorder) order of the turn tree, children by
-    # seq: preorder is the lexicographic order of each turn's root-to-turn path
-    # of (seq, id), so openers are ranked by that path - no tree walk
-    seqs = tree.select(F.col("question_id").alias("ancestor_id"), F.col("seq").alias("_aseq"))
-    paths = (
-        closure.join(openers.select(F.col("ancestor_id").alias("node_id")), "node_id", "left_semi")
-        .join(seqs, "ancestor_id")
-        .groupBy("node_id")
-        .agg(F.sort_array(F.collect_list(F.struct((-F.col("depth")).alias("d"), F.col("_aseq").alias("s"), F.col("ancestor_id").alias("i")))).alias("_p"))
-        .select(F.col("node_id").alias("opener"), F.transform("_p", lambda x: F.struct(x["s"].alias("s"), x["i"].alias("i"))).alias("_path"))
-    )
-    numbers = partition_row_numbers(
-        openers.select(F.col("_oinv").alias("investigation_id"), F.col("ancestor_id").alias("opener")).join(paths, "opener"),
-        ["investigation_id"],
-        [F.col("_path").asc(), F.col("opener").asc()],
-        "branch_no",
-    ).select("opener", "branch_no")
-    labelled = (
-        tree.select("investigation_id", "question_id")
-        .join(near, tree["question_id"] == near["node_id"], "left")
-        .join(numbers, F.col("o.ancestor_id") == numbers["opener"], "left")
-        .select("investigation_id", "question_id", F.coalesce(F.col("branch_no"), F.lit(0)).cast("long").alias("branch"))
-    )
-    # visible: own branch, plus every non-main branch of a descendant turn
-    below = closure.join(
-        labelled.select(F.col("question_id").alias("node_id"), F.col("branch").alias("_b")), "node_id"
-    ).where(F.col("_b") != 0).select(F.col("ancestor_id").alias("question_id"), F.col("_b").alias("visible_in"))
-    own = labelled.select("question_id", F.col("branch").alias("visible_in"))
-    vis = own.unionByName(below).distinct()
-    return labelled.join(vis, "question_id")
+    placed = _chains(tree.select(F.col("question_id").alias("id"), F.when(~F.col("opens"), F.col("parent_turn")).alias("up")))
+
+    # the chains as a tree: a branch hangs from the chain and position it forks off
+    fork = placed.select(F.col("id").alias("parent_turn"), F.col("chain").alias("under"), F.col("pos").alias("fork_pos"))
+    heads = tree.where(F.col("opens") | F.col("parent_turn").isNull())
+    chains = heads.join(fork, "parent_turn", "left").select(
+        "investigation_id", F.col("question_id").alias("chain"), "seq", "opens", "under", "fork_pos"
+    )
+    # depth-first order: what forks off deeper comes first. Ordered backwards, a
+    # lag is the next sibling and the last row the first child
+    backwards = [F.col("fork_pos").asc(), F.col("seq").desc(), F.col("chain").desc()]
+    chains = checkpointed(ordered_window(chains, ["investigation_id", "under"], backwards, "chain", name="_rn"))
+    child = chains.where(F.col("opens") & (F.col("_rn") == F.col("_rn_count"))).select(
+        F.col("under").alias("chain"), F.col("chain").alias("_child")
+    )
+    enter = lambda c: F.concat(F.lit("<"), F.col(c))
+    leave = lambda c: F.concat(F.lit(">"), F.col(c))
+    down = chains.join(child, "chain", "left").select(
+        enter("chain").alias("e"), F.coalesce(enter("_child"), leave("chain")).alias("nxt"), F.col("opens").cast("long").alias("w")
+    )
+    up = chains.select(leave("chain").alias("e"), F.coalesce(enter("lag1"), leave("under")).alias("nxt"), F.lit(0).cast("long").alias("w"))
+    ahead = _weight_to_end(down.unionByName(up))
+    since = lambda mark, name: ahead.select(F.col("e").alias("_e"), F.col("total").alias(name)).withColumn("chain", F.substring("_e", 2, 1 << 30)).where(F.col("_e").startswith(mark)).drop("_e")
+    ranked = chains.join(since("<", "_in"), "chain").join(since(">", "_out"), "chain")
+    totals = ranked.groupBy(F.col("investigation_id").alias("_inv")).agg(F.max("_in").alias("_all"))
+    numbered = checkpointed(
+        ranked.join(totals, F.col("investigation_id").eqNullSafe(F.col("_inv"))).select(
+            "chain", "under", "fork_pos", "opens",
+            F.when(F.col("opens"), F.col("_all") - F.col("_in") + 1).otherwise(0).alias("branch"),
+            (F.col("_all") - F.col("_in") + 1 + F.col("opens").cast("long")).alias("_low"),  # of what opens beneath
+            (F.col("_in") - F.col("_out")).alias("_size"),
+        )
+    )
+
+    # branches beneath a turn: sizes of what forks off its chain here or deeper
+    forks = numbered.where("opens").groupBy(F.col("under").alias("chain"), F.col("fork_pos").alias("pos")).agg(F.sum("_size").alias("_w"))
+    rows = forks.select("chain", "pos", F.lit(0).alias("_kind"), "_w", F.lit(None).cast("string").alias("id")).unionByName(
+        placed.select("chain", "pos", F.lit(1).alias("_kind"), F.lit(0).cast("long").alias("_w"), "id")
+    )
+    deepest = [F.col("chain").asc(), F.col("pos").desc(), F.col("_kind").asc(), F.col("id").asc()]
+    summed = checkpointed(running_sums(rows, deepest, ["_w"]))
+    begins = summed.groupBy("chain").agg(F.min(F.col("cum__w") - F.col("_w")).alias("_base"))
+    beneath = (
+        summed.where("_kind = 1")
+        .join(begins, "chain")
+        .join(numbered.select("chain", "branch", "_low"), "chain")
+        .select(F.col("id").alias("question_id"), "branch", "_low", (F.col("cum__w") - F.col("_base")).alias("visible"))
+    )
+    some = F.col("visible") > 0
+    return tree.select("investigation_id", "question_id").join(beneath, "question_id").select(
+        "investigation_id",
+        "question_id",
+        F.col("branch").cast("long").alias("branch"),
+        F.when(some, F.col("_low")).alias("visible_from"),
+        F.when(some, F.col("_low") + F.col("visible") - 1).alias("visible_to"),
+        "visible",
+    )
 
 
 # --------------------------------------------------------------------------- G7-G10

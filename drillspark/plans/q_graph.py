@@ -191,11 +191,15 @@ lab AS (SELECT tree2.investigation_id, tree2.question_id, CAST(coalesce(num.bran
         FROM tree2 LEFT JOIN near ON near.node_id = tree2.question_id LEFT JOIN num ON num.opener = near.opener),
 vis AS (SELECT question_id, branch AS visible_in FROM lab
         UNION SELECT a.ancestor_id, l.branch FROM ta a JOIN lab l ON l.question_id = a.node_id WHERE l.branch <> 0)
-SELECT lab.investigation_id, lab.question_id, lab.branch, vis.visible_in FROM lab JOIN vis USING (question_id)""",
+SELECT lab.investigation_id, lab.question_id, lab.branch,
+       min(visible_in) FILTER (WHERE visible_in <> branch) AS visible_from,
+       max(visible_in) FILTER (WHERE visible_in <> branch) AS visible_to,
+       count(DISTINCT visible_in) FILTER (WHERE visible_in <> branch) AS visible
+FROM lab JOIN vis USING (question_id) GROUP BY ALL""",
 )
 def g6(spark, sf):
     n, _ = _g(spark, sf)
-    return ev.branches(n).select("investigation_id", "question_id", "branch", "visible_in")
+    return ev.branches(n)
 
 
 _STATUS = f"""WITH {_BASE},

@@ -82,6 +82,16 @@ def test_ancestors_and_descendants_brute_force(spark):
     assert below == sorted((v, d) for v in parent for a, d in chain(v) if a == "n3")
 
 
+def _visible(rows):
+    """(question, branch shown on it) from the own branch and the interval."""
+    out = {(r["question_id"], r["branch"]) for r in rows}
+    for r in rows:
+        if r["visible"]:
+            assert r["visible_to"] - r["visible_from"] + 1 == r["visible"]
+            out |= {(r["question_id"], b) for b in range(r["visible_from"], r["visible_to"] + 1)}
+    return out
+
+
 def test_turns_pairs_branches(spark):
     rows = [
         ("p", "inv", 0, None, "plan", {}),  # before the first question: no turn
@@ -101,7 +111,7 @@ def test_turns_pairs_branches(spark):
     b = ev.branches(n).collect()
     label = {r["question_id"]: r["branch"] for r in b}
     assert label == {"q1": 0, "q2": 0, "q3": 1, "q4": 0, "z1": 0}
-    vis = {(r["question_id"], r["visible_in"]) for r in b}
+    vis = _visible(b)
     assert ("q1", 1) in vis and ("q2", 1) not in vis and ("q3", 1) in vis
 
 
@@ -233,7 +243,7 @@ def test_branch_ids_follow_depth_first_order(spark):
     b = ev.branches(nodes(spark, rows)).collect()
     label = {r["question_id"]: r["branch"] for r in b}
     assert label == {"q1": 0, "q2": 0, "q3": 2, "q6": 0, "q7": 1}
-    vis = {(r["question_id"], r["visible_in"]) for r in b}
+    vis = _visible(b)
     assert {("q1", 1), ("q1", 2), ("q2", 1), ("q7", 1), ("q3", 2)} <= vis and ("q2", 2) not in vis
 
 
@@ -274,3 +284,45 @@ def test_shared_evidence_counts_a_cycle_as_one_line(spark):
     rows = [("i", s, t, "supports", "active") for s, ts in {"one": "ab", "two": "ac", "far": "ad"}.items() for t in ts]
     edges = spark.createDataFrame(rows, "investigation_id string, source_id string, target_id string, relationship string, status string")
     assert [(r["id"], r["conclusions"]) for r in ev.shared_evidence(nodes, edges).collect()] == [("far", 2)]
+
+
+def _branches_by_walk(turn_parent, seq):
+    """Depth-first walk of the turn tree: labels and what is visible where."""
+    kids = {}
+    for q, p in turn_parent.items():
+        kids.setdefault(p, []).append(q)
+    for k in kids.values():
+        k.sort(key=lambda q: (seq[q], q))
+    label, vis, count = {}, set(), 0
+    stack = [(q, 0, ()) for q in reversed(kids.get(None, []))]
+    while stack:
+        q, b, above = stack.pop()
+        label[q] = b
+        vis.add((q, b))
+        if b:
+            vis |= {(a, b) for a in above}
+        below = kids.get(q, [])
+        stack += [(c, None, (*above, q)) for c in reversed(below[1:])]
+        if below:
+            stack.append((below[0], b, (*above, q)))
+        while stack and stack[-1][1] is None:
+            c, _, path = stack.pop()
+            count += 1
+            stack.append((c, count, path))
+            break
+    return label, vis
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_branches_against_a_walk(spark, seed):
+    rng = random.Random(seed)
+    rows, parent, seq = [], {}, {}
+    for i in range(60):
+        q, c = f"q{i:03d}", f"c{i:03d}"
+        back = None if i == 0 or rng.random() < 0.05 else max(0, i - 1 - int(rng.expovariate(0.6)))
+        parent[q], seq[q] = (None if back is None else f"q{back:03d}"), 2 * i
+        rows += [(q, "inv", 2 * i, None if back is None else f"c{back:03d}", "user_question", {}), (c, "inv", 2 * i + 1, q, "conclusion", {})]
+    out = ev.branches(nodes(spark, rows)).collect()
+    label, vis = _branches_by_walk(parent, seq)
+    assert {r["question_id"]: r["branch"] for r in out} == label
+    assert _visible(out) == vis
