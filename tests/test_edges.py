@@ -70,3 +70,19 @@ def test_two_group_errors(spark):
     single = spark.createDataFrame([(1.0, "a"), (2.0, "a")], "x double, g string")
     with pytest.raises(Exception, match="into two groups"):
         t_test(single, "x", "g").collect()
+
+
+def test_run_tool_resolves_its_table(spark):
+    from drillspark.plans.tools import TOOLS, run_tool
+
+    games = spark.createDataFrame([(i, float(i)) for i in range(10)], "game long, goals double")
+    players = spark.createDataFrame([(f"p{i % 2}", float(i), float(-i)) for i in range(12)], "team string, goals double, age double")
+    tables = {"games": games, "players": players}
+    assert len(TOOLS) == 18
+    assert run_tool(tables, "describe", column="goals").first()["count"] == 10  # the primary table has it
+    assert run_tool(tables, "describe", table="players", column="goals").first()["count"] == 12
+    assert run_tool(tables, "t_test", value="age", group="team").first()["n_a"] == 6
+    assert run_tool(tables, "correlation", x="goals", y="age").first()["r"] == -1.0
+    for name, inputs in (("nothing", {}), ("correlation", {"x": "game", "y": "age"})):
+        with pytest.raises(OperatorError):
+            run_tool(tables, name, **inputs)
