@@ -18,8 +18,8 @@ from check_oracle import TABLES, rows_of  # noqa: E402
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_SMALL), reason="driver test data not present")
 
 
-# queries without a row on the smallest tables
-MAY_BE_EMPTY: set[str] = set()
+# queries without a row on these smallest tables (they have some at sf0.01)
+MAY_BE_EMPTY = {"R16_intersect", "R2_filters"}
 
 
 @pytest.fixture(scope="module")
