@@ -62,6 +62,19 @@ def clean_texts(texts: pa.Array) -> pa.Array:
         return pa.array([x.decode("utf-8", "replace") for x in filled.to_pylist()], pa.string())
 
 
+def strings(array: pa.Array) -> list:
+    """Python values of a string or binary array (null: None), by way of numpy:
+    some ten times as fast as value by value."""
+    return array.to_numpy(zero_copy_only=False).tolist()
+
+
+def int_lists(array: pa.ListArray) -> list[list[int]]:
+    """Python lists of a list array of numbers without nulls."""
+    ends = array.offsets.to_numpy()
+    values = array.values.to_numpy()
+    return [values[a:b].tolist() for a, b in zip(ends[:-1], ends[1:])]
+
+
 def add_columns(
     df: DataFrame,
     text_col: str,
@@ -116,7 +129,7 @@ def hash_words(vocab: pa.Array) -> np.ndarray:
     """A 64-bit hash of each word of a vocabulary."""
     import xxhash
 
-    return np.fromiter((xxhash.xxh3_64_intdigest(w) for w in vocab.to_pylist()), np.uint64, len(vocab))
+    return np.fromiter((xxhash.xxh3_64_intdigest(w) for w in strings(vocab)), np.uint64, len(vocab))
 
 
 def window_hashes(word_hash: np.ndarray, n: int) -> np.ndarray:

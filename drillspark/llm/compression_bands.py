@@ -104,7 +104,7 @@ def base_counts(texts: pa.Array) -> dict[str, np.ndarray]:
         "n_words": np.diff(starts),
         "word_chars": number(pc.utf8_length(texts)) - total(SPACES),
         "n_symbols": total(SYMBOLS),
-        "n_dup_lines": np.fromiter((duplicate_lines(x) for x in texts.to_pylist()), np.int64, len(texts)),
+        "n_dup_lines": np.fromiter((duplicate_lines(x) for x in common.strings(texts)), np.int64, len(texts)),
         "n_repeat_words": repeated_words(codes, starts),
     }
 
@@ -130,7 +130,7 @@ def compression_bands(
         base = base_counts(texts)
         failed = (base["n_words"] < 10) | (100 * base["n_repeat_words"] > 20 * base["n_words"])
         ratios, shares, fits = np.ones(len(texts)), np.zeros(len(texts)), np.ones(len(texts), bool)
-        for i, data in enumerate(texts.cast(pa.binary()).to_pylist()):
+        for i, data in enumerate(common.strings(texts.cast(pa.binary()))):
             if not data:
                 continue
             ratios[i] = len(data) / len(squeeze.compress(data))
