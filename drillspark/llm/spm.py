@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import re
 import sys
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -117,13 +118,13 @@ class Table:
             self.rows.update(zip(new, range(first, first + len(new))))
             sizes = np.fromiter(map(len, made), np.int64, len(made))
             self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(sizes)])
-            self.ids = np.concatenate([self.ids, np.fromiter((i for m in made for i in m), np.int32, int(sizes.sum()))])
+            self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(made), np.int32, int(sizes.sum()))])
         return np.fromiter(map(self.rows.__getitem__, vocab), np.int64, len(vocab))
 
     def encode(self, texts: pa.Array) -> pa.ListArray:
         """The ids of each text."""
         codes, starts, vocab = chunk_lists(texts)
-        rows = self.look_up(vocab.to_pylist())[codes]
+        rows = self.look_up(common.strings(vocab))[codes]
         sizes = self.at[rows + 1] - self.at[rows]
         ends = np.concatenate([[0], np.cumsum(sizes)])
         ids = self.ids[np.repeat(self.at[rows], sizes) + _within(sizes)]
@@ -147,7 +148,7 @@ def encode(
         ids = table[0].encode(common.clean_texts(piece.column(text_col)))
         if not decode:
             return [ids]
-        return [ids, pa.array(table[0].sp.decode(ids.to_pylist(), num_threads=1), pa.string())]
+        return [ids, pa.array(table[0].sp.decode(common.int_lists(ids), num_threads=1), pa.string())]
 
     return common.add_columns(df, text_col, fields, work, keep)
 
