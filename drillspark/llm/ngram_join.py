@@ -71,7 +71,7 @@ def choose_bands(threshold: float = THRESHOLD, recall: float = RECALL, most: int
 def gram_sets(texts: pa.Array, n: int = N) -> list[np.ndarray]:
     """The sorted distinct n-gram hashes of each text."""
     codes, starts, vocab = common.words_of(texts)
-    words = [w.lower() for w in vocab.to_pylist()]
+    words = [w.lower() for w in common.strings(vocab)]
     word_hash = common.hash_words(pa.array([w.strip(PUNCTUATION) or w for w in words], pa.string()))[codes]
     grams = common.window_hashes(word_hash, n)
     out = []
@@ -276,7 +276,7 @@ def _verify(members: DataFrame, threshold: float) -> DataFrame:
             made += verify_block(
                 rows["set_key"].to_pylist(),
                 [np.frombuffer(g, np.uint64) for g in rows["grams"].to_pylist()],
-                np.array(rows["bands"].to_pylist(), np.int64),
+                np.array(common.int_lists(rows["bands"].combine_chunks()), np.int64),
                 rows["copies"].to_numpy(),
                 block,
                 int(rows["band"][0].as_py()),
