@@ -56,7 +56,7 @@ PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 def word_counts(texts: pa.Array) -> list[Counter]:
     """Counts of each text's words, lower case, without outer punctuation."""
     codes, starts, vocab = common.words_of(texts)
-    names = [w.lower().strip(PUNCTUATION) for w in vocab.to_pylist()]
+    names = [w.lower().strip(PUNCTUATION) for w in common.strings(vocab)]
     out = []
     for a, b in zip(starts[:-1].tolist(), starts[1:].tolist()):
         have, n = np.unique(codes[a:b], return_counts=True)
@@ -144,7 +144,7 @@ class Model:
     def score(self, texts: pa.Array) -> np.ndarray:
         """P(grade >= k) of each text."""
         codes, starts, vocab = common.words_of(texts)
-        known = np.array([self.words.get(w.lower().strip(PUNCTUATION), -1) for w in vocab.to_pylist()], np.int64)
+        known = np.array([self.words.get(w.lower().strip(PUNCTUATION), -1) for w in common.strings(vocab)], np.int64)
         doc = np.repeat(np.arange(len(texts)), np.diff(starts))
         word = known[codes] if len(codes) else np.zeros(0, np.int64)
         hit = word >= 0
