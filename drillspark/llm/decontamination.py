@@ -333,7 +333,7 @@ def _searcher(packed: list[bytes], stride: int, text_col: str, threshold: float,
         if not shards:
             shards.extend(Shard.build(pa.ipc.open_stream(p).read_all(), threshold) for p in packed)
         words, starts, vocab = common.words_of(common.clean_texts(piece.column(text_col)))
-        vocab = [term(v) for v in vocab.to_pylist()]
+        vocab = [term(v) for v in common.strings(vocab)]
         best: list[dict] = [{} for _ in range(piece.num_rows)]
         for n, shard in enumerate(shards):
             for doc, first, item, score in shard.search(words, starts, vocab, stride, threshold):
