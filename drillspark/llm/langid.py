@@ -206,7 +206,7 @@ def gram_counts(df: DataFrame, text_col: str, lang_col: str) -> DataFrame:
         for batch in batches:
             for piece in common.pieces(batch, "text"):
                 langs = np.array(piece.column("lang").to_pylist(), object)
-                texts = [c for t in common.clean_texts(piece.column("text")).to_pylist() for c in [_cuts(t)]]
+                texts = [c for t in common.strings(common.clean_texts(piece.column("text"))) for c in [_cuts(t)]]
                 langs = np.repeat(langs, [len(c) for c in texts])
                 for first, counts, names in dense_counts([p for c in texts for p in c], letters):
                     mine = langs[first : first + len(counts)]
@@ -256,7 +256,7 @@ def identify(df: DataFrame, profiles: Profiles, text_col: str = "text", keep: li
     def work(piece: pa.RecordBatch) -> list:
         if not letters:
             letters.append(Letters())
-        langs, scores = profiles.predict(common.clean_texts(piece.column(text_col)).to_pylist(), letters[0])
+        langs, scores = profiles.predict(common.strings(common.clean_texts(piece.column(text_col))), letters[0])
         return [pa.array(langs, pa.string()), pa.array(scores, pa.float64())]
 
     return common.add_columns(df, text_col, fields, work, keep)
