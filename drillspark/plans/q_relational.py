@@ -473,7 +473,7 @@ def r18(spark, sf):
     months = spark.range(1).select(F.explode(F.array(*[F.lit(m) for m in range(1, 7)])).alias("m")).select(
         F.make_date(F.lit(1998), F.col("m"), F.lit(1)).alias("month")
     )
-    grid = targets.crossJoin(months)  # 3 literal targets x 6 literal months
+    grid = targets.crossJoin(F.broadcast(months))  # 3 literal targets x 6 literal months
     lo, hi = F.lit("1998-01-01").cast("timestamp_ntz"), F.lit("1998-07-01").cast("timestamp_ntz")
     actual = (
         o.where((F.col("o_orderdate") >= lo) & (F.col("o_orderdate") < hi))
