@@ -217,27 +217,30 @@ def _roots(count: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def verify_block(
-    keys: list[bytes], sets: list[np.ndarray], bands: np.ndarray, copies: np.ndarray, block: np.ndarray, band: int, threshold: float
+    keys: list[bytes], sets: list[np.ndarray], bands: np.ndarray, copies: np.ndarray, block: np.ndarray, i: int, j: int, band: int, threshold: float
 ) -> list[tuple[bytes, bytes, int]]:
-    """(member, member it is connected to, links) for one pair of blocks: all
-    pairs of one block with itself, or of the first block with the second."""
-    first, second = np.flatnonzero(block == block.min()), np.flatnonzero(block == block.max())
+    """(member, member it is connected to, links) for the pair of blocks
+    (``i``, ``j``): all pairs of one block with itself, or of the first block
+    with the second (none if either has no member)."""
+    first, second = np.flatnonzero(block == i), np.flatnonzero(block == j)
+    if not len(first) or not len(second):
+        return []
     sizes = np.array([len(s) for s in sets])
     shared = shared_counts([sets[i] for i in first], [sets[i] for i in second])
     total = sizes[first][:, None] + sizes[second][None, :] - shared
     x, y = np.nonzero(shared >= threshold * total - 1e-6)
     x, y = first[x], second[y]
-    once = x < y if block.min() == block.max() else np.ones(len(x), bool)
+    once = x < y if i == j else np.ones(len(x), bool)
     x, y = x[once], y[once]
     links = np.zeros(len(keys), np.int64)
     for at in range(0, len(x), 1 << 18):
-        i, j = x[at : at + (1 << 18)], y[at : at + (1 << 18)]
-        new = ~(bands[i, :band] == bands[j, :band]).any(axis=1)
-        np.add.at(links, i[new], copies[j[new]])
-        np.add.at(links, j[new], copies[i[new]])
+        a, b = x[at : at + (1 << 18)], y[at : at + (1 << 18)]
+        new = ~(bands[a, :band] == bands[b, :band]).any(axis=1)
+        np.add.at(links, a[new], copies[b[new]])
+        np.add.at(links, b[new], copies[a[new]])
     root = _roots(len(keys), x, y)
     linked = np.unique(np.concatenate([x, y]))
-    return [(keys[i], keys[root[i]], int(links[i])) for i in linked.tolist()]
+    return [(keys[k], keys[root[k]], int(links[k])) for k in linked.tolist()]
 
 
 def _groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
@@ -279,7 +282,9 @@ def _verify(members: DataFrame, threshold: float) -> DataFrame:
                 np.array(common.int_lists(rows["bands"].combine_chunks()), np.int64),
                 rows["copies"].to_numpy(),
                 block,
-                int(rows["band"][0].as_py()),
+                rows["i"][0].as_py(),
+                rows["j"][0].as_py(),
+                rows["band"][0].as_py(),
                 threshold,
             )
             if len(made) >= 10_000:

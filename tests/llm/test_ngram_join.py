@@ -88,6 +88,15 @@ def test_block_pairs_give_the_same(spark, rows):
     assert run(spark, rows, block_members=4, block_grams=2000) == sorted(brute(rows), key=key)
 
 
+def test_blocks_without_a_member_count_nothing(spark):
+    rng = random.Random(7)
+    rows = []
+    for group in range(16):  # two or three near copies each, dealt to more blocks than they fill
+        base = " ".join(f"g{group}w{i}" for i in range(300))
+        rows += [(10 * group + i, near(rng, base, 2)) for i in range(2 + group % 2)]
+    assert run(spark, rows, block_grams=120) == sorted(brute(rows), key=key)
+
+
 def test_hot_group_of_near_copies_stays_linear(spark):
     rng = random.Random(5)
     base = " ".join(f"w{i}" for i in range(400))
