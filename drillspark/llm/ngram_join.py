@@ -344,8 +344,9 @@ def ngram_join(
 ) -> DataFrame:
     """One row per document: its id, ``rk`` (hash of id and text), ``class_id``
     (smallest id among all documents connected to it by links), ``rep_id``
-    (smallest id with the same n-gram set) and ``n_links`` (documents linked
-    to it, copies included)."""
+    (smallest id with the same n-gram set), ``n_links`` (documents linked to
+    it, copies included), ``set_key`` and ``label`` (the smallest ``set_key``
+    of its class, which names the class whatever the ids; null for a null text)."""
     bands, rows = choose_bands(threshold, recall)
     docs = documents.select(
         F.col(id_col).alias("id"), F.xxhash64(id_col, text_col).alias("rk"), F.col(text_col).alias("text")
@@ -417,7 +418,7 @@ def ngram_join(
     smallest = labelled.groupBy("label").agg(F.min("rep_id").alias("class_id"))
     result = checkpointed(
         labelled.join(smallest, "label").select(
-            "set_key", "class_id", "rep_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")
+            "set_key", "label", "class_id", "rep_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")
         )
     )
     alone = F.col("set_key").isNull()
@@ -431,6 +432,7 @@ def ngram_join(
             F.when(alone, F.col("id")).otherwise(F.col("rep_id")).alias("rep_id"),
             F.coalesce("n_links", F.lit(0)).alias("n_links"),
             "set_key",
+            "label",
         )
     )
 
@@ -439,14 +441,13 @@ def drop_near_copies(documents: DataFrame, id_col: str = "doc_id", text_col: str
     """``documents`` with one row of each class left: a row with the smallest
     id (of rows that share it the one with the smallest hash, once). Rows with
     a null text all stay. Columns are unchanged."""
-    joined = checkpointed(ngram_join(documents, id_col, text_col, **options).where("set_key IS NOT NULL"))
-    rows = joined.groupBy("rk", "class_id", id_col).agg(F.count(F.lit(1)).alias("times"), F.first("set_key").alias("set_key"))
-    # the class, named by its id and, where that is null, by the set
-    name = [F.col("class_id"), F.when(F.col("class_id").isNull(), F.col("set_key"))]
+    joined = checkpointed(ngram_join(documents, id_col, text_col, **options).where("label IS NOT NULL"))
+    # classes go by label: ids may be null or repeated
+    rows = joined.groupBy("rk", "label", id_col).agg(F.count(F.lit(1)).alias("times"))
     order = F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("i"), F.col("rk").alias("r"))
-    keepers = rows.groupBy(name[0].alias("c"), name[1].alias("s")).agg(F.min(order).alias("best"))
+    keepers = rows.groupBy("label").agg(F.min(order).alias("best"))
     judged = checkpointed(
-        rows.join(keepers, F.col("class_id").eqNullSafe(F.col("c")) & name[1].eqNullSafe(F.col("s"))).select(
+        rows.join(keepers, "label").select(
             F.col("rk").alias("__rk"),
             F.col(id_col).alias("__id"),
             (F.col("best.r") == F.col("rk")).alias("__stays"),

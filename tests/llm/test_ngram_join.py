@@ -134,6 +134,26 @@ def test_drop_near_copies(spark, rows):
     assert {g[0] for g in got if g[1] is not None} == set(classes)
 
 
+def test_drop_near_copies_with_repeated_and_null_ids(spark, rows):
+    rng = random.Random(11)
+    texts = [" ".join(f"t{k}w{i}" for i in range(120)) for k in range(4)]
+    more = [(7000, texts[0]), (7000, texts[1]), (7000, near(rng, texts[1], 1)), (7001, near(rng, texts[0], 1))]
+    more += [(None, t) for t in (texts[2], near(rng, texts[2], 1), near(rng, texts[2], 1), texts[3], texts[3])]
+    more += [(None, near(rng, texts[1], 1))]
+    rows = [*rows, *more]
+    kept = nj.drop_near_copies(docs(spark, [t for _, t in rows], ids=[i for i, _ in rows])).collect()
+    classes = {}  # by the position of their first row
+    for (doc, text), (_, c, _, _) in zip(rows, brute([(k, t) for k, (_, t) in enumerate(rows)])):
+        if text is not None:
+            classes.setdefault(c, []).append((doc, text))
+    of = {text: c for c, members in classes.items() for _, text in members}
+    got = [(r.doc_id, r.text) for r in kept if r.text is not None]
+    assert sorted(of[t] for _, t in got) == sorted(classes)
+    for doc, text in got:
+        assert (doc, text) in classes[of[text]]
+        assert doc == min((i for i, _ in classes[of[text]] if i is not None), default=None)
+
+
 def test_empty_table(spark, rows):
     d = docs(spark, ["a"]).limit(0)
     assert nj.ngram_join(d).count() == 0 and nj.drop_near_copies(d).count() == 0
