@@ -5,7 +5,9 @@ Index. Items are tokenised (white space, lower case, punctuation at word ends
 cut off), weighted by BM25 and divided by the item's score for its own text, so
 an item that occurs whole scores 1 whatever its length. Postings lie in blocks
 of ``BLOCK_ITEMS`` items with the largest weight of each term in each block.
-Items are dealt into shards of about ``SHARD_ITEMS``.
+Items are dealt into shards of about ``SHARD_ITEMS`` items, ``SHARD_BYTES`` of
+text and ``SHARD_POSTINGS`` postings, whichever makes more of them; a shard holds
+the text of an item once.
 
 Search. A text is read as overlapping passages of twice the longest item, so
 every stretch as long as an item lies whole within one. For a passage only
@@ -48,6 +50,8 @@ OVERLAP = 0.5
 GRAM = 3
 BLOCK_ITEMS = 8
 SHARD_ITEMS = 2048
+SHARD_BYTES = 8 << 20
+SHARD_POSTINGS = 1 << 18
 SHIP_BYTES = 64 << 20  # most of the index that goes with one pass over the texts
 LEAST_STRIDE = 32
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -113,19 +117,17 @@ class Shard:
     pivot_block: np.ndarray
 
     @classmethod
-    def build(cls, rows: pa.Table, threshold: float) -> Shard:
-        """From (uid, item_id, text, term, weight) rows."""
-        data = rows.select(["uid", "item_id", "text", "term", "weight"]).to_pylist()
-        first = {}
-        for r in data:
-            first.setdefault(r["uid"], r)
+    def build(cls, items: pa.Table, postings: pa.Table, threshold: float) -> Shard:
+        """From (uid, item_id, text) and (uid, term, weight) rows."""
+        first = {r["uid"]: r for r in items.to_pylist()}
         # alike items share blocks, so block maxima stay close to their items'
         order = sorted(first, key=lambda u: (len(first[u]["text"]), u))
         number = {u: i for i, u in enumerate(order)}
-        terms = {t: i for i, t in enumerate(sorted({r["term"] for r in data}))}
-        t = np.array([terms[r["term"]] for r in data], np.int64)
-        i = np.array([number[r["uid"]] for r in data], np.int64)
-        w = np.array([r["weight"] for r in data])
+        words = postings["term"].to_pylist()
+        terms = {t: i for i, t in enumerate(sorted(set(words)))}
+        t = np.array([terms[x] for x in words], np.int64)
+        i = np.array([number[u] for u in postings["uid"].to_pylist()], np.int64)
+        w = postings["weight"].to_numpy()
         place = np.lexsort((i, t))
         t, i, w = t[place], i[place], w[place]
         blocks = -(-len(order) // BLOCK_ITEMS)
@@ -213,7 +215,7 @@ class Shard:
 
 @dataclass
 class Index:
-    """The written index: one row a shard (``shard``: its packed rows), the
+    """The written index: one row a shard (its packed items and postings), the
     stride of passages and the bytes of each shard."""
 
     table: DataFrame
@@ -222,51 +224,71 @@ class Index:
 
 
 def _item_terms(items: DataFrame) -> DataFrame:
-    """(uid, item_id, text, words, term, tf) of ``items`` (uid, item_id, text)."""
-    kinds = {f.name: f.dataType.simpleString() for f in items.schema}
+    """(uid, words, term, tf) of ``items`` (uid, text), without the texts: a
+    batch holds the terms of one piece of texts."""
 
     def count(batches):
         from collections import Counter
 
         for batch in batches:
-            out = []
-            for r, text in zip(batch.to_pylist(), common.clean_texts(batch.column("text")).to_pylist()):
-                words = [term(w) for w in text.split()]
-                out += [r | {"text": text, "words": len(words), "term": w, "tf": n} for w, n in Counter(words).items()]
-            schema = pa.schema([*batch.schema, ("words", pa.int64()), ("term", pa.string()), ("tf", pa.int64())])
-            yield pa.RecordBatch.from_pylist(out, schema)
-
-    return items.mapInArrow(
-        count, f"uid {kinds['uid']}, item_id {kinds['item_id']}, text {kinds['text']}, words long, term string, tf long"
-    )
+            for piece in common.pieces(batch, "text"):
+                uids, lengths, terms, tfs = [], [], [], []
+                for uid, text in zip(piece.column("uid").to_pylist(), common.strings(common.clean_texts(piece.column("text")))):
+                    words = [term(w) for w in text.split()]
+                    found = Counter(words)
+                    uids += [uid] * len(found)
+                    lengths += [len(words)] * len(found)
+                    terms += found.keys()
+                    tfs += found.values()
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(uids, pa.int64()), pa.array(lengths, pa.int64()), pa.array(terms, pa.string()), pa.array(tfs, pa.int64())],
+                    ["uid", "words", "term", "tf"],
+                )
+
+    return items.mapInArrow(count, "uid long, words long, term string, tf long")
+
+
+def _stream(rows: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_table(rows)
+    return sink.getvalue().to_pybytes()
 
 
 def build_index(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> Index:
     """Weigh and pack the items of ``benchmark``."""
-    items = benchmark.select(
-        F.monotonically_increasing_id().alias("uid"), F.col(id_col).alias("item_id"), F.col(text_col).alias("text")
+    # written, as the numbers of the rows must hold for both of its uses
+    items = checkpointed(
+        benchmark.select(
+            F.monotonically_increasing_id().alias("uid"), F.col(id_col).alias("item_id"), F.col(text_col).alias("text")
+        )
     )
-    terms = checkpointed(_item_terms(items))
-    shape = terms.groupBy("uid").agg(F.first("words").alias("words"))
-    n, mean, longest = shape.agg(F.count(F.lit(1)), F.avg("words"), F.max("words")).first()
-    shards = max(1, -(-n // SHARD_ITEMS))
+    terms = checkpointed(_item_terms(items.select("uid", "text")))
+    shape = terms.groupBy("uid").agg(F.first("words").alias("words"), F.count(F.lit(1)).alias("postings"))
+    n, mean, longest, postings = shape.agg(F.count(F.lit(1)), F.avg("words"), F.max("words"), F.sum("postings")).first()
+    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards = max(1, -(-n // SHARD_ITEMS), -(-size // SHARD_BYTES), -(-(postings or 0) // SHARD_POSTINGS))
     rarity = terms.groupBy("term").agg(F.log(1 + (F.lit(n) - F.count(F.lit(1)) + 0.5) / (F.count(F.lit(1)) + 0.5)).alias("idf"))
     tf = F.col("tf").cast("double")
     raw = F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("words") / F.lit(mean or 1.0)))
     weighed = terms.join(rarity, "term").withColumn("raw", raw)
     own = weighed.groupBy("uid").agg(F.sum("raw").alias("own"))
     weighed = weighed.join(own, "uid").withColumn("weight", F.col("raw") / F.col("own"))
-    weighed = weighed.withColumn("shard", F.pmod(F.xxhash64("uid"), F.lit(shards)).cast("int"))
-
-    def pack(table: pa.Table) -> pa.Table:
-        rows = table.select(["uid", "item_id", "text", "term", "weight"])
-        sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-            out.write_table(rows)
-        return pa.table({"shard": table["shard"][:1], "rows": pa.array([sink.getvalue().to_pybytes()], pa.binary())})
-
-    table = checkpointed(weighed.groupBy("shard").applyInArrow(pack, "shard int, rows binary"))
-    sizes = {r[0]: r[1] for r in table.select("shard", F.octet_length("rows")).collect()}  # one row a shard
+    shard = F.pmod(F.xxhash64("uid"), F.lit(shards)).cast("int").alias("shard")
+    weighed = weighed.select(shard, "uid", "term", "weight")
+    texts = items.join(shape.select("uid"), "uid").select(shard, "uid", "item_id", "text")
+
+    def pack(texts: pa.Table, postings: pa.Table) -> pa.Table:
+        texts = texts.combine_chunks()
+        place = texts.schema.get_field_index("text")
+        clean = pa.chunked_array([common.clean_texts(c) for c in texts["text"].chunks], pa.string())
+        made = [_stream(texts.set_column(place, "text", clean).drop_columns(["shard"])), _stream(postings.drop_columns(["shard"]))]
+        return pa.table({"shard": texts["shard"][:1], "items": pa.array(made[:1], pa.binary()), "postings": pa.array(made[1:], pa.binary())})
+
+    both = texts.groupBy("shard").cogroup(weighed.groupBy("shard"))
+    table = checkpointed(both.applyInArrow(pack, "shard int, items binary, postings binary"))
+    # one row a shard
+    sizes = {r[0]: r[1] for r in table.select("shard", F.octet_length("items") + F.octet_length("postings")).collect()}
     return Index(table, max(LEAST_STRIDE, longest or 0), sizes)
 
 
@@ -306,7 +328,7 @@ def find_matches(
     out = df
     kept = df.columns if keep is None else keep
     for k, group in enumerate(groups):
-        packed = [bytes(r[0]) for r in index.table.where(F.col("shard").isin(group)).select("rows").collect()]
+        packed = [(bytes(r[0]), bytes(r[1])) for r in index.table.where(F.col("shard").isin(group)).select("items", "postings").collect()]
         if id_type is None:
             id_type = _id_type(packed)
         last = k == len(groups) - 1
@@ -319,19 +341,19 @@ def find_matches(
     return out.select(*[c for c in out.columns if c in kept and c != "matches"], merged.alias("matches"))
 
 
-def _id_type(packed: list[bytes]):
+def _id_type(packed: list[tuple[bytes, bytes]]):
     from pyspark.sql.pandas.types import from_arrow_type
     from pyspark.sql.types import LongType
 
-    return from_arrow_type(pa.ipc.open_stream(packed[0]).schema.field("item_id").type) if packed else LongType()
+    return from_arrow_type(pa.ipc.open_stream(packed[0][0]).schema.field("item_id").type) if packed else LongType()
 
 
-def _searcher(packed: list[bytes], stride: int, text_col: str, threshold: float, least: float):
+def _searcher(packed: list[tuple[bytes, bytes]], stride: int, text_col: str, threshold: float, least: float):
     shards: list[Shard] = []
 
     def work(piece: pa.RecordBatch) -> list:
         if not shards:
-            shards.extend(Shard.build(pa.ipc.open_stream(p).read_all(), threshold) for p in packed)
+            shards.extend(Shard.build(*(pa.ipc.open_stream(p).read_all() for p in pair), threshold) for pair in packed)
         words, starts, vocab = common.words_of(common.clean_texts(piece.column(text_col)))
         vocab = [term(v) for v in common.strings(vocab)]
         best: list[dict] = [{} for _ in range(piece.num_rows)]

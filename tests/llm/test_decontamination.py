@@ -91,6 +91,30 @@ def test_many_shards_and_parts(spark, data, monkeypatch):
     same(run(spark, data, ship_bytes=1), brute(*data))
 
 
+def test_an_item_of_many_terms_is_held_once(spark):
+    rng = random.Random(4)
+    words = [f"word{i}" for i in range(2_000)]
+    items = [(k, " ".join(rng.sample(words, 900)) + f" end{k}.") for k in range(300)]
+    rows = spark.createDataFrame([(k, k, t) for k, t in items], "uid long, item_id long, text string")
+    found = dc._item_terms(rows)
+    assert "text" not in found.columns and found.count() == 300 * 901
+    index = dc.build_index(rows)
+    assert len(index.sizes) == 2  # 270,300 postings
+    assert sum(index.sizes.values()) < 3 * sum(len(t) for _, t in items)
+    out = dc.find_matches(docs(spark, [items[7][1], "other " + items[250][1]]), index, keep=["doc_id"]).collect()
+    assert [[m.item_id for m in r.matches] for r in sorted(out, key=lambda r: r.doc_id)] == [[7], [250]]
+
+
+def test_shards_by_bytes_and_postings(spark, data, monkeypatch):
+    want = brute(*data)
+    for name in ("SHARD_BYTES", "SHARD_POSTINGS"):
+        with monkeypatch.context() as m:
+            m.setattr(dc, name, 300)
+            index = dc.build_index(spark.createDataFrame(data[1], "item_id long, text string"))
+            assert len(index.sizes) > 2
+            same(run(spark, data), want)
+
+
 def test_split_item():
     assert dc.split_item("One two three. Four five!") == (["one", "two", "three"], ["four", "five"])
     assert dc.split_item("Q here\nAnswer: yes no")[1] == ["yes", "no"]
