@@ -6,11 +6,13 @@ cut off), weighted by BM25 and divided by the item's score for its own text, so
 an item that occurs whole scores 1 whatever its length. Postings lie in blocks
 of ``BLOCK_ITEMS`` items with the largest weight of each term in each block.
 Items are dealt into shards of about ``SHARD_ITEMS`` items, ``SHARD_BYTES`` of
-text and ``SHARD_POSTINGS`` postings, whichever makes more of them; a shard holds
+text and ``SHARD_POSTINGS`` postings, whichever makes more of them, apart by grade:
+items of up to ``GRADE_WORDS`` words, up to twice as many, and so on. A shard holds
 the text of an item once.
 
-Search. A text is read as overlapping passages of twice the longest item, so
-every stretch as long as an item lies whole within one. For a passage only
+Search. For each grade a text is read as overlapping passages of twice its
+longest item, so every stretch as long as an item lies whole within one, and
+the passages of short items are short whatever else is in the benchmark. For a passage only
 blocks with a *pivot* posting are opened: the weights of an item's terms, small
 ones first, are summed up; as long as the sum is below the threshold no set of
 these terms can reach it, so a passage must hold one of the others. Of an open
@@ -52,6 +54,7 @@ BLOCK_ITEMS = 8
 SHARD_ITEMS = 2048
 SHARD_BYTES = 8 << 20
 SHARD_POSTINGS = 1 << 18
+GRADE_WORDS = 64
 SHIP_BYTES = 64 << 20  # most of the index that goes with one pass over the texts
 LEAST_STRIDE = 32
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -219,7 +222,7 @@ class Index:
     stride of passages and the bytes of each shard."""
 
     table: DataFrame
-    stride: int
+    strides: dict[int, int]
     sizes: dict[int, int]
 
 
@@ -265,18 +268,28 @@ def build_index(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "
     )
     terms = checkpointed(_item_terms(items.select("uid", "text")))
     shape = terms.groupBy("uid").agg(F.first("words").alias("words"), F.count(F.lit(1)).alias("postings"))
-    n, mean, longest, postings = shape.agg(F.count(F.lit(1)), F.avg("words"), F.max("words"), F.sum("postings")).first()
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    shards = max(1, -(-n // SHARD_ITEMS), -(-size // SHARD_BYTES), -(-(postings or 0) // SHARD_POSTINGS))
+    texts = items.join(shape, "uid")
+    grade = F.ceil(F.log2(F.greatest(F.col("words") / GRADE_WORDS, F.lit(1.0)))).cast("int")
+    grades = texts.groupBy(grade.alias("grade")).agg(
+        F.count(F.lit(1)), F.sum("words"), F.max("words"), F.sum("postings"), F.sum(F.octet_length("text"))
+    )
+    n, total, shard, strides = 0, 0, F.lit(0), {}
+    for g, count, words, longest, postings, size in grades.orderBy("grade").collect():  # a row for each doubling
+        shards = max(-(-count // SHARD_ITEMS), -(-size // SHARD_BYTES), -(-postings // SHARD_POSTINGS))
+        own = F.pmod(F.xxhash64("uid"), F.lit(shards)) + len(strides)
+        shard = F.when(grade == g, own).otherwise(shard)
+        strides |= {len(strides) + k: max(LEAST_STRIDE, longest) for k in range(shards)}
+        n, total = n + count, total + words
+    mean = total / n if n else 1.0
     rarity = terms.groupBy("term").agg(F.log(1 + (F.lit(n) - F.count(F.lit(1)) + 0.5) / (F.count(F.lit(1)) + 0.5)).alias("idf"))
     tf = F.col("tf").cast("double")
-    raw = F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("words") / F.lit(mean or 1.0)))
+    raw = F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("words") / F.lit(mean)))
     weighed = terms.join(rarity, "term").withColumn("raw", raw)
     own = weighed.groupBy("uid").agg(F.sum("raw").alias("own"))
     weighed = weighed.join(own, "uid").withColumn("weight", F.col("raw") / F.col("own"))
-    shard = F.pmod(F.xxhash64("uid"), F.lit(shards)).cast("int").alias("shard")
+    shard = shard.cast("int").alias("shard")
     weighed = weighed.select(shard, "uid", "term", "weight")
-    texts = items.join(shape.select("uid"), "uid").select(shard, "uid", "item_id", "text")
+    texts = texts.select(shard, "uid", "item_id", "text")
 
     def pack(texts: pa.Table, postings: pa.Table) -> pa.Table:
         texts = texts.combine_chunks()
@@ -289,7 +302,7 @@ def build_index(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "
     table = checkpointed(both.applyInArrow(pack, "shard int, items binary, postings binary"))
     # one row a shard
     sizes = {r[0]: r[1] for r in table.select("shard", F.octet_length("items") + F.octet_length("postings")).collect()}
-    return Index(table, max(LEAST_STRIDE, longest or 0), sizes)
+    return Index(table, strides, sizes)
 
 
 def match_fields(id_type) -> list[StructField]:
@@ -328,14 +341,16 @@ def find_matches(
     out = df
     kept = df.columns if keep is None else keep
     for k, group in enumerate(groups):
-        packed = [(bytes(r[0]), bytes(r[1])) for r in index.table.where(F.col("shard").isin(group)).select("items", "postings").collect()]
+        rows = index.table.where(F.col("shard").isin(group)).collect()
+        packed = [(bytes(r.items), bytes(r.postings)) for r in rows]
+        strides = [index.strides[r.shard] for r in rows]
         if id_type is None:
             id_type = _id_type(packed)
         last = k == len(groups) - 1
         fields = [StructField(f"__matches{k}", match_fields(id_type)[0].dataType)]
         found = [f"__matches{j}" for j in range(k)]
         columns = [*kept, *found] if last else [*dict.fromkeys([*kept, text_col]), *found]
-        out = common.add_columns(out, text_col, fields, _searcher(packed, index.stride, text_col, threshold, least), columns)
+        out = common.add_columns(out, text_col, fields, _searcher(packed, strides, text_col, threshold, least), columns)
     parts = [F.col(f"__matches{j}") for j in range(len(groups))]
     merged = F.concat(*parts) if len(parts) > 1 else parts[0]
     return out.select(*[c for c in out.columns if c in kept and c != "matches"], merged.alias("matches"))
@@ -348,7 +363,7 @@ def _id_type(packed: list[tuple[bytes, bytes]]):
     return from_arrow_type(pa.ipc.open_stream(packed[0][0]).schema.field("item_id").type) if packed else LongType()
 
 
-def _searcher(packed: list[tuple[bytes, bytes]], stride: int, text_col: str, threshold: float, least: float):
+def _searcher(packed: list[tuple[bytes, bytes]], strides: list[int], text_col: str, threshold: float, least: float):
     shards: list[Shard] = []
 
     def work(piece: pa.RecordBatch) -> list:
@@ -357,7 +372,7 @@ def _searcher(packed: list[tuple[bytes, bytes]], stride: int, text_col: str, thr
         words, starts, vocab = common.words_of(common.clean_texts(piece.column(text_col)))
         vocab = [term(v) for v in common.strings(vocab)]
         best: list[dict] = [{} for _ in range(piece.num_rows)]
-        for n, shard in enumerate(shards):
+        for n, (shard, stride) in enumerate(zip(shards, strides)):
             for doc, first, item, score in shard.search(words, starts, vocab, stride, threshold):
                 end = min(starts[doc + 1], starts[doc] + first + 2 * stride)
                 passage = [vocab[w] for w in words[starts[doc] + first : end].tolist()]

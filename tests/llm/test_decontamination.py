@@ -115,6 +115,20 @@ def test_shards_by_bytes_and_postings(spark, data, monkeypatch):
             same(run(spark, data), want)
 
 
+def test_a_long_item_leaves_the_passages_of_short_ones(spark, data):
+    filler = " ".join(f"filler{i}" for i in range(3_000))
+    short = "where did the grey ship land that winter\nAnswer: beside the northern pier"
+    long = " ".join(f"long{i}" for i in range(6_000)) + "\nAnswer: nothing of the kind"
+    question, answer = short.split("\nAnswer: ")
+    texts = [f"{question} {filler} {answer}", f"{filler} {short} {filler}", f"{filler} {long} {filler}"]
+    items = [(1, short), *data[1][:20]]
+    for more in ([], [(2, long)]):
+        index = dc.build_index(spark.createDataFrame(items + more, "item_id long, text string"))
+        out = dc.find_matches(docs(spark, texts), index, keep=["doc_id"]).collect()
+        got = {r.doc_id: [m.item_id for m in r.matches] for r in out}
+        assert got == {0: [], 1: [1], 2: [2] if more else []}
+
+
 def test_split_item():
     assert dc.split_item("One two three. Four five!") == (["one", "two", "three"], ["four", "five"])
     assert dc.split_item("Q here\nAnswer: yes no")[1] == ["yes", "no"]
