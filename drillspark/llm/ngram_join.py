@@ -445,7 +445,8 @@ def drop_near_copies(documents: DataFrame, id_col: str = "doc_id", text_col: str
     # classes go by label: ids may be null or repeated
     rows = joined.groupBy("rk", "label", id_col).agg(F.count(F.lit(1)).alias("times"))
     order = F.struct(F.col(id_col).isNull().alias("n"), F.col(id_col).alias("i"), F.col("rk").alias("r"))
-    keepers = rows.groupBy("label").agg(F.min(order).alias("best"))
+    # written, so that the join deals out by itself and a large class can be split
+    keepers = checkpointed(rows.groupBy("label").agg(F.min(order).alias("best")))
     judged = checkpointed(
         rows.join(keepers, "label").select(
             F.col("rk").alias("__rk"),
