@@ -32,6 +32,7 @@ from pyspark.sql.types import BinaryType, DoubleType, IntegerType, StructField
 
 from ..session import checkpointed
 from . import common, mixing
+from .mixing import Adam  # by name: tasks take this class along, not the module and what it imports
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -206,7 +207,7 @@ def _bags(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def _train(rows: pa.Table, params: np.ndarray, round_: int, mean: np.ndarray, scale: np.ndarray):
     x, first, y = _bags(rows)
     x = (x - mean) / scale
-    rng, adam = np.random.default_rng(100 + round_), mixing.Adam(len(params), RATE / (1 + round_))
+    rng, adam = np.random.default_rng(100 + round_), Adam(len(params), RATE / (1 + round_))
     for _ in range(EPOCHS):
         order = rng.permutation(len(y))
         for at in range(0, len(order), BATCH):

@@ -39,6 +39,7 @@ from pyspark.sql.types import ArrayType, BooleanType, DoubleType, IntegerType, L
 
 from ..session import checkpointed
 from . import common, mixing
+from .mixing import Adam  # by name: tasks take this class along, not the module and what it imports
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -119,7 +120,7 @@ def _block(rows: pa.Table):
 
 def _train(rows: pa.Table, params: np.ndarray, round_: int, n_words: int):
     at, cols, values, grade, weight = _block(rows)
-    rng, adam = np.random.default_rng(300 + round_), mixing.Adam(len(params), RATE / (1 + round_))
+    rng, adam = np.random.default_rng(300 + round_), Adam(len(params), RATE / (1 + round_))
     for _ in range(EPOCHS):
         order = rng.permutation(len(grade))
         for first in range(0, len(order), BATCH):
