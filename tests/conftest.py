@@ -19,6 +19,12 @@ def spark():
     from drillspark.session import build_session
 
     scratch = tempfile.mkdtemp(prefix="drillspark-tests-")
+    # workers start in this folder, without the repository on their path: what
+    # a task needs must travel with the job
+    os.chdir(scratch)
+    os.environ["PYTHONPATH"] = os.pathsep.join(
+        p for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p and os.path.abspath(p) != ROOT
+    )
     s = build_session(
         "local[4]",
         shuffle_partitions=4,
