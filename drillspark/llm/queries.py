@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import decontamination, langid, mil, mixing, sharding, spm, toxicity, warc
+from . import decontamination, langid, mil, mixing, sharding, spm, toxicity, warc, whitening
 from .common import table_of
 from .compression_bands import compression_bands
 from .ngram_join import ngram_join
@@ -186,3 +186,8 @@ def op10_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = mil.fit(docs, table_of(spark, sf_dir, "labels"))
     scored = mil.score(docs, model, keep=["doc_id"])
     return scored.select("doc_id", mixing.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+@query("op12_bidiagonal_whitening")
+def op12_bidiagonal_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened_components(table_of(spark, sf_dir, "embeddings"), "vec_id")
