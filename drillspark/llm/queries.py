@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import decontamination, langid, mil, mixing, sharding, spm, toxicity, warc, whitening
+from . import ball_search, decontamination, langid, mil, mixing, sharding, spm, toxicity, warc, whitening
 from .common import table_of
 from .compression_bands import compression_bands
 from .ngram_join import ngram_join
@@ -188,6 +188,39 @@ def op10_attention_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", mixing.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+_TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_OP11_SQL = f"""
+WITH d AS (
+  SELECT row_number() OVER () AS uid, doc_id, regexp_extract_all({_LOWER}, '{_TERM}') AS ts FROM documents
+), q AS (
+  SELECT row_number() OVER () AS item, item_id, list_distinct(regexp_extract_all({_LOWER}, '{_TERM}')) AS ts FROM benchmark
+), asked AS (SELECT item, item_id, unnest(ts) AS t FROM q),
+sized AS (SELECT uid, doc_id, len(ts) AS n FROM d WHERE len(ts) > 0),
+shape AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS length FROM sized),
+tf AS (
+  SELECT uid, t, count(*) AS tf FROM (SELECT uid, unnest(ts) AS t FROM d) WHERE t IN (SELECT t FROM asked) GROUP BY uid, t
+), weight AS (
+  SELECT t, CAST(floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1))) AS BIGINT) AS w
+  FROM tf, shape GROUP BY t, docs
+), scored AS (
+  SELECT item, item_id, doc_id, uid,
+    CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // length)))) AS BIGINT) AS score
+  FROM asked JOIN tf USING (t) JOIN weight USING (t) JOIN sized USING (uid), shape
+  GROUP BY item, item_id, doc_id, uid
+)
+SELECT item_id, CAST(row_number() OVER best AS INTEGER) AS rank, doc_id, score
+FROM scored WHERE score > 0
+WINDOW best AS (PARTITION BY item ORDER BY score DESC, doc_id)
+QUALIFY rank <= 10
+"""
+
+
+@query("op11_ball_tree_search", _OP11_SQL)
+def op11_ball_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ball_search.rank_documents(table_of(spark, sf_dir, "documents"), table_of(spark, sf_dir, "benchmark"))
+
+
 @query("op12_bidiagonal_whitening")
 def op12_bidiagonal_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whitened_components(table_of(spark, sf_dir, "embeddings"), "vec_id")
