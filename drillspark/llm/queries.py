@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path
-from . import ball_search, decontamination, langid, mil, mixing, sharding, spm, toxicity, warc, whitening
+from . import ball_search, decontamination, langid, mil, mixing, sharding, spm, suffix_dedup, toxicity, warc, whitening
 from .common import table_of
 from .compression_bands import compression_bands
 from .ngram_join import ngram_join
@@ -224,3 +224,10 @@ def op11_ball_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op12_bidiagonal_whitening")
 def op12_bidiagonal_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whitened_components(table_of(spark, sf_dir, "embeddings"), "vec_id")
+
+
+@query("op13_suffix_array_dedup")
+def op13_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table_of(spark, sf_dir, "documents").select("doc_id", "text")
+    left = suffix_dedup.remove_repeats(docs, keep=["doc_id"])
+    return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
