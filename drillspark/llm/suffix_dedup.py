@@ -20,9 +20,12 @@ written at most k + 1 times.
 
 Matches. Anchors met twice or more are looked up in the runs. Where all runs of an
 anchor are alike, all their windows are repeated. Of the others (the ends of matches),
-alike runs count as one, and their stretches of text are compared window by window:
-in one task where an anchor has at most ``CROWD`` different runs, by a shuffle of the
-windows beyond that. The windows found are the starts; their union is cut out.
+alike runs are repeated and count as one from then on; what is left is narrowed
+down: runs are cut into parts of 32 windows at equal distances from the anchor, parts
+under one key (anchor, distance, and the bytes that windows at these distances share)
+are compared in the same way, then parts of 8 and single windows. All of it is
+counting by key, so an anchor that a third of the texts have is no hot task. The union
+of the windows found is cut out.
 
 Windows count as equal when 64-bit fingerprints agree and those of their anchors, too.
 Arrays are sorted by fingerprints, not by alphabet: an alphabetical array would
@@ -38,6 +41,7 @@ from __future__ import annotations
 
 import sys
 import uuid
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -56,8 +60,7 @@ LENGTH = 200
 ANCHOR = 32
 BATCHES = 4
 SEGMENT = 1 << 18  # windows hashed at once
-CROWD = 256
-CHUNK_BYTES = 4 << 20  # of stretches compared at once
+SIZES = (32, 8, 1)  # windows in a part, round by round; 1 last
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
@@ -218,86 +221,75 @@ class Family:
         return checkpointed(found.groupBy("g").agg(F.max("mixed").alias("mixed")))
 
 
-def _repeated_windows(rows: DataFrame, length: int) -> DataFrame:
-    """(uid, start, run): repeated windows of the rows (g, uid, start, single,
-    stretch) that are ``single``, compared within their g; rows sorted by g."""
-
-    def compare(table: pa.Table):
-        table = table.combine_chunks()
-        g = table["g"].to_numpy()
-        raw, ends = _raw(table["stretch"].chunk(0))
-        owner, place, prints = [], [], []
-        for first, _, window, text, inside in _segments(raw, ends, length):
-            at = np.flatnonzero(inside)
-            owner.append(text[at])
-            place.append(first + at - ends[text[at]])
-            prints.append(window[at])
-        owner, place, prints = np.concatenate(owner), np.concatenate(place), np.concatenate(prints)
-        order = np.lexsort((prints, g[owner]))
-        same = (prints[order][1:] == prints[order][:-1]) & (g[owner[order]][1:] == g[owner[order]][:-1])
-        twice = np.zeros(len(prints), bool)
-        twice[order[1:][same]] = True
-        twice[order[:-1][same]] = True
-        twice &= table["single"].to_numpy()[owner]
-        # consecutive windows of a row as one
-        head = twice.copy()
-        head[1:] &= ~twice[:-1] | (owner[1:] != owner[:-1])
-        heads = np.flatnonzero(head)
-        run = np.add.reduceat(twice, heads) if len(heads) else np.zeros(0)
-        uid, start = table["uid"].to_numpy()[owner[heads]], table["start"].to_numpy()[owner[heads]] + place[heads]
-        made = [pa.array(uid, pa.int64()), pa.array(start, pa.int32()), pa.array(run, pa.int32())]
-        return pa.RecordBatch.from_arrays(made, ["uid", "start", "run"])
+def _ask(asked: DataFrame, texts: DataFrame, length: int, size: int) -> DataFrame:
+    """(key, h, uid, start, run, single) of the parts of the asked-for stretches
+    (key, uid, start, run, single).
 
-    def work(batches):
-        held, size = [], 0
-        for batch in batches:
-            for piece in pieces(batch, "stretch"):
-                held.append(piece)
-                size += piece.column("stretch").nbytes
-                if size < CHUNK_BYTES:
-                    continue
-                table = pa.Table.from_batches(held)
-                g = table["g"].to_numpy()
-                cut = int(np.searchsorted(g, g[-1]))  # the last g may go on
-                if cut:
-                    yield compare(table.slice(0, cut))
-                held, size = table.slice(cut).to_batches(), 0
-        if held:
-            yield compare(pa.Table.from_batches(held))
-
-    return rows.mapInArrow(work, "uid long, start int, run int")
-
-
-def _crowded_windows(rows: DataFrame, length: int) -> DataFrame:
-    """As ``_repeated_windows``, by a shuffle of the windows themselves."""
+    A part holds the windows whose distance from their anchor has one quotient by
+    ``size``. The new key adds that quotient and the bytes that all windows at such
+    distances share, so windows can only be equal under equal keys; h is the
+    fingerprint of the part's whole stretch. Texts are read where they lie: the
+    asked-for rows move to them."""
+    fields = ["key", "uid", "start", "run", "single"]
+    by_text = asked.groupBy("uid").agg(F.collect_list(F.struct("key", "start", "run", "single")).alias("runs"))
+    both = texts.select("uid", "text").join(by_text.hint("shuffle_hash"), "uid")
+    cut = F.expr(f"substring(text, r.start + 1, r.run + {length - 1})").alias("stretch")
+    rows = both.select("uid", "text", F.explode("runs").alias("r")).select("r.key", "uid", "r.start", "r.run", "r.single", cut)
+    width, shared = length - anchor_size(length) + 1, length - size + 1
 
     def work(batches):
         for batch in batches:
             for piece in pieces(batch, "stretch"):
-                g, uid, start = (piece.column(c).to_numpy() for c in ("g", "uid", "start"))
-                single = piece.column("single").to_numpy(zero_copy_only=False)
+                key, uid, start, run, single = (piece.column(c).to_numpy(zero_copy_only=False) for c in fields)
                 raw, ends = _raw(piece.column("stretch"))
-                for first, _, window, text, inside in _segments(raw, ends, length):
-                    at = np.flatnonzero(inside)
-                    t = text[at]
-                    made = [g[t], window[at].view(np.int64), uid[t], (start[t] + first + at - ends[t]).astype(np.int32), single[t]]
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in made], ["g", "w", "uid", "start", "single"])
-
-    windows = checkpointed(rows.mapInArrow(work, "g long, w long, uid long, start int, single boolean"))
-    twice = checkpointed(windows.groupBy("g", "w").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("g", "w"))
-    return windows.where("single").join(twice, ["g", "w"], "left_semi").select("uid", "start", F.lit(1).alias("run"))
-
-
-def _stretches(asked: DataFrame, texts: DataFrame, length: int) -> DataFrame:
-    """(g, uid, start, single, crowded, stretch): the text of each asked-for run."""
-    by_text = asked.groupBy("uid").agg(F.collect_list(F.struct("start", "run", "g", "single", "crowded")).alias("runs"))
-    both = texts.select("uid", "text").join(by_text.hint("shuffle_hash"), "uid")
-    one = F.explode("runs").alias("r")
-    cut = F.expr(f"substring(text, r.start + 1, r.run + {length - 1})")
-    return both.select("uid", "text", one).select("r.g", "uid", "r.start", "r.single", "r.crowded", cut.alias("stretch"))
+                powers = _powers(raw, length)
+                window = _prints(powers, length, len(raw) - length + 1)
+                inner = _prints(powers, shared, len(raw) - shared + 1)
+                anchors = _prints(powers, anchor_size(length), len(raw) - anchor_size(length) + 1)
+                anchor = anchors[ends[:-1, None] + np.arange(width)].argmin(axis=1)
+                # all windows, one row's after the other
+                row = np.repeat(np.arange(len(run)), run)
+                place = np.arange(len(row)) - np.repeat(np.cumsum(run) - run, run)
+                node = (anchor[row] - place) // size
+                head = np.ones(len(row), bool)
+                head[1:] = (row[1:] != row[:-1]) | (node[1:] != node[:-1])
+                first = np.flatnonzero(head)
+                last = np.append(first[1:], len(row)) - 1
+                row, node, place, count = row[first], node[first], place[first], (last - first + 1).astype(np.int32)
+                at = ends[row] + place
+                common = inner[ends[row] + anchor[row] - node * size]
+                new_key = _mix(_mix(key[row].view(np.uint64), node.astype(np.uint64)), common)
+                h = _mix(_mix(window[at], window[at + count - 1]), count.astype(np.uint64))
+                made = [new_key.view(np.int64), h.view(np.int64), uid[row], (start[row] + place).astype(np.int32), count, single[row]]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in made], ["key", "h", "uid", "start", "run", "single"])
+
+    return rows.mapInArrow(work, "key long, h long, uid long, start int, run int, single boolean")
+
+
+def _sort_out(parts: DataFrame, matches: DataFrame) -> tuple[list[DataFrame], DataFrame]:
+    """What is known to be repeated of the parts (key, h, uid, start, run, single), and
+    what must be looked at more closely, given the (key, mixed) met twice or more.
+
+    All parts of a key alike: repeated. Of others, alike ones are repeated and go on
+    as one, which is not ``single``: it only stands for what the single ones may meet."""
+    met = parts.join(matches, "key")
+    met = met.select("uid", "start", "run", "single", "mixed", *[F.when(F.col("mixed"), F.col(c)).alias(c) for c in ("key", "h")])
+    met = checkpointed(met)
+    differing = met.where("mixed")
+    classes = differing.groupBy("key", "h").agg(
+        F.count(F.lit(1)).alias("n"), F.max("single").alias("any"), F.min(F.struct("uid", "start", "run")).alias("one")
+    )
+    classes = checkpointed(classes.select("key", "h", "n", (F.col("any") & (F.col("n") == 1)).alias("single"), "one.*"))
+    alike = classes.where("n > 1").select("key", "h")
+    known = [
+        met.where("single AND NOT mixed").select("uid", "start", "run"),
+        differing.where("single").join(alike, ["key", "h"], "left_semi").select("uid", "start", "run"),
+    ]
+    open_keys = checkpointed(classes.groupBy("key").agg(F.max("single").alias("any")).where("any").select("key"))
+    return known, checkpointed(classes.join(open_keys, "key", "left_semi").select("key", "uid", "start", "run", "single"))
 
 
-def repeated_runs(texts: DataFrame, length: int, batches: int, buckets: int, crowd: int = CROWD) -> DataFrame:
+def repeated_runs(texts: DataFrame, length: int, batches: int, buckets: int, sizes: tuple[int, ...] = SIZES) -> DataFrame:
     """(uid, start, run): windows of the written (uid, text) rows that occur twice,
     as runs of consecutive starts."""
     batch = F.pmod(F.xxhash64("uid"), F.lit(batches)).cast("int").alias("batch")
@@ -309,29 +301,16 @@ def repeated_runs(texts: DataFrame, length: int, batches: int, buckets: int, cro
     family = Family(buckets)
     for b in range(batches):
         family.add(spark.table(name).where(F.col("batch") == b).drop("batch"))
-    matches = family.matches()
-
-    places = _runs(texts, length).join(matches, "g")
-    places = places.select("uid", "start", "run", "mixed", *[F.when(F.col("mixed"), F.col(c)).alias(c) for c in ("g", "h")])
-    places = checkpointed(places)
-    differing = places.where("mixed").select("g", "h", "uid", "start", "run")
-    classes = differing.groupBy("g", "h").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("uid", "start", "run")).alias("one"))
-    classes = checkpointed(classes.select("g", "h", (F.col("n") == 1).alias("single"), "one.*"))
-    alike = classes.where("NOT single").select("g", "h")
-    crowds = checkpointed(classes.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > crowd).select("g"))
-    asked = classes.join(crowds.withColumn("crowded", F.lit(True)), "g", "left").fillna(False, ["crowded"])
-    stretches = checkpointed(_stretches(asked, texts, length))
-    few = stretches.where("NOT crowded").drop("crowded").repartition("g").sortWithinPartitions("g")
-    parts = [
-        places.where("NOT mixed").select("uid", "start", "run"),
-        differing.join(alike, ["g", "h"], "left_semi").select("uid", "start", "run"),
-        _repeated_windows(few, length),
-        _crowded_windows(stretches.where("crowded"), length),
-    ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+
+    runs = _runs(texts, length).withColumnRenamed("g", "key").withColumn("single", F.lit(True))
+    found, asked = _sort_out(runs, family.matches().withColumnRenamed("g", "key"))
+    for size in dict.fromkeys(max(1, min(s, length // 4)) for s in sizes):
+        parts = checkpointed(_ask(asked, texts, length, size))
+        keys = parts.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("h").alias("h"), F.max("h").alias("top"), F.max("single").alias("any"))
+        matches = checkpointed(keys.where("n > 1 AND any").select("key", (F.col("h") != F.col("top")).alias("mixed")))
+        known, asked = _sort_out(parts, matches)
+        found += known
+    return reduce(DataFrame.unionByName, found)
 
 
 def remove_repeats(
@@ -340,7 +319,6 @@ def remove_repeats(
     length: int = LENGTH,
     keep: list[str] | None = None,
     batches: int = BATCHES,
-    crowd: int = CROWD,
 ) -> DataFrame:
     """``df`` (its ``keep`` columns, default all) with ``n_bytes``, ``n_removed``,
     ``n_spans`` (maximal removed stretches) and ``kept`` (the bytes left)."""
@@ -354,7 +332,7 @@ def remove_repeats(
     text = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = _bucketed(df.select(F.monotonically_increasing_id().alias("uid"), row.alias("row"), text.alias("text")), "uid", buckets)
-    found = repeated_runs(texts, length, batches, buckets, crowd)
+    found = repeated_runs(texts, length, batches, buckets)
     by_text = found.groupBy("uid").agg(F.collect_list(F.struct("start", "run")).alias("runs"))
     both = texts.join(by_text.hint("shuffle_hash"), "uid", "left").select("row", "text", "runs")
     out = StructType([*kept, *new])
