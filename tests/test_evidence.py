@@ -7,6 +7,7 @@ import json
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from drillspark.operators import evidence as ev
 from drillspark.operators.similarity import STOP_WORDS, dedup_keep_first, near_duplicate_pairs, statement_tokens
@@ -229,6 +230,80 @@ def test_dedup_keep_first_brute_force(spark):
     assert pairs == brute
 
 
+def _keep_first(texts):
+    kept = []
+    for t in texts:
+        kept.append(not any(_similar(k, t) for k in [x for x, keep in zip(texts, kept) if keep]))
+    return kept
+
+
+@pytest.mark.parametrize("first_prefix,local_edges", [(4, 3), (1000, 3), (7, 500_000)])
+def test_dedup_keep_first_in_small_steps(spark, first_prefix, local_edges):
+    """Several prefixes, and pairs beyond what a task settles: roots, components and cuts."""
+    rnd = random.Random(first_prefix)
+    vocab = [f"word{i}" for i in range(16)]
+    texts = [" ".join(rnd.sample(vocab, rnd.randint(3, 6))) for _ in range(40)]
+    # a chain: each text is near the one before it only
+    texts += [" ".join(f"link{k + j}" for j in range(3)) for k in range(20)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    out = dedup_keep_first(df, "id", "id", "text", first_prefix=first_prefix, local_edges=local_edges)
+    got = {r["id"]: r["kept"] for r in out.collect()}
+    assert [got[i] for i in range(len(texts))] == _keep_first(texts)
+
+
+def test_a_long_chain_is_settled_in_few_tables(spark, monkeypatch):
+    from drillspark.operators import similarity
+
+    written = []
+    monkeypatch.setattr(similarity, "checkpointed", lambda df, keep=similarity.checkpointed: written.append(1) or keep(df))
+    n = 10_000
+    df = spark.range(n).select("id", F.concat_ws(" ", *[F.concat(F.lit("link"), F.col("id") + j) for j in range(3)]).alias("text"))
+    kept = {r["id"] for r in similarity.dedup_keep_first(df, "id", "id", "text").where("kept").collect()}
+    assert kept == set(range(0, n, 2))
+    assert len(written) <= 40
+
+
+def test_a_crowd_of_alike_statements_never_yields_its_pairs(spark, monkeypatch):
+    """Half of the rows are near each other: the first strikes them before their pairs are sought."""
+    from drillspark.operators import similarity
+
+    seen = []
+    settle = similarity._settle
+    monkeypatch.setattr(similarity, "_settle", lambda e, n: seen.append(e.count()) or settle(e, n))
+    texts = [f"alpha beta gamma delta crowd{i}" for i in range(300)] + [f"one{i} two{i} three{i}" for i in range(300)]
+    random.Random(5).shuffle(texts)
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    out = similarity.dedup_keep_first(df, "id", "id", "text", first_prefix=20)
+    assert [r["kept"] for r in out.orderBy("id").collect()] == _keep_first(texts)
+    assert sum(seen) < 20 * 20
+
+
+def test_components_of_chains_and_stars(spark):
+    from drillspark.operators import similarity
+
+    edges = [(i, i + 1) for i in range(0, 40)] + [(100, j) for j in range(101, 120)] + [(130, 150), (140, 150)]
+    df = spark.createDataFrame(edges, "early long, late long")
+    got = {r["node"]: r["component"] for r in similarity._components(df).collect()}
+    assert got == {i: 0 for i in range(41)} | {j: 100 for j in range(100, 120)} | {130: 130, 140: 130, 150: 130}
+
+
+def test_positional_filter_keeps_every_pair(spark):
+    """Random sets of all sizes and thresholds, within one and between two tables."""
+    rnd = random.Random(8)
+    vocab = [f"tok{chr(97 + i)}x" for i in range(18)]
+    texts = [" ".join(rnd.sample(vocab, rnd.randint(1, 16))) for _ in range(70)] + [vocab[0]] * 30
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    left, right = df.where("id < 25"), df.where("id >= 25")
+    sets = [_tokens_py(t) for t in texts]
+    for t in (0.3, 0.6, 1.0):
+        near = {(i, j) for i in range(100) for j in range(i + 1, 100) if len(sets[i] & sets[j]) / min(len(sets[i]), len(sets[j])) >= t}
+        got = near_duplicate_pairs(df, "id", "text", threshold=t).collect()
+        assert sorted((r.id_a, r.id_b) for r in got) == sorted(near)
+        assert all((r.size_a, r.size_b, r.shared) == (len(sets[r.id_a]), len(sets[r.id_b]), len(sets[r.id_a] & sets[r.id_b])) for r in got)
+        both = near_duplicate_pairs(left, "id", "text", right, "id", "text", threshold=t).collect()
+        assert sorted((r.id_a, r.id_b) for r in both) == sorted((i, j) for i, j in near if i < 25 <= j)
+
+
 def test_branch_ids_follow_depth_first_order(spark):
     # c1 has children q2 (first) and q3 (opens a branch, seq 5); c2 under q2 has
     # children q6 (first) and q7 (opens a branch, seq 8). The walk finishes q2's
