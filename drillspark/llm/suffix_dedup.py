@@ -59,7 +59,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 LENGTH = 200
 ANCHOR = 32
 BATCHES = 4
-SEGMENT = 1 << 18  # windows hashed at once
+SEGMENT = 1 << 15  # windows hashed at once: their arrays stay in a core's cache
 SIZES = (32, 8, 1)  # windows in a part, round by round; 1 last
 
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -113,7 +113,9 @@ def _segments(raw: np.ndarray, ends: np.ndarray, length: int):
         count = min(SEGMENT, total - first)
         powers = _powers(raw[first : first + count + length - 1], length)
         place = np.arange(first, first + count)
-        text = np.searchsorted(ends, place, side="right") - 1
+        low, high = np.searchsorted(ends, [first, first + count - 1], side="right")
+        parts = np.clip(ends[low : high + 1], first, first + count) - np.concatenate([[first], ends[low:high]])
+        text = np.repeat(np.arange(low - 1, high), np.maximum(parts, 0))
         yield first, powers, _prints(powers, length, count), text, place + length <= ends[text + 1]
 
 
@@ -239,7 +241,7 @@ def _ask(asked: DataFrame, texts: DataFrame, length: int, size: int) -> DataFram
 
     def work(batches):
         for batch in batches:
-            for piece in pieces(batch, "stretch"):
+            for piece in pieces(batch, "stretch", 1 << 17):
                 key, uid, start, run, single = (piece.column(c).to_numpy(zero_copy_only=False) for c in fields)
                 raw, ends = _raw(piece.column("stretch"))
                 powers = _powers(raw, length)
