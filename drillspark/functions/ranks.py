@@ -7,8 +7,8 @@ and work is redone), and add to each row the total of all earlier partitions.
 That offset table has one row per partition - its size is bounded by the
 partition count, never by the data - so it is broadcast.
 
-Built on it: running sums over distinct values (ranks with ties, exact
-medians and quantiles, Mann-Whitney U) and global row numbers (NTILE).
+Built on it: running sums over distinct values (ranks with ties, Mann-Whitney U)
+and global row numbers. Quantiles need no order of all rows: see ``selection``.
 """
 
 from __future__ import annotations
@@ -21,14 +21,15 @@ import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from ..session import checkpointed
+from .selection import bounds, value_at
 
 # executors get this module's functions with the job and need not import it
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 _PID, _MID = "_rk_pid", "_rk_mid"
-BROADCAST_ROWS = 200_000  # of a few numbers each: what may be broadcast
 
 
 def _sorted_frozen(df: DataFrame, order: Sequence[Column], sums: Sequence[str] = ()) -> DataFrame:
@@ -152,69 +153,29 @@ def exact_quantiles(
     ``{prefix}0, {prefix}1, ...`` (null when the group has no values).
 
     Position h = (n - 1) * p; the answer is x[floor h] + (x[ceil h] - x[floor h])
-    * (h - floor h). Values are counted per distinct (group, value), ranked by
-    one distributed running sum over (group, value), and each group's target
-    positions are looked up with a range condition. No task ever holds a whole
-    group's value map, which an exact ``percentile`` aggregate would need - a
-    group with a third of all rows is spread over many sorted partitions.
+    * (h - floor h). The values at these positions are selected by counting
+    (``selection.value_at``): nothing is sorted and no row is moved.
     """
-    spark = df.sparkSession
     by = list(by)
-    vals = df.select(*by, F.col(value).cast("double").alias("v"))
-    present = vals.where(F.col("v").isNotNull())
-    if by:
-        agg = present.groupBy(*by, "v").agg(F.count(F.lit(1)).alias("cnt"))
-        order = [F.col(b).asc_nulls_first() for b in by] + [F.col("v").asc()]
-        cum = running_sums(agg, order, ["cnt"])
-        starts = _keyed(
-            cum.groupBy(*by).agg(F.min(F.col("cum_cnt") - F.col("cnt")).alias("_g0"), F.sum("cnt").alias("_gn")),
-            by,
-            "_s",
-        )
-        cum = (
-            cum.join(starts, _keys_match(by, None, "_s"))
-            .select(*by, "v", "cnt", (F.col("cum_cnt") - F.col("_g0")).alias("cum_cnt"))
-        )
-        # every group gets a row, also one whose values are all null (n = 0)
-        all_groups = vals.select(*by).distinct()
-        groups = all_groups.join(starts, _keys_match(by, None, "_s"), "left").select(
-            *by, F.coalesce(F.col("_gn"), F.lit(0)).alias("n")
-        )
-    else:
-        cum = value_counts(present, "v").select("v", "cnt", "cum_cnt")
-        groups = present.agg(F.count(F.lit(1)).alias("n"))
-    cum = _keyed(cum.withColumn("cum_prev", F.col("cum_cnt") - F.col("cnt")), by, "_c")
-    probs_df = spark.createDataFrame([(i, float(p)) for i, p in enumerate(probs)], "qi int, p double")
-    targets = (
-        groups.crossJoin(F.broadcast(probs_df))
-        .withColumn("h", (F.col("n") - F.lit(1)).cast("double") * F.col("p"))
-        .withColumn("lo", F.floor("h").cast("long"))
-        .withColumn("hi", F.ceil("h").cast("long"))
-        .withColumn("pos", F.explode(F.array(F.col("lo"), F.col("hi"))))
-    )
-    rng = (F.col("cum_prev") <= F.col("pos")) & (F.col("pos") < F.col("cum_cnt"))
-    if by:
-        # few positions against many values: the values stay where they are, the
-        # positions are sent to them (by a shuffle only if there are too many)
-        targets = checkpointed(targets)
-        sent = targets.where(F.col("n") > 0)
-        found = cum.join(F.broadcast(sent) if sent.count() <= BROADCAST_ROWS else sent, _keys_match(by, None, "_c") & rng)
-        hit = found.unionByName(targets.where(F.col("n") == 0), allowMissingColumns=True)
-    else:
-        hit = F.broadcast(targets).join(cum, rng, "left")
-    per_q = hit.groupBy(*by, "qi", "n", "h", "lo", "hi").agg(
-        F.max(F.when(F.col("pos") == F.col("lo"), F.col("v"))).alias("x_lo"),
-        F.max(F.when(F.col("pos") == F.col("hi"), F.col("v"))).alias("x_hi"),
-    )
-    d = F.col("h") - F.col("lo").cast("double")
-    per_q = per_q.withColumn(
-        "q",
-        F.when(F.col("lo") == F.col("hi"), F.col("x_lo")).otherwise(
-            F.col("x_lo") + (F.col("x_hi") - F.col("x_lo")) * d
-        ),
-    )
-    cols = [F.max(F.when(F.col("qi") == i, F.col("q"))).alias(f"{prefix}{i}") for i in range(len(probs))]
-    return per_q.groupBy(*by).agg(F.max("n").alias("n"), *cols)
+    vals = df.select(*[F.col(b) for b in by], F.col(value).cast("double").alias("_value"))
+    # every group gets a row, also one whose values are all null (n = 0)
+    groups = checkpointed(vals.groupBy(*by).agg(F.count("_value").alias("n"), *bounds(F.col("_value"), DoubleType())))
+    place = lambda p: (F.col("n") - F.lit(1)).cast("double") * F.lit(float(p))
+    wanted = [
+        F.struct(F.lit(2 * i + k).alias("pid"), side(place(p)).cast("long").alias("pos"))
+        for i, p in enumerate(probs)
+        for k, side in enumerate((F.floor, F.ceil))
+    ]
+    targets = groups.where("n > 0").select(*by, F.explode(F.array(*wanted)).alias("_t")).select(*by, "_t.*")
+    got = value_at(vals.where(F.col("_value").isNotNull()), by, "_value", targets, groups.where("n > 0"))
+    at = [F.max(F.when(F.col("pid") == k, F.col("_value"))).alias(f"_x{k}") for k in range(2 * len(probs))]
+    wide = _keyed(got.groupBy(*by).agg(*at), by, "_s")
+    out = groups.join(wide, _keys_match(by, None, "_s"), "left") if by else groups.crossJoin(F.broadcast(wide))  # one row each
+    made = []
+    for i, p in enumerate(probs):
+        low, high, h = F.col(f"_x{2 * i}"), F.col(f"_x{2 * i + 1}"), place(p)
+        made.append(F.when(h == F.floor(h), low).otherwise(low + (high - low) * (h - F.floor(h))).alias(f"{prefix}{i}"))
+    return out.select(*by, "n", *made)
 
 
 def partition_row_numbers(

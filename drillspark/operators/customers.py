@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import (
@@ -18,7 +18,8 @@ from ..functions.columns import (
     truncate,
 )
 from ..functions.numeric import dround
-from ..functions.ranks import ntile_of, row_numbers
+from ..functions.selection import value_at
+from ..session import checkpointed
 
 
 class Result(NamedTuple):
@@ -123,6 +124,36 @@ def funnel(df: DataFrame, entity: str, stage_column: str, steps: Sequence[str])
     return Result(table, metrics)
 
 
+def _fifths(per: DataFrame, measures: dict[str, Column]) -> dict[str, list[tuple]]:
+    """The first (value, entity) of the second to fifth NTILE(5) bucket of each measure,
+    ascending with nulls last, ties by entity."""
+    n = per.count()
+    size, more = divmod(n, 5)
+    starts = [t * size + min(t, more) for t in range(1, 5)]
+    wanted = [(m, t, pos) for m in measures for t, pos in enumerate(starts) if pos < n]
+    if not wanted:
+        return {m: [] for m in measures}
+    spark = per.sparkSession
+    each = F.explode(F.array(*[F.struct(F.lit(m).alias("m"), c.cast("double").alias("v")) for m, c in measures.items()]))
+    rows = per.select("entity", each.alias("_x")).select("entity", "_x.m", "_x.v")
+    values = checkpointed(value_at(rows, ["m"], "v", spark.createDataFrame(wanted, "m string, pid int, pos long"), ties=True))
+    first = value_at(rows, ["m", "v"], "entity", values.withColumnRenamed("rel", "pos"))
+    out: dict[str, list[tuple]] = {m: [] for m in measures}
+    for r in first.select("m", "v", "entity").collect():  # twelve rows at most
+        out[r.m].append((r.v, r.entity))
+    return out
+
+
+def _not_before(value: Column, cut: tuple, dtype: str) -> Column:
+    """(value, entity) is not before ``cut``, ascending with nulls last."""
+
+    def key(v: Column, e: Column) -> Column:
+        parts = {"a": v.isNull(), "b": v.cast("double"), "c": e.isNull(), "d": e}
+        return F.struct(*[c.alias(n) for n, c in parts.items()])
+
+    return key(value, F.col("entity")) >= key(F.lit(cut[0]), F.lit(cut[1]).cast(dtype))
+
+
 class Rfm(NamedTuple):
     scored: DataFrame  # entity, recency_days, frequency, monetary, r/f/m scores
     segments: DataFrame  # rfm_score, entities
@@ -137,9 +168,10 @@ def rfm(df: DataFrame, entity: str, date_column: str, monetary: str, top_segment
     scores are deterministic. A null entity is a group of its own. All segments
     (125 at most) are returned unless ``top_segments`` asks for the largest.
 
-    Scoring needs global ranks over all entities: each NTILE is computed from
-    a global row number made by a range-partitioned sort (no one-partition
-    window), chaining the three sorts so no join is needed.
+    Scores need no sort of all entities: the first entity of each of the four upper
+    fifths is selected by counting (``selection.value_at``), by value and then, among
+    the entities with that value, by entity, for the three measures at once; twelve
+    such rows at most are compared with every entity.
     """
     require_column(df, entity)
     require_temporal(df, date_column)
@@ -157,20 +189,15 @@ def rfm(df: DataFrame, entity: str, date_column: str, monetary: str, top_segment
         .crossJoin(F.broadcast(last_day))
         .select("entity", F.datediff("_last", "_mx").alias("recency_days"), "frequency", "monetary")
     )
-    ent = F.col("entity").asc_nulls_last()
-    r = row_numbers(per, [F.col("recency_days").desc_nulls_last(), ent], "_rn_r")
-    f = row_numbers(r, [F.col("frequency").asc_nulls_last(), ent], "_rn_f")
-    m = row_numbers(f, [F.col("monetary").asc_nulls_last(), ent], "_rn_m")
-    n = m.agg(F.max("_rn_m").alias("_n"))  # row numbers run 1..n
-    scored = m.crossJoin(F.broadcast(n)).select(
-        "entity",
-        "recency_days",
-        "frequency",
-        "monetary",
-        ntile_of(F.col("_rn_r"), F.col("_n"), 5).alias("r_score"),
-        ntile_of(F.col("_rn_f"), F.col("_n"), 5).alias("f_score"),
-        ntile_of(F.col("_rn_m"), F.col("_n"), 5).alias("m_score"),
-    )
+    per = checkpointed(per)
+    # most recent last, so the smallest days come last
+    measures = {"r": -F.col("recency_days"), "f": F.col("frequency"), "m": F.col("monetary")}
+    cuts, dtype = _fifths(per, measures), per.schema["entity"].dataType.simpleString()
+    scores = [
+        (1 + sum((F.when(_not_before(measures[k], cut, dtype), 1).otherwise(0) for cut in cuts[k]), F.lit(0))).cast("long").alias(f"{k}_score")
+        for k in measures
+    ]
+    scored = per.select("entity", "recency_days", "frequency", "monetary", *scores)
     segments = (
         scored.groupBy(
             F.concat_ws("-", F.col("r_score").cast("string"), F.col("f_score").cast("string"), F.col("m_score").cast("string")).alias(
