@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from ..session import checkpointed
-from .selection import bounds, value_at
+from .selection import Held, bounds, value_at
 
 # executors get this module's functions with the job and need not import it
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -159,7 +159,8 @@ def exact_quantiles(
     by = list(by)
     vals = df.select(*[F.col(b) for b in by], F.col(value).cast("double").alias("_value"))
     # every group gets a row, also one whose values are all null (n = 0)
-    groups = checkpointed(vals.groupBy(*by).agg(F.count("_value").alias("n"), *bounds(F.col("_value"), DoubleType())))
+    groups = vals.groupBy(*by).agg(F.count("_value").alias("n"), *bounds(F.col("_value"), DoubleType()))
+    groups = Held(groups).df
     place = lambda p: (F.col("n") - F.lit(1)).cast("double") * F.lit(float(p))
     wanted = [
         F.struct(F.lit(2 * i + k).alias("pid"), side(place(p)).cast("long").alias("pos"))

@@ -21,6 +21,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,6 +29,7 @@ from pyspark.sql import types as T
 from ..session import checkpointed
 
 BUCKETS = 4096
+FEW = 10_000  # rows of a few numbers that may be held by the driver between passes
 _EXACT = float(1 << 61)  # differences of longs below it do not overflow
 
 
@@ -48,36 +50,37 @@ def _measure(c: Column, dtype: T.DataType) -> tuple[Column, str]:
     raise ValueError(f"cannot select by a column of type {dtype.simpleString()}")
 
 
-def _share(v: Column, lo: Column, hi: Column, kind: str) -> Column:
-    """Where v lies between lo and hi, from 0 to 1: never less for a larger v."""
-    d = lambda c: c.cast("double")
+def _share(kind: str) -> str:
+    """Where _v lies between _lo and _hi, from 0 to 1: never less for a larger value."""
     if kind == "decimal":
-        return d(v - lo) / d(hi - lo)
+        return "double(_v - _lo) / double(_hi - _lo)"
     if kind == "long":
-        near = F.abs(d(hi) / 2 - d(lo) / 2) < _EXACT / 2
-        return F.when(near, d(v - lo) / d(hi - lo)).otherwise((d(v) / 2 - d(lo) / 2) / (d(hi) / 2 - d(lo) / 2))
-    wide = (F.abs(lo) > 1e300) | (F.abs(hi) > 1e300)
-    return F.when(wide, (v / 2 - lo / 2) / (hi / 2 - lo / 2)).otherwise((v - lo) / (hi - lo))
+        far = "(double(_v) / 2 - double(_lo) / 2) / (double(_hi) / 2 - double(_lo) / 2)"
+        return f"CASE WHEN abs(double(_hi) / 2 - double(_lo) / 2) < {_EXACT / 2} THEN double(_v - _lo) / double(_hi - _lo) ELSE {far} END"
+    return "CASE WHEN abs(_lo) > 1e300 OR abs(_hi) > 1e300 THEN (_v / 2 - _lo / 2) / (_hi / 2 - _lo / 2) ELSE (_v - _lo) / (_hi - _lo) END"
 
 
-def _bucket(v: Column, lo: Column, hi: Column, kind: str, logarithmic: bool) -> Column:
-    """Bucket of a value of the interval [lo, hi]; -1 and BUCKETS up for infinities,
-    NaN and null. For texts, the character after the common prefix."""
+def _log_scale(c: str) -> str:
+    """From the smallest to the largest double some 1420 either way: a bucket spans a factor of two."""
+    return f"signum({c}) * (ln(greatest(abs({c}), 1e-308D)) + 709.2D)"
+
+
+def _bucket(kind: str, logarithmic: bool) -> str:
+    """Bucket of a value _v of the interval [_lo, _hi]; -1 and BUCKETS up for infinities,
+    NaN and null. For texts, the character after the bounds' common prefix."""
     if kind == "string":
-        places = F.sequence(F.lit(1), F.greatest(F.lit(1), F.least(F.length(lo), F.length(hi))))
-        common = F.size(F.filter(places, lambda i: F.substring(lo, F.lit(1), i) == F.substring(hi, F.lit(1), i)))
-        return F.substring(v, common + 1, F.lit(1))
+        places = "sequence(1, greatest(1, least(length(_lo), length(_hi))))"
+        return f"substring(_v, size(filter({places}, i -> substring(_lo, 1, i) = substring(_hi, 1, i))) + 1, 1)"
     if kind == "double" and logarithmic:
-        # from the smallest to the largest double some 1420 either way: a bucket spans a factor of two
-        scale = lambda c: F.signum(c) * (F.log(F.greatest(F.abs(c), F.lit(1e-308))) + 709.2)
-        at = F.when(scale(hi) > scale(lo), (scale(v) - scale(lo)) / (scale(hi) - scale(lo)))
+        v, lo, hi = (_log_scale(c) for c in ("_v", "_lo", "_hi"))
+        at = f"CASE WHEN {hi} > {lo} THEN ({v} - {lo}) / ({hi} - {lo}) END"
     else:
-        at = F.when(hi > lo, _share(v, lo, hi, kind))
-    inside = F.least(F.lit(BUCKETS - 1), F.floor(F.coalesce(at, F.lit(0.0)) * BUCKETS))
-    if kind != "double":
-        return F.when(v.isNull(), BUCKETS + 2).otherwise(inside)
-    special = F.when(v.isNull(), BUCKETS + 2).when(F.isnan(v), BUCKETS + 1).when(v == float("inf"), BUCKETS)
-    return special.when(v == float("-inf"), -1).otherwise(inside)
+        at = f"CASE WHEN _hi > _lo THEN {_share(kind)} END"
+    inside = f"least({BUCKETS - 1}, floor(coalesce({at}, 0D) * {BUCKETS}))"
+    special = f"WHEN _v IS NULL THEN {BUCKETS + 2}"
+    if kind == "double":
+        special += f" WHEN isnan(_v) THEN {BUCKETS + 1} WHEN _v = double('inf') THEN {BUCKETS} WHEN _v = double('-inf') THEN -1"
+    return f"CASE {special} ELSE {inside} END"
 
 
 def _same(by: Sequence[str], prefix: str) -> Column:
@@ -97,6 +100,21 @@ def bounds(column: Column, dtype: T.DataType) -> list[Column]:
     return [F.min(finite).alias("_lo"), F.max(finite).alias("_hi")]
 
 
+class Held:
+    """A result that is read several times, and how many of its rows are ``open``: held
+    by the driver where it has ``FEW`` rows at most, else written."""
+
+    def __init__(self, df: DataFrame, open_rows: str | None = None, few: bool | None = None):
+        spark = df.sparkSession
+        table = df.toArrow() if few else df.limit(FEW + 1).toArrow() if few is None else None
+        self.few = table is not None and table.num_rows <= FEW
+        self.df = spark.createDataFrame(table, df.schema) if self.few else checkpointed(df)
+        if self.few:
+            self.open = table.num_rows if open_rows is None else pc.sum(table[open_rows].cast("int64")).as_py() or 0
+        else:
+            self.open = self.df.where(open_rows or "true").count()
+
+
 def value_at(
     df: DataFrame, by: Sequence[str], column: str, targets: DataFrame, ends: DataFrame | None = None, ties: bool = False
 ) -> DataFrame:
@@ -106,6 +124,7 @@ def value_at(
     position among the rows of the group with that very value. ``ends``: the groups'
     (by, _lo, _hi) as of ``bounds``, if they are known."""
     by = list(by)
+    quoted = [f"`{b}`" for b in by]
     dtype = df.schema[column].dataType
     measured, kind = _measure(F.col(column), dtype)
     rows = df.select(*by, measured.alias("_v"), F.col(column).alias("_c"))
@@ -114,31 +133,27 @@ def value_at(
         wanted = df.join(groups, _same(by, "_t"), "left_semi") if by else df
         ends = wanted.groupBy(*by).agg(*bounds(F.col(column), dtype))
     first = _renamed(ends.select(*by, "_lo", "_hi"), by, "_e").join(targets.withColumnRenamed("pos", "rel"), _same(by, "_e"))
-    pending = checkpointed(first.select(*by, "pid", "rel", "_lo", "_hi"))
+    held = Held(first.select(*by, "pid", "rel", "_lo", "_hi"))
+    pending = held.df
     found, turn = [pending.limit(0).select(*by, "pid", F.lit(None).cast(dtype).alias(column), "rel")], 0
-    while not pending.isEmpty():
+    while held.open:
         state = _renamed(pending.select(*by, "_lo", "_hi").distinct(), by, "_t")
-        inside = F.lit(True) if not turn else F.col("_v").between(F.col("_lo"), F.col("_hi"))
+        inside = F.expr("_v BETWEEN _lo AND _hi") if turn else F.lit(True)
         # a group has at most as many intervals as targets; without groups they are all there are
-        cells = rows.join(state if by else F.broadcast(state), _same(by, "_t") & inside)
-        bucket = _bucket(F.col("_v"), F.col("_lo"), F.col("_hi"), kind, bool(turn % 2))
-        cells = cells.groupBy(*by, "_lo", bucket.alias("_b")).agg(
-            F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_least"), F.max("_v").alias("_most"),
-            F.min("_c").alias("_first"), F.max("_c").alias("_last"),
-        )
+        cells = rows.join(state if by else F.broadcast(state), _same(by, "_t") & inside if by else inside)
+        cells = cells.groupBy(*by, "_lo", F.expr(_bucket(kind, bool(turn % 2))).alias("_b")).agg(
+            *map(F.expr, ("count(1) AS _n", "min(_v) AS _least", "max(_v) AS _most", "min(_c) AS _first", "max(_c) AS _last"))
+        )
         order = Window.partitionBy(*by, "_lo").orderBy(F.asc_nulls_last("_b"))  # of the buckets of one interval
         cells = _renamed(cells.withColumn("_end", F.sum("_n").over(order)), by, "_t").withColumnRenamed("_lo", "_of")
-        place = F.col("rel") - (F.col("_end") - F.col("_n"))
-        at = (place >= 0) & (F.col("rel") < F.col("_end"))
-        hit = pending.join(cells, _same(by, "_t") & F.col("_lo").eqNullSafe(F.col("_of")) & at)
-        alike = F.col("_least").eqNullSafe(F.col("_most"))
-        head, tail = F.col("_rel") == 0, F.col("_rel") == F.col("_n") - 1
-        hit = hit.select(*by, "pid", place.alias("_rel"), "_n", "_least", "_most", "_first", "_last", alike.alias("_alike"))
-        hit = checkpointed(hit.withColumn("_done", F.col("_alike") | head | (F.lit(not ties) & tail)))
-        value = F.when(head | F.col("_alike"), F.col("_first")).otherwise(F.col("_last"))
-        found.append(hit.where("_done").select(*by, "pid", value.alias(column), F.col("_rel").alias("rel")))
-        pending = hit.where("NOT _done").select(
-            *by, "pid", F.col("_rel").alias("rel"), F.col("_least").alias("_lo"), F.col("_most").alias("_hi")
-        )
+        at = F.expr("_lo <=> _of AND rel >= _end - _n AND rel < _end")
+        hit = pending.join(F.broadcast(cells) if not by else cells, _same(by, "_t") & at if by else at)
+        hit = hit.selectExpr(*quoted, "pid", "rel - (_end - _n) AS rel", "_n", "_least", "_most", "_first", "_last")
+        more = "NOT (_least <=> _most OR rel = 0" + (")" if ties else " OR rel = _n - 1)")
+        # a row for a target at most
+        held = Held(hit.selectExpr("*", f"{more} AS _open"), "_open", held.few)
+        value = f"CASE WHEN rel = 0 OR _least <=> _most THEN _first ELSE _last END AS `{column}`"
+        found.append(held.df.where("NOT _open").selectExpr(*quoted, "pid", value, "rel"))
+        pending = held.df.where("_open").selectExpr(*quoted, "pid", "rel", "_least AS _lo", "_most AS _hi")
         turn += 1
     return reduce(DataFrame.unionByName, found)
