@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from ..session import checkpointed
+from ..session import checkpointed, join_back
 from .selection import Held, bounds, value_at
 
 # executors get this module's functions with the job and need not import it
@@ -200,7 +200,7 @@ def partition_row_numbers(
         "_s",
     )
     return (
-        numbered.join(starts, _keys_match(keys, None, "_s"))
+        join_back(numbered, starts, _keys_match(keys, None, "_s"))
         .withColumn(name, F.col("_grn") - F.col("_g0") + F.lit(1))
         .drop("_g0", *[f"_s{i}" for i in range(len(keys))])
     )

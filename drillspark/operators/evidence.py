@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ranks import partition_row_numbers, running_sums
-from ..session import checkpointed, ensure_checkpoint_dir
+from ..session import checkpointed, ensure_checkpoint_dir, join_back
 from .relational import ordered_window
 
 # Edge vocabulary and the lint rule inputs.
@@ -440,7 +440,7 @@ def branches(nodes: DataFrame) -> DataFrame:
         .agg(F.min_by("question_id", F.struct("seq", "question_id")).alias("_first"))
     )
     tree = checkpointed(
-        tree.join(firsts, "parent_turn", "left").withColumn(
+        join_back(tree, firsts, "parent_turn", "left").withColumn(
             "opens", F.col("parent_turn").isNotNull() & (F.col("question_id") != F.col("_first"))
         )
     )
@@ -487,8 +487,7 @@ def branches(nodes: DataFrame) -> DataFrame:
     summed = checkpointed(running_sums(rows, deepest, ["_w"]))
     begins = summed.groupBy("chain").agg(F.min(F.col("cum__w") - F.col("_w")).alias("_base"))
     beneath = (
-        summed.where("_kind = 1")
-        .join(begins, "chain")
+        join_back(summed.where("_kind = 1"), begins, "chain")
         .join(numbered.select("chain", "branch", "_low"), "chain")
         .select(F.col("id").alias("question_id"), "branch", "_low", (F.col("cum__w") - F.col("_base")).alias("visible"))
     )
@@ -575,7 +574,7 @@ def shared_evidence(nodes: DataFrame, edges: DataFrame, lift: Lifting | None = N
         F.max_by(F.struct(F.col("target_id").alias("t"), F.col("node_depth").alias("dd")), F.struct("node_depth", "target_id")).alias("_deep"),
         F.countDistinct("conclusion_id").alias("targets"),
     )
-    cand = with_d.join(deepest.where(F.col("targets") >= 2), "source_id").select(
+    cand = join_back(with_d, deepest.where(F.col("targets") >= 2), "source_id").select(
         "investigation_id", "source_id", "target_id", "targets", F.col("_deep.t").alias("deep_id"),
         (F.col("_deep.dd") - F.col("node_depth")).alias("gap"),
     )
@@ -600,7 +599,7 @@ def metric_drift(nodes: DataFrame) -> DataFrame:
         .agg(F.countDistinct("sql").alias("definitions"))
         .where(F.col("definitions") > 1)
     )
-    return m.join(drifted, ["investigation_id", "name"]).select("investigation_id", "name", "definitions", "id", "sql")
+    return join_back(m, drifted, ["investigation_id", "name"]).select("investigation_id", "name", "definitions", "id", "sql")
 
 
 # --------------------------------------------------------------------------- G13

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import require_column
 from ..functions.ranks import ntile_of, partition_row_numbers
+from ..session import checkpointed
 
 
 def _cutoff_array(cutoffs: Sequence[str], dtype: str) -> Column:
@@ -109,16 +110,16 @@ def flag_membership(
     df: DataFrame, key: str, other: DataFrame, other_key: str, name: str, when_in, when_out
 ) -> DataFrame:
     """``CASE WHEN key IN (SELECT other_key ...) THEN a ELSE b END`` as a left
-    join against the distinct keys of ``other``."""
+    join against the distinct keys of ``other``, which are written before it."""
     keys = other.select(F.col(other_key).alias("_mk")).where(F.col("_mk").isNotNull()).distinct()
+    keys = checkpointed(keys)
     return (
-        df.join(keys, df[key] == keys["_mk"], "left")
+        df.join(keys, F.col(key) == F.col("_mk"), "left")
         .withColumn(name, F.when(F.col("_mk").isNotNull(), F.lit(when_in)).otherwise(F.lit(when_out)))
         .drop("_mk")
     )
 
 
-HOT_ROWS = 1_000_000
 HALO_BLOCK = 65_536
 
 
@@ -131,27 +132,18 @@ def ordered_window(
     ntile: int | None = None,
     name: str = "rn",
     frames: dict[str, tuple[Callable[[Column], Column], int]] | None = None,
-    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """ROW_NUMBER, LAG(value, k), NTILE and framed aggregates inside a
     partition, skew-proof. ``frames``: column name -> (aggregate such as
     ``F.avg``, n) over ROWS BETWEEN n PRECEDING AND CURRENT ROW. Adds ``rn``,
     ``{name}_count``, ``lag{k}``, ``ntile`` and the frames' columns.
 
-    Plain windows as long as no partition has more than ``hot_rows`` rows.
-    Beyond that one range-partitioned sort numbers the rows, and lags and
-    frames are windows over blocks of consecutive numbers, each with a halo of
-    the rows before it that its first rows look back to: no task ever sorts a
-    whole partition.
+    One range-partitioned sort numbers the rows, and lags and frames are windows
+    over blocks of consecutive numbers, each with a halo of the rows before it that
+    its first rows look back to: no task ever sorts a whole partition.
     """
     frames = frames or {}
     keys = list(partition)
-    most = df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-    if most <= hot_rows:
-        by = Window.partitionBy(*keys)
-        run = by.orderBy(*order)
-        out = df.withColumn(name, F.row_number().over(run).cast("long")).withColumn(f"{name}_count", F.count(F.lit(1)).over(by))
-        return _framed(out, run, value, lags, ntile, frames)
     back = max([0, *lags, *[n for _, n in frames.values()]])
     block = max(HALO_BLOCK, 2 * back)
     indexed = partition_row_numbers(df, keys, order, name).drop("_grn")
@@ -161,17 +153,11 @@ def ordered_window(
     places = F.when(near_end, F.array(at, at + 1)).otherwise(F.array(at))
     placed = indexed.withColumn("_block", F.explode(places)).withColumn("_own", F.col("_block") == at)
     run = Window.partitionBy(*keys, "_block").orderBy(name)
-    return _framed(placed, run, value, lags, ntile, frames, name).where("_own").drop("_block", "_own")
-
-
-def _framed(out: DataFrame, run, value: str, lags, ntile: int | None, frames: dict, number: str | None = None) -> DataFrame:
-    """Lags, frames and NTILE over a window; ``number`` names the row number if
-    the window holds a block only, else the window is the whole partition."""
+    out = placed
     for k in lags:
         out = out.withColumn(f"lag{k}", F.lag(value, k).over(run))
     for column, (aggregate, n) in frames.items():
         out = out.withColumn(column, aggregate(F.col(value)).over(run.rowsBetween(-n, 0)))
     if ntile:
-        place = ntile_of(F.col(number), F.col(f"{number}_count"), ntile) if number else F.ntile(ntile).over(run).cast("long")
-        out = out.withColumn("ntile", place)
-    return out
+        out = out.withColumn("ntile", ntile_of(F.col(name), F.col(f"{name}_count"), ntile))
+    return out.where("_own").drop("_block", "_own")

@@ -135,6 +135,15 @@ def checkpointed(df):
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def join_back(rows, per_key, on, how="inner"):
+    """``rows`` joined with ``per_key``, an aggregate of theirs with a row a key.
+
+    Joined as it is, the aggregate lends the join its own exchange, and adaptive
+    execution cannot split a key that a third of the rows have. Written first, both
+    sides are plain shuffles (or the small one is broadcast), and it can."""
+    return rows.join(checkpointed(per_key), on, how)
+
+
 def spread(df, by):
     """``df`` dealt out by a hash of its column ``by``, for CPU-heavy work per
     row (tokenising whole texts) on inputs stored as a few large row groups.
