@@ -12,12 +12,15 @@ from ..operators.profile import (
     auto_summary,
     column_roles,
     histogram,
+    merge_sketches,
     profile,
+    profile_of,
     roles_from_profile,
     series_extremes,
+    sketch_profile,
 )
-from ..session import scratch_path
-from ..sources.files import add_table, load_tables, read_csv, read_parquet
+from ..session import checkpointed, scratch_path
+from ..sources.files import add_table, load_csv, load_tables, read_csv, read_parquet
 from ..sources.snapshot import preview, snapshot, spill
 from .catalog import register, round6, table
 from .query import Metrics, diff, metric_by, rerun, run_query, run_steps, store_steps
@@ -52,6 +55,24 @@ def s1_text(spark, sf):
     return read_csv(spark, path)
 
 
+@register(
+    "S1_csv_type_report",
+    """
+SELECT 'o_orderkey' AS "column", 'int' AS type, count(*) AS "values", 0 AS not_int, count(*) AS not_date FROM orders
+UNION ALL SELECT 'code', 'string', count(*), count(*) FILTER (WHERE o_orderkey % 25001 = 1), count(*) FROM orders
+UNION ALL SELECT 'o_orderdate', 'date', count(o_orderdate), count(o_orderdate), 0 FROM orders
+UNION ALL SELECT 'o_totalprice', 'double', count(*), count(*) FILTER (WHERE CAST(o_totalprice AS VARCHAR) LIKE '%.%' OR abs(o_totalprice) >= 2147483648), count(*) FROM orders
+""",
+)
+def s1_report(spark, sf):
+    """A number column with a few dashes far down: text, and the report says why."""
+    path = scratch_path(spark, "csv")
+    o = table(spark, sf, "orders")
+    code = F.when(F.col("o_orderkey") % 25001 == 1, F.lit("-")).otherwise(F.col("o_orderkey").cast("string"))
+    o.select("o_orderkey", code.alias("code"), F.col("o_orderdate").cast("date").alias("o_orderdate"), "o_totalprice").write.option("header", True).csv(path)
+    return load_csv(spark, path).report.select("column", "type", "values", "not_int", "not_date")
+
+
 @register("S2_parquet_source", "SELECT * FROM lineitem")
 def s2(spark, sf):
     return read_parquet(spark, f"{sf.rstrip('/')}/lineitem.parquet")
@@ -152,6 +173,14 @@ def p1(spark, sf):
     )
 
 
+@register("P1_profile_of_merged_parts", f'SELECT ordinal, "column", row_count, null_fraction, min, max FROM ({_profile_sql()})')
+def p1m(spark, sf):
+    """The sketches of two parts of the table, stored and merged."""
+    o = table(spark, sf, "orders").select(*_PROFILE_COLS)
+    parts = [checkpointed(sketch_profile(o.where(c))) for c in ("o_orderstatus = 'F'", "o_orderstatus <> 'F' OR o_orderstatus IS NULL")]
+    return profile_of(merge_sketches(*parts)).select("ordinal", "column", "row_count", "null_fraction", "min", "max")
+
+
 def _first_column(where: str) -> str:
     return f"(SELECT column_name FROM cols WHERE {where} ORDER BY i LIMIT 1)"
 

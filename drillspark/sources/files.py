@@ -12,8 +12,13 @@ import itertools
 import re
 from collections import OrderedDict
 from collections.abc import Iterable
+from typing import NamedTuple
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..session import checkpointed
 
 # every spelling of the data suffixes, for a glob
 _DATA_GLOB = "*.{[cC][sS][vV],[pP][aA][rR][qQ][uU][eE][tT],[pP][qQ]}"
@@ -28,19 +33,84 @@ _NAME_RULES = (
 )
 
 
+# type -> what a value of it looks like; a column gets the first one that all its values fit
+_INTEGER, _NUMBER = r"^\s*[+-]?[0-9]+\s*$", r"^\s*([+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?|NaN|[+-]?Infinity)\s*$"
+_TYPES = {
+    "int": _INTEGER,
+    "bigint": _INTEGER,
+    "decimal(38,0)": _INTEGER,
+    "double": _NUMBER,
+    "date": r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$",
+    "timestamp": r"^[0-9]{4}-[0-9]{2}-[0-9]{2}([ T].*)?$",
+    "boolean": r"^(?i)(true|false)$",
+}
+_RAGGED = "__ragged"
+
+
+class CsvLoad(NamedTuple):
+    rows: DataFrame  # typed, all rows of the file
+    report: DataFrame  # a row a column: type, values, and for each type how many do not fit it
+    ragged: int  # rows with more or fewer fields than the header
+
+
+def load_csv(spark: SparkSession, path: str, sep: str = ",", infer: bool = True, multiline: bool | None = None) -> CsvLoad:
+    """A CSV file with a header row, as a table, whatever is in it.
+
+    Fields may be quoted, with ``""`` for a quote and line breaks inside. The file is
+    parsed once, as text, into a written table. One aggregation over that counts, for
+    every column and type, the values that do not fit (missing and empty ones fit
+    all); the column gets the first type that all its values fit, in the order int,
+    bigint, decimal, double, date, timestamp, boolean, and is text otherwise. So a
+    stray ``-`` anywhere in the file makes its column text, and the report says how
+    few values stood in the way. A row with more or fewer fields than the header is
+    kept, with nulls for what is missing and without what is too much, and counted.
+
+    Without quoted line breaks, which one pass over the lines tells, the file is
+    parsed by many tasks; ``multiline`` says so without looking.
+    """
+    if multiline is None:
+        quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+        multiline = not spark.read.text(path).where(quotes % 2 == 1).isEmpty()
+    options = {"header": True, "sep": sep, "escape": '"', "multiLine": multiline}
+    names = spark.read.options(**options).csv(path).columns
+    schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, _RAGGED]])
+    raw = spark.read.options(**options, mode="PERMISSIVE", columnNameOfCorruptRecord=_RAGGED, enforceSchema=True).schema(schema).csv(path)
+    raw = raw.select(*[_quoted(n) for n in names], F.col(_RAGGED).isNotNull().alias(_RAGGED))
+    text = checkpointed(raw.toDF(*[f"c{i}" for i in range(len(names))], _RAGGED))
+    cells = []
+    aggs = [F.count_if(_RAGGED).alias("_ragged")]
+    for i in range(len(names)):
+        some = F.expr(f"c{i} IS NOT NULL AND c{i} <> ''")
+        aggs.append(F.count_if(some).alias(f"_n{i}"))
+        for k, (kind, look) in enumerate(_TYPES.items()):
+            fits = F.col(f"c{i}").rlike(look) & F.expr(f"try_cast(c{i} AS {kind}) IS NOT NULL")
+            aggs.append(F.count_if(some & ~fits).alias(f"_m{i}_{k}"))
+    counts = text.agg(*aggs).first()
+    made = []
+    for i, name in enumerate(names):
+        misfits = [counts[f"_m{i}_{k}"] for k in range(len(_TYPES))]
+        kind = next((t for t, m in zip(_TYPES, misfits) if not m), "string") if infer and counts[f"_n{i}"] else "string"
+        cells.append((i, name, kind, counts[f"_n{i}"], *misfits))
+        made.append((F.col(f"c{i}") if kind == "string" else F.expr(f"try_cast(c{i} AS {kind})")).alias(name))
+    columns = ["ordinal int", "column string", "type string", "values long"]
+    columns += [f"not_{t.partition('(')[0]} long" for t in _TYPES]
+    report = spark.createDataFrame(cells, ", ".join(columns))
+    return CsvLoad(text.select(*made), report, counts["_ragged"])
+
+
+def _quoted(name: str) -> Column:
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def read_csv(
-    spark: SparkSession, path: str, sep: str = ",", infer: bool = True, multiline: bool = True, mode: str = "FAILFAST"
+    spark: SparkSession, path: str, sep: str = ",", infer: bool = True, multiline: bool | None = None, ragged: str = "fail"
 ) -> DataFrame:
-    """CSV with a header row; fields may be quoted, with ``""`` for a quote
-    and line breaks inside.
-
-    Types are inferred over the whole file (one stray text value deep in it
-    makes the column text); ISO dates become ``date``. ``multiline=False`` lets
-    Spark split large files, for data without line breaks in fields. A row
-    that does not fit the header fails the read unless ``mode`` says otherwise.
-    """
-    options = {"header": True, "sep": sep, "escape": '"', "multiLine": multiline, "mode": mode, "inferSchema": infer}
-    return spark.read.options(**options).csv(path)
+    """The rows of ``load_csv``. Rows that do not fit the header fail the read, unless
+    ``ragged`` is "keep"."""
+    loaded = load_csv(spark, path, sep, infer, multiline)
+    if loaded.ragged and ragged != "keep":
+        raise ValueError(f"{loaded.ragged} rows of {path} have more or fewer fields than its header")
+    return loaded.rows
 
 
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:

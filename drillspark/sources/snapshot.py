@@ -6,7 +6,7 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,12 +22,18 @@ def redact_dsn(dsn: str) -> str:
     if not mark and "@" not in dsn and "=" in dsn:
         pairs = re.findall(r"(\w+)\s*=\s*('(?:[^'\\\\]|\\\\.)*'|[^\s;&]*)", dsn)
         return " ".join(f"{k}={v}" for k, v in pairs if k.lower() in _PLACE_KEYS)
-    # a password may hold any of / @ ? ; so the user part ends at the last @
-    # before the query, or at the last of all where the query seems to start in it
-    place = re.split(r"[?#]", rest, maxsplit=1)[0]
-    if "@" in rest and "@" not in place:
-        place = re.split(r"[?#]", rest.rpartition("@")[2], maxsplit=1)[0]
-    place = place.rpartition("@")[2].split(";", 1)[0]
+    authority = re.split(r"[/?#]", rest, maxsplit=1)[0]
+    if "@" in authority:  # the user part ends at its last @
+        rest = rest[authority.rindex("@") + 1 :]
+    else:
+        # a password may hold any of / @ ? #: then what looks like the authority is
+        # user:password, with no port after the colon, or an @ follows before the query
+        path = re.split(r"[?#]", rest, maxsplit=1)[0]
+        if "@" in path:
+            rest = rest[path.rindex("@") + 1 :]
+        elif "@" in rest and not re.fullmatch(r"[^:]*|[^:]*:\d*|\[[^]]*\](:\d*)?", authority.split(";", 1)[0]):
+            rest = rest.rpartition("@")[2]
+    place = re.split(r"[?#]", rest, maxsplit=1)[0].split(";", 1)[0]
     return f"{scheme}{mark}{place}"
 
 
@@ -38,21 +44,27 @@ def snapshot(
     provenance row: source, snapshot_at, source_row_count, row_count,
     truncated (= the source has more rows than were imported).
 
-    The source is counted by its own aggregation (an observation above the
-    limit would stop early and under-count); the imported count is read back
-    from the written files.
+    The imported rows are counted as they are written. Without a cap that is the
+    source's count, too, and the source is read once; with one, the source is counted
+    by its own aggregation (an observation above the limit would stop early and
+    under-count).
     """
     spark = df.sparkSession
-    source_rows = df.count()
-    out = df.limit(int(max_rows)) if max_rows else df
-    out.write.mode(mode).parquet(path)
-    written = spark.read.parquet(path).count()
+    written = _write_counted(df.limit(int(max_rows)) if max_rows else df, path, mode)
+    source_rows = df.count() if max_rows else written
     schema = "source string, snapshot_at timestamp, source_row_count long, row_count long, truncated boolean"
     return spark.createDataFrame(
         [(redact_dsn(source) if source else path, None, int(source_rows), int(written), source_rows > written)], schema
     ).withColumn("snapshot_at", F.current_timestamp())
 
 
+def _write_counted(df: DataFrame, path: str, mode: str) -> int:
+    """Write ``df`` as Parquet; the number of its rows, observed in the same pass."""
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode(mode).parquet(path)
+    return seen.get["rows"]
+
+
 def jdbc_tables(spark: SparkSession, url: str, properties: dict | None = None) -> DataFrame:
     """Base tables of a database outside the system schemas."""
     q = (
@@ -104,8 +116,7 @@ def jdbc_snapshot(
             src = t if max_rows is None else f"(SELECT * FROM {t} LIMIT {int(max_rows)}) s"
             df = spark.read.jdbc(url, src, properties=props)
         target = f"{out_dir.rstrip('/')}/{t.replace('.', '_')}"
-        df.write.mode("overwrite").parquet(target)
-        written = spark.read.parquet(target).count()
+        written = _write_counted(df, target, "overwrite")
         rows.append((t, redact_dsn(url), int(counted), int(written), int(counted) > int(written), target))
     return spark.createDataFrame(
         rows,
@@ -116,11 +127,10 @@ def jdbc_snapshot(
 def spill(df: DataFrame, path: str, threshold: int) -> str | None:
     """Write the whole result as Parquet to the new folder ``path`` and return
     the path, or None if it has no more than ``threshold`` rows (the folder is
-    then removed again). The result is computed once, by the write; its rows
-    are counted from the files."""
+    then removed again). The result is computed once, by the write, which counts its
+    rows."""
     spark = df.sparkSession
-    df.write.mode("error").parquet(path)
-    if spark.read.schema(df.schema).parquet(path).count() > threshold:
+    if _write_counted(df, path, "error") > threshold:
         return path
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)

@@ -8,11 +8,11 @@ import os
 
 import pytest
 
-from drillspark.operators.profile import column_roles, histogram, profile, series_extremes
+from drillspark.operators.profile import column_roles, histogram, profile, series_extremes, merge_sketches, profile_of, sketch_profile
 from drillspark.operators.usage import usage_cost
 from drillspark.operators.stat_tests import correlation_matrix
-from drillspark.plans.query import Metrics, diff, metric_by, rerun, rerun_steps, run_query, run_steps, store_steps
-from drillspark.sources.files import expand_sources, load_tables, read_csv, table_name
+from drillspark.plans.query import Metrics, compare, diff, fingerprint, metric_by, rerun, rerun_steps, run_query, run_steps, store, store_steps
+from drillspark.sources.files import expand_sources, load_csv, load_tables, read_csv, table_name
 from drillspark.sources.snapshot import preview, redact_dsn, snapshot, spill
 
 
@@ -58,6 +58,8 @@ def test_redact_snapshot_spill_preview(spark, scratch_dir):
     assert redact_dsn("host=db user=bob password=secret dbname=x") == "host=db dbname=x"
     assert redact_dsn("password='a b' host=db") == "host=db"
     assert redact_dsn("orders") == "orders"
+    assert redact_dsn("jdbc:x://h/db?opt=a@b") == "jdbc:x://h/db" and redact_dsn("x://h:1/db#a@b") == "x://h:1/db"
+    assert redact_dsn("x://[::1]:5/db?u=a@b") == "x://[::1]:5/db" and redact_dsn("x://u@h/d@e") == "x://h/d@e"
     df = spark.range(5000).withColumnRenamed("id", "k")
     prov = snapshot(df, os.path.join(scratch_dir, "snap"), max_rows=1000, source="postgresql://u:p@h/db").first()
     assert (prov["source_row_count"], prov["row_count"], prov["truncated"]) == (5000, 1000, True)
@@ -163,6 +165,103 @@ def test_csv_quotes_and_line_breaks(spark, scratch_dir):
         read_csv(spark, os.path.join(scratch_dir, "absent.csv"))
 
 
+def test_csv_types_by_all_values(spark, scratch_dir):
+    """The stray dash at row 25,001, ragged rows, and what a report says about both."""
+    path = os.path.join(scratch_dir, "m.csv")
+    with open(path, "w") as f:
+        f.write("id,big,wide,x,day,at,flag,empty,`t`\n")
+        for i in range(1, 25_050):
+            x = "-" if i == 25_001 else f"{i}.5"
+            f.write(f"{i},{i * 10**10},{i}{'0' * 22},{x},2024-02-{1 + i % 29:02d},2024-01-01 00:00:{i % 60:02d},{'TRUE' if i % 2 else 'false'},,a\n")
+        f.write("7,1\n8,2,3,4,2024-01-01,2024-01-01 00:00:00,true,,b,more,and more\n")
+    loaded = load_csv(spark, path)
+    assert loaded.ragged == 2
+    assert dict(loaded.rows.dtypes) == {
+        "id": "int", "big": "bigint", "wide": "decimal(38,0)", "x": "string", "day": "date", "at": "timestamp",
+        "flag": "boolean", "empty": "string", "`t`": "string",
+    }
+    report = {r["column"]: r for r in loaded.report.collect()}
+    assert (report["x"]["not_double"], report["x"]["values"]) == (1, 25_050) and report["empty"]["values"] == 0
+    assert loaded.rows.count() == 25_051
+    assert loaded.rows.where("id = 7").count() == 2 and loaded.rows.where("id = 7 AND day IS NULL").count() == 1
+    assert read_csv(spark, path, ragged="keep").count() == 25_051
+    with pytest.raises(ValueError, match="2 rows"):
+        read_csv(spark, path)
+    assert set(dict(load_csv(spark, path, infer=False).rows.dtypes).values()) == {"string"}
+
+
+def test_large_csv_files_are_split(spark, scratch_dir):
+    from drillspark.sources import files
+
+    path = os.path.join(scratch_dir, "s.csv")
+    with open(path, "w") as f:
+        f.write("id,note\n" + "".join(f'{i},"a, ""b"" {i}"\n' for i in range(20_000)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    try:
+        parts = []
+        keep = files.checkpointed
+        files.checkpointed = lambda df: parts.append(df.rdd.getNumPartitions()) or keep(df)
+        df = read_csv(spark, path)
+    finally:
+        files.checkpointed = keep
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert parts[0] > 3 and df.count() == 20_000 and df.where("id = 5").first()["note"] == 'a, "b" 5'
+
+
+def test_cap_sees_the_querys_own_limit_only(spark):
+    spark.range(1500).createOrReplaceTempView("nums")
+    for sql in (
+        "SELECT * FROM nums -- limit 5", "SELECT * FROM nums /* limit 5 */", "SELECT *, ' limit 5' AS t FROM nums",
+        "SELECT * FROM (SELECT * FROM nums LIMIT 1400) x", "SELECT * FROM nums UNION ALL SELECT * FROM nums LIMIT 1400",
+        "WITH a AS (SELECT * FROM nums LIMIT 1400) SELECT * FROM a",
+    ):
+        capped = run_query(spark, sql, cap=1000)
+        assert capped.rows.count() == 1000 and tuple(capped.meta.first()) == (1000, True), sql
+    for sql in ("SELECT * FROM nums ORDER BY id LIMIT 1200 -- most", "WITH a AS (SELECT * FROM nums) SELECT * FROM a LIMIT 1200", "SELECT * FROM nums LIMIT 1200 OFFSET 3;"):
+        assert run_query(spark, sql, cap=1000).rows.count() == 1200, sql
+
+
+def test_identical_reruns_compare_without_moving_rows(spark):
+    rows = [(i % 7, float(i) if i % 3 else None, {"k": i % 5}, "é" * (i % 4)) for i in range(200)] + [(None, 0.0, None, "")] * 2
+    df = spark.createDataFrame(rows, "a int, b double, c map<string,int>, d string")
+    first = store(df)
+    assert fingerprint(df.repartition(7)) == first.mark
+    minus_zero = spark.createDataFrame(rows[:-1] + [(None, -0.0, None, "")], df.schema)
+    assert fingerprint(minus_zero) == first.mark
+    # one value, one null, one copy more: all seen
+    for other in (rows[:-1] + [(None, 0.5, None, "")], rows[:-1] + [(0, 0.0, None, "")], rows + rows[-1:], rows[1:]):
+        assert fingerprint(spark.createDataFrame(other, df.schema)) != first.mark
+    same = compare(first, df.orderBy("d"))
+    assert tuple(same.first()) == (0, 0, True)
+    assert "Exchange" not in same._jdf.queryExecution().executedPlan().toString()
+    flat = df.drop("c")
+    assert tuple(compare(store(flat), flat.where("a IS NOT NULL")).first()) == (2, 0, False)
+    with pytest.raises(ValueError):
+        compare(first, flat)
+
+
+def test_sketches_of_parts_add_up(spark):
+    rows = [(i, f"v{i % 3000}", float(i % 1000) if i % 10 else None, dt.date(2020, 1, 1) + dt.timedelta(days=i % 700)) for i in range(20_000)]
+    df = spark.createDataFrame(rows, "id long, name string, x double, day date")
+    whole = {r["column"]: r for r in profile_of(sketch_profile(df)).collect()}
+    parts = [sketch_profile(df.where(c)) for c in ("id < 900", "id >= 900 AND id < 15000", "id >= 15000", "false")]
+    merged = {r["column"]: r for r in profile_of(merge_sketches(*parts)).collect()}
+    exact = {r["column"]: r for r in profile(df).collect()}
+    for c in df.columns:
+        for one in (whole[c], merged[c]):
+            assert (one["row_count"], one["null_fraction"], one["min"], one["max"]) == (
+                exact[c]["row_count"], exact[c]["null_fraction"], exact[c]["min"], exact[c]["max"])
+            assert abs(one["distinct_count"] / exact[c]["distinct_count"] - 1) < 0.03
+    assert merged["name"]["quantiles"] is None
+    for q, p in zip(merged["id"]["quantiles"], (0.25, 0.5, 0.75)):
+        assert abs(q / 20_000 - p) < 0.01
+    assert merged["id"]["max"] == "19999"  # as numbers, not as text
+    approx = {r["column"]: r for r in profile(df, approx=True).collect()}
+    assert approx["x"]["sample_values"] == [] and approx["x"]["null_fraction"] == 0.1
+    assert profile_of(sketch_profile(df.where("false"))).where("distinct_count = 0 AND min IS NULL").count() == 4
+
+
 def test_folder_names_with_glob_characters(spark, scratch_dir):
     folder = os.path.join(scratch_dir, "a[1]{x}")
     os.makedirs(folder)
