@@ -29,15 +29,15 @@ from .selection import Held, bounds, value_at
 # executors get this module's functions with the job and need not import it
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-_PID, _MID = "_rk_pid", "_rk_mid"
+PID, MID = "_rk_pid", "_rk_mid"
 
 
-def _sorted_frozen(df: DataFrame, order: Sequence[Column], sums: Sequence[str] = ()) -> DataFrame:
+def sorted_frozen(df: DataFrame, order: Sequence[Column], sums: Sequence[str] = ()) -> DataFrame:
     """``df`` sorted by one range shuffle and written, with each row's partition
     and place, and the running totals ``_l_*`` of ``sums`` within its partition,
     taken as the sorted rows pass by."""
     placed = (
-        df.orderBy(*order).withColumn(_PID, F.spark_partition_id()).withColumn(_MID, F.monotonically_increasing_id())
+        df.orderBy(*order).withColumn(PID, F.spark_partition_id()).withColumn(MID, F.monotonically_increasing_id())
     )
     if sums:
         kinds = {c: "double" if df.schema[c].dataType.typeName() in ("float", "double") else "long" for c in sums}
@@ -64,10 +64,10 @@ def _local_totals(batches: Iterator[pa.RecordBatch], kinds: dict[str, str]) -> I
 
 def _offsets(frozen: DataFrame, sums: dict[str, Column]) -> DataFrame:
     """Per partition id: exclusive running totals of the given sums (tiny)."""
-    per = frozen.groupBy(_PID).agg(*[s.alias(f"_p_{n}") for n, s in sums.items()])
-    w = Window.orderBy(_PID).rowsBetween(Window.unboundedPreceding, -1)
+    per = frozen.groupBy(PID).agg(*[s.alias(f"_p_{n}") for n, s in sums.items()])
+    w = Window.orderBy(PID).rowsBetween(Window.unboundedPreceding, -1)
     return per.select(
-        _PID, *[F.coalesce(F.sum(f"_p_{n}").over(w), F.lit(0)).alias(f"_o_{n}") for n in sums]
+        PID, *[F.coalesce(F.sum(f"_p_{n}").over(w), F.lit(0)).alias(f"_o_{n}") for n in sums]
     )
 
 
@@ -79,13 +79,13 @@ def row_numbers(df: DataFrame, order: Sequence[Column], name: str = "row_number"
     partition comes from ``monotonically_increasing_id`` (partition id in the
     upper bits), plus the count of rows in earlier partitions.
     """
-    frozen = _sorted_frozen(df, order)
+    frozen = sorted_frozen(df, order)
     offs = _offsets(frozen, {"n": F.count(F.lit(1))})
-    local = F.col(_MID) - F.shiftleft(F.col(_PID).cast("long"), 33)
+    local = F.col(MID) - F.shiftleft(F.col(PID).cast("long"), 33)
     return (
-        frozen.join(F.broadcast(offs), _PID)
+        frozen.join(F.broadcast(offs), PID)
         .withColumn(name, (F.col("_o_n") + local + F.lit(1)).cast("long"))
-        .drop(_PID, _MID, "_o_n")
+        .drop(PID, MID, "_o_n")
     )
 
 
@@ -96,12 +96,12 @@ def running_sums(
     list of names/sort expressions; must be a total order)."""
     order_list = [order] if isinstance(order, str) else list(order)
     sort = [F.col(o).asc() if isinstance(o, str) else o for o in order_list]
-    frozen = _sorted_frozen(df, sort, cols)
+    frozen = sorted_frozen(df, sort, cols)
     offs = _offsets(frozen, {c: F.sum(c) for c in cols})
-    out = frozen.join(F.broadcast(offs), _PID)
+    out = frozen.join(F.broadcast(offs), PID)
     for c in cols:
         out = out.withColumn(f"{prefix}{c}", F.col(f"_l_{c}") + F.col(f"_o_{c}"))
-    return out.drop(_PID, _MID, *[f"_{k}_{c}" for c in cols for k in "lo"])
+    return out.drop(PID, MID, *[f"_{k}_{c}" for c in cols for k in "lo"])
 
 
 def value_counts(df: DataFrame, value: str, weights: dict[str, Column] | None = None) -> DataFrame:

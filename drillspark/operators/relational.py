@@ -13,12 +13,13 @@ join would do.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import require_column
-from ..functions.ranks import ntile_of, partition_row_numbers
+from ..functions.ranks import MID, PID, ntile_of, partition_row_numbers, running_sums, sorted_frozen
 from ..session import checkpointed
 
 
@@ -106,6 +107,84 @@ def latest_as_of(
     )
 
 
+def as_of_join(
+    left: DataFrame,
+    right: DataFrame,
+    keys: Sequence[str],
+    left_time: str,
+    right_time: str,
+    columns: Sequence[str],
+    tiebreak: Sequence[str] = (),
+) -> DataFrame:
+    """Every row of ``left`` with ``columns`` of the latest row of ``right`` that has the
+    same ``keys`` and is not later than ``left_time`` (ties on the time go to the
+    largest ``tiebreak`` values); nulls if there is none. A null key or time matches
+    nothing. Key columns have the same names in both tables.
+
+    Both tables are sorted together by one range shuffle on (keys, time), so a key
+    with a third of all rows is spread over many tasks. Within a sorted partition the
+    last right row is carried forward; where a key goes on from earlier partitions,
+    their last right row is: one row a partition, sent to all.
+    """
+    keys = list(keys)
+    by = [f"_k{i}" for i in range(len(keys))]
+    ids = [F.col(k).alias(b) for k, b in zip(keys, by)]
+    blank = F.lit(None)
+    named = F.struct(*[F.col(c) for c in columns])
+    ties = F.struct(*[F.col(c) for c in tiebreak]) if tiebreak else F.struct(F.lit(0).alias("_0"))
+    rows = F.struct(*[F.col(c) for c in left.columns])
+    found = right.select(*ids, F.col(right_time).alias("_t"), F.lit(0).alias("_side"), ties.alias("_tie"), named.alias("_found"), blank.alias("_row"))
+    found = found.where(" AND ".join(f"{c} IS NOT NULL" for c in [*by, "_t"]))
+    asked = left.select(*ids, F.col(left_time).alias("_t"), F.lit(1).alias("_side"), blank.alias("_tie"), blank.alias("_found"), rows.alias("_row"))
+    order = [F.col(c).asc_nulls_first() for c in [*by, "_t", "_side", "_tie"]]
+    both = sorted_frozen(found.unionByName(asked), order)
+    run = Window.partitionBy(PID, *by).orderBy(MID).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    here = both.select(PID, *by, "_t", "_side", "_row", F.last("_found", ignorenulls=True).over(run).alias("_here"))
+    last = F.when(F.col("_side") == 0, F.struct(*by, "_found"))
+    ends = both.groupBy(PID).agg(F.max_by(last, F.when(F.col("_side") == 0, F.col(MID))).alias("_last"))
+    before = Window.orderBy(PID).rowsBetween(Window.unboundedPreceding, -1)  # a row a partition
+    ends = ends.select(F.col(PID).alias("_p"), F.last("_last", ignorenulls=True).over(before).alias("_from"))
+    out = here.where("_side = 1").join(F.broadcast(ends), F.col(PID) == F.col("_p"))
+    same = " AND ".join(f"_from.{b} = {b}" for b in by)
+    value = F.when(F.col("_t").isNotNull(), F.coalesce("_here", F.when(F.expr(same), F.col("_from._found"))))
+    out = out.select("_row", value.alias("_value"))
+    return out.select("_row.*", *[F.col("_value").getField(c).alias(c) for c in columns])
+
+
+def totals_as_of(
+    left: DataFrame, right: DataFrame, keys: Sequence[str], left_time: str, right_time: str, sums: dict[str, Column]
+) -> DataFrame:
+    """Every row of ``left`` with running totals over the rows of ``right`` that have the
+    same ``keys`` and are not later than ``left_time`` (a range join with a table of
+    cut-offs). ``sums``: name -> a number of each right row, null as 0 (``F.lit(1)``
+    counts). A null key or time gives 0.
+
+    Both tables are sorted together once; a running sum over all of it, less its value
+    at the key's first row, is the total. No pair of rows is ever formed.
+    """
+    keys = list(keys)
+    by = [f"_k{i}" for i in range(len(keys))]
+    ids = [F.col(k).alias(b) for k, b in zip(keys, by)]
+    names = [f"_s{i}" for i in range(len(sums))]
+    rows = F.struct(*[F.col(c) for c in left.columns])
+    values = [F.coalesce(c, F.lit(0)).alias(n) for n, c in zip(names, sums.values())]
+    added = right.select(*ids, F.col(right_time).alias("_t"), F.lit(0).alias("_side"), F.lit(None).alias("_row"), *values)
+    added = added.where(" AND ".join(f"{c} IS NOT NULL" for c in [*by, "_t"]))
+    zeros = [F.lit(0).cast(added.schema[n].dataType).alias(n) for n in names]
+    asked = left.select(*ids, F.col(left_time).alias("_t"), F.lit(1).alias("_side"), rows.alias("_row"), *zeros)
+    order = [F.col(c).asc_nulls_first() for c in [*by, "_t", "_side"]]
+    # one row before all others of a key, at which its running sum stands at the start
+    opening = asked.select(*by).distinct().select(*by, F.lit(-1).alias("_side"), *zeros)
+    both = added.unionByName(asked).unionByName(opening, allowMissingColumns=True)
+    summed = checkpointed(running_sums(both, order, names))
+    base = summed.where("_side = -1").select(*[F.col(b).alias(f"_of{b}") for b in by], *[F.col(f"cum_{n}").alias(f"_b{n}") for n in names])
+    same = reduce(lambda a, b: a & b, [F.col(b).eqNullSafe(F.col(f"_of{b}")) for b in by])
+    out = summed.where("_side = 1").join(base, same)
+    known = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in [*by, "_t"]])
+    totals = [F.when(known, F.col(f"cum_{n}") - F.col(f"_b{n}")).otherwise(0).alias(name) for n, name in zip(names, sums)]
+    return out.select("_row", *totals).select("_row.*", *sums)
+
+
 def flag_membership(
     df: DataFrame, key: str, other: DataFrame, other_key: str, name: str, when_in, when_out
 ) -> DataFrame:

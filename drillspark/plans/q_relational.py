@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import truncate
 from ..functions.numeric import dround
 from ..functions.ranks import exact_quantiles
-from ..operators.relational import flag_membership, latest_as_of, ordered_window, totals_at_cutoffs
+from ..operators.relational import as_of_join, flag_membership, latest_as_of, ordered_window, totals_as_of, totals_at_cutoffs
 from .catalog import register, round6, table
 
 
@@ -229,6 +229,51 @@ def r8c(spark, sf):
     )
 
 
+def _cutoff_pairs(spark, sf):
+    """(o_custkey, cutoff, event_id): a table of cut-offs, from each user's events. Events
+    are some twenty-five years after the first orders, so their time is moved back by
+    the days of the event's number."""
+    e = table(spark, sf, "events")
+    day = F.date_sub(F.col("ts").cast("date"), (F.col("event_id") % 3000).cast("int"))
+    return e.select(F.col("user_id").alias("o_custkey"), day.cast("timestamp").alias("cutoff"), "event_id")
+
+
+_CUTOFF_PAIRS = (
+    "SELECT user_id AS o_custkey, CAST(CAST(ts AS DATE) - CAST(event_id % 3000 AS INTEGER) AS TIMESTAMP) AS cutoff, event_id FROM events"
+)
+
+
+@register(
+    "R8_asof_join_table_of_cutoffs",
+    f"""
+WITH c AS ({_CUTOFF_PAIRS})
+SELECT c.o_custkey, c.cutoff, c.event_id, o.o_orderkey, o.o_orderdate FROM c LEFT JOIN (
+  SELECT c.event_id, o.o_orderkey, o.o_orderdate,
+         ROW_NUMBER() OVER (PARTITION BY c.event_id ORDER BY o.o_orderdate DESC, o.o_orderkey DESC) AS rn
+  FROM c JOIN orders o ON o.o_custkey = c.o_custkey AND o.o_orderdate <= c.cutoff
+) o ON o.event_id = c.event_id AND o.rn = 1
+""",
+)
+def r8j(spark, sf):
+    o = table(spark, sf, "orders").select("o_custkey", "o_orderkey", F.col("o_orderdate"))
+    return as_of_join(_cutoff_pairs(spark, sf), o, ["o_custkey"], "cutoff", "o_orderdate", ["o_orderkey", "o_orderdate"], ["o_orderkey"])
+
+
+@register(
+    "R7_range_join_table_of_cutoffs",
+    f"""
+WITH c AS ({_CUTOFF_PAIRS})
+SELECT c.o_custkey, c.cutoff, c.event_id, count(o.o_orderkey) AS orders, COALESCE(SUM(CAST(ROUND(o.o_totalprice * 100) AS BIGINT)), 0)::BIGINT AS cents
+FROM c LEFT JOIN orders o ON o.o_custkey = c.o_custkey AND o.o_orderdate <= c.cutoff
+GROUP BY c.o_custkey, c.cutoff, c.event_id
+""",
+)
+def r7j(spark, sf):
+    o = table(spark, sf, "orders").select("o_custkey", "o_orderdate", F.round(F.col("o_totalprice") * 100).cast("long").alias("cents"))
+    sums = {"orders": F.lit(1).cast("long"), "cents": F.col("cents")}
+    return totals_as_of(_cutoff_pairs(spark, sf), o, ["o_custkey"], "cutoff", "o_orderdate", sums)
+
+
 _BUCKET_SQL = (
     "CASE WHEN o_totalprice < 50000 THEN 'low' WHEN o_totalprice < 150000 THEN 'mid' "
     "WHEN o_totalprice >= 150000 THEN 'high' END"

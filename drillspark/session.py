@@ -135,13 +135,18 @@ def checkpointed(df):
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def join_back(rows, per_key, on, how="inner"):
-    """``rows`` joined with ``per_key``, an aggregate of theirs with a row a key.
+def aggregated(per_key):
+    """An aggregate with a row a key, ready to be joined with the rows it is made of.
 
     Joined as it is, the aggregate lends the join its own exchange, and adaptive
     execution cannot split a key that a third of the rows have. Written first, both
     sides are plain shuffles (or the small one is broadcast), and it can."""
-    return rows.join(checkpointed(per_key), on, how)
+    return checkpointed(per_key)
+
+
+def join_back(rows, per_key, on, how="inner"):
+    """``rows`` joined with ``per_key``, an aggregate of theirs (see ``aggregated``)."""
+    return rows.join(aggregated(per_key), on, how)
 
 
 def spread(df, by):

@@ -12,7 +12,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from drillspark.operators.customers import cohort_retention
-from drillspark.operators.relational import latest_as_of, ordered_window
+from drillspark.operators.relational import as_of_join, latest_as_of, ordered_window, totals_as_of
 
 
 def _skewed(n=1500, seed=1):
@@ -58,6 +58,27 @@ def test_ordered_window_same_by_blocks_with_halo(spark, monkeypatch):
     assert sorted(map(tuple, none)) == sorted((r["i"], r["rn"]) for r in plain)
 
 
+def test_as_of_join_and_totals_with_a_hot_key(spark):
+    right = _skewed(900, seed=2) + [(None, dt.date(2024, 1, 5), 1.0, -1), ("k1", None, 1.0, -2)]
+    left = [(k, d, i) for k, d, _, i in _skewed(700, seed=3)] + [("nobody", dt.date(2024, 3, 1), 9001), (None, dt.date(2024, 3, 1), 9002), ("hot", None, 9003)]
+    left += [("k2", dt.date(1990, 1, 1), 9004)]
+    cuts = spark.createDataFrame(left, "k string, at date, v long").repartition(6)
+    df = spark.createDataFrame(right, "k string, d date, v double, i long").repartition(6)
+    got = {r.v: r for r in as_of_join(cuts.withColumnRenamed("v", "n").withColumn("v", F.col("n")).drop("n"), df.withColumnRenamed("v", "amount"), ["k"], "at", "d", ["amount", "i"], ["i"]).collect()}
+    sums = totals_as_of(cuts, df.withColumnRenamed("v", "amount"), ["k"], "at", "d", {"n": F.lit(1).cast("long"), "total": (F.col("amount") * 100).cast("long")})
+    totals = {r.v: r for r in sums.collect()}
+    assert len(got) == len(totals) == len(left)
+    for k, at, v in left:
+        fits = [(d, i, x) for kk, d, x, i in right if kk == k and kk is not None and d is not None and at is not None and d <= at]
+        latest = max(fits) if fits else None
+        assert (got[v].i, got[v].amount) == ((latest[1], latest[2]) if latest else (None, None))
+        assert totals[v].n == len(fits) and totals[v].total == sum(int(spark_cents(x)) for _, _, x in fits)
+
+
+def spark_cents(x: float) -> int:
+    return int(x * 100)
+
+
 HOT = {
     "spark.sql.autoBroadcastJoinThreshold": "-1",
     "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "4k",
