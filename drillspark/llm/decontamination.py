@@ -24,7 +24,9 @@ question; a hit stands when the passage holds at least ``overlap`` of the
 distinct three-word sequences of both.
 
 Defined cases: null and empty texts and items match nothing; repeated items are
-each reported, repeated rows alike; an item of one sentence is cut at three
+each reported, repeated rows alike; a text of any length is read whole, in pieces of
+passages; without items or documents there are no matches; a column named ``matches``
+is replaced, others stay whatever their names; an item of one sentence is cut at three
 quarters of its words, one of a single word is question and answer at once.
 """
 
@@ -104,9 +106,11 @@ def _ragged(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Shard:
-    """Postings of some items. ``block_max`` and ``block_at`` are by term and
-    block; ``pivot_at`` and ``pivot_block`` list the blocks in which a term is
-    a pivot for some item."""
+    """Postings of some items, in order of term and item. ``cells`` are the (term,
+    block) pairs that have any, sorted, with the first posting and the largest weight
+    of each: as many as there are postings at most, however many terms and blocks there
+    are. ``pivot_at`` and ``pivot_block`` list the blocks in which a term is a pivot
+    for some item."""
 
     terms: dict[str, int]
     ids: list
@@ -114,8 +118,10 @@ class Shard:
     answers: list[list[str]]
     item: np.ndarray
     weight: np.ndarray
-    block_at: np.ndarray
-    block_max: np.ndarray
+    blocks: int
+    cells: np.ndarray
+    cell_at: np.ndarray
+    cell_max: np.ndarray
     pivot_at: np.ndarray
     pivot_block: np.ndarray
 
@@ -135,28 +141,33 @@ class Shard:
         t, i, w = t[place], i[place], w[place]
         blocks = -(-len(order) // BLOCK_ITEMS)
         cell = t * blocks + i // BLOCK_ITEMS
-        block_max = np.zeros(len(terms) * blocks)
-        np.maximum.at(block_max, cell, w)
-        block_at = np.searchsorted(cell, np.arange(len(terms) * blocks + 1))
+        cells, cell_at = np.unique(cell, return_index=True)
+        cell_max = np.maximum.reduceat(w, cell_at) if len(w) else w
         # pivots: the terms past the point where an item's small weights reach the threshold
         up = np.lexsort((t, w, i))
         total = np.cumsum(w[up])
         before = np.concatenate([[0], total])[np.searchsorted(i[up], i[up])]
         pivot = np.zeros(len(w), bool)
         pivot[up] = total - before >= threshold - 1e-9
-        cells = np.unique(cell[pivot])
+        pivots = np.unique(cell[pivot])
         split = [split_item(first[u]["text"]) for u in order]
         return cls(
             terms, [first[u]["item_id"] for u in order], [s[0] for s in split], [s[1] for s in split], i, w,
-            block_at, block_max.reshape(len(terms), blocks),
-            np.searchsorted(cells // blocks, np.arange(len(terms) + 1)), cells % blocks,
+            blocks, cells, np.append(cell_at, len(w)), cell_max,
+            np.searchsorted(pivots // blocks, np.arange(len(terms) + 1)), pivots % blocks,
         )
 
+    def _place(self, term: np.ndarray, block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places in ``cells`` of (term, block) pairs, and which pairs have one."""
+        wanted = term * self.blocks + block
+        at = np.minimum(np.searchsorted(self.cells, wanted), len(self.cells) - 1)
+        return at, self.cells[at] == wanted
+
     def search(self, words: np.ndarray, starts: np.ndarray, vocab: list[str], stride: int, threshold: float):
         """(text, first word of the passage, item, score) of every passage and
         item at or above the threshold. ``words``: vocabulary numbers."""
         known = np.fromiter((self.terms.get(v, -1) for v in vocab), np.int64, len(vocab))
-        n_terms, blocks = self.block_max.shape
+        n_terms, blocks = len(self.terms), self.blocks
         segments = -(-np.diff(starts) // stride)
         base = np.concatenate([[0], np.cumsum(segments)])
         text = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
@@ -198,15 +209,16 @@ class Shard:
                 size = term_at[pp + 1] - term_at[pp]
                 slot = np.repeat(np.arange(len(pp)), size)
                 tt = t[_ragged(term_at[pp], size)]
+                place, there = self._place(tt, bb[slot])
                 if _ == 0:
-                    bound = np.bincount(slot, self.block_max[tt, bb[slot]], len(pp))
+                    bound = np.bincount(slot, np.where(there, self.cell_max[place], 0.0), len(pp))
                     left = bound >= threshold - 1e-9
                     pp, bb = pp[left], bb[left]
             if not len(pp):
                 continue
-            cell = tt * blocks + bb[slot]
-            size = self.block_at[cell + 1] - self.block_at[cell]
-            posting = _ragged(self.block_at[cell], size)
+            slot, place = slot[there], place[there]
+            size = self.cell_at[place + 1] - self.cell_at[place]
+            posting = _ragged(self.cell_at[place], size)
             slot = np.repeat(slot, size)
             inside = self.item[posting] - bb[slot] * BLOCK_ITEMS
             scores = np.bincount(slot * BLOCK_ITEMS + inside, self.weight[posting], len(pp) * BLOCK_ITEMS)
@@ -281,7 +293,9 @@ def build_index(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "
         strides |= {len(strides) + k: max(LEAST_STRIDE, longest) for k in range(shards)}
         n, total = n + count, total + words
     mean = total / n if n else 1.0
+    # written: a term that every item holds is split in the join
     rarity = terms.groupBy("term").agg(F.log(1 + (F.lit(n) - F.count(F.lit(1)) + 0.5) / (F.count(F.lit(1)) + 0.5)).alias("idf"))
+    rarity = checkpointed(rarity)
     tf = F.col("tf").cast("double")
     raw = F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("words") / F.lit(mean)))
     weighed = terms.join(rarity, "term").withColumn("raw", raw)
@@ -329,7 +343,9 @@ def find_matches(
 ) -> DataFrame:
     """``df`` with ``matches``: the items found in the text, each with its best
     passage. The index goes with the job, ``ship_bytes`` of it at most; a larger
-    one is searched part by part, in as many passes over the texts."""
+    one is searched part by part, in as many passes over the texts: the matches of a
+    part are written, with the columns of ``df`` that are still needed, before the
+    next part is read by the driver."""
     groups, size = [[]], 0
     for shard, n in sorted(index.sizes.items()):
         if groups[-1] and size + n > ship_bytes:
@@ -351,6 +367,8 @@ def find_matches(
         found = [f"__matches{j}" for j in range(k)]
         columns = [*kept, *found] if last else [*dict.fromkeys([*kept, text_col]), *found]
         out = common.add_columns(out, text_col, fields, _searcher(packed, strides, text_col, threshold, least), columns)
+        if not last:
+            out = checkpointed(out)
     parts = [F.col(f"__matches{j}") for j in range(len(groups))]
     merged = F.concat(*parts) if len(parts) > 1 else parts[0]
     return out.select(*[c for c in out.columns if c in kept and c != "matches"], merged.alias("matches"))

@@ -4,6 +4,8 @@ import math
 import random
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
@@ -161,3 +163,36 @@ def test_query_finds_every_whole_item(spark):
     texts = pq.read_table(f"{sf}/documents.parquet").to_pylist()
     whole = {(d["doc_id"], i["item_id"]) for d in texts for i in items if i["text"] in d["text"]}
     assert whole and whole <= got
+
+
+def test_a_full_shard_takes_memory_by_its_postings():
+    """2048 items of 128 words that no other item has: 262,144 postings."""
+    n, k = 2048, 128
+    items = pa.table({"uid": range(n), "item_id": range(n), "text": [" ".join(f"w{i}x{j}" for j in range(k)) for i in range(n)]})
+    postings = pa.table({
+        "uid": np.repeat(np.arange(n), k), "term": [f"w{i}x{j}" for i in range(n) for j in range(k)], "weight": np.full(n * k, 1 / k),
+    })
+    shard = dc.Shard.build(items, postings, 0.65)
+    arrays = [v for v in vars(shard).values() if isinstance(v, np.ndarray)]
+    assert sum(a.nbytes for a in arrays) < 20 << 20
+    vocab = [f"w7x{j}" for j in range(k)]
+    found = list(shard.search(np.arange(k), np.array([0, k]), vocab, k, 0.65))
+    assert [(d, i) for d, _, i, _ in found] == [(0, shard.ids.index(7))]
+
+
+def test_parts_of_a_large_index_one_after_the_other(spark, data, monkeypatch):
+    """A part's matches are written before the next part reaches the driver."""
+    with monkeypatch.context() as m:
+        m.setattr(dc, "SHARD_BYTES", 300)
+        index = dc.build_index(spark.createDataFrame(data[1], "item_id long, text string"))
+    written, alive = [], []
+    monkeypatch.setattr(dc, "checkpointed", lambda df, keep=dc.checkpointed: written.append(1) or keep(df))
+    searcher = dc._searcher
+    monkeypatch.setattr(dc, "_searcher", lambda packed, *a: alive.append((len(packed), len(written))) or searcher(packed, *a))
+    df = docs(spark, data[0]).withColumnRenamed("lang", "__matches0x").withColumnRenamed("source", "matches")
+    out = dc.find_matches(df, index, ship_bytes=1)
+    assert alive == [(1, k) for k in range(len(index.sizes))] and len(written) == len(index.sizes) - 1
+    assert out.columns == ["doc_id", "text", "__matches0x", "n_chars", "matches"]
+    got = {r.doc_id: sorted(m.item_id for m in r.matches) for r in out.collect()}
+    whole = dc.find_matches(docs(spark, data[0]), dc.build_index(spark.createDataFrame(data[1], "item_id long, text string")))
+    assert got == {r.doc_id: sorted(m.item_id for m in r.matches) for r in whole.collect()} and any(got.values())
