@@ -9,13 +9,15 @@ document, and a logistic unit scores the weighted sum (Ilse, Tomczak & Welling
 
 Training takes a bounded, documented sample: at most ``fit_per_label``
 documents of each label value that are not held out, by smallest hash of their
-id; it runs in blocks on the executors (``mixing``). The sample's label shares
+id (of rows that share an id the one with the smallest text); it runs in blocks on the executors (``mixing``). The sample's label shares
 are corrected to those of all labels. Scores depend on the text alone.
 
 Defined cases: a null or empty text is one empty passage; a text of any length
 is encoded whole; labels that are null or have no document are ignored, ids
 with several labels count as their most common; without both labels in the
-training rows every score is the share of label 1, or 0.5 without any.
+training rows every score is the share of label 1, or 0.5 without any; an empty
+table has no scores; repeated rows score alike; columns named as a new one are
+replaced, others stay whatever their names.
 """
 
 from __future__ import annotations
@@ -42,6 +44,7 @@ REPEAT_SPAN = 8
 HIDDEN, ATTENTION = 24, 12
 FIT_PER_LABEL = 4000
 ROWS_PER_BLOCK = 1000
+BLOCK_BYTES = 32 << 20  # of features, as they are packed: four times that in a task
 ROUNDS, EPOCHS, BATCH, RATE, DECAY = 5, 8, 32, 0.01, 1e-4
 ACCEPT = 0.7
 
@@ -233,9 +236,7 @@ def fit(
     all_counts = {r[0]: r[1] for r in shares.collect()}  # two rows at most
     sample = mixing.label_sample(labels, id_col, label_col, [0, 1], fit_per_label)
     sample = checkpointed(sample.select(F.col(id_col).alias("__id"), F.col(label_col).alias("label")))
-    blocks = -(-max(1, sample.count()) // ROWS_PER_BLOCK)
-    texts = documents.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
-    rows = texts.join(F.broadcast(sample), "__id")  # 2 x fit_per_label rows at most
+    rows = mixing.texts_of(documents, sample, id_col, text_col)
     fields = [StructField("features", BinaryType()), StructField("passages", IntegerType())]
 
     def encode(piece: pa.RecordBatch) -> list:
@@ -244,8 +245,9 @@ def fit(
         made = [x[a:b].tobytes() for a, b in zip(first[:-1], first[1:])]
         return [pa.array(made, pa.binary()), pa.array(np.diff(first).astype(np.int32))]
 
-    encoded = common.add_columns(rows, "__text", fields, encode, keep=["__id", "label"])
-    table = mixing.pack_blocks(encoded, "__id", blocks)
+    encoded = checkpointed(common.add_columns(rows, "__text", fields, encode, keep=["__id", "label"]))
+    n_docs, size = encoded.agg(F.count(F.lit(1)), F.sum(F.octet_length("features"))).first()
+    table = mixing.pack_blocks(encoded, "__id", max(1, -(-n_docs // ROWS_PER_BLOCK), -(-(size or 0) // BLOCK_BYTES)))
 
     def moments(rows: pa.Table):
         x, _, y = _bags(rows)

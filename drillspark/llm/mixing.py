@@ -43,6 +43,15 @@ def label_sample(labels: DataFrame, id_col: str, label_col: str, values: list, p
     return out
 
 
+def texts_of(documents: DataFrame, sample: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(__id, label, __text) for the sampled (__id, label): one text an id, whatever
+    the number of rows that share it (the smallest of their texts), so the sample is
+    bounded by its ids."""
+    texts = documents.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
+    # a few thousand ids (the sample's parameter), sent to the texts
+    return texts.join(F.broadcast(sample), "__id").groupBy("__id", "label").agg(F.min("__text").alias("__text"))
+
+
 def pack_blocks(rows: DataFrame, id_col: str, blocks: int) -> DataFrame:
     """``rows`` as a written table of one row a block: an Arrow stream of the
     block's rows in a fixed order. For bounded training samples only."""

@@ -1,5 +1,8 @@
 from __future__ import annotations
 
+import math
+import zlib
+
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -101,3 +104,88 @@ def test_sample_is_bounded_and_leaves_held_out_alone(spark):
 def test_query(spark):
     out = q.QUERIES["op10_attention_quality"](spark, "/root/testdata/sf0.001").collect()
     assert len(out) == 200 and all(r.predicted == int(r.score >= 0.7) for r in out)
+
+
+def plain_forward(p, passages):
+    """Logit of one document from its (scaled) passages, number by number."""
+    e, hs = [], []
+    for x in passages:
+        h = [math.tanh(sum(x[i] * p["W"][i, j] for i in range(len(x)) if x[i]) + p["b"][j]) for j in range(mil.HIDDEN)]
+        gate = 0.0
+        for j in range(mil.ATTENTION):
+            t = math.tanh(sum(h[i] * p["V"][i, j] for i in range(mil.HIDDEN)) + p["bv"][j])
+            s = 1 / (1 + math.exp(-sum(h[i] * p["U"][i, j] for i in range(mil.HIDDEN)) - p["bu"][j]))
+            gate += t * s * p["w"][j]
+        e.append(gate)
+        hs.append(h)
+    a = [math.exp(v - max(e)) for v in e]
+    z = [sum(a[k] * hs[k][i] for k in range(len(hs))) / sum(a) for i in range(mil.HIDDEN)]
+    return sum(z[i] * p["c"][i] for i in range(mil.HIDDEN)) + p["c0"][0], a.index(max(a))
+
+
+def test_fit_and_scores_by_plain_steps(spark, monkeypatch):
+    """300 documents: features byte by byte, the training steps again with one document
+    at a time, and every score number by number."""
+    packed = []
+    pack = mixing.pack_blocks
+    monkeypatch.setattr(mixing, "pack_blocks", lambda *a: packed.append(pack(*a)) or packed[-1])
+    monkeypatch.setattr(mil, "ROUNDS", 2)
+    monkeypatch.setattr(mil, "EPOCHS", 2)
+    monkeypatch.setattr(mil, "ROWS_PER_BLOCK", 120)
+    d = table_of(spark, "/root/testdata/sf0.01", "documents").where("length(text) < 3000").orderBy("doc_id").limit(300)
+    rows = {r.doc_id: r.text for r in d.collect()}
+    labels = spark.createDataFrame([(i, int("the" in (t or ""))) for i, t in rows.items()], "doc_id long, quality int")
+    m = mil.fit(d, labels)
+
+    blocks = [pa.ipc.open_stream(bytes(r.block)).read_all().to_pylist() for r in packed[0].collect()]
+    assert len(blocks) > 1
+    want = {i: brute_features((t or "").encode()) for i, t in rows.items()}
+    seen = [r for b in blocks for r in b]
+    assert sorted(r["__id"] for r in seen) == sorted(i for i in rows if zlib.crc32(str(i).encode()) % 4 != 2)
+    for r in seen:
+        x = np.frombuffer(r["features"], np.float16).reshape(-1, mil.N_FEATURES)
+        np.testing.assert_allclose(x, want[r["__id"]], atol=2e-3)
+    every = np.concatenate([np.frombuffer(r["features"], np.float16).reshape(-1, mil.N_FEATURES) for r in seen]).astype(float)
+    np.testing.assert_allclose(m.mean, every.mean(axis=0), atol=1e-9)
+    np.testing.assert_allclose(m.scale, np.maximum(every.std(axis=0), 1e-2), atol=1e-6)
+
+    params = mil._start()
+    for round_ in range(2):
+        made = []
+        for b in blocks:
+            p, m1, m2, t = params.copy(), 0.0, 0.0, 0
+            rng = np.random.default_rng(100 + round_)
+            xs = [(np.frombuffer(r["features"], np.float16).reshape(-1, mil.N_FEATURES).astype(float) - m.mean) / m.scale for r in b]
+            for _ in range(2):
+                order = rng.permutation(len(b))
+                for at in range(0, len(order), mil.BATCH):
+                    pick = order[at : at + mil.BATCH]
+                    # one document at a time; its gradient is checked against differences elsewhere
+                    grads = [mil.loss_and_gradient(p, xs[k], np.array([0, len(xs[k])]), np.array([float(b[k]["label"])]))[1] for k in pick]
+                    grad = sum(g - mil.DECAY * p for g in grads) / len(pick) + mil.DECAY * p
+                    t += 1
+                    m1, m2 = 0.9 * m1 + 0.1 * grad, 0.999 * m2 + 0.001 * grad * grad
+                    p = p - mil.RATE / (1 + round_) * (m1 / (1 - 0.9**t)) / (np.sqrt(m2 / (1 - 0.999**t)) + 1e-8)
+            made.append((p, len(b)))
+        params = sum(p * w for p, w in made) / sum(w for _, w in made)
+    assert np.median(np.abs(params - m.params)) < 1e-4
+
+    split = mil._split(m.params)
+    for r in mil.score(d, m, keep=["doc_id"]).collect():
+        scaled = (np.float32(want[r.doc_id]) - m.mean) / m.scale
+        logit, top = plain_forward(split, scaled.tolist())
+        assert r.score == pytest.approx(1 / (1 + math.exp(-(logit + m.shift))), abs=1e-5) and r.top_passage == top
+
+
+def test_blocks_by_bytes_and_one_text_an_id(spark, monkeypatch):
+    """A repeated id counts once; documents of 4 MB make blocks of their own."""
+    monkeypatch.setattr(mil, "BLOCK_BYTES", 1 << 20)
+    monkeypatch.setattr(mil, "ROUNDS", 1)
+    packed = []
+    pack = mixing.pack_blocks
+    monkeypatch.setattr(mixing, "pack_blocks", lambda *a: packed.append(a[2]) or pack(*a))
+    texts = ["spam! " * 700_000 + str(i) for i in range(4)] + ["clean words here"] * 3000
+    d = docs(spark, texts, [0, 1, 3, 4, *[5] * 3000])
+    labels = spark.createDataFrame([(0, 0), (1, 0), (3, 0), (4, 0), (5, 1)], "doc_id long, quality int")
+    mil.fit(d, labels, fit_per_label=5)
+    assert packed[0] >= 4

@@ -1,6 +1,8 @@
 from __future__ import annotations
 
+import math
 import random
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -91,3 +93,92 @@ def test_nothing_to_learn(spark):
 def test_query(spark):
     out = q.QUERIES["op2_ordinal_toxicity"](spark, "/root/testdata/sf0.001")
     assert out.count() == 200 and {"doc_id", "held_out", "expected_severity", "severity", "toxic"} <= set(out.columns)
+
+
+def plain_scores(words, weights, theta, text):
+    """P(grade >= k) of one text, word by word."""
+    counts = {}
+    for w in (text or "").split():
+        w = w.lower().strip(toxicity.PUNCTUATION)
+        if w in words:
+            counts[w] = counts.get(w, 0) + 1
+    eta = sum(math.log1p(n) * weights[words[w]] for w, n in counts.items())
+    return [1 / (1 + math.exp(t - eta)) for t in theta]
+
+
+def test_fit_and_scores_by_plain_steps(spark, monkeypatch):
+    """Training again on the packed blocks, document by document with numeric
+    derivatives of the likelihood alone, and every score word by word."""
+    packed = []
+    pack = mixing.pack_blocks
+    monkeypatch.setattr(mixing, "pack_blocks", lambda *a: packed.append(pack(*a)) or packed[-1])
+    for name, value in (("ROUNDS", 2), ("EPOCHS", 2), ("BATCH", 40)):
+        monkeypatch.setattr(toxicity, name, value)
+    d = table_of(spark, "/root/testdata/sf0.01", "documents").orderBy("doc_id").limit(300)
+    texts = [(r.doc_id, r.text) for r in d.collect()]
+    vile = [f"{t or ''} vile{i % 3} vile{i % 5} awful" if i % 4 == 0 else t for i, (_, t) in enumerate(texts)]
+    docs_ = docs(spark, vile, [i for i, _ in texts])
+    labels = spark.createDataFrame([(i, int(k % 4 == 0)) for k, (i, _) in enumerate(texts)], "doc_id long, toxic int")
+    m = toxicity.fit(docs_, labels)
+    assert {"vile0", "awful"} <= set(m.words)
+
+    blocks = []
+    for r in packed[0].collect():
+        rows = pa.ipc.open_stream(bytes(r.block)).read_all().to_pylist()
+        blocks.append(rows)
+    assert sorted(r["__id"] for b in blocks for r in b) == sorted(i for i, _ in texts if zlib.crc32(str(i).encode()) % 4 != 2)
+    n = len(m.words)
+
+    def loss(p, rows):
+        theta, total, share = toxicity._thresholds(p[n:]), 0.0, sum(r["weight"] for r in rows)
+        for r in rows:
+            eta = sum(v * p[c] for c, v in zip(r["cols"], r["values"]))
+            up = [1.0, *[1 / (1 + math.exp(t - eta)) for t in theta], 0.0]
+            total -= r["weight"] / share * math.log(max(up[r["grade"]] - up[r["grade"] + 1], 1e-12))
+        return total + toxicity.DECAY / 2 * float(p[:n] @ p[:n])
+
+    params = np.concatenate([np.zeros(n), [1.0], np.zeros(toxicity.LEVELS - 1)])
+    for round_ in range(2):
+        made = []
+        for rows in blocks:
+            p, m1, m2, t = params.copy(), 0.0, 0.0, 0
+            rng = np.random.default_rng(300 + round_)
+            for _ in range(2):
+                order = rng.permutation(len(rows))
+                for at in range(0, len(order), 40):
+                    batch = [rows[k] for k in order[at : at + 40]]
+                    touched = sorted({c for r in batch for c in r["cols"]}) + list(range(n, len(p)))
+                    grad = np.concatenate([toxicity.DECAY * p[:n], np.zeros(toxicity.LEVELS)])
+                    for k in touched:
+                        e = np.zeros(len(p))
+                        e[k] = 1e-5
+                        grad[k] = (loss(p + e, batch) - loss(p - e, batch)) / 2e-5
+                    t += 1
+                    m1, m2 = 0.9 * m1 + 0.1 * grad, 0.999 * m2 + 0.001 * grad * grad
+                    p = p - toxicity.RATE / (1 + round_) * (m1 / (1 - 0.9**t)) / (np.sqrt(m2 / (1 - 0.999**t)) + 1e-8)
+            made.append((p, len(rows)))
+        params = sum(p * w for p, w in made) / sum(w for _, w in made)
+    far = np.abs(params[:n] - m.weights)
+    assert np.median(far) < 1e-3 and np.abs(toxicity._thresholds(params[n:]) - m.theta).max() < 0.02
+
+    for r in toxicity.score(docs_, m).collect():
+        up = plain_scores(m.words, m.weights, m.theta, r.text)
+        assert r.expected_severity == pytest.approx(sum(up), abs=1e-9) and r.toxic == (r.toxic_score >= toxicity.FLAG)
+        each = [a - b for a, b in zip([1.0, *up], [*up, 0.0])]
+        assert each[r.severity] == pytest.approx(max(each), abs=1e-9)
+
+
+def test_one_text_an_id_and_words_beyond_any_count(spark):
+    """An id with thousands of rows counts once; there is no cap on feature words."""
+    toxic = " ".join(f"bad{i}" for i in range(21_000))
+    d = docs(spark, [toxic] * 8 + ["fine words"] * 8 + ["fine words again"] * 3000, [*range(100, 116), *[115] * 3000])
+    labels = spark.createDataFrame([(i, int(i < 108)) for i in range(100, 116)], "doc_id long, toxic int")
+    sample = spark.createDataFrame([(i, int(i < 108)) for i in range(100, 116)], "__id long, label int")
+    rows = mixing.texts_of(d, sample, "doc_id", "text").collect()
+    assert len(rows) == 16 and {r["__text"] for r in rows if r["__id"] == 115} == {"fine words"}
+    old = toxicity.LEAST_Z
+    toxicity.LEAST_Z = 0.5
+    try:
+        assert len(toxicity.fit(d, labels).words) > 20_500
+    finally:
+        toxicity.LEAST_Z = old
