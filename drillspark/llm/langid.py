@@ -21,6 +21,7 @@ in name order wins; texts are taken whole, whatever their length.
 from __future__ import annotations
 
 import sys
+from collections.abc import Iterator
 from collections import Counter
 from dataclasses import dataclass
 
@@ -197,10 +198,20 @@ class Profiles:
         return [o[0] for o in out], [o[1] for o in out]
 
 
+TASK_GRAMS = 500_000  # counts that a task holds before it hands them on
+
+
 def gram_counts(df: DataFrame, text_col: str, lang_col: str) -> DataFrame:
     """(lang, gram, n) over all rows with a language."""
     rows = df.where(F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
 
+    def made(totals: dict) -> Iterator[pa.RecordBatch]:
+        for lang, have in totals.items():
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([lang] * len(have), pa.string()), pa.array(list(have), pa.string()), pa.array(list(have.values()), pa.int64())],
+                ["lang", "gram", "n"],
+            )
+
     def count(batches):
         letters, totals = Letters(), {}
         for batch in batches:
@@ -215,11 +226,10 @@ def gram_counts(df: DataFrame, text_col: str, lang_col: str) -> DataFrame:
                         have = totals.setdefault(lang, Counter())
                         for i in np.flatnonzero(sums).tolist():
                             have[names[i]] += int(sums[i])
-        for lang, have in totals.items():
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([lang] * len(have), pa.string()), pa.array(list(have), pa.string()), pa.array(list(have.values()), pa.int64())],
-                ["lang", "gram", "n"],
-            )
+                    if sum(map(len, totals.values())) > TASK_GRAMS:
+                        yield from made(totals)
+                        totals = {}
+        yield from made(totals)
 
     return rows.mapInArrow(count, "lang string, gram string, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 

@@ -100,3 +100,13 @@ def test_query_held_out_accuracy(spark):
     held = [(r.lang, out[r.doc_id].lang_pred) for r in truth if out[r.doc_id].held_out]
     assert len(out) == 1000 and sum(a == b for a, b in held) / len(held) > 0.98
     assert all(0 <= r.score <= 1 for r in out.values())
+
+
+def test_counts_are_handed_on_before_they_grow(spark, monkeypatch):
+    """An alphabet of a million n-grams: a task holds a bounded number of counts."""
+    texts = ["".join(chr(0x4E00 + (i * 97 + j * 31) % 20_000) for j in range(400)) for i in range(60)] * 2
+    df = docs(spark, texts, lang=["zh", "ja"] * 60)
+    want = {(r.lang, r.gram): r.n for r in langid.gram_counts(df, "text", "lang").collect()}
+    monkeypatch.setattr(langid, "TASK_GRAMS", 1000)
+    got = {(r.lang, r.gram): r.n for r in langid.gram_counts(df, "text", "lang").collect()}
+    assert got == want and len(want) > 20_000
