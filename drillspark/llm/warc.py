@@ -25,7 +25,8 @@ Defined cases: a null payload is empty; a null URL gives no target header; rows
 that share the largest identifier and the payload are all responses; a null
 identifier is written as ``null`` and is never the largest (where no row of a
 payload has one, all are responses). A payload larger than a bundle gets a frame
-and a bundle of its own.
+and a bundle of its own. An empty table is a folder without bundles and reads back
+empty. Only the three named columns are read, whatever else there is.
 """
 
 from __future__ import annotations
@@ -52,6 +53,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 FRAME_BYTES = 256 << 10
 BUNDLE_BYTES = 16 << 20
+HEADER_BYTES = 400  # of a record besides its URL and payload: empty pages fill bundles, too
 REVISIT_BYTES = 1000
 
 # Fixed values of the seekable Zstandard format and of WARC
@@ -261,7 +263,8 @@ def write_bundles(
         F.col("payload_digest").alias("digest"),
         F.col("refers_to").cast("string").alias("refers_to"),
     )
-    total = pages.agg(F.sum(F.octet_length(payload_col))).first()[0] or 0
+    record = F.coalesce(F.octet_length(payload_col), F.lit(0)) + F.coalesce(F.octet_length(url_col), F.lit(0)) + HEADER_BYTES
+    total = pages.agg(F.sum(record.cast("long"))).first()[0] or 0
     tasks = max(1, math.ceil(total / bundle_bytes))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,11 +2,13 @@ from __future__ import annotations
 
 import hashlib
 import io
+import os
 import struct
 from pathlib import Path
 
 import pytest
 import zstandard
+from pyspark.sql import functions as F
 
 from drillspark.llm import queries as q
 from drillspark.llm import warc
@@ -109,3 +111,20 @@ def test_query_keeps_null_page_id(spark, tmp_path):
     )
     out = q.QUERIES["op3_warc_bundles"](spark, str(tmp_path)).collect()
     assert sorted((r.page_id or 0, r.payload_bytes, r.record_type) for r in out) == [(0, 0, "response"), (2, 1, "response")]
+
+
+def test_many_empty_pages_are_written_by_several_tasks(spark, tmp_path):
+    """Headers count, too: 100,000 empty pages are more than one bundle. Columns with the
+    names of the record's fields do not matter."""
+    pages = spark.range(100_000).select(
+        F.col("id").alias("page_id"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"),
+        F.lit("x").alias("payload_digest"), F.lit(7).alias("refers_to"), F.lit(b"y").alias("payload"),
+    )
+    path = str(tmp_path / "w")
+    warc.write_bundles(pages, path)
+    assert len([f for f in os.listdir(path) if f.startswith("part-")]) >= 3
+    got = warc.read_bundles(spark, path, with_payload=False)
+    assert got.count() == 100_000 and got.where("record_type = 'response' AND payload_bytes = 0 AND refers_to IS NULL").count() == 100_000
+    empty = str(tmp_path / "e")
+    warc.write_bundles(pages.limit(0), empty)
+    assert warc.read_bundles(spark, empty).count() == 0
