@@ -11,6 +11,12 @@ subtrees whose weights change. A new shard that opens a region of its own
 
 Only the key and the tree decide; a row's neighbours, its text or the number of
 partitions do not. Equal keys share a shard; a null key is a key of its own.
+
+Defined cases: texts play no part, so null, empty and very long ones are placed like
+any other; repeated rows get slots of their own; an empty table stays empty. A column
+named as a new one (``shard``, ``slot``) is replaced, others stay whatever their
+names. Slots are counted in at most ``MAX_BUCKETS`` ranges of the hash for each shard,
+which bounds the table of their first positions; ranges then only grow longer.
 """
 
 from __future__ import annotations
@@ -129,6 +135,7 @@ def with_slots(rows: DataFrame, shard_col: str = "shard", name: str = "slot", bu
     the end (which of them gets which slot makes no difference), so no key,
     however common, meets in one task.
     """
+    rows = rows.drop(name)
     cols = rows.columns
     digest = F.md5(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in cols]).cast("binary"))
     # read three times below: written once

@@ -76,3 +76,14 @@ def test_query_on_null_and_empty_texts(spark, tmp_path):
     assert sorted((r.doc_id or 0, r["size"], r.text_crc32) for r in out) == [
         (0, 2, zlib.crc32(b"q")), (1, 1, 0), (2, 1, 0), (3, 3, zlib.crc32("é".encode())), (3, 3, zlib.crc32("é".encode()))
     ]
+
+
+def test_clashing_names_and_empty_tables(spark):
+    df = spark.range(50).select(F.col("id").alias("doc_id"), F.lit(-1).alias("slot"), F.lit("s").alias("shard"), F.lit(2).alias("m"))
+    out = sh.with_slots(sh.with_shards(df, "doc_id", q.SHARD_TREE))
+    assert sorted(out.columns) == ["doc_id", "m", "shard", "slot"]
+    rows = out.collect()
+    for shard in {r.shard for r in rows}:
+        slots = sorted(r.slot for r in rows if r.shard == shard)
+        assert slots == list(range(len(slots)))
+    assert sh.with_slots(sh.with_shards(df.limit(0), "doc_id", q.SHARD_TREE)).count() == 0
