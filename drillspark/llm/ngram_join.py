@@ -49,7 +49,7 @@ MAX_HASHES = 128
 BLOCK_MEMBERS = 2048
 BLOCK_GRAMS = 1_500_000
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
-BROADCAST_ROWS = 1_000_000  # of 16 bytes: what may be broadcast
+BROADCAST_BYTES = 16 << 20  # most that is sent to every task; more is shuffled
 
 
 def choose_bands(threshold: float = THRESHOLD, recall: float = RECALL, most: int = MAX_HASHES) -> tuple[int, int]:
@@ -327,9 +327,11 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def few(df: DataFrame, rows: int, most: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` marked for broadcast if its counted rows are within the bound."""
-    return F.broadcast(df) if rows <= most else df
+def few(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """A written table marked for broadcast if its values, counted, are within the bound."""
+    sized = [F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) + 8 for c in df.columns]
+    size = df.agg(F.sum(sum(sized[1:], sized[0]).cast("long"))).first()[0] or 0
+    return F.broadcast(df) if size <= most else df
 
 
 def ngram_join(
@@ -389,8 +391,7 @@ def ngram_join(
 
     # the n-gram sets of bucket members, from the text of one document each
     wanted = checkpointed(members.select("set_key").distinct().join(classes.select("set_key", "rk", "copies", "bands"), "set_key"))
-    count = wanted.count()
-    texts = docs.join(few(wanted.select("rk").distinct(), count), "rk", "left_semi")
+    texts = docs.join(few(wanted.select("rk")), "rk", "left_semi")
     sets = _sets_of(texts, n).groupBy("set_key").agg(F.first("grams").alias("grams"))
     full = wanted.select("set_key", "copies", "bands").join(sets, "set_key")
 
@@ -415,7 +416,9 @@ def ngram_join(
         .join(counts, "set_key", "left")
         .withColumn("label", F.coalesce("label", "set_key"))
     )
-    smallest = labelled.groupBy("label").agg(F.min("rep_id").alias("class_id"))
+    # written, so a class with a third of all sets is split where it is joined back
+    labelled = checkpointed(labelled)
+    smallest = checkpointed(labelled.groupBy("label").agg(F.min("rep_id").alias("class_id")))
     result = checkpointed(
         labelled.join(smallest, "label").select(
             "set_key", "label", "class_id", "rep_id", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")
@@ -458,7 +461,7 @@ def drop_near_copies(documents: DataFrame, id_col: str = "doc_id", text_col: str
     key = F.xxhash64(id_col, text_col)
     same = (key == F.col("__rk")) & F.col(id_col).eqNullSafe(F.col("__id"))
     gone = judged.where("NOT __stays OR __times > 1").select("__rk", "__id", "__stays")
-    marked = documents.join(few(gone, gone.count()), same, "left")
+    marked = documents.join(few(gone), same, "left")
     rest = marked.where("__rk IS NULL").select(*documents.columns)
     # rows that occur several times and stay: one of each
     again = marked.where("__stays").select(*documents.columns, "__rk").dropDuplicates(["__rk"]).drop("__rk")
