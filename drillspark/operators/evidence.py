@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ranks import partition_row_numbers, running_sums
+from ..functions.walks import branches_of, intervals_of
 from ..session import checkpointed, ensure_checkpoint_dir, join_back
 from .relational import ordered_window
 
@@ -402,7 +403,30 @@ def _weight_to_end(succ: DataFrame) -> DataFrame:
     return at.select("e", "total")
 
 
-def branches(nodes: DataFrame) -> DataFrame:
+LOCAL_NODES = 100_000  # of an investigation that one task numbers
+
+
+def _dealt_by_size(rows: DataFrame, id_col: str, parent_col: str, local_nodes: int) -> tuple[DataFrame, DataFrame | None]:
+    """The written ``rows`` (investigation_id, ``id_col``, ``parent_col``, ...) of
+    investigations of at most ``local_nodes`` rows with all their links inside, with the
+    column ``_group`` that deals them into groups for a task; and the rest (None: there is
+    none)."""
+    mine = rows.select("investigation_id", F.col(parent_col).alias("_up")).where("_up IS NOT NULL")
+    theirs = rows.select(F.col(id_col).alias("_up"), F.col("investigation_id").alias("_of"))
+    across = mine.join(theirs, "_up").where(~F.col("investigation_id").eqNullSafe(F.col("_of")))
+    across = across.select(F.explode(F.array("investigation_id", "_of")).alias("_far"))
+    sizes = rows.groupBy("investigation_id").agg(F.count(F.lit(1)).alias("n"))
+    large = sizes.where(F.col("n") > local_nodes).select(F.col("investigation_id").alias("_far"))
+    far = checkpointed(across.unionByName(large).distinct())
+    groups = max(1, -(-rows.count() // max(1, local_nodes)))
+    group = F.pmod(F.xxhash64("investigation_id"), F.lit(groups)).alias("_group")
+    if far.isEmpty():
+        return rows.select("*", group), None
+    same = F.col("investigation_id").eqNullSafe(F.col("_far"))
+    return rows.join(far, same, "left_anti").select("*", group), checkpointed(rows.join(far, same, "left_semi"))
+
+
+def branches(nodes: DataFrame, local_nodes: int = LOCAL_NODES) -> DataFrame:
     """Branch labels of question turns and the branches visible on each.
 
     A turn's parent turn is the one whose conclusion its question hangs off;
@@ -414,20 +438,33 @@ def branches(nodes: DataFrame) -> DataFrame:
     investigation_id, question_id, branch, visible_from, visible_to (null if
     none opens beneath), visible (how many).
 
-    Turns are folded into their chains of first children; an Euler tour of the
-    chains, ranked as a linked list, numbers the branches and counts those in
-    each subtree. Every step has rows in proportion to the turns. A cycle of
-    parent turns is cut at its smallest member.
+    Investigations of up to ``local_nodes`` turns are walked depth first, many of them
+    in one task; larger ones are numbered by list ranking. A turn that hangs off another
+    investigation is a root of its own; a cycle of parent turns is cut at its smallest
+    member.
     """
     t = turns(nodes)
     last_concl = (
         t.where((F.col("kind") == CONCLUSION) & F.col("turn_id").isNotNull())
         .groupBy("turn_id")
-        .agg(F.max_by("id", F.struct("seq", "id")).alias("parent_id"))
-        .select("parent_id", F.col("turn_id").alias("parent_turn"))
+        .agg(F.max_by("id", F.struct("seq", "id")).alias("parent_id"), F.first("investigation_id").alias("_of"))
+        .select("parent_id", "_of", F.col("turn_id").alias("parent_turn"))
     )
     qs = nodes.where(F.col("kind") == QUESTION).select("investigation_id", F.col("id").alias("question_id"), "seq", "parent_id")
-    tree = checkpointed(qs.join(last_concl, "parent_id", "left").drop("parent_id"))
+    tree = qs.join(last_concl, "parent_id", "left").drop("parent_id")
+    tree = tree.withColumn("parent_turn", F.when(F.col("investigation_id").eqNullSafe(F.col("_of")), F.col("parent_turn"))).drop("_of")
+    tree = checkpointed(tree)
+    near, far = _dealt_by_size(tree, "question_id", "parent_turn", local_nodes)
+    kinds = [f"{c} {tree.schema[c].dataType.simpleString()}" for c in ("investigation_id", "question_id")]
+    walked = near.groupBy("_group").applyInArrow(branches_of, ", ".join([*kinds, "branch long, visible_from long, visible_to long, visible long"]))
+    return walked if far is None else walked.unionByName(_branches_by_ranking(far))
+
+
+def _branches_by_ranking(tree: DataFrame) -> DataFrame:
+    """``branches`` of any number of turns (investigation_id, question_id, seq,
+    parent_turn). They are folded into their chains of first children; an Euler tour of
+    the chains, ranked as a linked list, numbers the branches and counts those in
+    each subtree. Every step has rows in proportion to the turns."""
     folded = forest(tree.select(F.col("question_id").alias("id"), F.col("parent_turn").alias("parent_id")))
     if folded.members is not None:
         cut = folded.members.where("member = root").select(F.col("member").alias("question_id"), F.lit(True).alias("_cut"))
@@ -546,24 +583,57 @@ def open_hypotheses(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return hypothesis_status(nodes, edges).where(F.col("status").isin("proposed", "unresolved"))
 
 
-def shared_evidence(nodes: DataFrame, edges: DataFrame, lift: Lifting | None = None) -> DataFrame:
+def _labels(nodes: DataFrame, local_nodes: int) -> tuple[DataFrame, DataFrame | None]:
+    """(node_id, _group, pre, last, depth) of the nodes of investigations that one task can
+    walk, written, and the other nodes (None: there are none): those of larger
+    investigations, of links between investigations, and of cycles."""
+    plain = checkpointed(nodes.select("investigation_id", "id", F.lit(0).alias("seq"), "parent_id"))
+    near, far = _dealt_by_size(plain, "id", "parent_id", local_nodes)
+    kind = plain.schema["id"].dataType.simpleString()
+    labels = near.groupBy("_group").applyInArrow(intervals_of, f"node_id {kind}, _group long, pre long, last long, depth long, looped boolean")
+    labels = checkpointed(labels)
+    looped = labels.where("looped").select(F.col("node_id").alias("id"))
+    if not looped.isEmpty():
+        turning = plain.join(looped, "id", "left_semi")
+        far = turning if far is None else far.unionByName(turning)
+    return labels.where("NOT looped").drop("looped"), far
+
+
+def shared_evidence(nodes: DataFrame, edges: DataFrame, lift: Lifting | None = None, local_nodes: int = LOCAL_NODES) -> DataFrame:
     """Evidence nodes that actively support two or more conclusions which are
     not on one ancestor line (divergent branches).
 
     No pairs are built: a source's conclusions lie on one line exactly when
-    each is an ancestor-or-self of the deepest one, i.e. equals the deepest
-    one's ancestor (depth difference) levels up - one ``max_by`` per source
-    and a binary-lifting lookup per (source, conclusion).
+    each is an ancestor-or-self of the deepest one. Investigations of up to
+    ``local_nodes`` nodes get preorder intervals, so that is a range test on the row
+    itself; elsewhere a conclusion is compared with the deepest one's ancestor (depth
+    difference) levels up, by binary lifting.
     """
-    lift = lift or lifting(nodes)
     concl = nodes.where(F.col("kind") == CONCLUSION).select(F.col("id").alias("target_id"))
-    sup = (
-        _active(edges)
-        .where(F.col("relationship") == "supports")
-        .join(concl, "target_id")
-        .select("investigation_id", "source_id", "target_id")
-        .distinct()
-    )
+    sup = _active(edges).where(F.col("relationship") == "supports").join(concl, "target_id")
+    sup = checkpointed(sup.select("investigation_id", "source_id", "target_id").distinct())
+    if lift is not None:
+        return _off_line_by_lifting(sup, lift)
+    labels, far = _labels(nodes, local_nodes)
+    placed = checkpointed(sup.join(labels.withColumnRenamed("node_id", "target_id"), "target_id", "left"))
+    # a source is judged by intervals if all its conclusions have one
+    per = placed.groupBy("source_id").agg(
+        F.countDistinct("target_id").alias("conclusions"),
+        F.count_if(F.col("pre").isNull()).alias("_unlabelled"),
+        F.max_by(F.struct("_group", "pre"), F.struct("depth", "target_id")).alias("_deep"),
+    )
+    both = join_back(placed, per.where("conclusions >= 2"), "source_id")
+    on_line = F.expr("_group = _deep._group AND _deep.pre BETWEEN pre AND last")
+    off = both.where(F.col("_unlabelled") == 0).where(~on_line)
+    near = off.groupBy("investigation_id", F.col("source_id").alias("id")).agg(F.max("conclusions").alias("conclusions"))
+    if far is None:
+        return near
+    rest = sup.join(both.where("_unlabelled > 0").select("source_id").distinct(), "source_id", "left_semi")
+    return near.unionByName(_off_line_by_lifting(rest, lifting(nodes)))
+
+
+def _off_line_by_lifting(sup: DataFrame, lift: Lifting) -> DataFrame:
+    """``shared_evidence`` of (investigation_id, source_id, target_id) by lifting tables."""
     sup = sup.withColumn("conclusion_id", F.col("target_id"))
     if lift.tree is not None:  # the members of a cycle are one place on the line
         place = lift.tree.members.select(F.col("member").alias("target_id"), F.col("root").alias("_root"))

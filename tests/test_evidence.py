@@ -401,3 +401,77 @@ def test_branches_against_a_walk(spark, seed):
     label, vis = _branches_by_walk(parent, seq)
     assert {r["question_id"]: r["branch"] for r in out} == label
     assert _visible(out) == vis
+
+
+def _random_graph(seed):
+    """Turns and conclusions of several investigations, some with cycles of turns, one
+    with a link into another investigation."""
+    rnd = random.Random(seed)
+    rows, made = [], {}
+    for inv, size in (("a", 60), ("b", 5), ("c", 30), ("d", 12), (None, 8)):
+        seq, concl = 0, []
+        for k in range(size):
+            seq += 1
+            up = rnd.choice(concl) if concl and rnd.random() < 0.9 else None
+            q, c = f"{inv}q{k:02d}", f"{inv}c{k:02d}"
+            rows.append([q, inv, seq, up, "user_question", {}])
+            seq += 1
+            rows.append([c, inv, seq, q, "conclusion", {}])
+            concl.append(c)
+        made[inv] = concl
+    at = {r[0]: r for r in rows}
+    at["cq00"][3] = at["cq03"][0].replace("q", "c")  # a turn that hangs off a later one
+    at["dq00"][3] = made["b"][0]  # and one that hangs off another investigation
+    return [tuple(r) for r in rows]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_branches_walked_and_ranked_alike(spark, seed):
+    n = nodes(spark, _random_graph(seed))
+    want = sorted(map(tuple, ev.branches(n, local_nodes=0).collect()), key=str)
+    assert len(want) == 115
+    for local_nodes in (10, 100_000):
+        assert sorted(map(tuple, ev.branches(n, local_nodes=local_nodes).collect()), key=str) == want
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_shared_evidence_by_intervals_and_by_lifting(spark, seed):
+    rows = _random_graph(seed)
+    rnd = random.Random(seed + 10)
+    concl = [r[0] for r in rows if r[4] == "conclusion"]
+    links = [(f"s{k}", rnd.choice(concl), "supports", rnd.choice(["active", "active", "removed"])) for k in [*range(40), *range(40), *range(20)]]
+    up = {r[0]: r[3] for r in rows}
+
+    def line(x):
+        out = []
+        while x is not None and x not in out:
+            out.append(x)
+            x = up[x]
+        return set(out)
+
+    want = set()
+    for s in {x[0] for x in links}:
+        mine = {t for k, t, _, st in links if k == s and st == "active"}
+        if any(a not in line(b) and b not in line(a) for a in mine for b in mine):
+            want.add((s, len(mine)))
+    n, e = nodes(spark, rows), edges(spark, links)
+    assert want
+    for local_nodes in (0, 25, 100_000):
+        got = ev.shared_evidence(n, e, local_nodes=local_nodes).collect()
+        assert {(r["id"], r["conclusions"]) for r in got} == want and len(got) == len(want)
+
+
+def test_walks_of_deep_chains_and_cycles():
+    import pyarrow as pa
+
+    from drillspark.functions.walks import intervals_of
+
+    n = 50_000  # deeper than any recursion
+    ids = [f"n{i:05d}" for i in range(n)] + ["x", "y", "z"]
+    parents = [None, *ids[: n - 1]] + ["z", "x", "y"]
+    table = pa.table({
+        "investigation_id": ["chain"] * n + ["ring"] * 3, "id": ids, "parent_id": parents, "seq": range(n + 3), "_group": [0] * (n + 3),
+    })
+    out = intervals_of(table).to_pylist()
+    assert (out[0]["pre"], out[0]["last"], out[n - 1]["depth"]) == (0, n - 1, n - 1)
+    assert [r["looped"] for r in out[n - 1 :]] == [False, True, True, True]
