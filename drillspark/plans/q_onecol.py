@@ -14,7 +14,7 @@ SELECT count(x) AS count, ROUND(avg(x), 6) AS mean, ROUND(stddev_samp(x), 6) AS
        min(x) AS min, ROUND(quantile_cont(x, 0.25), 6) AS p25, ROUND(median(x), 6) AS median,
        ROUND(quantile_cont(x, 0.75), 6) AS p75, max(x) AS max,
        CASE WHEN count(*) = 0 THEN 0.0 ELSE ROUND((count(*) - count(x)) / count(*), 4) END AS null_fraction,
-       CASE WHEN count(x) = 0 THEN 'column has no non-null values' ELSE '' END AS caveats
+       CASE WHEN count(x) = 0 THEN 'every value of the column is missing' ELSE '' END AS caveats
 FROM (SELECT CAST(l_extendedprice AS DOUBLE) AS x FROM lineitem)
 """,
 )

@@ -31,7 +31,7 @@ def test_resolve_table(spark):
 def test_empty_and_all_null(spark):
     empty = spark.createDataFrame([], "x double")
     d = describe(empty, "x").first()
-    assert d["count"] == 0 and d["null_fraction"] == 0.0 and d["caveats"] == ["column has no non-null values"]
+    assert d["count"] == 0 and d["null_fraction"] == 0.0 and d["caveats"] == ["every value of the column is missing"]
     nulls = spark.createDataFrame([(None,), (None,)], "x double")
     d2 = describe(nulls, "x").first()
     assert d2["count"] == 0 and d2["null_fraction"] == 1.0 and d2["median"] is None
