@@ -1,8 +1,10 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
@@ -157,3 +159,33 @@ def test_drop_near_copies_with_repeated_and_null_ids(spark, rows):
 def test_empty_table(spark, rows):
     d = docs(spark, ["a"]).limit(0)
     assert nj.ngram_join(d).count() == 0 and nj.drop_near_copies(d).count() == 0
+
+
+def test_recall_on_all_pairs_of_documents(spark):
+    """Links of every document of sf0.01 against comparing all pairs of their sets."""
+    from drillspark.llm import queries as q
+
+    sf = "/root/testdata/sf0.01"
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
+    ids = sorted(texts)
+    sets = [set(s.tolist()) for s in nj.gram_sets(pa.array([texts[i] or "" for i in ids]), 5)]
+    holders = {}
+    for k, s in enumerate(sets):
+        for g in s:
+            holders.setdefault(g, []).append(k)
+    shared = Counter()
+    for ks in holders.values():
+        for x in range(len(ks)):
+            for y in range(x + 1, len(ks)):
+                shared[ks[x], ks[y]] += 1
+    links = Counter()
+    for (x, y), n in shared.items():
+        if n >= 0.8 * (len(sets[x]) + len(sets[y]) - n) - 1e-6:
+            links[ids[x]] += 1
+            links[ids[y]] += 1
+    got = {r.doc_id: r.n_links for r in q.QUERIES["op7_ngram_jaccard_join"](spark, sf).collect()}
+    wordless = {i for i, s in zip(ids, sets) if not s}
+    found, want = sum(got[i] for i in ids if i not in wordless), sum(links.values())
+    assert want > 100 and all(got[i] <= links[i] for i in ids if i not in wordless)
+    assert found >= 0.995 * want, (found, want)
+    print("links found", found, "of", want)
