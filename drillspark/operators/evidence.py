@@ -345,15 +345,63 @@ def ancestor_at(pairs: DataFrame, lift: Lifting, node_col: str, k_col: str, out:
     return cur.withColumn(out, F.when(too_far, F.lit(None)).otherwise(F.col("_cur"))).drop("_cur")
 
 
-def descendants(nodes_or_closure: DataFrame, node_id: str, lift: Lifting | None = None) -> DataFrame:
+LOCAL_NODES = 100_000  # of an investigation that one task numbers
+
+
+def _dealt_by_size(rows: DataFrame, id_col: str, parent_col: str, local_nodes: int) -> tuple[DataFrame, DataFrame | None]:
+    """The written ``rows`` (investigation_id, ``id_col``, ``parent_col``, ...) of
+    investigations of at most ``local_nodes`` rows with all their links inside, with the
+    column ``_group`` that deals them into groups for a task; and the rest (None: there is
+    none)."""
+    mine = rows.select("investigation_id", F.col(parent_col).alias("_up")).where("_up IS NOT NULL")
+    theirs = rows.select(F.col(id_col).alias("_up"), F.col("investigation_id").alias("_of"))
+    across = mine.join(theirs, "_up").where(~F.col("investigation_id").eqNullSafe(F.col("_of")))
+    across = across.select(F.explode(F.array("investigation_id", "_of")).alias("_far"))
+    sizes = rows.groupBy("investigation_id").agg(F.count(F.lit(1)).alias("n"))
+    large = sizes.where(F.col("n") > local_nodes).select(F.col("investigation_id").alias("_far"))
+    far = checkpointed(across.unionByName(large).distinct())
+    groups = max(1, -(-rows.count() // max(1, local_nodes)))
+    group = F.pmod(F.xxhash64("investigation_id"), F.lit(groups)).alias("_group")
+    if far.isEmpty():
+        return rows.select("*", group), None
+    same = F.col("investigation_id").eqNullSafe(F.col("_far"))
+    return rows.join(far, same, "left_anti").select("*", group), checkpointed(rows.join(far, same, "left_semi"))
+
+
+def preorder(nodes: DataFrame, local_nodes: int = LOCAL_NODES) -> tuple[DataFrame, DataFrame | None]:
+    """(node_id, _group, pre, last, depth) of the nodes of investigations that one task can
+    walk, written, and the other nodes (None: there are none): those of larger
+    investigations, of links between investigations, and of cycles."""
+    plain = checkpointed(nodes.select("investigation_id", "id", F.lit(0).alias("seq"), "parent_id"))
+    near, far = _dealt_by_size(plain, "id", "parent_id", local_nodes)
+    kind = plain.schema["id"].dataType.simpleString()
+    labels = near.groupBy("_group").applyInArrow(intervals_of, f"node_id {kind}, _group long, pre long, last long, depth long, looped boolean")
+    labels = checkpointed(labels)
+    looped = labels.where("looped").select(F.col("node_id").alias("id"))
+    if not looped.isEmpty():
+        turning = plain.join(looped, "id", "left_semi")
+        far = turning if far is None else far.unionByName(turning)
+    return labels.where("NOT looped").drop("looped"), far
+
+
+def descendants(
+    nodes_or_closure: DataFrame, node_id: str, lift: Lifting | None = None, labels: DataFrame | None = None, local_nodes: int = LOCAL_NODES
+) -> DataFrame:
     """A node and everything beneath it, with the relative depth.
 
-    From a closure frame (node_id, ancestor_id, depth): a filter. From a
-    nodes frame: every node whose ancestor at (its depth - the node's depth)
-    is the node, via binary lifting - no closure is built. Beneath a member of
-    a cycle lies all that hangs from the cycle, and the cycle itself."""
+    From a closure frame (node_id, ancestor_id, depth): a filter. From a nodes frame:
+    a range filter on preorder intervals (``labels``, as of ``preorder``, made where they
+    are not given) if the node's investigation has them; else every node whose ancestor
+    at (its depth - the node's depth) is the node, via binary lifting. Beneath a member
+    of a cycle lies all that hangs from the cycle, and the cycle itself."""
     if "ancestor_id" in nodes_or_closure.columns:
         return nodes_or_closure.where(F.col("ancestor_id") == node_id).select(F.col("node_id").alias("id"), "depth")
+    if lift is None:
+        labels = preorder(nodes_or_closure, local_nodes)[0] if labels is None else labels
+        at = labels.where(F.col("node_id") == node_id).first()
+        if at is not None:
+            beneath = labels.where((F.col("_group") == at["_group"]) & F.col("pre").between(at["pre"], at["last"]))
+            return beneath.select(F.col("node_id").alias("id"), (F.col("depth") - at["depth"]).alias("depth"))
     lift = lift or lifting(nodes_or_closure)
     target = None if lift.tree is None else lift.tree.members.where(F.col("member") == node_id).first()
     top = node_id if target is None else target["root"]
@@ -403,29 +451,6 @@ def _weight_to_end(succ: DataFrame) -> DataFrame:
     return at.select("e", "total")
 
 
-LOCAL_NODES = 100_000  # of an investigation that one task numbers
-
-
-def _dealt_by_size(rows: DataFrame, id_col: str, parent_col: str, local_nodes: int) -> tuple[DataFrame, DataFrame | None]:
-    """The written ``rows`` (investigation_id, ``id_col``, ``parent_col``, ...) of
-    investigations of at most ``local_nodes`` rows with all their links inside, with the
-    column ``_group`` that deals them into groups for a task; and the rest (None: there is
-    none)."""
-    mine = rows.select("investigation_id", F.col(parent_col).alias("_up")).where("_up IS NOT NULL")
-    theirs = rows.select(F.col(id_col).alias("_up"), F.col("investigation_id").alias("_of"))
-    across = mine.join(theirs, "_up").where(~F.col("investigation_id").eqNullSafe(F.col("_of")))
-    across = across.select(F.explode(F.array("investigation_id", "_of")).alias("_far"))
-    sizes = rows.groupBy("investigation_id").agg(F.count(F.lit(1)).alias("n"))
-    large = sizes.where(F.col("n") > local_nodes).select(F.col("investigation_id").alias("_far"))
-    far = checkpointed(across.unionByName(large).distinct())
-    groups = max(1, -(-rows.count() // max(1, local_nodes)))
-    group = F.pmod(F.xxhash64("investigation_id"), F.lit(groups)).alias("_group")
-    if far.isEmpty():
-        return rows.select("*", group), None
-    same = F.col("investigation_id").eqNullSafe(F.col("_far"))
-    return rows.join(far, same, "left_anti").select("*", group), checkpointed(rows.join(far, same, "left_semi"))
-
-
 def branches(nodes: DataFrame, local_nodes: int = LOCAL_NODES) -> DataFrame:
     """Branch labels of question turns and the branches visible on each.
 
@@ -583,22 +608,6 @@ def open_hypotheses(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return hypothesis_status(nodes, edges).where(F.col("status").isin("proposed", "unresolved"))
 
 
-def _labels(nodes: DataFrame, local_nodes: int) -> tuple[DataFrame, DataFrame | None]:
-    """(node_id, _group, pre, last, depth) of the nodes of investigations that one task can
-    walk, written, and the other nodes (None: there are none): those of larger
-    investigations, of links between investigations, and of cycles."""
-    plain = checkpointed(nodes.select("investigation_id", "id", F.lit(0).alias("seq"), "parent_id"))
-    near, far = _dealt_by_size(plain, "id", "parent_id", local_nodes)
-    kind = plain.schema["id"].dataType.simpleString()
-    labels = near.groupBy("_group").applyInArrow(intervals_of, f"node_id {kind}, _group long, pre long, last long, depth long, looped boolean")
-    labels = checkpointed(labels)
-    looped = labels.where("looped").select(F.col("node_id").alias("id"))
-    if not looped.isEmpty():
-        turning = plain.join(looped, "id", "left_semi")
-        far = turning if far is None else far.unionByName(turning)
-    return labels.where("NOT looped").drop("looped"), far
-
-
 def shared_evidence(nodes: DataFrame, edges: DataFrame, lift: Lifting | None = None, local_nodes: int = LOCAL_NODES) -> DataFrame:
     """Evidence nodes that actively support two or more conclusions which are
     not on one ancestor line (divergent branches).
@@ -614,7 +623,7 @@ def shared_evidence(nodes: DataFrame, edges: DataFrame, lift: Lifting | None = N
     sup = checkpointed(sup.select("investigation_id", "source_id", "target_id").distinct())
     if lift is not None:
         return _off_line_by_lifting(sup, lift)
-    labels, far = _labels(nodes, local_nodes)
+    labels, far = preorder(nodes, local_nodes)
     placed = checkpointed(sup.join(labels.withColumnRenamed("node_id", "target_id"), "target_id", "left"))
     # a source is judged by intervals if all its conclusions have one
     per = placed.groupBy("source_id").agg(

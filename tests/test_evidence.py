@@ -475,3 +475,26 @@ def test_walks_of_deep_chains_and_cycles():
     out = intervals_of(table).to_pylist()
     assert (out[0]["pre"], out[0]["last"], out[n - 1]["depth"]) == (0, n - 1, n - 1)
     assert [r["looped"] for r in out[n - 1 :]] == [False, True, True, True]
+
+
+@pytest.mark.parametrize("seed", [3])
+def test_descendants_by_intervals_and_by_lifting(spark, seed):
+    rows = _random_graph(seed)
+    n = nodes(spark, rows)
+    labels, far = ev.preorder(n, 40)
+    up = {r[0]: r[3] for r in rows}
+    assert far is not None and labels.count() + far.count() == len(rows)
+
+    def depth_below(x, top):
+        seen, d = set(), 0
+        while x is not None and x not in seen:
+            if x == top:
+                return d
+            seen.add(x)
+            x, d = up[x], d + 1
+        return None
+
+    for top in ("aq00", "None" + "q02", "cq03", "dc01", "bq00"):
+        want = {r[0]: depth_below(r[0], top) for r in rows if depth_below(r[0], top) is not None}
+        got = {r["id"]: r["depth"] for r in ev.descendants(n, top, labels=labels).collect()}
+        assert got == want, top
