@@ -7,6 +7,7 @@ from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from ..functions.columns import (
     OperatorError,
@@ -18,7 +19,7 @@ from ..functions.columns import (
     truncate,
 )
 from ..functions.numeric import dround
-from ..functions.selection import value_at
+from ..functions.selection import Held, bounds, value_at
 from ..session import checkpointed
 
 
@@ -127,16 +128,17 @@ def funnel(df: DataFrame, entity: str, stage_column: str, steps: Sequence[str])
 def _fifths(per: DataFrame, measures: dict[str, Column]) -> dict[str, list[tuple]]:
     """The first (value, entity) of the second to fifth NTILE(5) bucket of each measure,
     ascending with nulls last, ties by entity."""
-    n = per.count()
+    each = F.explode(F.array(*[F.struct(F.lit(m).alias("m"), c.cast("double").alias("v")) for m, c in measures.items()]))
+    rows = per.select("entity", each.alias("_x")).select("entity", "_x.m", "_x.v")
+    ends = Held(rows.groupBy("m").agg(F.count(F.lit(1)).alias("n"), *bounds(F.col("v"), DoubleType()))).df
+    n = (ends.first() or {"n": 0})["n"]
     size, more = divmod(n, 5)
     starts = [t * size + min(t, more) for t in range(1, 5)]
-    wanted = [(m, t, pos) for m in measures for t, pos in enumerate(starts) if pos < n]
-    if not wanted:
+    places = [F.struct(F.lit(t).alias("pid"), F.lit(pos).cast("long").alias("pos")) for t, pos in enumerate(starts) if pos < n]
+    if not places:
         return {m: [] for m in measures}
-    spark = per.sparkSession
-    each = F.explode(F.array(*[F.struct(F.lit(m).alias("m"), c.cast("double").alias("v")) for m, c in measures.items()]))
-    rows = per.select("entity", each.alias("_x")).select("entity", "_x.m", "_x.v")
-    values = checkpointed(value_at(rows, ["m"], "v", spark.createDataFrame(wanted, "m string, pid int, pos long"), ties=True))
+    wanted = ends.select("m", F.explode(F.array(*places)).alias("_t")).select("m", "_t.*")
+    values = value_at(rows, ["m"], "v", wanted, ends, ties=True)
     first = value_at(rows, ["m", "v"], "entity", values.withColumnRenamed("rel", "pos"))
     out: dict[str, list[tuple]] = {m: [] for m in measures}
     for r in first.select("m", "v", "entity").collect():  # twelve rows at most

@@ -718,16 +718,18 @@ def lint_turns(nodes: DataFrame) -> DataFrame:
     confidence_calibration - 'high' confidence on <= 1 result or with errors;
     truncation - a table result reached the row cap.
     A turn's conclusion is its latest one (by seq)."""
-    t = turns(nodes).where(F.col("turn_id").isNotNull())
-    kind = F.col("kind")
+    # one parse of a payload; fields come as the text that stands there
+    payload = F.from_json("content_json", "steps string, tool string, row_count string, summary string, confidence string")
+    t = turns(nodes).where(F.col("turn_id").isNotNull()).withColumn("_p", payload)
+    kind, field = F.col("kind"), lambda name: F.col(f"_p.{name}")
     per = t.groupBy("investigation_id", "turn_id").agg(
-        F.coalesce(F.sum(F.when(kind == "plan", F.json_array_length(content("steps")))), F.lit(0)).alias("planned"),
+        F.coalesce(F.sum(F.when(kind == "plan", F.json_array_length(field("steps")))), F.lit(0)).alias("planned"),
         F.count(F.when(kind.isin("table_result", "tool_result"), F.lit(1))).alias("evidence"),
         F.count(F.when(kind == "error", F.lit(1))).alias("errors"),
-        F.count(F.when((kind == "tool_result") & content("tool").isin(*TEST_TOOLS), F.lit(1))).alias("tests"),
-        F.count(F.when((kind == "table_result") & (content("row_count", "long") >= ROW_CAP), F.lit(1))).alias("capped"),
+        F.count(F.when((kind == "tool_result") & field("tool").isin(*TEST_TOOLS), F.lit(1))).alias("tests"),
+        F.count(F.when((kind == "table_result") & (field("row_count").try_cast("long") >= ROW_CAP), F.lit(1))).alias("capped"),
         F.max_by(
-            F.struct(F.col("id").alias("cid"), content("summary").alias("summary"), content("confidence").alias("confidence")),
+            F.struct(F.col("id").alias("cid"), field("summary").alias("summary"), field("confidence").alias("confidence")),
             F.when(kind == CONCLUSION, F.struct("seq", "id")),
         ).alias("c"),
     ).where(F.col("c").isNotNull())
