@@ -226,7 +226,35 @@ def op12_bidiagonal_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whitened_components(table_of(spark, sf_dir, "embeddings"), "vec_id")
 
 
-@query("op13_suffix_array_dedup")
+# windows compared by MD5 sums, one of all of them at a time
+_OP13_SQL = """
+WITH d AS (
+  SELECT row_number() OVER () AS uid, doc_id, encode(coalesce(text, '')) AS data, octet_length(encode(coalesce(text, ''))) AS n
+  FROM documents
+), w AS (
+  SELECT uid, p, md5(data[p + 1:p + 200]) AS m
+  FROM (SELECT uid, data, unnest(range(0, n - 199)) AS p FROM d WHERE n >= 200)
+), starts AS (
+  SELECT uid, p FROM (SELECT uid, p, count(*) OVER (PARTITION BY m) AS k FROM w) WHERE k > 1
+), spans AS (
+  SELECT uid, min(p) AS low, max(p) + 200 AS high FROM (
+    SELECT uid, p, sum(fresh) OVER (PARTITION BY uid ORDER BY p) AS span FROM (
+      SELECT uid, p, CASE WHEN p - lag(p) OVER (PARTITION BY uid ORDER BY p) <= 200 THEN 0 ELSE 1 END AS fresh FROM starts))
+  GROUP BY uid, span
+), gaps AS (
+  SELECT uid, low, high, coalesce(lag(high) OVER (PARTITION BY uid ORDER BY low), 0) AS since FROM spans
+), cut AS (
+  SELECT g.uid, count(*) AS n_spans, sum(high - low) AS gone, max(high) AS last,
+    string_agg(hex(d.data[since + 1:low]), '' ORDER BY low) AS head
+  FROM gaps g JOIN d USING (uid) GROUP BY g.uid
+)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(CASE WHEN n_spans IS NULL THEN data ELSE unhex(head || hex(data[last + 1:n])) END) AS kept_sha256
+FROM d LEFT JOIN cut USING (uid)
+"""
+
+
+@query("op13_suffix_array_dedup", _OP13_SQL)
 def op13_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table_of(spark, sf_dir, "documents").select("doc_id", "text")
     left = suffix_dedup.remove_repeats(docs, keep=["doc_id"])
