@@ -49,7 +49,10 @@ def texts_of(documents: DataFrame, sample: DataFrame, id_col: str, text_col: str
     bounded by its ids."""
     texts = documents.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
     # a few thousand ids (the sample's parameter), sent to the texts
-    return texts.join(F.broadcast(sample), "__id").groupBy("__id", "label").agg(F.min("__text").alias("__text"))
+    rows = texts.join(F.broadcast(sample), "__id")
+    if rows.groupBy("__id").count().where("count > 1").isEmpty():  # reads ids only
+        return rows
+    return rows.groupBy("__id", "label").agg(F.min("__text").alias("__text"))
 
 
 def pack_blocks(rows: DataFrame, id_col: str, blocks: int) -> DataFrame:
