@@ -6,8 +6,13 @@ holds a benchmark item, and encode the rest. Each stage is written as Parquet
 and read again by the next. All but the last return the columns of their
 input; the last returns one row of token digests per document.
 
-No stage drops a document for a null in another column; a null or empty text
-is rejected by the language stage (it has no language), at the latest.
+Defined cases: no stage drops a document for a null in another column; a null or
+empty text is rejected by the language stage (it has no language), at the latest. Texts
+of any length are read whole by every stage. Repeated rows and texts are copies: the
+near-copy stage keeps one row of each class, by the smallest id, of rows that share it
+by the smallest hash of id and text. Columns may have any names; those of ``documents``
+come back as they were. An empty table runs through all stages and gives no rows; without
+any label 1 to learn from, nothing reaches the quality stage's bar and no row is left.
 """
 
 from __future__ import annotations
