@@ -24,7 +24,7 @@ def check(spark, values, dtype, positions=None):
     positions = range(len(values)) if positions is None else positions
     targets = spark.createDataFrame([(i, p) for i, p in enumerate(positions)], "pid int, pos long")
     want = ordered(values)
-    for ties in (False, True):
+    for ties in (True, False) if len(values) > 10 else (True,):
         got = {r.pid: (r.v, r.rel) for r in value_at(df, [], "v", targets, ties=ties).collect()}
         assert len(got) == sum(p < len(values) for p in positions)
         for i, p in enumerate(positions):
