@@ -13,12 +13,8 @@ and global row numbers. Quantiles need no order of all rows: see ``selection``.
 
 from __future__ import annotations
 
-import sys
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
@@ -26,42 +22,16 @@ from pyspark.sql.types import DoubleType
 from ..session import checkpointed, join_back
 from .selection import Held, bounds, value_at
 
-# executors get this module's functions with the job and need not import it
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
 PID, MID = "_rk_pid", "_rk_mid"
 
 
-def sorted_frozen(df: DataFrame, order: Sequence[Column], sums: Sequence[str] = ()) -> DataFrame:
+def sorted_frozen(df: DataFrame, order: Sequence[Column]) -> DataFrame:
     """``df`` sorted by one range shuffle and written, with each row's partition
-    and place, and the running totals ``_l_*`` of ``sums`` within its partition,
-    taken as the sorted rows pass by."""
-    placed = (
-        df.orderBy(*order).withColumn(PID, F.spark_partition_id()).withColumn(MID, F.monotonically_increasing_id())
-    )
-    if sums:
-        kinds = {c: "double" if df.schema[c].dataType.typeName() in ("float", "double") else "long" for c in sums}
-        # fields by name: a select of literals gives the types the new columns have
-        schema = placed.select("*", *[F.lit(0).cast(kinds[c]).alias(f"_l_{c}") for c in sums]).schema
-        placed = placed.mapInArrow(lambda batches: _local_totals(batches, kinds), schema)
+    and place."""
+    placed = df.orderBy(*order).withColumn(PID, F.spark_partition_id()).withColumn(MID, F.monotonically_increasing_id())
     return checkpointed(placed)
 
 
-def _local_totals(batches: Iterator[pa.RecordBatch], kinds: dict[str, str]) -> Iterator[pa.RecordBatch]:
-    """The batches of one sorted partition with running totals appended."""
-    reached = {c: 0 for c in kinds}
-    for batch in batches:
-        cols, names = list(batch.columns), list(batch.schema.names)
-        for c, kind in kinds.items():
-            values = pc.fill_null(batch.column(c).cast(pa.float64() if kind == "double" else pa.int64()), 0)
-            total = pc.cumulative_sum(values, start=reached[c])
-            if len(total):
-                reached[c] = total[-1].as_py()
-            cols.append(total)
-            names.append(f"_l_{c}")
-        yield pa.RecordBatch.from_arrays(cols, names)
-
-
 def _offsets(frozen: DataFrame, sums: dict[str, Column]) -> DataFrame:
     """Per partition id: exclusive running totals of the given sums (tiny)."""
     per = frozen.groupBy(PID).agg(*[s.alias(f"_p_{n}") for n, s in sums.items()])
@@ -96,12 +66,14 @@ def running_sums(
     list of names/sort expressions; must be a total order)."""
     order_list = [order] if isinstance(order, str) else list(order)
     sort = [F.col(o).asc() if isinstance(o, str) else o for o in order_list]
-    frozen = sorted_frozen(df, sort, cols)
+    frozen = sorted_frozen(df, sort)
     offs = _offsets(frozen, {c: F.sum(c) for c in cols})
+    # a sorted partition stays whole, and is no larger than the range shuffle made it
+    so_far = Window.partitionBy(PID).orderBy(MID).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     out = frozen.join(F.broadcast(offs), PID)
     for c in cols:
-        out = out.withColumn(f"{prefix}{c}", F.col(f"_l_{c}") + F.col(f"_o_{c}"))
-    return out.drop(PID, MID, *[f"_{k}_{c}" for c in cols for k in "lo"])
+        out = out.withColumn(f"{prefix}{c}", F.coalesce(F.sum(c).over(so_far), F.lit(0)) + F.col(f"_o_{c}"))
+    return out.drop(PID, MID, *[f"_o_{c}" for c in cols])
 
 
 def value_counts(df: DataFrame, value: str, weights: dict[str, Column] | None = None) -> DataFrame:
