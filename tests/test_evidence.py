@@ -278,6 +278,28 @@ def test_a_crowd_of_alike_statements_never_yields_its_pairs(spark, monkeypatch):
     assert sum(seen) < 20 * 20
 
 
+def test_pairs_of_many_blocks_are_counted_in_tasks(spark, monkeypatch):
+    """Shared tokens are never shuffled a pair; sets of every size in several blocks."""
+    from drillspark.functions import overlaps
+    from drillspark.operators import similarity
+
+    monkeypatch.setattr(similarity, "BLOCK_TOKENS", 2_000)
+    rnd = random.Random(4)
+    vocab = [f"tok{chr(97 + i % 26)}{i}x" for i in range(120)]
+    texts = [" ".join(rnd.sample(vocab[: rnd.choice((20, 120))], rnd.choice((1, 2, 5, 12, 20)))) for _ in range(80)]
+    texts += [" ".join(rnd.sample(vocab, 60)) for _ in range(20)] + [" ".join(rnd.sample(vocab, 110)) for _ in range(5)]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    sets = [_tokens_py(t) for t in texts]
+    near = {(i, j): len(sets[i] & sets[j]) for i in range(105) for j in range(i + 1, 105)}
+    near = {k: v for k, v in near.items() if v / min(len(sets[k[0]]), len(sets[k[1]])) >= 0.6}
+    monkeypatch.setattr(overlaps, "CELLS", 50)
+    found = near_duplicate_pairs(df, "id", "text")
+    assert "hashpartitioning(sid_a" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {(r["id_a"], r["id_b"]): r["shared"] for r in found.collect()} == near
+    kept = {r["id"]: r["kept"] for r in dedup_keep_first(df, "id", "id", "text", first_prefix=10).collect()}
+    assert [kept[i] for i in range(len(texts))] == _keep_first(texts)
+
+
 def test_components_of_chains_and_stars(spark):
     from drillspark.operators import similarity
 
