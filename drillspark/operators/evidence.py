@@ -162,7 +162,6 @@ class Forest(NamedTuple):
     nodes: DataFrame  # id, parent_id: every cycle is one node, its smallest member, without a parent
     members: DataFrame | None  # member, root, pos (steps up from root to member), length; None without cycles
     entries: DataFrame | None  # id (hangs below a cycle), entry (the cycle member that is its parent), root
-    jumps: list | None = None  # without cycles: the 2^k-th ancestors found on the way
 
 
 def _doubled(jump: DataFrame) -> DataFrame:
@@ -171,28 +170,34 @@ def _doubled(jump: DataFrame) -> DataFrame:
     return jump.join(far, "up").select("node_id", F.col("_up2").alias("up")).transform(checkpointed)
 
 
+def _pointed_at(jump: DataFrame) -> DataFrame:
+    """The jumps of the nodes that a jump ends at."""
+    return jump.join(jump.select(F.col("up").alias("node_id")).distinct(), "node_id", "left_semi")
+
+
 def forest(nodes: DataFrame) -> Forest:
     """The parent links with every cycle folded into one node.
 
     Doubling the jumps of ever fewer nodes ends when the longest chain is
     passed. Jumps that survive more steps than there are links lie on or below
     a cycle, and point at cycle members: every member is pointed at, since a
-    cycle's own jumps permute it. A cycle is named by its smallest member, and
-    its members are numbered by their steps up from that one.
+    cycle's own jumps permute it; so each round goes on with the nodes that the
+    last one's jumps end at, and never with those that have fewer levels below
+    them. A cycle is named by its smallest member, and its members are numbered
+    by their steps up from that one.
     """
     ensure_checkpoint_dir(nodes.sparkSession)
     links = nodes.select(F.col("id").alias("node_id"), F.col("parent_id").alias("up")).where(F.col("up").isNotNull())
     links = links.transform(checkpointed)
     plain = nodes.select("id", "parent_id")
-    count, jumps, span = links.count(), [links], 1
+    count, jump, span = links.count(), links, 1
     while span <= count:
-        jump = _doubled(jumps[-1])
+        jump = _doubled(checkpointed(_pointed_at(jump)))
         span *= 2
         if jump.isEmpty():
-            return Forest(plain, None, None, jumps)
-        jumps.append(jump)
+            return Forest(plain, None, None)
     if not count:
-        return Forest(plain, None, None, jumps)
+        return Forest(plain, None, None)
     on_cycle = jump.select(F.col("up").alias("node_id")).distinct().transform(checkpointed)
     ring = links.join(on_cycle, "node_id").transform(checkpointed)
     size, span, around = on_cycle.count(), 1, ring
@@ -295,19 +300,22 @@ def ancestors(nodes: DataFrame) -> DataFrame:
 
 
 class Lifting(NamedTuple):
-    jumps: list  # jumps[k]: node_id, up = ancestor 2^k levels up
+    jumps: list  # jumps[k]: node_id (that has children), up = ancestor 2^k levels up
+    links: DataFrame  # node_id, up = parent, of every node
+    inner: DataFrame  # depth, of the nodes that have both a parent and children
     depth: DataFrame  # node_id, depth (length of the parent chain)
     tree: Forest | None = None  # what the tables describe, if cycles had to be folded
 
 
-def _lift(nodes: DataFrame, jumps: list | None = None) -> Lifting:
-    """Lifting tables of a forest (id, parent_id)."""
-    if jumps is None:
-        links = nodes.select(F.col("id").alias("node_id"), F.col("parent_id").alias("up"))
-        jumps = [links.where(F.col("up").isNotNull()).transform(checkpointed)]
-        while not (far := _doubled(jumps[-1])).isEmpty():
-            jumps.append(far)
-    cur = nodes.select(F.col("id").alias("node_id"), F.col("id").alias("_cur"), F.lit(0).cast("long").alias("depth"))
+def _lift(nodes: DataFrame) -> Lifting:
+    """Lifting tables of a forest (id, parent_id). Nodes without children, mostly the
+    larger part, are a link away from their parents, and are left out of the jumps."""
+    links = nodes.select(F.col("id").alias("node_id"), F.col("parent_id").alias("up")).where(F.col("up").isNotNull())
+    links = links.transform(checkpointed)
+    jumps = [checkpointed(_pointed_at(links))]
+    while not (far := _doubled(jumps[-1])).isEmpty():
+        jumps.append(far)
+    cur = jumps[0].select("node_id", F.col("node_id").alias("_cur"), F.lit(0).cast("long").alias("depth"))
     for k in reversed(range(len(jumps))):
         step = jumps[k].select(F.col("node_id").alias("_cur"), F.col("up").alias("_nx"))
         cur = (
@@ -319,21 +327,24 @@ def _lift(nodes: DataFrame, jumps: list | None = None) -> Lifting:
             )
             .transform(checkpointed)
         )
-    return Lifting(jumps, cur.select("node_id", "depth"))
+    inner = cur.select("node_id", "depth")
+    above = inner.select(F.col("node_id").alias("parent_id"), F.col("depth").alias("_d"))
+    below = F.when(F.col("parent_id").isNull(), F.lit(0)).otherwise(F.coalesce("_d", F.lit(0)) + 1).cast("long")
+    depth = nodes.select("id", "parent_id").join(above, "parent_id", "left").select(F.col("id").alias("node_id"), below.alias("depth"))
+    return Lifting(jumps, links, inner, checkpointed(depth))
 
 
 def lifting(nodes: DataFrame) -> Lifting:
-    """Binary-lifting tables: the 2^k-th ancestor of every node for each k,
-    and every node's depth. O(N log depth) rows instead of the O(N depth)
-    closure; answers "is a an ancestor of b" and "k-th ancestor" with log
+    """Binary-lifting tables: the 2^k-th ancestor of every node with children for
+    each k, and every node's parent and depth. O(N log depth) rows instead of the
+    O(N depth) closure; answers "is a an ancestor of b" and "k-th ancestor" with log
     joins. Cycles of parent links are folded into one node each first."""
     tree = forest(nodes)
-    return _lift(nodes, tree.jumps) if tree.members is None else _lift(tree.nodes)._replace(tree=tree)
+    return _lift(nodes) if tree.members is None else _lift(tree.nodes)._replace(tree=tree)
 
 
-def ancestor_at(pairs: DataFrame, lift: Lifting, node_col: str, k_col: str, out: str) -> DataFrame:
-    """Add ``out`` = the ``k_col``-th ancestor of ``node_col`` (null when the
-    chain is shorter), one join per bit of k."""
+def _climbed(pairs: DataFrame, lift: Lifting, node_col: str, k_col: str, out: str) -> DataFrame:
+    """``ancestor_at`` for nodes that have children, one join per bit of k."""
     cur = pairs.withColumn("_cur", F.col(node_col))
     for level, table in enumerate(lift.jumps):
         step = table.select(F.col("node_id").alias("_cur"), F.col("up").alias(f"_nx{level}"))
@@ -345,6 +356,17 @@ def ancestor_at(pairs: DataFrame, lift: Lifting, node_col: str, k_col: str, out:
     return cur.withColumn(out, F.when(too_far, F.lit(None)).otherwise(F.col("_cur"))).drop("_cur")
 
 
+def ancestor_at(pairs: DataFrame, lift: Lifting, node_col: str, k_col: str, out: str) -> DataFrame:
+    """Add ``out`` = the ``k_col``-th ancestor of ``node_col`` (null when the
+    chain is shorter): the parent, which has children, and from there a join per bit."""
+    parent = lift.links.select(F.col("node_id").alias("_at"), F.col("up").alias("_up"))
+    far = F.col(k_col) > 0
+    first = pairs.withColumn("_at", F.col(node_col)).join(parent, "_at", "left")
+    first = first.withColumn("_at", F.when(far, F.col("_up")).otherwise(F.col("_at"))).drop("_up")
+    first = first.withColumn("_left", F.when(far, F.col(k_col) - 1).otherwise(F.lit(0)))
+    return _climbed(first, lift, "_at", "_left", out).drop("_at", "_left")
+
+
 LOCAL_NODES = 100_000  # of an investigation that one task numbers
 
 
@@ -405,20 +427,28 @@ def descendants(
     lift = lift or lifting(nodes_or_closure)
     target = None if lift.tree is None else lift.tree.members.where(F.col("member") == node_id).first()
     top = node_id if target is None else target["root"]
-    root = lift.depth.where(F.col("node_id") == top).select(F.col("depth").alias("_d0"))
-    cand = lift.depth.crossJoin(F.broadcast(root)).where(F.col("depth") >= F.col("_d0")).select(
+    root = checkpointed(lift.depth.where(F.col("node_id") == top).select("node_id", F.col("depth").alias("_d0")))
+    cand = lift.inner.crossJoin(F.broadcast(root.select("_d0"))).where(F.col("depth") > F.col("_d0")).select(
         "node_id", (F.col("depth") - F.col("_d0")).alias("rel")
     )
-    hit = ancestor_at(cand, lift, "node_id", "rel", "_top").where(F.col("_top") == top)
+    # of those that have children; all others hang from them, or from the node itself
+    hit = _climbed(cand, lift, "node_id", "rel", "_top").where(F.col("_top") == top).select("node_id", "rel")
     if target is None:
-        return hit.select(F.col("node_id").alias("id"), F.col("rel").alias("depth"))
+        itself = root.select("node_id", F.lit(0).cast("long").alias("rel"))
+        above = checkpointed(hit.unionByName(itself)).withColumnRenamed("node_id", "up")
+        hanging = lift.links.join(above, "up").select("node_id", (F.col("rel") + 1).alias("rel"))
+        return hanging.unionByName(itself).select(F.col("node_id").alias("id"), F.col("rel").alias("depth"))
     # a cycle has no ancestors, so rel is the depth below it: the node before
     # the last step hangs from the member through which the chain enters
-    below = ancestor_at(hit.where("rel > 0").withColumn("_k", F.col("rel") - 1), lift, "node_id", "_k", "_gate")
-    gates = lift.tree.entries.select(F.col("id").alias("_gate"), "entry")
+    gated = checkpointed(_climbed(hit.withColumn("_k", F.col("rel") - 1), lift, "node_id", "_k", "_gate").drop("_k"))
+    direct = lift.tree.entries.where(F.col("root") == top)
+    above = gated.join(direct.select(F.col("id").alias("_gate"), "entry"), "_gate")
+    above = checkpointed(above.select(F.col("node_id").alias("up"), "rel", "entry"))
+    deeper = lift.links.join(above, "up").select("node_id", (F.col("rel") + 1).alias("rel"), "entry")
+    hung = direct.select(F.col("id").alias("node_id"), F.lit(1).cast("long").alias("rel"), "entry").unionByName(deeper)
     at = lift.tree.members.select(F.col("member").alias("entry"), "pos", "length")
     steps = _around(F.col("pos"), F.lit(target["pos"]), F.col("length"))
-    hanging = below.join(gates, "_gate").join(at, "entry").select(F.col("node_id").alias("id"), (F.col("rel") + steps).alias("depth"))
+    hanging = hung.join(at, "entry").select(F.col("node_id").alias("id"), (F.col("rel") + steps).alias("depth"))
     ring = lift.tree.members.where(F.col("root") == top)
     return hanging.unionByName(ring.select(F.col("member").alias("id"), steps.alias("depth")))
 

@@ -520,3 +520,36 @@ def test_descendants_by_intervals_and_by_lifting(spark, seed):
         want = {r[0]: depth_below(r[0], top) for r in rows if depth_below(r[0], top) is not None}
         got = {r["id"]: r["depth"] for r in ev.descendants(n, top, labels=labels).collect()}
         assert got == want, top
+
+
+def test_lifting_leaves_out_nodes_without_children(spark, monkeypatch):
+    """A chain of 30 below a cycle of two, and 2,000 nodes that hang from them: jumps are made of the few only."""
+    parent = {0: 1, 1: 0, 2: 1} | {i: i - 1 for i in range(3, 32)} | {i: i % 32 for i in range(32, 2032)}
+    nodes = spark.createDataFrame(list(parent.items()), "id long, parent_id long")
+    written, keep = [], ev.checkpointed
+
+    def counted(df):
+        out = keep(df)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(ev, "checkpointed", counted)
+    lift = ev.lifting(nodes)
+    assert sum(written) < 8 * len(parent)
+
+    def steps_up(i, top):
+        for k in range(len(parent)):
+            if i == top:
+                return k
+            i = parent[i]
+
+    for top in (0, 1, 12, 40):
+        want = {i: k for i in parent if (k := steps_up(i, top)) is not None}
+        assert {r["id"]: r["depth"] for r in ev.descendants(nodes, top, lift).collect()} == want
+    pairs = spark.createDataFrame([(i, k) for i in (5, 40, 2031) for k in (0, 1, 2, 3, 33, 90)], "i long, k long")
+    tree = {r["id"]: r["parent_id"] for r in lift.tree.nodes.collect()}
+    for r in ev.ancestor_at(pairs, lift, "i", "k", "up").collect():
+        at = r["i"]
+        for _ in range(r["k"]):
+            at = tree.get(at)
+        assert r["up"] == at, r
