@@ -300,6 +300,45 @@ def test_pairs_of_many_blocks_are_counted_in_tasks(spark, monkeypatch):
     assert [kept[i] for i in range(len(texts))] == _keep_first(texts)
 
 
+def test_disk_does_not_grow_with_the_blocks(spark, monkeypatch):
+    """No copy of the sets a block, and what is read no more goes, tables and shuffle files."""
+    import os
+
+    import pyarrow.parquet as pq
+
+    from drillspark.operators import similarity
+    from drillspark.session import job_scratch
+
+    def files(*folders):
+        return {os.path.join(d, f) for top in folders for d, _, names in os.walk(top.removeprefix("file:")) for f in names}
+
+    rnd = random.Random(6)
+    vocab = [f"word{i}x" for i in range(3000)]
+    texts = [" ".join(rnd.sample(vocab, 60)) for _ in range(1500)]
+    texts += texts[:20] + [t + " more words" for t in texts[20:40]]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string").repartition(2)
+    local = spark.sparkContext.getConf().get("spark.local.dir")
+    monkeypatch.setattr(similarity, "SET_TOKENS", 0)
+    write, most = similarity.checkpointed, {}
+    for tokens in (1_000_000, 30_000):  # one block, and four
+        monkeypatch.setattr(similarity, "BLOCK_TOKENS", tokens)
+        with job_scratch(spark) as folder:
+            before = files(local)
+
+            def measured(frame):
+                table = write(frame)
+                used = sum(os.path.getsize(f) for f in files(local, folder) - before if os.path.exists(f))
+                most[tokens] = max(most.get(tokens, 0), used)  # noqa: B023
+                return table
+
+            monkeypatch.setattr(similarity, "checkpointed", measured)
+            kept = {r["id"] for r in similarity.dedup_keep_first(df, "id", "id", "text").where("kept").collect()}
+            tables = [pq.read_schema(f) for f in files(folder) if f.endswith(".parquet")]
+        assert kept == set(range(1500))
+        assert tables and not any("list" in str(t.types) for t in tables)
+    assert most[30_000] < 1.5 * most[1_000_000]
+
+
 def test_components_of_chains_and_stars(spark):
     from drillspark.operators import similarity
 
